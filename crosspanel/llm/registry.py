@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import quality_rules
+from crosspanel.llm import html_text, quality_rules, token_counts
 from crosspanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +18,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, by the 32k piece model."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_html_text": op3_html_text,
+    "op5_token_counts": op5_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
