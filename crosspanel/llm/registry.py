@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import html_text, quality_rules, token_counts
+from crosspanel.llm import compression_quality, html_text, quality_rules, token_counts
 from crosspanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +28,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = compression_quality.fit(compression_quality.learning_rows(docs, table(spark, sf_dir, "labels")))
+    return compression_quality.classify(docs, model)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_html_text": op3_html_text,
     "op5_token_counts": op5_token_counts,
+    "op8_compression_quality": op8_compression_quality,
 }
 
 ORACLES: dict[str, str] = {}
