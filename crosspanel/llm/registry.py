@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import compression_quality, html_text, quality_rules, token_counts
+from crosspanel.llm import compression_quality, html_text, language_crf, quality_rules, token_counts
 from crosspanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +35,18 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.classify(docs, model)
 
 
+def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language_crf.identify(docs, language_crf.fit(docs))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_html_text": op3_html_text,
     "op5_token_counts": op5_token_counts,
     "op8_compression_quality": op8_compression_quality,
+    "op9_language_crf": op9_language_crf,
 }
 
 ORACLES: dict[str, str] = {}
