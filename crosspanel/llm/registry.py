@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import compression_quality, html_text, language_crf, quality_rules, token_counts
+from crosspanel.llm import compression_quality, html_text, language_crf, packing, quality_rules, token_counts
 from crosspanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,16 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), **packing_vocabulary())
+
+
+def packing_vocabulary() -> dict:
+    """Vocabulary of byte_bpe_50k.json, by the rank file of the same vocabulary."""
+    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}}
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, by the 32k piece model."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -44,6 +54,7 @@ def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_html_text": op3_html_text,
+    "op4_swap_packing": op4_swap_packing,
     "op5_token_counts": op5_token_counts,
     "op8_compression_quality": op8_compression_quality,
     "op9_language_crf": op9_language_crf,
