@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,31 @@ def remainder(doc_id, modulus: int):
 def words_of(text: str) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split()
+
+
+def pack_ints(values) -> bytes:
+    """Whole numbers as little bytes: byte planes one after another, compressed. For columns that get shuffled."""
+    values = np.ascontiguousarray(values, np.int64)
+    wide = np.int64 if len(values) and (values.max() > 2**31 - 1 or values.min() < -(2**31)) else np.int32
+    planes = values.astype(wide).view(np.uint8).reshape(-1, np.dtype(wide).itemsize).T
+    return bytes([np.dtype(wide).itemsize]) + zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    """What pack_ints was given."""
+    wide = data[0]
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(wide, -1)
+    return np.ascontiguousarray(planes.T).view(f"<i{wide}").ravel().astype(np.int64)
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Byte strings as one compressed block."""
+    return len(lengths := pack_ints([len(x) for x in words])).to_bytes(4, "little") + lengths + zstandard.compress(b"".join(words), 3)
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    """What pack_words was given."""
+    n = int.from_bytes(data[:4], "little")
+    ends = np.cumsum(unpack_ints(data[4 : 4 + n])).tolist()
+    text = zstandard.decompress(data[4 + n :])
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
