@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import compression_quality, html_text, language_crf, packing, quality_rules, token_counts
+from crosspanel.llm import compression_quality, cover_tree, html_text, language_crf, packing, quality_rules, token_counts
 from crosspanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.identify(docs, language_crf.fit(docs))
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best matches of every fiftieth vector among all others."""
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_html_text": op3_html_text,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_counts": op5_token_counts,
     "op8_compression_quality": op8_compression_quality,
     "op9_language_crf": op9_language_crf,
+    "op10_cover_tree": op10_cover_tree,
 }
 
 ORACLES: dict[str, str] = {}
