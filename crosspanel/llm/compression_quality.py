@@ -128,14 +128,21 @@ def _dictionary(texts: list[str], size: int, block: int) -> bytes:
         return b"".join(samples)[:size] or b"\x00" * 8
 
 
-def fit(labelled: DataFrame, settings: Settings | None = None) -> Model:
-    """A model from labelled text (doc_id, text, quality); reads a bounded sample of it."""
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, modulus: int = 4, held_out: int = 2) -> Model:
+    """A model from documents (doc_id, text) and labels (doc_id, quality) outside the held-out split.
+
+    Ids are chosen among the labels alone, so only the chosen documents' texts move.
+    """
     settings = settings or Settings()
-    rows = labelled.where(F.col("quality").isin(0, 1) & F.col("text").isNotNull()).select(
-        "doc_id", "text", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("by")
-    )
-    first = lambda df, n: df.orderBy("by", "doc_id").limit(n)
-    sample = [first(rows.where(F.col("quality") == y), settings.n_dictionary + settings.n_calibration // 2).toPandas() for y in (1, 0)]
+    rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
+    rows = rows.select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
+    bound = settings.n_dictionary + settings.n_calibration // 2
+    by = F.xxhash64("doc_id")
+    ids = [rows.where(F.col("quality") == y).orderBy(by, "doc_id").limit(bound) for y in (1, 0)]
+    chosen = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    # a document id may stand in several rows: the bound holds for those too
+    found = chosen.withColumn("by", by).orderBy("by", "doc_id", F.crc32(F.col("text").cast("binary"))).limit(2 * bound).toPandas()
+    sample = [found[found["quality"] == y] for y in (1, 0)]
     model = Model(settings)
     n_good, n_bad = map(len, sample)
     if not n_good or not n_bad:
@@ -163,12 +170,6 @@ def _spread(a: list, b: list) -> Iterator[tuple]:
         yield tuple(x[i] for x in (a, b) if i < len(x))
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> DataFrame:
-    """Labelled documents outside the held-out split."""
-    known = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), modulus) != held_out))
-    return docs.select("doc_id", "text").join(known.dropDuplicates(["doc_id"]), "doc_id")
-
-
 def score_column(model: Model, text: Column) -> Column:
     """The score of a text column."""
 

@@ -41,8 +41,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = table(spark, sf_dir, "documents")
-    model = compression_quality.fit(compression_quality.learning_rows(docs, table(spark, sf_dir, "labels")))
-    return compression_quality.classify(docs, model)
+    return compression_quality.classify(docs, compression_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
