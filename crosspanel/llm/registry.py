@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import compression_quality, cover_tree, html_text, language_crf, packing, quality_rules, token_counts
+from crosspanel.llm import compression_quality, cover_tree, html_text, language_crf, minhash_forest, packing, quality_rules, token_counts
 from crosspanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return minhash_forest.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op3_html_text": op3_html_text,
     "op4_swap_packing": op4_swap_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_minhash_forest": op6_minhash_forest,
     "op8_compression_quality": op8_compression_quality,
     "op9_language_crf": op9_language_crf,
     "op10_cover_tree": op10_cover_tree,
