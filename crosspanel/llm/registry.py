@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import compression_quality, cover_tree, html_text, language_crf, minhash_forest, packing, quality_rules, token_counts
+from crosspanel.llm import compression_quality, cover_tree, html_text, language_crf, minhash_forest, mixing, packing, quality_rules, token_counts
 from crosspanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_rake_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, probability and fate of every document, raked to source, language and topic."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op4_swap_packing": op4_swap_packing,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_forest": op6_minhash_forest,
+    "op7_rake_mixing": op7_rake_mixing,
     "op8_compression_quality": op8_compression_quality,
     "op9_language_crf": op9_language_crf,
     "op10_cover_tree": op10_cover_tree,
