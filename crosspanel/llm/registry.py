@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import compression_quality, cover_tree, html_text, language_crf, minhash_forest, mixing, packing, quality_rules, token_counts
+from crosspanel.llm import compression_quality, cover_tree, html_text, language_crf, minhash_forest, mixing, packing, ppm, quality_rules, token_counts
 from crosspanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of every page."""
     return html_text.extract_text(table(spark, sf_dir, "pages"))
@@ -67,6 +72,7 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_ppm_scores": op2_ppm_scores,
     "op3_html_text": op3_html_text,
     "op4_swap_packing": op4_swap_packing,
     "op5_token_counts": op5_token_counts,
