@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import words_of
+from crosspanel.llm.common import stage, words_of
 
 OTHER = "(other values)"
 NONE = "(none)"
@@ -102,6 +102,15 @@ def _shares(marginal: pd.DataFrame, target: dict[str, float] | float) -> dict[st
     return dict(zip(marginal["value"], power / power.sum() if power.sum() else power, strict=True))
 
 
+def dimensions(docs: DataFrame, settings: Settings, *also: Column) -> DataFrame:
+    """The dimensions and n_tokens of each document, with the columns `also`; a null is a value of its own."""
+    rows = docs.select(*also, *(F.col(x).cast("string").alias(f"dim_{x}") for x in settings.targets if x in docs.columns), measured(F.col("text"), settings).alias("m"))
+    if "topic" in settings.targets and "topic" not in docs.columns:
+        rows = rows.withColumn("dim_topic", F.col("m.topic"))
+    kept = [x for x in rows.columns if x != "m" and not x.startswith("dim_")]
+    return rows.select(*kept, *(F.coalesce(F.col(f"dim_{x}"), F.lit(NONE)).alias(x) for x in settings.targets), F.col("m.n_tokens").alias("n_tokens"))
+
+
 def mix(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, the dimensions, n_tokens, weight, probability and sampled of each document.
 
@@ -109,25 +118,28 @@ def mix(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     document's cell count for in the mix against what they count for as they are.
     """
     settings = settings or Settings()
-    dims = list(settings.targets)
-    rows = docs.select("doc_id", *(F.col(x).cast("string").alias(x) for x in dims if x in docs.columns), measured(F.col("text"), settings).alias("m"))
-    if "topic" in dims and "topic" not in docs.columns:
-        rows = rows.withColumn("topic", F.col("m.topic"))
-    rows = rows.select("doc_id", *(F.coalesce(F.col(x), F.lit(NONE)).alias(x) for x in dims), F.col("m.n_tokens").alias("n_tokens"))
-    plan = draw_plan(rows, dims, settings)
-    joined = with_plan(rows, dims, plan)
-    return joined.select("doc_id", *dims, "n_tokens", "weight", "probability", sampled(settings).alias("sampled"))
+    rows = stage(dimensions(docs, settings, F.col("doc_id")), "dimensions")
+    joined = with_plan(rows, draw_plan(rows, settings))
+    return joined.select("doc_id", *settings.targets, "n_tokens", "weight", "probability", sampled(F.col("doc_id"), F.col("probability"), settings).alias("sampled"))
 
 
-def sampled(settings: Settings) -> Column:
-    """Whether a row with a doc_id and a probability is drawn."""
-    even = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(settings.seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return even < F.col("probability")
+def draw(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The documents that are sampled, with all their columns. Two passes over the texts, which are not shuffled."""
+    settings = settings or Settings()
+    plan = draw_plan(dimensions(docs, settings), settings)
+    rows = with_plan(dimensions(docs, settings, F.struct(*(docs[c] for c in docs.columns)).alias("document")), plan)
+    return rows.where(sampled(F.col("document.doc_id"), F.col("probability"), settings)).select("document.*")
 
 
-def draw_plan(rows: DataFrame, dims: list[str], settings: Settings) -> dict:
+def sampled(doc_id: Column, probability: Column, settings: Settings) -> Column:
+    """Whether a document is drawn: a hash of its id, spread evenly over 0 to 1, against its probability."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(settings.seed)), F.lit(1 << 52)) / F.lit(float(1 << 52)) < probability
+
+
+def draw_plan(rows: DataFrame, settings: Settings) -> dict:
     """The values that stand for themselves and each cell's weight and probability, from (dimensions, n_tokens)."""
-    cells = rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens"))
+    dims = list(settings.targets)
+    cells = stage(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "cells")
     named, shares = {}, {}
     room = 1
     for name in dims:
@@ -146,11 +158,12 @@ def draw_plan(rows: DataFrame, dims: list[str], settings: Settings) -> dict:
     weight = rake(table, shares, settings.keep_share * total, settings.cycles, settings.tolerance) if len(table) else have
     table["probability"] = np.divide(weight, have, out=np.full(len(have), settings.keep_share), where=have > 0)
     table["weight"] = table["probability"] * (total / weight.sum() if weight.sum() else 0.0)
-    return {"named": named, "cells": table, "shares": shares}
+    return {"dims": dims, "named": named, "cells": table, "shares": shares}
 
 
-def with_plan(rows: DataFrame, dims: list[str], plan: dict) -> DataFrame:
+def with_plan(rows: DataFrame, plan: dict) -> DataFrame:
     """Rows with the weight and probability of their cell. The cells are at most `most_cells` rows, so they are broadcast."""
+    dims = plan["dims"]
     folded = rows.select("*", *(F.when(F.col(x).isin(plan["named"][x]), F.col(x)).otherwise(OTHER).alias(f"cell_{x}") for x in dims))
     cells = plan["cells"]
     if cells.empty:
