@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crosspanel.plans import queries_analysis, queries_panel, queries_study  # noqa: F401  they register themselves
 from crosspanel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per day of the event table, until the factor queries are in place."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """The information coefficient by month and horizon."""
+    return QUERIES["ic"](spark, sf_dir)
