@@ -46,7 +46,7 @@ class CoverTree:
             begin, end = self.span[node]
             if end - begin <= leaf or self.radius[node] == 0:
                 continue
-            own = self.order[begin:end]
+            own = self.order[begin:end].copy()
             x = rows[own]
             near = np.linalg.norm(x - self.centre[node], axis=1)
             belongs = np.zeros(len(own), int)

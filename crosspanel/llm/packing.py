@@ -150,7 +150,8 @@ def improve(bins: Bins, settings: Settings) -> None:
             return
         changed = False
         givers = sorted((p for p in bins.count if sum(p) < capacity), key=sum)[: 4 * capacity]
-        for giver in givers[: max(1, len(givers) // 2)]:
+        # the emptier half first; the rest too once that half has nothing left to give
+        for giver in givers if idle else givers[: max(1, len(givers) // 2)]:
             if giver not in bins.count:
                 continue
             step = _step(bins, giver)
@@ -212,7 +213,7 @@ def places(bins: Bins) -> pd.DataFrame:
             rows.append((length, sequence, offset, n))
             offset += length
         sequence += n
-    frame = pd.DataFrame(rows, columns=["length", "sequence", "offset", "n"]).sort_values(["length", "sequence", "offset"], kind="stable")
+    frame = pd.DataFrame(rows, columns=["length", "sequence", "offset", "n"]).astype("int64").sort_values(["length", "sequence", "offset"], kind="stable")
     frame["rank"] = frame.groupby("length")["n"].cumsum() - frame["n"]
     return frame
 
