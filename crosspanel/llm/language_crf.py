@@ -235,7 +235,7 @@ def label_words(model: Model, texts: list[str | None], cache: dict[str, int], ta
     """Words of each text, the marginals of all of them, and each word's letters. `cache` and `table` keep words' weights."""
     split = [(t or "").split() for t in texts]
     fresh = list({w for words in split for w in words if w not in cache})
-    if not table or len(cache) + len(fresh) > 600_000:  # words are cheap to weigh again
+    if not table or len(cache) + len(fresh) > 200_000:  # words are cheap to weigh again
         cache.clear()
         table[:] = [np.zeros((0, len(model.languages))), np.zeros(0, int)]
         fresh = list({w for words in split for w in words})
@@ -294,7 +294,7 @@ def language_column(model: Model | None, text: Column) -> Column:
             texts = [x if isinstance(x, str) else None for x in texts]
             while at < len(texts):  # some megabytes at a time
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < 2_000_000):
+                while end < len(texts) and (end == at or size < 1_000_000):
                     size += len(texts[end] or "")
                     end += 1
                 more = predict(model, texts[at:end], cache, table)

@@ -126,7 +126,7 @@ def signature(shingles: np.ndarray, size: int) -> np.ndarray:
     return (_mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def _batches(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list]]:
+def _batches(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list]]:
     """Some megabytes of text at a time."""
     at, values = 0, texts
     while at < len(values):
@@ -353,7 +353,8 @@ def similar_documents(docs: DataFrame, settings: Settings | None = None) -> Data
     sizes = found.groupBy("component").agg(F.count("*").alias("n"))
     wanted = stage(classes.select("set", "copies", "first_id").join(found, "set").join(sizes, "component"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = wanted.join(texts, F.col("first_id").eqNullSafe(F.col("id"))).drop("id", "first_id")
+    # a merge join at every size: which texts are wanted grows with the input
+    texts = wanted.hint("merge").join(texts.hint("merge"), F.col("first_id").eqNullSafe(F.col("id"))).drop("id", "first_id")
     groups = in_blocks(texts, ["component"], "n", settings.verify_block).repartition("component", "near", "far")
     links = stage(verify(groups, settings), "links")
     tally = links.groupBy("set").agg(F.sum("links").alias("links"))
