@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.llm.common import stage
@@ -229,11 +229,9 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int]
     improve(bins, settings)
     table = places(bins)
     own = {n: (t["rank"].to_numpy(), t["sequence"].to_numpy(), t["offset"].to_numpy()) for n, t in table.groupby("length")}
-    before = tallies.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("parts"))
-    # how many of the length came in earlier tasks: a running sum over at most one row a task
-    offsets = before.select("length", F.posexplode(F.expr(
-        "transform(parts, (x, i) -> struct(x.part as part, aggregate(slice(parts, 1, i), 0L, (s, y) -> s + y.n) as base))"
-    )).alias("i", "x")).select("length", "x.part", "x.base")
+    # how many of the length came in earlier tasks: a running sum, over one row a task
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tallies.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     ranked = pieces.join(offsets, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
