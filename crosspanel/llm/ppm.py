@@ -11,10 +11,12 @@ The trie is never in one place. Each byte's probability depends on the `order` +
 
 1. Documents are dealt into chunks by a hash. A chunk gives its distinct grams with their counts, and its distinct
    tokens with theirs, cut into shards: grams by the last two bytes of their context, tokens by hash.
-2. A shard of grams holds all contexts that end in its byte pairs, hence whole subtrees of the trie down from order
+2. Within a shard the lists of `fan_in` chunks are merged into one, and those again, until `fan_in` are left, so that
+   no task ever gets more lists than that: a merged list holds distinct grams, and grows as the language does.
+3. A shard of grams holds all contexts that end in its byte pairs, hence whole subtrees of the trie down from order
    two; the counts of one-byte contexts, 65,536 at most, go with the task. It works out the log probability of every
    gram asked for. A shard of tokens sums their counts.
-3. Answers return to the chunks, which sum them over their documents.
+4. Answers go down the way the lists came up, to the chunks, which sum them over their documents.
 
 A chunk is about `chunk_mb` of text whatever the input's size, and there are as many shards as the session has
 shuffle partitions. A very frequent word or passage is one gram a chunk.
@@ -53,7 +55,9 @@ class Settings:
     order: int = 5
     modulus: int = 7
     held_out: int = 2
-    chunk_mb: int = 24
+    chunk_mb: float = 24
+    #: Lists of one shard that are merged in one task.
+    fan_in: int = 64
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -202,6 +206,81 @@ def gram_log_probabilities(grams: np.ndarray, counts: np.ndarray, pairs: np.ndar
     return out
 
 
+class _Lists:
+    """Keys (grams, or tokens) of some lists of one shard, with summed counts."""
+
+    def __init__(self, kind: int) -> None:
+        self.kind = kind
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.grams, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.tokens: Counter = Counter()
+
+    def add(self, keys: bytes, counts: bytes) -> None:
+        """One more list."""
+        if self.kind:
+            for word, n in zip(unpack_words(keys), unpack_ints(counts).tolist(), strict=True):
+                self.tokens[word] += n
+            return
+        self.parts.append((unpack_grams(keys), unpack_ints(counts)))
+        if len(self.parts) == 16:
+            self._fold()
+
+    def _fold(self) -> None:
+        self.grams, self.counts = _counted(np.concatenate([self.grams, *(x[0] for x in self.parts)]), np.concatenate([self.counts, *(x[1] for x in self.parts)]))
+        self.parts = []
+
+    def summed(self) -> tuple:
+        """Keys, ascending, and counts."""
+        if self.kind:
+            words = sorted(self.tokens)
+            return words, np.array([self.tokens[x] for x in words], np.int64)
+        self._fold()
+        return self.grams, self.counts
+
+
+def unpack_grams(keys: bytes) -> np.ndarray:
+    """A packed list of grams."""
+    return np.cumsum(unpack_ints(keys)).astype(np.uint64)
+
+
+def packed(kind: int, keys, counts) -> tuple[bytes, bytes]:
+    """A list of one shard, ready to move."""
+    return pack_words(keys) if kind else pack_ints(np.diff(keys.astype(np.int64), prepend=0)), pack_ints(counts)
+
+
+def merge_lists(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One list of the lists of a group (kind, shard, node)."""
+    kind, shard, node = (x.as_py() for x in key)
+    lists = _Lists(kind)
+    for batch in batches:
+        for keys, counts in zip(batch.column("keys"), batch.column("counts"), strict=True):
+            lists.add(keys.as_py(), counts.as_py())
+    keys, counts = packed(kind, *lists.summed())
+    row = (kind, shard, node, keys, counts)
+    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _LIST_TYPES, strict=True)], _LIST_NAMES)
+
+
+def pass_down(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Answers for each list of a group (left), out of the answers for the list they were merged into (right)."""
+    out = []
+    kind = left.column("kind")[0].as_py()
+    above_keys, above = right.column("keys")[0].as_py(), right.column("values")[0].as_py()
+    if kind:
+        known = dict(zip(unpack_words(above_keys), unpack_ints(above).tolist(), strict=True))
+    else:
+        grams, found = unpack_grams(above_keys), np.frombuffer(above, np.float32)
+    for shard, node, keys in zip(left.column("shard").to_pylist(), left.column("node").to_pylist(), left.column("keys").to_pylist(), strict=True):
+        values = pack_ints([known[x] for x in unpack_words(keys)]) if kind else found[np.searchsorted(grams, unpack_grams(keys))].tobytes()
+        out.append((kind, shard, node, keys, values))
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(_LIST_TYPES)], names=[*_LIST_NAMES[:-1], "values"])
+
+
+_LIST_NAMES = ["kind", "shard", "node", "keys", "counts"]
+_LIST_TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+LISTS = "kind int, shard int, node int, keys binary, counts binary"
+ANSWERS = "kind int, shard int, node int, keys binary, values binary"
+
+
 def _documents(table: pa.Table, most: int = 3_000_000) -> Iterator[tuple[list, list[bool], list[list[bytes]]]]:
     """ids, held out, words: some megabytes of text at a time."""
     ids, held, words, size = [], [], [], 0
@@ -236,53 +315,54 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
         for _, held, words in _documents(table):
             chunk.add(list(zip(held, words, strict=True)))
         found = list(chunk.rows(table.column("chunk")[0].as_py(), shards))
-        return pa.table([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "shard", "chunk", "keys", "counts"])
+        return pa.table([pa.array([r[i] for r in found], t) for i, t in enumerate(_LIST_TYPES)], names=_LIST_NAMES)
 
-    asked = stage(rows.groupBy("chunk").applyInArrow(ask, "kind int, shard int, chunk int, keys binary, counts binary"), "grams")
+    # a shard's lists form a tree: list `node` of one level is part of list `node // fan_in` of the next
+    levels, nodes, above = [stage(rows.groupBy("chunk").applyInArrow(ask, LISTS), "grams")], n_chunks, F.floor(F.col("node") / settings.fan_in).cast("int")
+    while nodes > settings.fan_in:
+        groups = levels[-1].select("kind", "shard", above.alias("above"), "keys", "counts").groupBy("kind", "shard", "above")
+        levels.append(stage(groups.applyInArrow(merge_lists, LISTS), "merged"))
+        nodes = math.ceil(nodes / settings.fan_in)
 
     def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(65536, np.int64)
         for batch in batches:
             for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
-                pair = np.cumsum(unpack_ints(keys.as_py())) & 0xFFFF
+                pair = (unpack_grams(keys.as_py()) & np.uint64(0xFFFF)).astype(np.int64)
                 seen += np.bincount(pair, unpack_ints(counts.as_py()), 65536).astype(np.int64)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["pair", "n"])
 
     # at most 65,536 rows
-    counted = asked.where("kind = 0").select("keys", "counts").mapInArrow(pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = levels[-1].where("kind = 0").select("keys", "counts").mapInArrow(pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = np.zeros(65536, np.int64)
     for row in counted.collect():
         pairs[row.pair] = row.n
 
     def answer(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(c, k, n) for b in batches for c, k, n in zip(b.column("chunk").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True)]
-        names = ["chunk", "kind", "keys", "values", "tokens", "distinct"]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        kind, shard = (x.as_py() for x in key)
+        lists, held = _Lists(kind), []
+        for batch in batches:
+            for node, keys, counts in zip(batch.column("node").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                lists.add(keys, counts)
+                held.append((node, keys))
+        all_keys, counts = lists.summed()
+        tokens, distinct = (int(counts.sum()), int((counts > 0).sum())) if kind else (0, 0)
+        if not kind:
+            p = gram_log_probabilities(all_keys, counts, pairs, settings.order).astype(np.float32)
         out = []
-        if key[0].as_py() == 0:
-            parts = [(np.cumsum(unpack_ints(k)).astype(np.uint64), unpack_ints(n)) for _, k, n in held]
-            grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            for at in range(0, len(parts), 16):
-                some = parts[at : at + 16]
-                grams, counts = _counted(np.concatenate([grams, *(x[0] for x in some)]), np.concatenate([counts, *(x[1] for x in some)]))
-            p = gram_log_probabilities(grams, counts, pairs, settings.order).astype(np.float32)
-            for (chunk, keys, _), (own, _) in zip(held, parts, strict=True):
-                out.append((chunk, 0, keys, p[np.searchsorted(grams, own)].tobytes(), 0, 0))
-        else:
-            total: Counter = Counter()
-            for _, k, n in held:
-                for word, count in zip(unpack_words(k), unpack_ints(n).tolist(), strict=True):
-                    total[word] += count
-            tokens, distinct = sum(total.values()), sum(1 for n in total.values() if n)
-            for i, (chunk, keys, _) in enumerate(held):
-                out.append((chunk, 1, keys, pack_ints([total[x] for x in unpack_words(keys)]), 0 if i else tokens, 0 if i else distinct))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
-
-    answered = stage(
-        asked.groupBy("kind", "shard").applyInArrow(answer, "chunk int, kind int, keys binary, values binary, tokens long, distinct long"), "answers"
-    )
-    total = answered.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+        for i, (node, keys) in enumerate(held):
+            values = pack_ints([lists.tokens[x] for x in unpack_words(keys)]) if kind else p[np.searchsorted(all_keys, unpack_grams(keys))].tobytes()
+            out.append((kind, shard, node, keys, values, 0 if i else tokens, 0 if i else distinct))
+        kinds = (*_LIST_TYPES, pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], [*_LIST_NAMES[:-1], "values", "tokens", "distinct"])
+
+    top = stage(levels[-1].groupBy("kind", "shard").applyInArrow(answer, f"{ANSWERS}, tokens long, distinct long"), "answers")
+    total = top.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+    answered = top.drop("tokens", "distinct")
+    for level in levels[-2::-1]:
+        below = level.drop("counts").withColumn("above", above).groupBy("kind", "shard", "above")
+        answered = stage(below.cogroup(answered.withColumn("above", F.col("node")).groupBy("kind", "shard", "above")).applyInArrow(pass_down, ANSWERS), "answers")
     train_tokens, distinct = total.tokens or 0, total.distinct or 0
     base = math.log10(train_tokens + distinct + 1)
 
@@ -290,7 +370,7 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
         grams, values, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)], {}
         for kind, keys, found in zip(right.column("kind").to_pylist(), right.column("keys"), right.column("values"), strict=True):
             if kind == 0:
-                grams.append(np.cumsum(unpack_ints(keys.as_py())).astype(np.uint64))
+                grams.append(unpack_grams(keys.as_py()))
                 values.append(np.frombuffer(found.as_py(), np.float32))
             else:
                 known.update(zip(unpack_words(keys.as_py()), unpack_ints(found.as_py()).tolist(), strict=True))
@@ -314,7 +394,7 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return rows.groupBy("chunk").cogroup(answered.select("chunk", "kind", "keys", "values").groupBy("chunk")).applyInArrow(finish, RESULT)
+    return rows.groupBy("chunk").cogroup(answered.select(F.col("node").alias("chunk"), "kind", "keys", "values").groupBy("chunk")).applyInArrow(finish, RESULT)
 
 
 def _found(ascending: np.ndarray, wanted: np.ndarray) -> np.ndarray:

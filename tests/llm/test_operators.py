@@ -123,6 +123,9 @@ def test_ppm_scores(spark):
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens))
         assert r["score"] == pytest.approx(brute_ppm([ppm.coded(x) for x in train], ppm.coded(ppm.tokens_of(t)), 3), abs=1e-4)
     assert ppm.score_documents(df.limit(0)).count() == 0
+    # with lists merged over several levels
+    tree = sorted(rows_of(ppm.score_documents(df, ppm.Settings(order=3, chunk_mb=0.0003, fan_in=2))), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    assert [{**r, "score": round(r["score"], 3)} for r in tree] == [{**r, "score": round(r["score"], 3)} for r in got]
 
 
 # HTML
