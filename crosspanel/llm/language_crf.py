@@ -45,6 +45,8 @@ class Settings:
     rounds: int = 160
     rate: float = 0.3
     segment: int = 64
+    #: Parts that each language's documents are ranked in first.
+    salts: int = 32
 
 
 def bare(word: str) -> str:
@@ -273,8 +275,10 @@ def fit(docs: DataFrame, settings: Settings | None = None, modulus: int = 3, hel
     """A model from documents (doc_id, text, lang) outside the held-out split; reads a bounded sample of them."""
     settings = settings or Settings()
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= settings.per_language)
+    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(settings.salts)).alias("salt"))
+    for group in (("lang", "salt"), ("lang",)):  # a language may hold most rows: first within each of its salts
+        by = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= settings.per_language).drop("rank")
     chosen = rows.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
     sample = chosen.orderBy("doc_id", "lang").limit(4 * settings.per_language * 64).toPandas()
     if sample.empty:
