@@ -158,7 +158,7 @@ def consistency(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = PX_SQL + """,
 ff AS (SELECT date, asset, raw_open / raw_close a, ln(volume) b, raw_close c FROM px), pl AS (SELECT date, 'a' fa, 'b' fb, a x, b y FROM ff UNION ALL SELECT date, 'a', 'c', a, c FROM ff UNION ALL SELECT date, 'b', 'c', b, c FROM ff),
 prk AS (SELECT *, rank() OVER (PARTITION BY date, fa, fb ORDER BY x) + (count(*) OVER (PARTITION BY date, fa, fb, x) - 1) / 2.0 rx, rank() OVER (PARTITION BY date, fa, fb ORDER BY y) + (count(*) OVER (PARTITION BY date, fa, fb, y) - 1) / 2.0 ry FROM pl),
-pc AS (SELECT date, fa, fb, corr(rx, ry) rho, count(*) n FROM prk GROUP BY ALL)"""
+pc AS (SELECT date, fa, fb, CASE WHEN count(*) >= 3 THEN corr(rx, ry) END rho, count(*) n FROM prk GROUP BY ALL)"""
 
 
 def _factors(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -167,12 +167,12 @@ def _factors(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 @query("factor_correlation", sql(_PAIRS, """SELECT fa AS factor_a, fb AS factor_b, count(rho) AS n_periods, round(avg(rho), 6) + 0.0 AS mean, round(median(rho), 6) + 0.0 AS median, round(stddev_samp(rho), 6) + 0.0 AS std,
-  round(avg(CASE WHEN rho > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS positive_rate, round(avg(rho) / stddev_samp(rho), 6) + 0.0 AS icir, round(avg(n), 6) + 0.0 AS n_overlap FROM pc WHERE n >= 20 GROUP BY fa, fb"""))
+  round(avg(CASE WHEN rho > 0 THEN 1.0 WHEN rho IS NOT NULL THEN 0.0 END), 6) + 0.0 AS positive_rate, round(avg(rho) / stddev_samp(rho), 6) + 0.0 AS icir, count_if(n >= 3)::BIGINT AS n_overlap, count(rho) >= 20 AS comparable FROM pc GROUP BY fa, fb"""))
 def factor_correlation(spark: SparkSession, d: str) -> DataFrame:
     return tidy(correlation.factor_correlation(_factors(spark, d)).drop("reason"))
 
 
-@query("redundancy", sql(_PAIRS, "SELECT fb AS factor, round(avg(rho), 6) + 0.0 AS mean, count(rho) AS n_periods, abs(avg(rho)) >= 0.3 AS redundant FROM pc WHERE fa = 'a' AND n >= 20 GROUP BY fb"))
+@query("redundancy", sql(_PAIRS, "SELECT fb AS factor, round(avg(rho), 6) + 0.0 AS mean, count(rho) AS n_periods, abs(avg(rho)) >= 0.3 AS redundant FROM pc WHERE fa = 'a' GROUP BY fb HAVING count(rho) >= 20"))
 def redundancy(spark: SparkSession, d: str) -> DataFrame:
     f = _factors(spark, d)
     out = correlation.redundancy_check(f["a"], {"b": f["b"], "c": f["c"]}, threshold=0.3)
