@@ -5,9 +5,9 @@ share of each value of each dimension in turn, until all hold together; no cell
 what a cell cannot supply goes to others. A document's probability is its cell's weight over its cell's tokens, and a
 hash of its id decides: the same documents every time, on any number of machines.
 
-The raking itself runs on the driver, over at most `most_cells` cells: of each dimension the `largest` values with the
-most tokens stand for themselves and the rest are raked together, as sparse categories are in surveys. Documents of
-the rest are drawn like all others; none is left out.
+Every value of every dimension is raked for itself, however many there are. Up to `driver_cells` cells are raked on the
+driver and broadcast to the documents; more stay a table, which is scaled by joins with its marginals, written once a
+cycle over the last but one, and merged with the documents. Both ways take the same steps to the same weights.
 
 Where a table has no topics, `text_topic` gives a stand-in: the largest of `n_topics` groups of words by hash.
 
@@ -18,6 +18,7 @@ occur: its share goes to the others. A target of 0: probability 0. Other columns
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -27,11 +28,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import stage, words_of
+from crosspanel.llm.common import shared_dir, stage, words_of
 
-OTHER = "(other values)"
 NONE = "(none)"
 
+#: Marginals of so many values at most are broadcast to the cells.
+SMALL = 10_000
+#: Parts that the documents of a cell are dealt to where cells are merged with documents.
+SALTS = 16
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -40,8 +45,8 @@ class Settings:
     targets: dict[str, dict[str, float] | float] = field(default_factory=lambda: {"source": 0.5, "lang": 0.5, "topic": 0.0})
     #: Tokens to draw, as a share of all.
     keep_share: float = 0.4
-    largest: dict[str, int] = field(default_factory=lambda: {"source": 500, "lang": 60, "topic": 30})
-    most_cells: int = 1_000_000
+    #: Cells that are raked on the driver; more are raked as a table.
+    driver_cells: int = 100_000
     n_topics: int = 8
     seed: int = 17
     cycles: int = 500
@@ -78,7 +83,7 @@ def rake(cells: pd.DataFrame, shares: dict[str, dict[str, float]], total: float,
     weight = have * (total / have.sum() if have.sum() else 0.0)
     codes, goals = [], []
     for name, target in shares.items():
-        values, code = np.unique(cells[name].to_numpy(str), return_inverse=True)
+        code, values = pd.factorize(cells[name])
         goal = np.array([target.get(v, 0.0) for v in values], float)
         codes.append(code)
         goals.append(goal / goal.sum() * total if goal.sum() else np.full(len(values), total / max(len(values), 1)))
@@ -136,37 +141,75 @@ def sampled(doc_id: Column, probability: Column, settings: Settings) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(settings.seed)), F.lit(1 << 52)) / F.lit(float(1 << 52)) < probability
 
 
+def _goals(cells: DataFrame, name: str, target: dict[str, float] | float, total: float) -> tuple[DataFrame, int]:
+    """(value, goal) of each value of a dimension, and how many there are; the same goals as `_shares` and `rake` give."""
+    marginal = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("have"))
+    if isinstance(target, dict):
+        known = cells.sparkSession.createDataFrame(list({str(k): float(v) for k, v in target.items()}.items()), f"`{name}` string, share double")
+        marginal = marginal.join(known, name, "left").select(name, F.coalesce("share", F.lit(0.0)).alias("share"))
+    else:
+        marginal = marginal.select(name, F.when(F.col("have") > 0, F.pow(F.greatest("have", F.lit(1.0)), F.lit(float(target)))).otherwise(0.0).alias("share"))
+    marginal = stage(marginal, "marginal")
+    whole, n = marginal.agg(F.sum("share"), F.count("*")).first()
+    return marginal.select(name, (F.col("share") / whole * total if whole else F.lit(total / max(n, 1))).alias("goal")), n
+
+
+def rake_table(cells: DataFrame, settings: Settings, total: float, all_tokens: float) -> DataFrame:
+    """`rake` over a table of cells (the dimensions, tokens), which gets a column weight."""
+    spark = cells.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/raked-{uuid.uuid4().hex}"
+    total = min(total, all_tokens)
+    goals = {name: _goals(cells, name, target, total) for name, target in settings.targets.items()}
+    kept = cells.select(*settings.targets, F.col("tokens").cast("double").alias("tokens"))
+    now = kept.withColumn("weight", F.col("tokens") * (total / all_tokens if all_tokens else 0.0))
+    for cycle in range(settings.cycles):
+        step = now.withColumn("before", F.col("weight"))
+        for name, (goal, n) in goals.items():
+            factor = step.groupBy(name).agg(F.sum("weight").alias("sum")).join(goal, name)
+            factor = factor.select(name, F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("factor"))
+            step = step.join(F.broadcast(factor) if n <= SMALL else factor.hint("merge"), name)
+            step = step.withColumn("weight", F.least(F.col("weight") * F.col("factor"), F.col("tokens"))).drop("factor")
+        step.write.mode("overwrite").parquet(f"{path}-{cycle % 2}")
+        now = spark.read.schema(step.schema).parquet(f"{path}-{cycle % 2}")
+        moved, left = now.agg(F.max(F.abs(F.col("weight") - F.col("before"))), F.sum("weight")).first()
+        now = now.drop("before")
+        if left <= 0 or moved <= settings.tolerance * max(total, 1.0):
+            break
+    return now
+
+
 def draw_plan(rows: DataFrame, settings: Settings) -> dict:
-    """The values that stand for themselves and each cell's weight and probability, from (dimensions, n_tokens)."""
+    """Each cell's weight and probability, from (dimensions, n_tokens): a pandas table, or a Spark table of many cells."""
     dims = list(settings.targets)
     cells = stage(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    named, shares = {}, {}
-    room = 1
-    for name in dims:
-        top = cells.groupBy(name).agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), name).limit(settings.largest[name])
-        named[name] = [r[name] for r in top.select(name).collect()]
-        room *= len(named[name]) + 1
-    if room > settings.most_cells:
-        raise ValueError(f"{room} cells are possible, more than most_cells={settings.most_cells}: lower `largest`")
-    folded = cells.select(*(F.when(F.col(x).isin(named[x]), F.col(x)).otherwise(OTHER).alias(x) for x in dims), "tokens")
-    table = folded.groupBy(*dims).agg(F.sum("tokens").alias("tokens")).orderBy(*dims).toPandas()
+    n, total = cells.agg(F.count("*"), F.sum("tokens").cast("double")).first()
+    total = total or 0.0
+    if n > settings.driver_cells:
+        raked = rake_table(cells, settings, settings.keep_share * total, total)
+        drawn = raked.agg(F.sum("weight")).first()[0]
+        probability = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(settings.keep_share)
+        raked = raked.select(*dims, (probability * (total / drawn if drawn else 0.0)).alias("weight"), probability.alias("probability"))
+        return {"dims": dims, "cells": raked}
+    table = cells.orderBy(*dims).toPandas()
+    shares = {}
     for name in dims:
         marginal = table.groupby(name, as_index=False)["tokens"].sum().rename(columns={name: "value"})
         shares[name] = _shares(marginal, settings.targets[name])
     have = table["tokens"].to_numpy(float)
-    total = have.sum()
     weight = rake(table, shares, settings.keep_share * total, settings.cycles, settings.tolerance) if len(table) else have
     table["probability"] = np.divide(weight, have, out=np.full(len(have), settings.keep_share), where=have > 0)
     table["weight"] = table["probability"] * (total / weight.sum() if weight.sum() else 0.0)
-    return {"dims": dims, "named": named, "cells": table, "shares": shares}
+    return {"dims": dims, "cells": table}
 
 
 def with_plan(rows: DataFrame, plan: dict) -> DataFrame:
-    """Rows with the weight and probability of their cell. The cells are at most `most_cells` rows, so they are broadcast."""
-    dims = plan["dims"]
-    folded = rows.select("*", *(F.when(F.col(x).isin(plan["named"][x]), F.col(x)).otherwise(OTHER).alias(f"cell_{x}") for x in dims))
-    cells = plan["cells"]
+    """Rows with the weight and probability of their cell: broadcast if at most `driver_cells`, else merged, large cells in parts."""
+    dims, cells = plan["dims"], plan["cells"]
+    if isinstance(cells, DataFrame):
+        parts = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("_salt", F.spark_partition_id() % SALTS)
+        return salted.join(parts.hint("merge"), [*dims, "_salt"]).select(*rows.columns, "weight", "probability")
     if cells.empty:
-        return folded.select(*rows.columns, F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"))
-    small = rows.sparkSession.createDataFrame(cells[[*dims, "weight", "probability"]].rename(columns={x: f"cell_{x}" for x in dims}))
-    return folded.join(F.broadcast(small), [f"cell_{x}" for x in dims]).drop(*(f"cell_{x}" for x in dims))
+        return rows.select("*", F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"))
+    small = rows.sparkSession.createDataFrame(cells[[*dims, "weight", "probability"]])
+    return rows.join(F.broadcast(small), dims).select(*rows.columns, "weight", "probability")

@@ -308,6 +308,25 @@ def test_raking_meets_marginals():
     assert np.bincount([0, 1] * 3, weight) / 300 == pytest.approx([0.4, 0.6], abs=1e-6) and (weight <= cells.tokens).all()
 
 
+def test_mixing_rakes_every_value(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("some words of equal texts").alias("text"), F.format_string("s%04d", "id").alias("source"), F.lit("en").alias("lang"))
+    for cells in ({}, {"driver_cells": 100}):  # on the driver, and as a table
+        got = mixing.mix(docs, mixing.Settings(**cells)).toPandas()
+        assert len(got) == 2000 and got.probability.to_numpy() == pytest.approx(0.4)
+        targets = {"source": {"s0003": 0.5, "s1999": 0.5}, "lang": 0.5, "topic": 0.0}
+        got = mixing.mix(docs, mixing.Settings(targets=targets, keep_share=0.0005, **cells)).toPandas()
+        assert dict(zip(got.source, got.probability, strict=True)) == pytest.approx({f"s{i:04d}": 0.5 * (i in (3, 1999)) for i in range(2000)})
+        kept = mixing.draw(docs, mixing.Settings(targets=targets, keep_share=0.001, **cells)).collect()
+        assert {r.source for r in kept} == {"s0003", "s1999"}
+
+
+def test_mixing_as_a_table_equals_the_driver(spark):
+    docs = documents(spark)
+    one, two = (mixing.mix(docs, mixing.Settings(cycles=4, driver_cells=n)).toPandas().sort_values("doc_id") for n in (100_000, 0))
+    assert one.probability.nunique() > 20 and one.doc_id.tolist() == two.doc_id.tolist()
+    assert two.probability.to_numpy() == pytest.approx(one.probability.to_numpy()) and two.weight.to_numpy() == pytest.approx(one.weight.to_numpy())
+
+
 # classifiers
 
 
