@@ -64,9 +64,14 @@ def latest_version(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def spread(df: DataFrame, rows: list[str], column: str, names: list[str], value: str) -> DataFrame:
+    """One row of each key `rows`, with a column for each of the values of `column` that are stated."""
+    return df.groupBy(*rows).pivot(column, names).agg(F.first(value))
+
+
 def to_wide(panel: DataFrame, value: str, assets: list[str]) -> DataFrame:
     """date x asset, for a stated list of assets."""
-    return panel.groupBy("date").pivot("asset", assets).agg(F.first(value))
+    return spread(panel, ["date"], "asset", assets, value)
 
 
 def to_long(wide: DataFrame, value: str) -> DataFrame:

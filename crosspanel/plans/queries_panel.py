@@ -282,6 +282,12 @@ def wide(spark: SparkSession, d: str) -> DataFrame:
     return tidy(asof.to_wide(P.prices(spark, d).where(F.col("asset") <= "000005"), "raw_close", assets))
 
 
+@query("pivot_months", sql(PX_SQL, f"SELECT asset, year(date) AS year, {', '.join(f'''round(max(raw_close) FILTER (month(date) = {i}), 6) + 0.0 AS m{i:02d}''' for i in range(1, 13))} FROM px GROUP BY asset, year(date)"))
+def months_wide(spark: SparkSession, d: str) -> DataFrame:
+    px = P.prices(spark, d).select("asset", F.year("date").alias("year"), F.date_format("date", "'m'MM").alias("month"), "raw_close")
+    return tidy(asof.spread(px, ["asset", "year"], "month", [f"m{i:02d}" for i in range(1, 13)], "raw_close"))
+
+
 @query("latest_version", """SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) rn FROM orders) WHERE rn = 1""")
 def newest(spark: SparkSession, d: str) -> DataFrame:
     orders = P.read(spark, d, "orders").withColumn("version", F.struct("o_orderdate", "o_orderkey"))

@@ -44,6 +44,12 @@ def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
+def test_pivot_keeps_every_row(spark):
+    px, wide = P.prices(spark, SF), catalog.QUERIES["pivot_months"](spark, SF)
+    cells = wide.unpivot(["asset", "year"], [c for c in wide.columns if c not in ("asset", "year")], "month", "raw_close").where("raw_close IS NOT NULL")
+    assert cells.count() == px.where("raw_close IS NOT NULL").count() and wide.select("asset").distinct().count() == px.select("asset").distinct().count()
+
+
 def test_report_and_sources(spark, tmp_path):
     px = P.prices(spark, SF)
     px.drop("adj_factor", "adj_open", "adj_high", "adj_low", "adj_close").write.parquet(f"{tmp_path}/prices.parquet")
