@@ -3,7 +3,8 @@
 Every word carries a weight for each language, the sum of learned weights of its affixes, its character n-grams and
 itself (the lexicon); learned transitions tie neighbouring words. Forward-backward gives each word's probability of
 each language, so text that switches language is labelled word by word; a document's language is the one with the
-largest share of its words' letters.
+largest share of its words' letters. A word over 32 characters, as texts without blanks are made of, counts as
+consecutive words of 24 characters each; their n-grams run on across the cuts.
 
 Fitting takes a bounded sample: `per_language` documents of each language by a hash of their id, and of each at most
 `sample_words` consecutive words. Sequences for training are put together from stretches of several documents, so
@@ -30,6 +31,10 @@ from crosspanel.llm.common import remainder
 
 UNKNOWN = "und"
 
+#: Longer words are cut to parts of PART characters.
+LONGEST, PART = 32, 24
+SIGNS = ".,;:!?\"'()[]{}<>|*$%&#-–—…«»“”‘’0123456789"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -51,17 +56,45 @@ class Settings:
 
 def bare(word: str) -> str:
     """A word as features see it: lower case, without signs at its ends; '' if it has no letter."""
-    word = word.lower().strip(".,;:!?\"'()[]{}<>|*$%&#-–—…«»“”‘’0123456789")
+    word = word.lower().strip(SIGNS)
     return word if any(map(str.isalpha, word)) else ""
 
 
-def feature_rows(words: list[str], settings: Settings) -> np.ndarray:
-    """Rows of the weight table for each word: its n-grams with both ends marked (affixes among them) and itself. 0: none."""
-    short = ["^" + (x if len(x) <= 32 else x[:16] + x[-16:]) + "$" for x in words]
-    wide = np.array(short, dtype="U34")
-    codes = wide.view(np.uint32).reshape(len(words), 34)[:, : max(map(len, short))].astype(np.uint64)
+def words_in(text: str, longest_gram: int) -> list[str | tuple[str, str, bool, bool]]:
+    """Words of a text. A long one comes as parts: own characters, those after them that grams run into, is first, is last."""
+    words = text.split()
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    out: list = []
+    for x in words:
+        if len(x) <= LONGEST:
+            out.append(x)
+            continue
+        for at in range(0, len(x), PART):
+            end = at + PART
+            out.append((x[at:end], x[end : end + longest_gram - 1], at == 0, end >= len(x)))
+    return out
+
+
+def form_of(word: str | tuple[str, str, bool, bool]) -> tuple[str, int]:
+    """What features are taken from, with the word's ends marked ('' if it has no letter), and the letters it counts for."""
+    if isinstance(word, str):
+        word = bare(word)
+        return (f"^{word}$", len(word)) if word else ("", 0)
+    own, more, first, last = word
+    letters = len(bare(own))
+    form = (own + more).lower()
+    form = "^" + form.lstrip(SIGNS) if first else form
+    form = form.rstrip(SIGNS) + "$" if last else form
+    return (form, letters) if letters else ("", 0)
+
+
+def feature_rows(forms: list[str], settings: Settings) -> np.ndarray:
+    """Rows of the weight table for each form: its n-grams (affixes among them, by the marks at its ends) and itself. 0: none."""
+    width = max(2, *map(len, forms))
+    codes = np.array(forms, dtype=f"U{width}").view(np.uint32).reshape(len(forms), width).astype(np.uint64)
     size, mask = codes.shape[1], np.uint64((1 << settings.table_bits) - 1)
-    length = np.array(list(map(len, short)))
+    length = np.array(list(map(len, forms)))
     with np.errstate(over="ignore"):
         mix = lambda h: (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)) & mask
         out, h = [], np.zeros_like(codes)
@@ -73,12 +106,12 @@ def feature_rows(words: list[str], settings: Settings) -> np.ndarray:
             out.append(np.where(np.arange(rows.shape[1]) <= (length - n)[:, None], rows, 0))
             if size == n:
                 break
-        whole = np.zeros(len(words), np.uint64)
+        whole = np.zeros(len(forms), np.uint64)
         for i in range(size):
             whole = np.where(i < length, whole * np.uint64(16_777_619) + codes[:, i], whole)
         out.append(np.maximum(mix(whole + np.uint64(77)), np.uint64(1))[:, None])
     rows = np.concatenate(out, axis=1).astype(np.int32)
-    rows[[not x for x in words]] = 0
+    rows[[not x for x in forms]] = 0
     return rows
 
 
@@ -91,11 +124,11 @@ class Model:
     weights: np.ndarray
     moves: np.ndarray
 
-    def word_weights(self, words: list[str]) -> np.ndarray:
-        """Each word's weight for each language."""
-        out = np.zeros((len(words), len(self.languages)))
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+    def word_weights(self, forms: list[str]) -> np.ndarray:
+        """Each form's weight for each language."""
+        out = np.zeros((len(forms), len(self.languages)))
+        for at in range(0, len(forms), 4096):
+            part = forms[at : at + 4096]
             out[at : at + len(part)] = self.weights[feature_rows(part, self.settings)].sum(1)
         return out
 
@@ -186,11 +219,11 @@ def fit_model(texts: list[str], langs: list[str], settings: Settings | None = No
     known: dict[str, int] = {"": 0}
     stretches: list[list[np.ndarray]] = [[] for _ in languages]
     for text, lang in zip(texts, langs, strict=True):
-        words = text.split()
+        words = words_in(text, settings.longest_gram)
         if len(words) > settings.sample_words:
             at = int(rng.integers(len(words) - settings.sample_words + 1))
             words = words[at : at + settings.sample_words]
-        ids = np.array([known.setdefault(bare(x), len(known)) for x in words], int)
+        ids = np.array([known.setdefault(form_of(x)[0], len(known)) for x in words], int)
         for at in range(0, len(ids), settings.stretch):
             stretches[languages.index(lang)].append(ids[at : at + settings.stretch])
     model = Model(settings, languages, np.zeros((1 << settings.table_bits, k)), np.zeros((k, k)))
@@ -233,21 +266,21 @@ def fit_model(texts: list[str], langs: list[str], settings: Settings | None = No
     return model
 
 
-def label_words(model: Model, texts: list[str | None], cache: dict[str, int], table: list) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+def label_words(model: Model, texts: list[str | None], cache: dict, table: list) -> tuple[list[list], np.ndarray, np.ndarray]:
     """Words of each text, the marginals of all of them, and each word's letters. `cache` and `table` keep words' weights."""
-    split = [(t or "").split() for t in texts]
+    split = [words_in(t or "", model.settings.longest_gram) for t in texts]
     fresh = list({w for words in split for w in words if w not in cache})
     if not table or len(cache) + len(fresh) > 200_000:  # words are cheap to weigh again
         cache.clear()
         table[:] = [np.zeros((0, len(model.languages))), np.zeros(0, int)]
         fresh = list({w for words in split for w in words})
     if fresh:
-        forms = [bare(x) for x in fresh]
+        forms, letters = zip(*map(form_of, fresh), strict=True)
         distinct = list(dict.fromkeys(forms))
         place = dict(zip(distinct, range(len(distinct)), strict=True))
         new = model.word_weights(distinct)[[place[x] for x in forms]]
         cache.update(zip(fresh, range(len(cache), len(cache) + len(fresh)), strict=True))
-        table[:] = [np.concatenate([table[0], new]), np.concatenate([table[1], list(map(len, forms))])]
+        table[:] = [np.concatenate([table[0], new]), np.concatenate([table[1], letters])]
     at = np.fromiter((cache[w] for words in split for w in words), int, sum(map(len, split)))
     if not len(at):
         return split, np.zeros((0, len(model.languages))), at
@@ -255,7 +288,7 @@ def label_words(model: Model, texts: list[str | None], cache: dict[str, int], ta
     return split, chained_marginals(table[0][at], ends, model.moves, model.settings.segment), table[1][at]
 
 
-def predict(model: Model | None, texts: list[str | None], cache: dict[str, int] | None = None, table: list | None = None) -> tuple[list[str], list[float]]:
+def predict(model: Model | None, texts: list[str | None], cache: dict | None = None, table: list | None = None) -> tuple[list[str], list[float]]:
     """Language and its share of the letters, for each text."""
     if model is None or not model.languages:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -280,7 +313,9 @@ def fit(docs: DataFrame, settings: Settings | None = None, modulus: int = 3, hel
         by = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
         ids = ids.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= settings.per_language).drop("rank")
     chosen = rows.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    sample = chosen.orderBy("doc_id", "lang").limit(4 * settings.per_language * 64).toPandas()
+    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))  # rows may repeat an id
+    chosen = chosen.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= settings.per_language).drop("rank")
+    sample = chosen.orderBy("doc_id", "lang").toPandas()
     if sample.empty:
         return None
     return fit_model(list(sample["text"]), list(sample["lang"]), settings)
@@ -291,7 +326,7 @@ def language_column(model: Model | None, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
+        cache: dict = {}
         table: list = []
         for texts in batches:
             langs, scores, at = [], [], 0

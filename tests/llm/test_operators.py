@@ -352,6 +352,20 @@ def test_language_crf(spark):
     assert {r["lang_pred"] for r in rows_of(language_crf.identify(odd(spark), language_crf.fit(docs.limit(0))))} == {"und"}
 
 
+def test_language_of_long_words(spark):
+    rng = random.Random(5)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = {"aa": "abcdefg", "bb": "nopqrst"}
+    rows = [(" ".join(word(x, 6) for _ in range(40)), k) for k, x in texts.items() for _ in range(20)]
+    model = language_crf.fit_model([x[0] for x in rows], [x[1] for x in rows])
+    run = word("abcdefg", 16) + word("nopqrst", 480) + word("abcdefg", 16)
+    langs, scores = language_crf.predict(model, [run, word("nopqrst", 300) + word("abcdefg", 150), word("abcdefg", 6)])
+    assert langs == ["bb", "bb", "aa"] and scores[0] == pytest.approx(480 / 512, abs=0.05) and scores[1] == pytest.approx(2 / 3, abs=0.05)
+    many = spark.createDataFrame([(i, f"w{i} text", f"l{i:03d}") for i in range(300)], "doc_id long, text string, lang string")
+    small = language_crf.Settings(per_language=1, table_bits=6, rounds=1, batch=2)
+    assert len(language_crf.fit(many, small, modulus=1, held_out=1).languages) == 300
+
+
 def test_chained_marginals_are_exact():
     rng = np.random.default_rng(7)
     scores, moves = rng.normal(size=(300, 3)) * 2, rng.normal(size=(3, 3))
