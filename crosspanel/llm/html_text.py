@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 INVISIBLE = frozenset(
-    "head script style title template noscript iframe noembed noframes datalist audio video canvas object svg math meta link base".split()
+    "head script style title template noscript iframe noembed noframes datalist audio video canvas object meta link base".split()
 )
+#: Inside svg and math: texts that stand apart, and parts whose text is not drawn.
+DRAWN_APART = frozenset(["text"])
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr menu".split())
 BLOCK = SPACED | frozenset(
     "address article aside body center caption dd details dialog div dt fieldset figcaption footer form header "
@@ -51,15 +54,29 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>",
     re.S,
 )
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_OPEN = re.compile(r"(?:^|\s)open(?=[\s=/]|$)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?=;|$)", re.I)
+#: Only tags with one of these are looked at closely.
+_MAY_HIDE = re.compile(r"hidden|display|visibility|&", re.I)
+
+
+def _attributes(attrs: str) -> dict[str, str]:
+    """Names and values of a tag's attributes; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attrs):
+        found.setdefault(name.lower(), html.unescape("".join(values)))
+    return found
 
 
 def _number(attrs: str, name: str) -> int | None:
-    found = re.search(rf"(?:^|\s){name}\s*=\s*[\"']?\s*(-?\d{{1,9}})", attrs, re.I)
+    found = re.match(r"\s*(-?\d{1,9})", _attributes(attrs).get(name, ""))
     return int(found[1]) if found else None
 
 
+def _is_open(attrs: str) -> bool:
+    return "open" in _attributes(attrs)
+
+
 def build(source: str) -> list:
     """The tree of a page: nodes are [name, attributes, children], text is str."""
     root: list = ["#root", "", []]
@@ -103,6 +120,10 @@ def build(source: str) -> list:
             row: list = ["tr", "", []]
             stack[-1][2].append(row)
             stack.append(row)
+        if name in DRAWN_APART and any(x[0] in ("svg", "math") for x in stack):
+            stack[-1][2].append(" ")
+        elif name in UNDRAWN and any(x[0] in ("svg", "math") for x in stack):
+            attrs = "hidden/" if attrs.endswith("/") else "hidden"
         node = [name, attrs, []]
         stack[-1][2].append(node)
         if name in VOID:
@@ -120,9 +141,11 @@ def build(source: str) -> list:
 
 def _shown(node: list) -> bool:
     name, attrs, _ = node
-    if name in INVISIBLE or (attrs and _HIDDEN.search(attrs)):
+    if name in INVISIBLE:
+        return False
+    if attrs and _MAY_HIDE.search(attrs) and ("hidden" in (has := _attributes(attrs)) or _UNSEEN.search(has.get("style", ""))):
         return False
-    return not (name == "dialog" and not _OPEN.search(attrs))
+    return not (name == "dialog" and not _is_open(attrs))
 
 
 class _Page:
@@ -315,7 +338,7 @@ def render(source: str | None) -> str:
 
             todo.append(end)
             todo.extend(reversed(inside))
-        elif name == "details" and not _OPEN.search(attrs):
+        elif name == "details" and not _is_open(attrs):
             page.apart(1)
             todo.append(lambda: page.apart(1))
             todo.extend(y for y in reversed(inside) if not isinstance(y, str) and y[0] == "summary")

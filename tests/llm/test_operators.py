@@ -141,6 +141,18 @@ def test_html(page, text):
     assert html_text.render(page) == text
 
 
+def test_html_hides_by_attribute_names_only():
+    shown = (
+        '<p title="a hidden gem">text</p>', '<div class="nav hidden wide">text</div>', '<body data-note="use display: none">text', "<p data-style='display:none'>text</p>",
+        "<p style='--x: a; color: red'>text</p>", "<svg><title>t</title><desc>d</desc><text>text</text></svg>", "<math><mi>text</mi></math>", "<symbol>text</symbol>",
+    )
+    for page in shown:
+        assert html_text.render(page) == "text", page
+    assert html_text.render("<svg><text>one</text><text>two</text><path d=''/></svg>") == "one two"
+    for page in ("<p hidden>a</p>", "<p HIDDEN=''>a</p>", "<p class=x style='color:red; Display : None !important'>a</p>", "<p style=visibility:hidden>a</p>", "<dialog title='open'>a</dialog>"):
+        assert html_text.render(page) == "", page
+
+
 def test_html_keeps_all_visible_words(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     assert html_text.render(deep) == "deep"
