@@ -1,21 +1,31 @@
 """Layout-aware HTML rendering: a tree builder with implied tags, visibility rules, and a text layout.
 
 All visible text comes out: paragraphs, headings, lists and tables stand apart by an empty line, other blocks by
-a line break, list entries carry their marker and indent, and the cells of a table line up in columns.
+a line break, list entries carry their marker and indent, and the cells of a table line up in columns, rows and
+columns that a cell spans included. A cell is laid out like a page of its own, so paragraphs, lists and tables in
+it keep their form. A table of one column, or with a cell of more than CELL_LINES lines, lays out a page: its cells
+are written one after another.
+
+The scanner reads a page once, from left to right; it, the tree builder and the layout take time in proportion to
+the page, whatever it holds.
 
 Defined results. Null or empty HTML: empty text. Text without tags: that text, its blanks collapsed. Broken or
-cut-off markup: rendered as far as it goes; a tag that never closes is text. Repeated rows: one result a row.
-Empty table: no rows. Deep nesting is walked without recursion. Other columns of the input are not touched.
+cut-off markup: rendered as far as it goes; a tag that never closes is text, and after one that only ends inside
+quotes, quotes no longer shield a `>`. Repeated rows: one result a row. Empty table: no rows. Deep nesting is walked
+without recursion; lists deeper than MOST_INDENT are not indented further, tables deeper than MOST_NESTED are
+written as blocks. Other columns of the input are not touched.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,29 +57,39 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "caption"}, {"table"}),
 }
 WALLS = frozenset("table td th caption".split())
+SECTIONS = frozenset("tbody thead tfoot".split())
+
+#: Limits of the layout, not of the text: columns and rows that a cell spans, the widest column that others are aligned
+#: to, lines of a cell beyond which a table is laid out as blocks, and depths of lists and tables.
+MOST_COLUMNS, MOST_ROWS, WIDEST, CELL_LINES, MOST_INDENT, MOST_NESTED = 100, 1000, 120, 12, 20, 12
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?=;|$)", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: A tag from behind its name to its end. A quote counts only where a value begins, and only if it is closed.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+_ATTRIBUTE = re.compile(r"([^\s=/>][^\s=/>]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 #: Only tags with one of these are looked at closely.
 _MAY_HIDE = re.compile(r"hidden|display|visibility|&", re.I)
 
 
+def _unescaped(text: str) -> str:
+    if "&" not in text:
+        return text
+    try:
+        return html.unescape(text)
+    except ValueError:  # a character number of thousands of digits
+        return text
+
+
 def _attributes(attrs: str) -> dict[str, str]:
     """Names and values of a tag's attributes; of a repeated name the first counts."""
     found: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(attrs):
-        found.setdefault(name.lower(), html.unescape("".join(values)))
+        found.setdefault(name.lower(), _unescaped("".join(values)))
     return found
 
 
 def _number(attrs: str, name: str) -> int | None:
-    found = re.match(r"\s*(-?\d{1,9})", _attributes(attrs).get(name, ""))
+    found = re.match(r"\s*(-?\d{1,9})", _attributes(attrs).get(name, "")) if name in attrs.lower() else None
     return int(found[1]) if found else None
 
 
@@ -77,75 +97,132 @@ def _is_open(attrs: str) -> bool:
     return "open" in _attributes(attrs)
 
 
+class Scanner:
+    """Texts and tags of a page: (text, name, attributes, closes) for each tag with the text before it."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.at = source, 0
+        self.quotes = True
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, bool]]:
+        source = self.source
+        look = self.at
+        while (look := source.find("<", look)) >= 0:
+            after = source[look + 1 : look + 2]
+            if after in ("!", "?"):
+                comment = source.startswith("<!--", look)
+                end = source.find("-->", look + 4) if comment else source.find(">", look)
+                if end < 0 and not comment:
+                    break  # nothing closes any more: text
+                text, self.at = source[self.at : look], (len(source) if end < 0 else end + (3 if comment else 1))
+                yield text, "", "", False
+            else:
+                closes = after == "/"
+                name = _NAME.match(source, look + 1 + closes)
+                if not name:
+                    look += 1
+                    continue
+                end = source.find(">", name.end())
+                if end < 0:
+                    break
+                if self.quotes and "=" in source[name.end() : end]:
+                    rest = _REST.match(source, name.end())
+                    self.quotes = rest is not None
+                    end = rest.end() - 1 if rest else end
+                text, attrs, self.at = source[self.at : look], source[name.end() : end], end + 1
+                yield text, name[0].lower(), attrs, closes
+            look = self.at
+        yield source[self.at :], "", "", False
+
+    def raw(self, name: str) -> str:
+        """What stands between here and the end tag of a raw element, which is skipped."""
+        end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(self.source, self.at)
+        body = self.source[self.at : end.start() if end else len(self.source)]
+        close = self.source.find(">", end.end()) if end else -1
+        self.at = close + 1 if close >= 0 else len(self.source)
+        return body
+
+
 def build(source: str) -> list:
     """The tree of a page: nodes are [name, attributes, children], text is str."""
-    root: list = ["#root", "", []]
-    stack = [root]
+    stack: list[list] = [["#root", "", []]]
+    #: Depths of open elements, by name.
+    depths: dict[str, list[int]] = defaultdict(list)
+
+    def push(node: list) -> None:
+        depths[node[0]].append(len(stack))
+        stack.append(node)
 
     def close(names, walls) -> None:
-        """Close the nearest open element of these names, with all that is open inside it."""
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in names:
-                del stack[depth:]
-                return
-            if stack[depth][0] in walls:
-                return
-
-    at, size = 0, len(source)
-    while at < size:
-        tag = _TAG.search(source, at)
-        text = source[at : tag.start() if tag else size]
+        """Close the nearest open element of these names, with all that is open inside it, unless a wall is nearer."""
+        depth = max((d[-1] for x in names if (d := depths.get(x))), default=0)
+        if depth and depth >= max((d[-1] for x in walls if (d := depths.get(x))), default=0):
+            while len(stack) > depth:
+                depths[stack.pop()[0]].pop()
+
+    scanner = Scanner(source)
+    for text, name, attrs, closes in scanner:
         if text:
-            stack[-1][2].append(html.unescape(text) if "&" in text else text)
-        if not tag:
-            break
-        at = tag.end()
-        name = (tag[2] or tag[5] or "").lower()
+            stack[-1][2].append(_unescaped(text))
         if not name:
             continue
-        attrs = tag[3] if tag[2] else tag[6]
-        if tag[1] or tag[4]:
+        if closes:
             if name == "br":
                 stack[-1][2].append(["br", "", []])
             else:
-                close({name}, () if name in WALLS or name in ("tr", "tbody", "thead", "tfoot", "body", "html") else WALLS)
+                close({name}, () if name in WALLS or name in SECTIONS or name in ("tr", "body", "html") else WALLS)
             continue
-        if name in ("html", "body") and any(x[0] == name for x in stack[:4]):
+        if name in ("html", "body") and depths[name]:
             continue
         if name in CLOSES_P:
             close({"p"}, WALLS | {"button"})
         if name in IMPLIED:
             close(*IMPLIED[name])
-        if name in ("td", "th") and stack[-1][0] in ("table", "tbody", "thead", "tfoot"):
+        if name in ("td", "th") and (stack[-1][0] == "table" or stack[-1][0] in SECTIONS):
             row: list = ["tr", "", []]
             stack[-1][2].append(row)
-            stack.append(row)
-        if name in DRAWN_APART and any(x[0] in ("svg", "math") for x in stack):
-            stack[-1][2].append(" ")
-        elif name in UNDRAWN and any(x[0] in ("svg", "math") for x in stack):
-            attrs = "hidden/" if attrs.endswith("/") else "hidden"
+            push(row)
+        if depths["svg"] or depths["math"]:
+            if name in DRAWN_APART:
+                stack[-1][2].append(" ")
+            elif name in UNDRAWN:
+                attrs = "hidden/" if attrs.endswith("/") else "hidden"
         node = [name, attrs, []]
         stack[-1][2].append(node)
-        if name in VOID:
-            continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-            body = source[at : end.start() if end else size]
-            node[2].append(html.unescape(body) if name in ("textarea", "title") else body)
-            at = end.end() if end else size
-            continue
-        if not attrs.endswith("/") or name in BLOCK:
-            stack.append(node)
-    return root
-
-
-def _shown(node: list) -> bool:
+            body = scanner.raw(name)
+            node[2].append(_unescaped(body) if name in ("textarea", "title") else body)
+        elif name not in VOID and (not attrs.endswith("/") or name in BLOCK):
+            push(node)
+    return stack[0]
+
+
+def _declared(style: str) -> dict[str, str]:
+    """What a style attribute says of display and visibility; the last counts, the important before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in style.lower().split(";"):
+        name, _, value = part.partition(":")
+        name, (value, mark, _) = name.strip(), value.partition("!")
+        if name in ("display", "visibility") and (mark or not found.get(name, (False,))[0]):
+            found[name] = (bool(mark), value.strip())
+    return {name: value for name, (_, value) in found.items()}
+
+
+def _shown(node: list, visible: bool) -> tuple[bool, bool]:
+    """Whether a node takes part in the layout, and whether text in it is visible."""
     name, attrs, _ = node
     if name in INVISIBLE:
-        return False
-    if attrs and _MAY_HIDE.search(attrs) and ("hidden" in (has := _attributes(attrs)) or _UNSEEN.search(has.get("style", ""))):
-        return False
-    return not (name == "dialog" and not _is_open(attrs))
+        return False, visible
+    if name == "dialog" and not _is_open(attrs):
+        return False, visible
+    if attrs and _MAY_HIDE.search(attrs):
+        has = _attributes(attrs)
+        said = _declared(has.get("style", ""))
+        if said.get("display", "none" if "hidden" in has else "") == "none":
+            return False, visible
+        if "visibility" in said and said["visibility"] != "inherit":
+            visible = said["visibility"] not in ("hidden", "collapse")
+    return True, visible
 
 
 class _Page:
@@ -179,97 +256,166 @@ class _Page:
         if self.gap and self.lines:
             self.lines.extend([""] * (self.gap - 1))
         self.gap = 0
-        lead = "".join(self.indent)
+        lead = "".join(self.indent[:MOST_INDENT])
         if self.marker:
-            lead = lead[: -len(self.marker)] + self.marker
+            lead = lead[: max(0, len(lead) - len(self.marker))] + self.marker
             self.marker = ""
         self.lines.append((lead + line).rstrip())
 
+    def put_all(self, lines: list[str]) -> None:
+        """Lines that belong together, empty ones among them kept."""
+        for line in lines:
+            self.put(line)
+            self.gap = 1
+
     def apart(self, gap: int) -> None:
         self.flush()
         self.gap = max(self.gap, gap)
 
 
-def _flat(node: list) -> str:
-    """Visible text of a node on one line."""
-    page, todo = _Page(), [node]
+def _cells(table: list, visible: bool) -> tuple[list[list[tuple]], list[tuple]]:
+    """Rows of (cell, visible) of a table, and what stands outside them (captions, stray content)."""
+    rows: list[list[tuple]] = []
+    outside, todo = [], [(x, visible, None) for x in reversed(table[2])]
     while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            page.write(x)
-        elif _shown(x):
-            edge = x[0] in BLOCK or x[0] in ("td", "th", "br")
-            if edge:
-                page.write(" ")
-                todo.append(" ")
-            todo.extend(reversed(x[2]))
-    return "".join(page.parts)
-
-
-def _table(node: list, page: _Page) -> list:
-    """Write a table's rows, cells in columns; gives what must be laid out before it (captions, stray content)."""
-    rows, before, todo = [], [], [(x, None) for x in reversed(node[2])]
-    while todo:
-        x, row = todo.pop()
+        x, seen, row = todo.pop()
         if isinstance(x, str):
             if x.strip():
-                before.append(x)
-        elif not _shown(x):
+                outside.append((x, seen))
             continue
-        elif x[0] in ("tbody", "thead", "tfoot", "colgroup"):
-            todo.extend((y, None) for y in reversed(x[2]))
+        shown, seen = _shown(x, seen)
+        if not shown:
+            continue
+        if x[0] in SECTIONS or x[0] == "colgroup":
+            todo.extend((y, seen, None) for y in reversed(x[2]))
         elif x[0] == "tr":
             rows.append(row := [])
-            todo.extend((y, row) for y in reversed(x[2]))
+            todo.extend((y, seen, row) for y in reversed(x[2]))
         elif x[0] in ("td", "th") and row is not None:
-            row.append((_flat(x), max(1, min(_number(x[1], "colspan") or 1, 1000))))
+            row.append((x, seen))
         else:
-            before.append(x)
-    widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), len(text))
-            at += span
-    for row in rows:  # a cell over several columns widens the last of them
-        at = 0
-        for text, span in row:
-            have = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-            if span > 1 and len(text) > have:
-                widths[at + span - 1] = widths.get(at + span - 1, 0) + len(text) - have
-            at += span
-    lines = []
+            outside.append((x, seen))
+    return rows, outside
+
+
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table from rows of (lines of a cell, columns and rows it spans)."""
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    taken: dict[int, int] = {}  # columns that a cell of an earlier row still holds, and for how many rows
     for row in rows:
-        at, cells = 0, []
-        for text, span in row:
-            width = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-            cells.append(text.ljust(width))
-            at += span
-        lines.append("  ".join(cells).rstrip())
-    for line in lines:
-        if line:
-            page.put(line)
-            page.gap = 1
-    return before
+        at, held, out = 0, {}, []
+        for lines, across, down in row:
+            while at in taken:
+                at += 1
+            out.append((at, across, lines))
+            if down > 1:
+                held.update((at + i, down) for i in range(across))
+            at += across
+        placed.append(out)
+        taken = {c: n - 1 for c, n in (taken | held).items() if n > 1}
+    widths: dict[int, int] = defaultdict(int)
+    for spanning in (False, True):  # a cell over several columns widens the last of them
+        for row in placed:
+            for at, across, lines in row:
+                if (across > 1) is spanning:
+                    wide = max((len(x) for x in lines if len(x) <= WIDEST), default=0)
+                    have = sum(widths[i] for i in range(at, at + across)) + 2 * (across - 1)
+                    if wide > have:
+                        widths[at + across - 1] += wide - have
+    start, left = {}, 0
+    for c in sorted(widths):
+        start[c] = left
+        left += widths[c] + 2 if widths[c] else 0
+    out = []
+    for row in placed:
+        for i in range(max((len(lines) for _, _, lines in row), default=0)):
+            line = ""
+            for at, _, lines in row:
+                if i < len(lines) and lines[i]:
+                    line = line + "  " if line and len(line) + 2 > start[at] else line.ljust(start[at])
+                    line += lines[i]
+            out.append(line)
+    return out
+
+
+def _list_of(page: _Page, todo: list, lists: list, name: str, attrs: str) -> None:
+    """Begin a list: its end goes on `todo` for later."""
+    gap = 1 if lists else 2
+    page.apart(gap)
+    start = _number(attrs, "start")
+    lists.append([name, 1 if start is None else start])
+
+    def leave() -> None:
+        lists.pop()
+        page.apart(gap)
+
+    todo.append((leave, True))
+
+
+def _entry(page: _Page, todo: list, lists: list, attrs: str) -> None:
+    """Begin a list entry with its marker."""
+    page.apart(1)
+    marker = "- "
+    if lists and lists[-1][0] == "ol":
+        number = _number(attrs, "value")
+        number = lists[-1][1] if number is None else number
+        lists[-1][1] = number + 1
+        marker = f"{number}. "
+    page.indent.append(" " * len(marker))
+    page.marker = marker
+
+    def end() -> None:
+        page.flush()
+        page.marker = ""
+        page.indent.pop()
+        page.apart(1)
+
+    todo.append((end, True))
+
+
+def _write_table(page: _Page, todo: list, node: list, visible: bool, depth: int) -> None:
+    """Lay out a table: what stands outside its rows first, as captions do, then the rows."""
+    rows, outside = _cells(node, visible)
+    page.apart(2)
+    laid = [
+        [(layout(x[2], seen, depth + 1), max(1, min(_number(x[1], "colspan") or 1, MOST_COLUMNS)), max(1, min(_number(x[1], "rowspan") or 1, MOST_ROWS))) for x, seen in row]
+        for row in rows
+    ]
+    in_columns = max(map(len, laid), default=0) > 1 and all(len(lines) <= CELL_LINES for row in laid for lines, _, _ in row)
+
+    def write() -> None:
+        page.apart(1 if outside else 2)
+        if in_columns:
+            page.put_all([x for x in _aligned(laid) if x])
+        else:
+            for row in laid:
+                for lines, _, _ in row:
+                    page.apart(1)
+                    page.put_all(lines)
+        page.apart(2)
 
+    todo.append((write, True))
+    todo.extend(reversed(outside))
 
-def render(source: str | None) -> str:
-    """All visible text of a page."""
+
+def layout(nodes: list, visible: bool = True, depth: int = 0) -> list[str]:
+    """Lines of the visible text of some nodes."""
     page = _Page()
-    #: What to do next, last first: a node, a text, or a function to call.
-    todo: list = [build(source or "")]
+    #: What to do next, last first: (a node, a text, or a function to call; whether text is visible).
+    todo: list[tuple] = [(x, visible) for x in reversed(nodes)]
     lists: list[list] = []
     while todo:
-        x = todo.pop()
+        x, seen = todo.pop()
         if isinstance(x, str):
-            page.write(x)
+            if seen:
+                page.write(x)
             continue
         if callable(x):
             x()
             continue
         name, attrs, inside = x
-        if not _shown(x):
+        shown, seen = _shown(x, seen)
+        if not shown:
             continue
         if name == "br":
             if page.parts:
@@ -277,94 +423,58 @@ def render(source: str | None) -> str:
             else:
                 page.gap = max(page.gap, 1) + 1 if page.lines else 0
             page.gap = max(page.gap, 1)
-        elif name == "table":
-            page.apart(2)
-            mark = len(page.lines)
-            before = _table(x, page)
-            if before:  # captions stand above the rows
-                rows, page.lines = page.lines[mark:], page.lines[:mark]
-                page.gap = 2
-
-                def after(rows=rows) -> None:
-                    page.apart(1)
-                    for line in rows:
-                        page.put(line)
-                        page.gap = 1
-                    page.apart(2)
-
-                todo.append(after)
-                todo.extend(reversed(before))
-            else:
-                page.gap = 2
-        elif name == "pre":
+            continue
+        if name == "table" and depth < MOST_NESTED:
+            _write_table(page, todo, x, seen, depth)
+            continue
+        if name == "pre":
             page.apart(2)
-            text, walk = [], [x]
+            text, walk = [], [(x, seen)]
             while walk:
-                y = walk.pop()
+                y, s = walk.pop()
                 if isinstance(y, str):
-                    text.append(y)
-                elif _shown(y):
-                    walk.extend(["\n"] if y[0] == "br" else reversed(y[2]))
-            for line in "".join(text).strip("\n").split("\n"):
-                page.put(line)
-                page.gap = 1
+                    text.append(y if s else "")
+                elif (there := _shown(y, s))[0]:
+                    walk.extend([("\n", s)] if y[0] == "br" else ((z, there[1]) for z in reversed(y[2])))
+            page.put_all("".join(text).strip("\n").split("\n"))
             page.gap = 2
-        elif name in ("ul", "ol", "menu"):
-            page.apart(1 if lists else 2)
-            lists.append([name, _number(attrs, "start") or 1])
-
-            def leave(gap=1 if len(lists) > 1 else 2) -> None:
-                lists.pop()
-                page.apart(gap)
-
-            todo.append(leave)
-            todo.extend(reversed(inside))
+            continue
+        if name in ("ul", "ol", "menu"):
+            _list_of(page, todo, lists, name, attrs)
         elif name == "li":
-            page.apart(1)
-            marker = "- "
-            if lists and lists[-1][0] == "ol":
-                number = _number(attrs, "value")
-                number = lists[-1][1] if number is None else number
-                lists[-1][1] = number + 1
-                marker = f"{number}. "
-            page.indent.append(" " * len(marker))
-            page.marker = marker
-
-            def end() -> None:
-                page.flush()
-                page.marker = ""
-                page.indent.pop()
-                page.apart(1)
-
-            todo.append(end)
-            todo.extend(reversed(inside))
+            _entry(page, todo, lists, attrs)
         elif name == "details" and not _is_open(attrs):
             page.apart(1)
-            todo.append(lambda: page.apart(1))
-            todo.extend(y for y in reversed(inside) if not isinstance(y, str) and y[0] == "summary")
+            todo.append((lambda: page.apart(1), True))
+            inside = [y for y in inside if not isinstance(y, str) and y[0] == "summary"][:1]
         elif name == "q":
-            todo.append("”")
-            todo.extend(reversed(inside))
-            todo.append("“")
-        elif name in BLOCK:
+            todo.append(("”", seen))
+            todo.extend((y, seen) for y in reversed(inside))
+            todo.append(("“", seen))
+            continue
+        elif name in ("blockquote", "dd"):
             gap = 2 if name in SPACED else 1
             page.apart(gap)
-            if name in ("blockquote", "dd"):
-                page.indent.append("  ")
+            page.indent.append("  ")
 
-                def out(gap=gap) -> None:
-                    page.flush()
-                    page.indent.pop()
-                    page.apart(gap)
+            def out(gap=gap) -> None:
+                page.flush()
+                page.indent.pop()
+                page.apart(gap)
 
-                todo.append(out)
-            else:
-                todo.append(lambda gap=gap: page.apart(gap))
-            todo.extend(reversed(inside))
-        else:
-            todo.extend(reversed(inside))
+            todo.append((out, True))
+        elif name in BLOCK or name in ("td", "th"):
+            gap = 2 if name in SPACED else 1
+            page.apart(gap)
+            todo.append((lambda gap=gap: page.apart(gap), True))
+        todo.extend((y, seen) for y in reversed(inside))
     page.flush()
-    return "\n".join(page.lines)
+    return page.lines
+
+
+def render(source: str | None) -> str:
+    """All visible text of a page."""
+    return "\n".join(layout(build(source or "")[2]))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -372,10 +482,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [render(x) for x in batch["html"]]
-            yield pd.DataFrame({
-                "page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts,
-                "n_chars": [len(x) for x in texts], "n_lines": [x.count("\n") + bool(x) for x in texts],
-            })
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long, n_lines long")
+            for at in range(0, len(batch), 500):
+                some = batch.iloc[at : at + 500]
+                texts = [render(x) for x in some["html"]]
+                yield pd.DataFrame({
+                    "page_id": some["page_id"].astype("Int64").to_numpy(), "url": some["url"].to_numpy(), "text": texts,
+                    "n_chars": [len(x) for x in texts], "n_lines": [x.count("\n") + bool(x) for x in texts],
+                })
+
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long, n_lines long")

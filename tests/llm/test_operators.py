@@ -1,7 +1,10 @@
 """The operators against brute force, exact round trips and held-out accuracy, with the odd inputs that tables hold."""
 
+import html.parser
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -158,9 +161,6 @@ def test_html_keeps_all_visible_words(spark):
     assert html_text.render(deep) == "deep"
     df = spark.createDataFrame([(1, "u", "<p>a</p>", 9), (None, None, None, 9), (1, "u", "<p>a</p>", 9)], "page_id long, url string, html string, text int")
     assert sorted(r.n_chars for r in html_text.extract_text(df).collect()) == [0, 1, 1]
-    import html
-    import re
-
     for r in table(spark, SF, "pages").select("html").limit(60).collect():
         body = re.sub(r"(?s)<head.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->", " ", r.html)
         want = Counter(html.unescape(re.sub(r"<[^>]*>", " ", body)).split())
@@ -168,6 +168,62 @@ def test_html_keeps_all_visible_words(spark):
         assert not want - got
 
 
+class SecondReader(html.parser.HTMLParser):
+    """Words of a page outside invisible elements, by another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.words, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("head", "script", "style", "title", "noscript", "template")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("head", "script", "style", "title", "noscript", "template") and self.hidden > 0
+
+    def handle_data(self, data):
+        self.words += [] if self.hidden else data.split()
+
+
+def test_html_words_equal_a_second_parser(spark):
+    marks = re.compile(r"-|\d+\.|[“”]")
+    pages = [r.html for r in table(spark, "/root/testdata/sf0.01", "pages").select("html").collect()]
+    plain = [x for x in pages if not re.search(r"hidden|display|visibility|<details|<dialog|<q>", x)]
+    assert len(plain) > 50
+    for page in plain:
+        reader = SecondReader()
+        reader.feed(page)
+        reader.close()
+        letters = lambda words: "".join(w for w in words if not marks.fullmatch(w))
+        assert sorted(letters(html_text.render(page).split())) == sorted(letters(reader.words)), page
+
+
+def test_html_takes_linear_time():
+    n = 200_000
+    pages = (
+        "<a" * 1_000_000, "<!" * 1_000_000, '<a b=">"' * n, "<a b='" * n, "<a title='" * n + ">", "<" * n, "<script></script " * n, "<div>" * n + "</p>" * n, "&#" + "9" * 10_000 + ";",
+        "<a><table><tr><td>" + "<b>" * n + "</a>" * n, "<table><tr><td>x" * 5000, "<ul><li>x" * 5000, "<table><tr><td>" + "y" * n + "<tr><td>a<td>b" * 5000,
+    )
+    for page in pages:
+        began = time.process_time()
+        html_text.render(page)
+        assert time.process_time() - began < 15, page[:30]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"), ("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td>f</table>", "a  b  c\nd     e\nf"),
+    ("<table><tr><td><p>one<p>two<td><ul><li>x<li>y</ul></table>", "one  - x\n     - y\ntwo"), ("<table><tr><td><h1>T</h1><p>one</p><p>two</p></td></tr></table>", "T\n\none\n\ntwo"),
+    ("<table><tr><td><table><tr><td>in<td>ner<tr><td>longer<td>z</table><td>right</table>", "in      ner  right\nlonger  z"),
+    ("<table><caption>cap</caption><tr><th>a<th>b<tr><td colspan=2>long spanning cell<tr><td>1<td>2</table>after", "cap\na  b\nlong spanning cell\n1  2\n\nafter"),
+    ("<table><tr><td>menu<td>" + "<p>line</p>" * 20 + "</table>", "menu\n" + "\n\n".join(["line"] * 20)),
+    ("<div style='visibility:hidden'>no<span style='visibility: visible'>yes</span></div>", "yes"), ("<p hidden style='display:block'>y</p>", "y"),
+    ("<p style='display:none; display:block'>y</p>", "y"), ("<p style='display:none !important; display:block'>n</p>", ""), ("<table><tr style='display:none'><td>n<tr><td>y</table>", "y"),
+    ('a <a href="x>y">z</a>', "a z"), ("<svg><p", "<p"), ("x<table", "x<table"), ("<ol start=0><li>a<li value=7>b<li>c</ol>", "0. a\n7. b\n8. c"),
+])
+def test_html_layout(page, text):
+    assert html_text.render(page) == text
+
+
 # packing
 
 
