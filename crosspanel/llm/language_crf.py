@@ -7,7 +7,7 @@ largest share of its words' letters. A word over 32 characters, as texts without
 consecutive words of 24 characters each; their n-grams run on across the cuts.
 
 Fitting takes a bounded sample: `per_language` documents of each language by a hash of their id, and of each at most
-`sample_words` consecutive words. Sequences for training are put together from stretches of several documents, so
+`sample_words` consecutive words, cut where the documents lie. Sequences for training are put together from stretches of several documents, so
 that the transitions learn how often text stays in a language. Prediction takes whole texts, in one pass without a
 shuffle. Within a batch, texts are cut into segments that are chained exactly, so a very long text costs memory in
 proportion to its length and no recursion.
@@ -19,6 +19,7 @@ rows. Other columns of the input are not touched.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -133,8 +134,11 @@ class Model:
         return out
 
 
-def forward_backward(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Marginals of sequences of equal length: scores (sequences, words, labels), moves (labels, labels)."""
+def forward_backward(scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of sequences of equal length: scores (sequences, words, labels), moves (labels, labels).
+
+    Gives each word's probability of each label, and each pair of neighbours' probability of each pair of labels.
+    """
     n, size, k = scores.shape
     local, step = np.exp(scores - scores.max(2, keepdims=True)), np.exp(moves - moves.max())
     ahead, back = np.empty((n, size, k)), np.empty((n, size, k))
@@ -149,7 +153,8 @@ def forward_backward(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
         x = (x * local[:, t]) @ step.T
         x /= x.sum(1, keepdims=True)
     both = ahead * back
-    return both / both.sum(2, keepdims=True)
+    pairs = ahead[:, :-1, :, None] * step * (local * back)[:, 1:, None, :]
+    return both / both.sum(2, keepdims=True), pairs / pairs.sum((2, 3), keepdims=True)
 
 
 def chained_marginals(scores: np.ndarray, ends: np.ndarray, moves: np.ndarray, segment: int) -> np.ndarray:
@@ -247,13 +252,9 @@ def fit_model(texts: list[str], langs: list[str], settings: Settings | None = No
         place = place.reshape(words.shape)
         own = rows[distinct]
         scores = model.weights[own].sum(1)
-        p = forward_backward(scores[place], model.moves)
+        p, pairs = forward_backward(scores[place], model.moves)
         miss = p - np.eye(k)[labels]
-        # expected transitions, from the marginals of neighbours tied by the current transitions
-        local, step = np.exp(scores[place]), np.exp(model.moves)
-        pair = p[:, :-1, :, None] * step * (local[:, 1:] * p[:, 1:])[:, :, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
-        moved = pair.sum((0, 1)) - np.eye(k)[labels[:, :-1]].reshape(-1, k).T @ np.eye(k)[labels[:, 1:]].reshape(-1, k)
+        moved = pairs.sum((0, 1)) - np.eye(k)[labels[:, :-1]].reshape(-1, k).T @ np.eye(k)[labels[:, 1:]].reshape(-1, k)
         by_word = np.stack([np.bincount(place.ravel(), miss[..., j].ravel(), len(distinct)) for j in range(k)], 1)
         slope = np.stack([np.bincount(own.ravel(), np.repeat(by_word[:, j], own.shape[1]), len(model.weights)) for j in range(k)], 1) / settings.batch
         slope[0] = 0
@@ -304,18 +305,32 @@ def predict(model: Model | None, texts: list[str | None], cache: dict | None = N
     return langs, scores
 
 
+def _excerpt(text: str, words: int) -> str:
+    """At most so many consecutive words of a text, from a place that its checksum chooses; long words count as several."""
+    place, split = zlib.crc32(text.encode("utf-8", "surrogatepass")), text.split()
+    if len(split) > words:
+        at = place % (len(split) - words + 1)
+        split = split[at : at + words]
+    text = " ".join(split)
+    most = words * PART
+    at = place % (len(text) - most + 1) if len(text) > most else 0
+    return text[at : at + most]
+
+
 def fit(docs: DataFrame, settings: Settings | None = None, modulus: int = 3, held_out: int = 1) -> Model | None:
     """A model from documents (doc_id, text, lang) outside the held-out split; reads a bounded sample of them."""
     settings = settings or Settings()
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
-    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(settings.salts)).alias("salt"))
-    for group in (("lang", "salt"), ("lang",)):  # a language may hold most rows: first within each of its salts
-        by = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
-        ids = ids.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= settings.per_language).drop("rank")
-    chosen = rows.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))  # rows may repeat an id
-    chosen = chosen.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= settings.per_language).drop("rank")
-    sample = chosen.orderBy("doc_id", "lang").toPandas()
+    # rows may repeat an id, and a language may hold most rows: a bounded share of each of its salts comes to its ranking
+    rows = rows.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("row"), "text")
+    ids = rows.drop("text").withColumn("salt", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(settings.salts)))
+    for group, most in ((("lang", "salt"), -(-2 * settings.per_language // settings.salts)), (("lang",), settings.per_language)):
+        by = Window.partitionBy(*group).orderBy("row", "doc_id")
+        ids = ids.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most).drop("rank")
+    excerpt = F.pandas_udf(lambda texts: pd.Series([_excerpt(x, settings.sample_words) for x in texts]), "string")
+    chosen = rows.join(F.broadcast(ids.select("lang", "row").distinct()), ["lang", "row"], "left_semi")
+    chosen = chosen.dropDuplicates(["lang", "row"]).select("doc_id", "lang", "row", excerpt("text").alias("text"))
+    sample = chosen.orderBy("doc_id", "lang", "row").toPandas()
     if sample.empty:
         return None
     return fit_model(list(sample["text"]), list(sample["lang"]), settings)

@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips and held-out accuracy, with the odd inputs that tables hold."""
 
 import html.parser
+import itertools
 import math
 import random
 import re
@@ -440,10 +441,42 @@ def test_chained_marginals_are_exact():
     ends = np.array([1, 65, 100, 237, 300])
     for segment in (1, 16, 64, 400):
         got = language_crf.chained_marginals(scores, ends, moves, segment)
-        want = np.concatenate([language_crf.forward_backward(scores[a:b][None], moves)[0] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+        want = np.concatenate([language_crf.forward_backward(scores[a:b][None], moves)[0][0] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
         assert np.allclose(got, want)
 
 
+def test_forward_backward_equals_enumeration():
+    rng = np.random.default_rng(12)
+    k, n = 3, 4
+    scores, moves = rng.normal(size=(2, n, k)) * 2, rng.normal(size=(k, k)) * 1.5
+    nodes, pairs = language_crf.forward_backward(scores, moves)
+    for x in range(2):
+        want_nodes, want_pairs = np.zeros((n, k)), np.zeros((n - 1, k, k))
+        for path in itertools.product(range(k), repeat=n):
+            weight = math.exp(sum(scores[x, t, i] for t, i in enumerate(path)) + sum(moves[a, b] for a, b in itertools.pairwise(path)))
+            for t, i in enumerate(path):
+                want_nodes[t, i] += weight
+            for t, (a, b) in enumerate(itertools.pairwise(path)):
+                want_pairs[t, a, b] += weight
+        assert np.allclose(nodes[x], want_nodes / want_nodes[0].sum()) and np.allclose(pairs[x], want_pairs / want_pairs[0].sum())
+
+
+def test_language_fitting_sample_is_bounded(spark):
+    row = "a sentence of plain words that goes on and on "
+    docs = spark.range(3000).select(F.lit(5).alias("doc_id"), F.concat(F.lit(row), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionByName(spark.createDataFrame([(9, "ein Satz aus schlichten Worten " * 5000, "de"), (9, "x" * 50_000, "de"), (None, None, "de"), (3, "t", None)], docs.schema))
+    seen = {}
+    fitted = language_crf.fit_model
+    try:
+        language_crf.fit_model = lambda texts, langs, settings: seen.update(texts=texts, langs=langs)
+        language_crf.fit(docs, language_crf.Settings(per_language=64), modulus=1, held_out=1)
+    finally:
+        language_crf.fit_model = fitted
+    counts = Counter(seen["langs"])
+    assert counts["de"] == 2 and 40 <= counts["en"] <= 64 and max(map(len, seen["texts"])) <= 300 * language_crf.PART
+    assert language_crf.fit(docs.limit(0)) is None and language_crf.identify(docs.limit(0), None).count() == 0
+
+
 # exact search
 
 
