@@ -4,19 +4,22 @@ Documents are sets of shingles (five words; all words of a shorter text), A-Z fo
 set are one class, and classes are what is compared.
 
 1. Every class has a signature of `trees` x `depth` minima. A tree is the trie of all signatures' paths in it; sorted,
-   classes that share a prefix stand together. Prefixes are shortened from `depth` until pairs at the similarity asked
-   for share one, in some tree, with the recall asked for. Of each prefix that several classes share, members whose
-   signatures agree enough are tied together: members that are tied leave the rest to compare, so a group of near
-   copies costs about its size. Groups beyond `block` members are dealt into blocks and all pairs of blocks compared.
+   classes that share a prefix stand together. Within each subtree below the shortest prefix that can be needed, matches
+   are looked for at the longest prefix first: classes that share it and whose signatures agree enough are tied. A class
+   whose ties so far are of such similarity that prefixes of this length find the recall asked for stops there; the
+   others go on to prefixes one shorter, down to the length at which pairs of the least similarity are found with that
+   recall. Members tied already are not compared again, so a group of near copies costs about its size. Groups beyond
+   `block` members are dealt into blocks and all pairs of blocks compared.
 2. Components of those ties hold every pair found. The texts of each component meet, in blocks and pairs of blocks
-   where there are many, and the Jaccard similarity of all pairs there is computed exactly from the sets. What comes
-   out is each class's number of links and a spanning star for each block, never the pairs.
+   where there are many or long ones, and the Jaccard similarity of all pairs there is computed exactly from the sets.
+   What comes out is each class's number of links and a spanning star for each block, never the pairs.
 3. Components of the verified links give the classes of documents.
 
 Nothing is sampled, capped or dropped. Texts that link to none never leave the first step.
 
 Defined results. Null or empty text: no words; all such documents are one set, hence copies of each other. Null
-doc_id: kept; a component's id is its least non-null id. Repeated rows: copies. Empty table: no rows. Very long
+doc_id: kept; a component's id is its least non-null id. Repeated rows: copies. One id with several texts: each row
+goes by its own text. Empty table: no rows. Very long
 texts: all shingles count. Other columns of the input are not touched.
 """
 
@@ -28,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm.common import BLANKS, stage
@@ -47,14 +50,17 @@ class Settings:
     #: Standard errors by which a signature may understate the similarity of a pair still compared exactly.
     slack: float = 4.5
     block: int = 8192
-    verify_block: int = 512
+    #: Texts, and shingles of them, that a block of a component holds.
+    verify_block: int = 1024
+    verify_shingles: int = 1_000_000
 
-    def prefix(self) -> int:
+    def found(self, similarity, length: int):
+        """Share of pairs of a similarity that have a prefix of this length in common in some tree."""
+        return 1 - (1 - similarity**length) ** self.trees
+
+    def shortest(self) -> int:
         """The longest prefix at which pairs of the similarity asked for are found with the recall asked for."""
-        for k in range(self.depth, 0, -1):
-            if 1 - (1 - self.similarity**k) ** self.trees >= self.recall:
-                return k
-        return 1
+        return next((k for k in range(self.depth, 1, -1) if self.found(self.similarity, k) >= self.recall), 1)
 
     def least_agreement(self) -> int:
         """Equal minima below which a pair is not tied."""
@@ -138,25 +144,33 @@ def _batches(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list
         at += len(part)
 
 
+def text_keys(text: Column) -> list[Column]:
+    """Two hashes of a text that stand for it."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
 def sign(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, set (a digest of the document's shingle set), its size, and the signature. One pass, no shuffle."""
+    """doc_id, set (a digest of the document's shingle set), its size, the signature, and keys of the text. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _batches(batch.column(1)):
                 sets = shingle_sets(texts, settings.words)
+                own = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, len(texts)), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    own.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([signature(s, settings.trees * settings.depth).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ], ["doc_id", "set", "n_shingles", "signature"])
+                    pa.array([signature(s, settings.trees * settings.depth).tobytes() if len(s) else None for s in sets], pa.binary()), own.column(2), own.column(3),
+                ], ["doc_id", "set", "n_shingles", "signature", "t1", "t2"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, set binary, n_shingles int, signature binary")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *text_keys(text))
+    return rows.mapInArrow(run, "doc_id long, set binary, n_shingles int, signature binary, t1 long, t2 long")
 
 
 def prefixes(classes: DataFrame, settings: Settings) -> DataFrame:
-    """(tree, prefix, set) for every class and tree."""
-    k, trees = settings.prefix(), settings.trees
+    """(tree, prefix, set) for every class and tree, prefix the shortest that can be needed."""
+    k, trees = settings.shortest(), settings.trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,51 +190,85 @@ def prefixes(classes: DataFrame, settings: Settings) -> DataFrame:
     return classes.select("set", "signature").mapInArrow(run, "tree int, prefix long, set binary")
 
 
-def tied(signatures: np.ndarray, least: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spanning edges of the graph of members whose signatures agree in at least `least` places.
+def _tied_in_run(run: np.ndarray, signatures: np.ndarray, least: int, group: np.ndarray, done: np.ndarray, sides: np.ndarray | None) -> list[tuple[int, int, int]]:
+    """Ties (a, b, equal minima) that join groups of a run of members, which share a prefix.
 
-    Each member is compared with those not reached yet. With `sides`, only pairs across the two sides count.
+    Each member is compared with those not reached yet, unless both are done. With `sides`, only pairs across the two
+    sides count.
     """
-    left = np.arange(len(signatures))
-    edges = []
-    while len(left):
-        frontier, left = [int(left[0])], left[1:]
+    ties, left = [], run
+    while len(left) > 1:
+        own = group[left] == group[left[0]]
+        frontier, left = left[own].tolist(), left[~own]
         while frontier and len(left):
             at = frontier.pop()
-            hit = (signatures[left] == signatures[at]).sum(1) >= least
+            here = left[~done[left]] if done[at] else left
             if sides is not None:
-                hit &= sides[left] != sides[at]
-            found = left[hit]
-            edges += [(at, int(x)) for x in found]
-            frontier += found.tolist()
-            left = left[~hit]
-    return edges
+                here = here[sides[here] != sides[at]]
+            agree = (signatures[here] == signatures[at]).sum(1)
+            hit = agree >= least
+            if hit.any():
+                ties += [(at, x, n) for x, n in zip(here[hit].tolist(), agree[hit].tolist(), strict=True)]
+                reached = np.isin(group[left], group[here[hit]])
+                frontier += left[reached].tolist()
+                left = left[~reached]
+    return ties
+
+
+def tied(signatures: np.ndarray, tree: int, settings: Settings, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Ties among members of one subtree, looked for at prefixes from the longest to the shortest that each member needs."""
+    n, least = len(signatures), settings.least_agreement()
+    if n == 2:
+        apart = sides is not None and sides[0] == sides[1]
+        return [] if apart or (signatures[0] == signatures[1]).sum() < least else [(0, 1)]
+    paths = signatures.reshape(n, settings.trees, settings.depth)[:, tree]
+    order = np.lexsort(paths.T[::-1])
+    same = paths[order[1:]] == paths[order[:-1]]
+    shared = np.where(same.all(1), settings.depth, same.argmin(1))  # minima that neighbours in the sorted trie have in common
+    group, done = np.arange(n), np.zeros(n, bool)
+    found, looked_for = np.zeros(n), np.zeros(n)
+    ties = []
+    for length in range(settings.depth, settings.shortest() - 1, -1):
+        new = []
+        for run in np.split(order, np.flatnonzero(shared < length) + 1):
+            if len(run) > 1 and not done[run].all() and (group[run] != group[run[0]]).any():
+                new += _tied_in_run(run, signatures, least, group, done, sides)
+        for a, b, agree in new:
+            group[group == group[b]] = group[a]
+            share = settings.found(agree / signatures.shape[1], length)
+            for x in (a, b):
+                found[x] += 1
+                looked_for[x] += 1 / share
+        ties += [(a, b) for a, b, _ in new]
+        done = (found > 0) & (found >= settings.recall * looked_for)
+        if (group == group[0]).all():
+            break
+    return ties
 
 
 def candidate_ties(members: DataFrame, settings: Settings) -> DataFrame:
     """Edges (u, v) among members (tree, prefix, near, far, side, set, signature), each group in one task."""
-    least = settings.least_agreement()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
 
-        def out(rows: list) -> list[tuple[bytes, bytes]]:
+        def out(rows: list, key: tuple | None) -> list[tuple[bytes, bytes]]:
             if len(rows) < 2:
                 return []
             x = np.frombuffer(b"".join(r[1] for r in rows), np.uint16).reshape(len(rows), -1)
-            sides = np.array([r[2] for r in rows]) if any(r[2] for r in rows) else None
-            return [(rows[a][0], rows[b][0]) for a, b in tied(x, least, sides)]
+            sides = np.array([r[2] for r in rows]) if key[2] != key[3] else None
+            return [(rows[a][0], rows[b][0]) for a, b in tied(x, key[0], settings, sides)]
 
         for batch in batches:
             edges = []
             keys = zip(*(batch.column(x).to_pylist() for x in ("tree", "prefix", "near", "far")), strict=True)
             for k, row in zip(keys, zip(*(batch.column(x).to_pylist() for x in ("set", "signature", "side")), strict=True), strict=True):
                 if k != key:
-                    edges += out(held)
+                    edges += out(held, key)
                     held, key = [], k
                 held.append(row)
             yield _edges(edges)
-        yield _edges(out(held))
+        yield _edges(out(held, key))
 
     return members.sortWithinPartitions("tree", "prefix", "near", "far").mapInArrow(run, "u binary, v binary")
 
@@ -230,12 +278,12 @@ def _edges(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.binary()) for i in (0, 1)], ["u", "v"])
 
 
-def in_blocks(rows: DataFrame, key: list[str], size: str, block: int) -> DataFrame:
-    """Deal groups of more than `block` rows into blocks and repeat each block for each other: near, far and side.
+def in_blocks(rows: DataFrame, key: list[str], blocks: Column) -> DataFrame:
+    """Deal groups into as many blocks as `blocks` says and repeat each block for each other: near, far and side.
 
-    A group of n rows becomes ceil(n / block) blocks, and each row as many copies; smaller groups stay as they are.
+    A group of n blocks has each row n times; groups of one block stay as they are.
     """
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    n = F.greatest(F.lit(1), blocks.cast("int"))
     own = F.pmod(F.xxhash64("set", F.lit(5)), n).cast("int")
     other = F.explode(F.sequence(F.lit(0), n - 1))
     dealt = rows.withColumn("own", own).withColumn("other", other)
@@ -332,35 +380,62 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["set", "links", "peer"])
 
 
-def similar_documents(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, class_id and n_links of each document (doc_id, text).
-
-    class_id is the least doc_id among all documents tied to it by links; n_links counts the other documents whose
-    similarity is at least the one asked for, copies included.
-    """
-    settings = settings or Settings()
+def _classes(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Signed documents, and of each set of theirs: its component, copies, links, and the component's least id and row."""
     signed = stage(sign(docs, settings), "signatures")
     classes = signed.groupBy("set").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("signature").alias("signature")
-    )
+        F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"),
+        F.min(F.struct("t1", "t2")).alias("text_key"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")).alias("first_row"),
+    )
     classes = stage(classes, "classes")
     rows = prefixes(classes.where(F.col("signature").isNotNull()), settings)
     shared = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     members = rows.join(shared, ["tree", "prefix"]).join(classes.select("set", "signature"), "set")
-    dealt = in_blocks(members, ["tree", "prefix"], "n", settings.block).repartition("tree", "prefix", "near", "far")
+    dealt = in_blocks(members, ["tree", "prefix"], F.ceil(F.col("n") / settings.block)).repartition("tree", "prefix", "near", "far")
     ties = candidate_ties(dealt, settings)
     found = connected_components(ties, "ties").withColumnRenamed("node", "set")
-    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
-    wanted = stage(classes.select("set", "copies", "first_id").join(found, "set").join(sizes, "component"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    # a merge join at every size: which texts are wanted grows with the input
-    texts = wanted.hint("merge").join(texts.hint("merge"), F.col("first_id").eqNullSafe(F.col("id"))).drop("id", "first_id")
-    groups = in_blocks(texts, ["component"], "n", settings.verify_block).repartition("component", "near", "far")
+    wanted = classes.select("set", "copies", "n_shingles", "text_key").join(found, "set")
+    sizes = wanted.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    wanted = stage(wanted.join(sizes, "component").select("*", "text_key.*").drop("text_key", "n_shingles"), "wanted")
+    text = F.col("text").cast("string")
+    # copies of a text become one where they lie; a merge join at every size: which texts are wanted grows with the input
+    texts = docs.select(*text_keys(text), text.alias("text")).groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    texts = wanted.hint("merge").join(texts.hint("merge"), ["t1", "t2"]).drop("t1", "t2")
+    blocks = F.greatest(F.ceil(F.col("n") / settings.verify_block), F.ceil(F.col("shingles") / settings.verify_shingles))
+    groups = in_blocks(texts, ["component"], blocks).repartition("component", "near", "far")
     links = stage(verify(groups, settings), "links")
     tally = links.groupBy("set").agg(F.sum("links").alias("links"))
     joined = connected_components(links.where(F.col("peer").isNotNull()).select(F.col("set").alias("u"), F.col("peer").alias("v")), "links-joined")
-    of_set = classes.select("set", "copies", "first_id").join(tally, "set", "left").join(joined.withColumnRenamed("node", "set"), "set", "left")
+    of_set = classes.select("set", "copies", "first_id", "first_row").join(tally, "set", "left").join(joined.withColumnRenamed("node", "set"), "set", "left")
     of_set = of_set.withColumn("component", F.coalesce("component", "set"))
-    least = of_set.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    named = of_set.join(least, "component").select("set", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "set").join(named, "set").select("doc_id", "class_id", "n_links")
+    least = of_set.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min("first_row").alias("row"))
+    return signed, of_set.join(least, "component").select("set", "component", "copies", "class_id", "row", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
+def similar_documents(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """doc_id, class_id and n_links of each document (doc_id, text).
+
+    class_id is the least doc_id among all documents tied to it by links; n_links counts the other documents whose
+    similarity is at least the one asked for, copies included.
+    """
+    signed, named = _classes(docs, settings or Settings())
+    named = stage(named.select("set", "copies", "class_id", "n_links"), "named")
+    # sets that hold over a thousandth of all rows, a thousand at most, go to the rows; the rows of others are merged
+    often = max(1000, signed.count() // 1000)
+    hot = F.broadcast(named.where(F.col("copies") > often))
+    rows, out = signed.select("doc_id", "set"), ["doc_id", "class_id", "n_links"]
+    rest = rows.join(F.broadcast(hot.select("set")), "set", "left_anti").join(named.where(F.col("copies") <= often).hint("merge"), "set")
+    return rows.join(hot, "set").select(*out).unionByName(rest.select(*out))
+
+
+def distinct_documents(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """One row of each class of similar documents, with all its columns: the one with the least id, then by its text's hash.
+
+    Every row goes by its own text: rows that share an id but not a text are told apart, rows without an id are
+    compared like others, and of identical rows one stays.
+    """
+    _, named = _classes(docs, settings or Settings())
+    keep = named.select("component", "row.doc_id", "row.t1", "row.t2").distinct().select(F.col("doc_id").alias("id"), "t1", "t2")
+    rows = docs.select(F.struct("*").alias("document"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text").cast("string")))
+    found = rows.hint("merge").join(keep.hint("merge"), rows["doc_id"].eqNullSafe(keep["id"]) & (rows["t1"] == keep["t1"]) & (rows["t2"] == keep["t2"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "t1", "t2"]).select("document.*")

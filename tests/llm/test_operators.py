@@ -341,10 +341,52 @@ def test_shared_shingles_and_prefix():
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     assert minhash_forest.shared_shingles(sets).astype(int).tolist() == want
     s = minhash_forest.Settings()
-    k = s.prefix()
+    k = s.shortest()
     assert 1 - (1 - 0.8**k) ** s.trees >= s.recall > 1 - (1 - 0.8 ** (k + 1)) ** s.trees
 
 
+def test_forest_shortens_prefixes_until_the_recall():
+    settings = minhash_forest.Settings()
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 65536, 96, dtype=np.uint16)
+    changed = lambda places: np.where(np.isin(np.arange(96), places), rng.integers(0, 65536, 96, dtype=np.uint16), base)
+    others = np.setdiff1d(np.arange(96), np.arange(6))
+    # a near twin by the whole path, a third that shares four minima only, and a stranger in the same subtree
+    rows = np.array([base, changed(others[:3]), changed([4, 5, *others[:12]]), np.where(np.arange(96) < 4, base, rng.integers(0, 65536, 96, dtype=np.uint16))])
+    ties = minhash_forest.tied(rows, 0, settings)
+    reached = {0}
+    for _ in range(3):
+        reached |= {x for t in ties if set(t) & reached for x in t}
+    assert reached == {0, 1, 2}
+    # pairs within one side are another block's work
+    assert minhash_forest.tied(rows[:3], 0, settings, np.array([0, 0, 0])) == [] and len(minhash_forest.tied(rows[:3], 0, settings, np.array([0, 1, 1]))) == 2
+    same = np.repeat(base[None], 50, 0)
+    assert len(minhash_forest.tied(same, 3, settings)) == 49
+
+
+def test_forest_recall_against_the_exact_join(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    sets = minhash_forest.shingle_sets([t for _, t in rows])
+    size = np.array([len(x) for x in sets], float)
+    both = minhash_forest.shared_shingles(sets)
+    linked = both >= 0.8 * (size[:, None] + size[None] - both) - 1e-6
+    np.fill_diagonal(linked, False)
+    got = {r["doc_id"]: r["n_links"] for r in rows_of(minhash_forest.similar_documents(docs))}
+    want = dict(zip((i for i, _ in rows), linked.sum(1).tolist(), strict=True))
+    assert sum(got.values()) >= 0.99 * sum(want.values()) > 100 and all(got[i] <= want[i] for i in got)
+
+
+def test_distinct_documents_keep_every_text(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    rows = [(1, long), (1, "another text under the same id altogether"), (2, "a third text that stands alone here"), (None, long + " more"), (None, "without an id, and alone in what it says"), (3, long), (3, long), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("set", "t1", "document", "component")})
+    kept = minhash_forest.distinct_documents(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([rows[0], rows[1], rows[2], rows[4], rows[7]])
+    assert minhash_forest.distinct_documents(docs.limit(0)).count() == 0
+
+
 # mixing
 
 
