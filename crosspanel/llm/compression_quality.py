@@ -5,12 +5,14 @@ it, whatever its length), each block is packed with either dictionary, and the n
 (bad - good) / (bad + good) of the text and of its worst block, with the share of blocks that side with bad and the
 two packed sizes per byte, becomes a probability by a logistic curve fitted on further labelled rows.
 
-Fitting takes a bounded sample: the `n_dictionary` rows of each label and the `n_calibration` rows that come first
-by a hash of their id. Scoring takes every row, in one pass without a shuffle; the model (two dictionaries of at most
-`dictionary_bytes` and a few weights) goes with the task.
+Fitting takes a bounded sample: of each label the `n_dictionary` + `n_calibration` / 2 rows that come first by a hash of
+their id, shared between dictionaries and curve in that proportion however many there are, so that the curve never sees
+what a dictionary was made of. Of a dictionary row at most `excerpt_blocks` blocks, spread over the text, come to the
+driver; of a calibration row, which is packed whole where it lies, only the features do. Scoring takes every row, in one
+pass without a shuffle; the model (two dictionaries of at most `dictionary_bytes` and a few weights) goes with the task.
 
 Defined results. Null text: scored as empty. Empty text: the calibrated score of an empty text. Labels null or other
-than 0 and 1: not learned from. A label missing altogether: all scores are the share of good rows, 0.5 without any
+than 0 and 1, and labels of an id that has both: not learned from. Several texts of one id: one is learned from. A label missing altogether: all scores are the share of good rows, 0.5 without any
 rows. Repeated rows: one result a row. Empty table: no rows. Other columns of the input are not touched.
 """
 
@@ -22,10 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import remainder
+from crosspanel.llm.common import remainder, stage
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,7 @@ class Settings:
     n_calibration: int = 3000
     dictionary_bytes: tuple[int, ...] = (112_640, 32_768)
     block: int = 512
+    excerpt_blocks: int = 64
     level: int = 1
     threshold: float = 0.7
 
@@ -96,14 +99,11 @@ class Model:
     def _curve(self, z: np.ndarray, shift: float = 0.0) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_terms(np.clip(z, -6, 6)) @ self.weights + shift, -30, 30)))
 
-    def calibrate(self, texts: list[str], labels: np.ndarray, penalty: float = 0.01, rounds: int = 60) -> float:
-        """Fit the curve by Newton steps on one half, give its log loss on the other, then fit on all."""
-        packer = Packer(self.good, self.bad, self.settings)
-        x = np.array([packer.features(t) for t in texts])
+    def calibrate(self, x: np.ndarray, labels: np.ndarray, half: np.ndarray, penalty: float = 0.01, rounds: int = 60) -> float:
+        """Fit the curve to features by Newton steps on one half of the rows, give its log loss on the other, then fit on all."""
         self.centre, self.spread = x.mean(0), x.std(0) + 1e-9
         z = _terms(np.clip((x - self.centre) / self.spread, -6, 6))
         loss = 0.0
-        half = np.arange(len(x)) % 2 == 0
         for rows in (half, np.ones(len(x), bool)):
             a, y, w = z[rows], labels[rows], np.zeros(z.shape[1])
             for _ in range(rounds):
@@ -118,8 +118,15 @@ class Model:
         return loss
 
 
-def _dictionary(texts: list[str], size: int, block: int) -> bytes:
-    samples = [x for t in texts for x in _blocks(t.encode("utf-8", "surrogatepass"), block)]
+def excerpt(text: str, settings: Settings) -> bytes:
+    """At most `excerpt_blocks` blocks of a text, spread evenly over it."""
+    blocks = _blocks(text.encode("utf-8", "surrogatepass"), settings.block)
+    n = min(len(blocks), settings.excerpt_blocks)
+    return b"".join(blocks[i * len(blocks) // n] for i in range(n))
+
+
+def _dictionary(texts: list[bytes], size: int, block: int) -> bytes:
+    samples = [x for t in texts for x in _blocks(t, block)]
     order = np.random.default_rng(7).permutation(len(samples))
     samples = [samples[i] for i in order]
     try:
@@ -135,41 +142,50 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, mo
     """
     settings = settings or Settings()
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
-    rows = rows.select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
+    rows = rows.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     bound = settings.n_dictionary + settings.n_calibration // 2
     by = F.xxhash64("doc_id")
     ids = [rows.where(F.col("quality") == y).orderBy(by, "doc_id").limit(bound) for y in (1, 0)]
-    chosen = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
-    # a document id may stand in several rows: the bound holds for those too
-    found = chosen.withColumn("by", by).orderBy("by", "doc_id", F.crc32(F.col("text").cast("binary"))).limit(2 * bound).toPandas()
-    sample = [found[found["quality"] == y] for y in (1, 0)]
+    text = F.col("text").cast("string")
+    chosen = docs.select("doc_id", text.alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    # an id may stand in several rows: one of them, chosen where they lie
+    chosen = chosen.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text"))
+    ranked = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("quality").orderBy(by, "doc_id")))
+    sample = stage(ranked, "labelled")
+    have = {r["quality"]: r["count"] for r in sample.groupBy("quality").count().collect()}
     model = Model(settings)
-    n_good, n_bad = map(len, sample)
+    n_good, n_bad = have.get(1, 0), have.get(0, 0)
     if not n_good or not n_bad:
         model.constant = n_good / (n_good + n_bad) if n_good + n_bad else 0.5
         return model
-    # with few rows the dictionaries and the curve share them
-    learn = [list(x["text"][: settings.n_dictionary]) for x in sample]
-    rest = [list(x["text"][settings.n_dictionary :]) if len(x) > 1.2 * settings.n_dictionary else list(x["text"]) for x in sample]
-    texts = [t for pair in _spread(*rest) for t in pair]
-    labels = np.array([y for pair in _spread([1] * len(rest[0]), [0] * len(rest[1])) for y in pair], float)
+    share = settings.n_dictionary / bound
+    # a single row of a label serves both
+    learns = F.col("rank") <= F.when(F.col("quality") == 1, max(1, int(n_good * share))).otherwise(max(1, int(n_bad * share)))
+    fits = ~learns | (F.lit(n_good < 2) & (F.col("quality") == 1)) | (F.lit(n_bad < 2) & (F.col("quality") == 0))
+    cut = F.pandas_udf(lambda texts: pd.Series([excerpt(x, settings) for x in texts]), "binary")
+    found = sample.where(learns).select("quality", "rank", cut("text").alias("text")).orderBy("quality", "rank").toPandas()
+    learn = [[bytes(x) for x in found[found["quality"] == y]["text"]] for y in (1, 0)]
+    tried = [Model(settings, *(_dictionary(x, size, settings.block) for x in learn)) for size in settings.dictionary_bytes]
+
+    @F.pandas_udf("array<array<double>>")
+    def features(texts: pd.Series) -> pd.Series:
+        packers = [Packer(m.good, m.bad, settings) for m in tried]
+        return pd.Series([[p.features(x) for p in packers] for x in texts])
+
+    rest = sample.where(fits).select("quality", "rank", features("text").alias("features")).orderBy("quality", "rank").toPandas()
+    y = np.append(rest["quality"].to_numpy(float), 0.0)
+    half = np.append(rest.groupby("quality").cumcount().to_numpy() % 2 == 0, True)
     best = None
-    for size in settings.dictionary_bytes:
-        tried = Model(settings, *(_dictionary(x, size, settings.block) for x in learn))
-        loss = tried.calibrate([*texts, ""], np.append(labels, 0.0))
+    for i, one in enumerate(tried):
+        x = np.array([*([list(r[i]) for r in rest["features"]]), Packer(one.good, one.bad, settings).features("")])
+        loss = one.calibrate(x, y, half)
         if best is None or loss < best[0]:
-            best = (loss, tried)
+            best = (loss, one)
     share = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
-    best[1].shift = float(np.log(share[1] / share[0]) - np.log(len(rest[0]) / len(rest[1])))
+    best[1].shift = float(np.log(share[1] / share[0]) - np.log((rest["quality"] == 1).sum() / (rest["quality"] == 0).sum()))
     return best[1]
 
 
-def _spread(a: list, b: list) -> Iterator[tuple]:
-    """Items of both lists in turn, so that halves of the result hold both."""
-    for i in range(max(len(a), len(b))):
-        yield tuple(x[i] for x in (a, b) if i < len(x))
-
-
 def score_column(model: Model, text: Column) -> Column:
     """The score of a text column."""
 

@@ -12,7 +12,7 @@ cycle over the last but one, and merged with the documents. Both ways take the s
 Where a table has no topics, `text_topic` gives a stand-in: the largest of `n_topics` groups of words by hash.
 
 Defined results. Null in a dimension: a value of its own, raked like others. Null or empty text: no tokens, probability
-of its cell. Repeated rows: the same decision for each. Empty table: no rows. A target for a value that does not
+of its cell. Null doc_id: drawn by a hash of its text. Repeated rows: the same decision for each. Empty table: no rows. A target for a value that does not
 occur: its share goes to the others. A target of 0: probability 0. Other columns of the input are not touched.
 """
 
@@ -123,22 +123,23 @@ def mix(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     document's cell count for in the mix against what they count for as they are.
     """
     settings = settings or Settings()
-    rows = stage(dimensions(docs, settings, F.col("doc_id")), "dimensions")
+    rows = stage(dimensions(docs, settings, F.col("doc_id"), place(settings).alias("place")), "dimensions")
     joined = with_plan(rows, draw_plan(rows, settings))
-    return joined.select("doc_id", *settings.targets, "n_tokens", "weight", "probability", sampled(F.col("doc_id"), F.col("probability"), settings).alias("sampled"))
+    return joined.select("doc_id", *settings.targets, "n_tokens", "weight", "probability", (F.col("place") < F.col("probability")).alias("sampled"))
 
 
 def draw(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The documents that are sampled, with all their columns. Two passes over the texts, which are not shuffled."""
     settings = settings or Settings()
     plan = draw_plan(dimensions(docs, settings), settings)
-    rows = with_plan(dimensions(docs, settings, F.struct(*(docs[c] for c in docs.columns)).alias("document")), plan)
-    return rows.where(sampled(F.col("document.doc_id"), F.col("probability"), settings)).select("document.*")
+    rows = with_plan(dimensions(docs, settings, F.struct(*(docs[c] for c in docs.columns)).alias("document"), place(settings).alias("place")), plan)
+    return rows.where("place < probability").select("document.*")
 
 
-def sampled(doc_id: Column, probability: Column, settings: Settings) -> Column:
-    """Whether a document is drawn: a hash of its id, spread evenly over 0 to 1, against its probability."""
-    return F.pmod(F.xxhash64(doc_id, F.lit(settings.seed)), F.lit(1 << 52)) / F.lit(float(1 << 52)) < probability
+def place(settings: Settings) -> Column:
+    """A hash of a document's id, or of its text where it has none, spread evenly over 0 to 1: it is drawn if below its probability."""
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(settings.seed))).otherwise(F.xxhash64("text", F.lit(settings.seed)))
+    return F.pmod(key, F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
 def _goals(cells: DataFrame, name: str, target: dict[str, float] | float, total: float) -> tuple[DataFrame, int]:

@@ -409,6 +409,42 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.draw(docs.limit(0)).count() == 0
 
 
+def test_mixing_draws_rows_without_an_id_by_their_text(spark):
+    rows = [(None, f"text number {i} of many") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit("a"), "lang": F.lit("en")})
+    drawn = mixing.mix(docs).where("sampled").count()
+    assert 110 < drawn < 210 and mixing.draw(docs).count() == drawn
+
+
+def brute_rake(cells, targets, total):
+    """Raking by plain loops over dictionaries."""
+    have = dict(cells)
+    weight = {c: n * total / sum(have.values()) for c, n in have.items()}
+    for _ in range(2000):
+        for at, target in enumerate(targets):
+            sums = Counter()
+            for c, w in weight.items():
+                sums[c[at]] += w
+            weight = {c: min(have[c], w * target[c[at]] * total / sums[c[at]] if sums[c[at]] else 0.0) for c, w in weight.items()}
+    return weight
+
+
+def test_raking_equals_plain_loops(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(["longword"] * rng.randint(1, 40)), rng.choice("abc"), rng.choice("uv"), rng.choice("xyz")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"u": 0.4, "v": 0.6}, "topic": {"x": 0.3, "y": 0.3, "z": 0.4}}
+    cells = Counter()
+    for _, text, *dims in rows:
+        cells[tuple(dims)] += len(text.split())
+    want = brute_rake(cells, list(targets.values()), 0.4 * sum(cells.values()))
+    for driver_cells in (1000, 0):
+        got = mixing.mix(docs, mixing.Settings(targets=targets, driver_cells=driver_cells)).toPandas()
+        for r in got.itertuples():
+            cell = (r.source, r.lang, r.topic)
+            assert r.probability == pytest.approx(want[cell] / cells[cell], rel=1e-3)
+
+
 def test_raking_meets_marginals():
     import pandas as pd
 
@@ -451,6 +487,22 @@ def test_compression_quality(spark):
     none = compression_quality.fit(docs, labels.where("quality = 1"))
     assert set(compression_quality.classify(odd(spark), none).toPandas().score) == {1.0}
     assert compression_quality.fit(docs.limit(0), labels).constant == 0.5
+    assert compression_quality.classify(docs.limit(0), model).count() == 0
+
+
+def test_compression_quality_of_few_and_odd_labels(spark):
+    rng = random.Random(4)
+    line = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(80))
+    rows = [(i, line("abcdefgh" if i % 2 else "nopqrstu")) for i in range(80)] + [(1, line("abcdefgh")), (200, None), (None, "text")]
+    labels = [(i, i % 2, 3) for i in range(80)] + [(3, 0, 3), (None, 1, 3), (5, None, 3), (7, 9, 3), (200, 1, 3), (0, 0, 3)]
+    docs = odd(spark, rows).withColumn("quality", F.lit(3))
+    model = compression_quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, text int"), modulus=1, held_out=1)
+    fresh = model.scores([line("abcdefgh") for _ in range(20)] + [line("nopqrstu") for _ in range(20)])
+    assert fresh[:20].min() > 0.5 > fresh[20:].max()
+    one = compression_quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), modulus=1, held_out=1)
+    assert np.isfinite(one.scores(["", line("abcdefgh")])).all()
+    x = "ab" * 100_000
+    assert len(compression_quality.excerpt(x, model.settings)) <= 64 * 512 and compression_quality.excerpt("abc", model.settings) == b"abc"
 
 
 def test_language_crf(spark):
