@@ -17,9 +17,6 @@ from crosspanel.llm.registry import packing_vocabulary
 #: SQL can express neither the compression score nor the random field.
 ORACLE_SQL = None
 
-#: A document whose leading language holds less of its letters than this is rejected, as is one without letters.
-LEAST_LANGUAGE_SHARE = 0.4
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier predicts as good, learned from the labels outside the held-out split."""
@@ -28,21 +25,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language, learned from the documents outside the held-out split."""
+    """Documents in a recognised language, learned from the documents outside the held-out split; those without a letter go."""
     model = language_crf.fit(docs)
     found = language_crf.language_column(model, F.col("text"))
-    return docs.where((found["lang_pred"] != language_crf.UNKNOWN) & (found["score"] >= LEAST_LANGUAGE_SHARE))
+    return docs.where(found["lang_pred"] != language_crf.UNKNOWN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar documents: the one with the least id.
 
-    Rows that repeat an id count as one document. Documents without an id stay once for each text.
+    Every row goes by its own text: texts that share an id are told apart, rows without an id are compared like others.
     """
-    classes = minhash_forest.similar_documents(docs)
-    keep = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(keep.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    return minhash_forest.distinct_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
