@@ -20,11 +20,11 @@ def clean_number(x: Column) -> Column:
 def average_rank(df: DataFrame, column: str, keys: list[str], out: str) -> DataFrame:
     """Add the average rank (ties share their mean) of the non-null values of `column` within `keys`.
 
-    Both windows are satisfied by one hash partitioning on `keys`, so a chain of ranks costs one shuffle.
+    The mean rank of ties is halfway between the first rank and the number of values up to them, both over one window,
+    so a rank costs one sort, and a chain of ranks one shuffle by `keys`.
     """
     ordered = Window.partitionBy(*keys).orderBy(F.col(column).asc_nulls_last())
-    ties = Window.partitionBy(*keys, column)
-    rank = F.rank().over(ordered) + (F.count(column).over(ties) - 1) / 2
+    rank = (F.rank().over(ordered) + F.count(column).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2
     return df.withColumn(out, F.when(F.col(column).isNotNull(), rank))
 
 

@@ -39,7 +39,7 @@ def compute_adj_factor(prices: DataFrame, xdxr: DataFrame | None, method: str =
         grown = F.product(F.coalesce(F.col("step"), F.lit(1.0))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     else:
         step = F.coalesce(F.try_divide(F.col("next_preclose"), F.col("close")), F.lit(1.0))
-        grown = F.product("step").over(w.rowsBetween(0, Window.unboundedFollowing))
+        grown = F.product("step").over(asset.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("step", step).withColumn("adj_factor", F.coalesce(grown, F.lit(1.0)))
     return rows.where("real").select("date", "asset", "adj_factor")
 

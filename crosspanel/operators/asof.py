@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.operators.calendars import days_of, position_after, session
+
 
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], most_days: int | None = None) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time: what was known then.
@@ -24,28 +26,24 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_on: str
 
 
 def first_session_after(df: DataFrame, calendar: DataFrame, date: str, out: str) -> DataFrame:
-    """Add the first session strictly after a date: each date looks forward in the union with the calendar."""
-    days = df.select(F.col(date).alias("_d")).distinct().withColumn("_s", F.lit(None).cast("date"))
-    sessions = calendar.select(F.col("date").alias("_d"), F.col("date").alias("_s"))
-    # distinct days against the calendar, both small whatever the table's size
-    w = Window.orderBy("_d").rangeBetween(1, Window.unboundedFollowing)
-    seen = days.unionByName(sessions).withColumn("_d", F.datediff("_d", F.lit("1970-01-01"))).withColumn("_next", F.min("_s").over(w))
-    found = seen.groupBy("_d").agg(F.min("_next").alias(out)).select(F.date_add(F.lit("1970-01-01").cast("date"), F.col("_d")).alias(date), out)
-    return df.join(F.broadcast(found), date, "left")
+    """Add the first session strictly after a date; NULL after the last."""
+    days = days_of(calendar)
+    return df.withColumn(out, session(days, position_after(days, F.col(date))))
 
 
 def interval_join(left: DataFrame, spans: DataFrame, by: list[str], on: str, start: str, end: str, values: list[str]) -> DataFrame:
     """Each left row with the span of its key that is valid at its time (open ends last for ever); the latest start wins.
 
-    The latest start at or before a time is an as-of match; with nested spans an older one may outlast it, so spans
-    are matched by their key and reduced to the best one for each row.
+    Spans are first cut at each other's ends into what is valid from one day to the next change, among themselves; what
+    holds at a left row's time is then an as-of match, so left rows are neither numbered nor multiplied.
     """
-    row = F.struct(*left.columns)
-    s = spans.select(*by, F.col(start).alias("_from"), F.coalesce(F.col(end), F.lit("9999-12-31").cast("date")).alias("_to"), F.struct(*values).alias("_v"))
-    keyed = left.withColumn("_id", F.monotonically_increasing_id())
-    met = keyed.join(s, by, "left").where(F.col("_from").isNull() | F.col(on).between(F.col("_from"), F.col("_to")))
-    best = met.groupBy("_id").agg(F.max_by("_v", "_from").alias("_v"))
-    return keyed.join(best, "_id", "left").select(*left.columns, *(F.col(f"_v.{v}").alias(v) for v in values))
+    last = F.lit("9999-12-30").cast("date")
+    s = spans.select(*by, F.col(start).cast("date").alias("_from"), F.least(F.coalesce(F.col(end).cast("date"), last), last).alias("_to"), F.struct(*values).alias("_v"))
+    s = s.where("_from <= _to")
+    changes = s.select(*by, F.explode(F.array(F.col("_from"), F.date_add("_to", 1))).alias("_at")).distinct()
+    held = changes.join(s, by).where(F.col("_at").between(F.col("_from"), F.col("_to"))).groupBy(*by, "_at").agg(F.max(F.struct("_from", "_v")).alias("_best"))
+    steps = changes.join(held, [*by, "_at"], "left").select(*by, "_at", *(F.col(f"_best._v.{v}").alias(v) for v in values))
+    return asof_backward(left, steps, by, on, "_at", values).drop("_at_matched")
 
 
 def month_end_sessions(calendar: DataFrame) -> DataFrame:

@@ -52,14 +52,17 @@ def clean(
     factor: DataFrame, returns: DataFrame, *, universe: DataFrame | None = None, exposures: DataFrame | None = None,
     groupby: DataFrame | None = None, horizons: list[int] | None = None,
 ) -> CleanResult:
-    """Join the factor (date, asset, factor) with returns and give each row its first reason to be dropped."""
+    """Join the factor (date, asset, factor) with returns and give each row its first reason to be dropped.
+
+    Of rows that repeat a key the one with the least factor stays.
+    """
     horizons = horizons_of(returns, horizons)
     if not horizons:
         fail("clean", "no_horizons", "no forward_return_ column among the returns")
     name = next((c for c in ("factor", "value") if c in factor.columns), None)
     if name is None:
         fail("clean", "ambiguous_factor", f"no factor among {factor.columns}")
-    f = factor.select(*KEYS, F.col(name).alias("factor")).withColumn("_again", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.lit(0))) > 1)
+    f = factor.select(*KEYS, F.col(name).alias("factor")).withColumn("_again", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col(name).asc_nulls_last())) > 1)
     carried = [f"{k}_{h}" for k in ("forward_return", "overnight_gap", "total_return") for h in horizons if f"{k}_{h}" in returns.columns]
     has_reason = "entry_reason" in returns.columns
     base = f.join(returns.select(*KEYS, *carried, *(["entry_reason"] if has_reason else [])), KEYS, "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.xsec import quantile_bin
-from crosspanel.operators.calendars import with_pos
+from crosspanel.operators.calendars import days_of, position, session
 from crosspanel.operators.contracts import KEYS, fail
 from crosspanel.operators.inference import nw_summary
 
@@ -34,17 +34,18 @@ def align_event_windows(
     if not lo <= base_day <= hi:
         fail("event", "bad_window", f"base day {base_day} is outside {window}")
     w = Window.partitionBy("asset").orderBy("date")
-    own = with_pos(prices.select(*KEYS, F.col(price).alias("px")), calendar)
+    days = days_of(calendar)
+    n = len(days)
+    own = prices.select(*KEYS, F.col(price).alias("px"), position(days, F.col("date")).alias("pos"))
     own = own.withColumn("ret", F.try_divide(F.col("px"), F.lag("px").over(w)) - 1)
-    n = calendar.count()
     carried = [c for c in events.columns if c not in (*KEYS, "event_id")]
     ids = events.select(*KEYS, *carried).distinct().withColumn("event_id", F.concat_ws("|", F.col("date").cast("string"), "asset", *(["event_type"] if "event_type" in carried else [])))
-    placed = with_pos(ids, calendar)
+    placed = ids.withColumn("pos", position(days, F.col("date")))
     fits = F.col("pos").isNotNull() & (F.col("pos") + lo >= 0) & (F.col("pos") + hi < n)
     off = placed.where(~fits).select("event_id", F.lit("not_on_calendar").alias("reason"))
     spread = placed.where(fits).withColumn("rel_day", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("at", F.col("pos") + F.col("rel_day")).drop("pos")
     met = spread.join(own.select("asset", F.col("pos").alias("at"), "ret"), ["asset", "at"], "left")
-    met = met.join(F.broadcast(calendar.select(F.col("pos").alias("at"), F.col("date").alias("rel_date"))), "at")
+    met = met.withColumn("rel_date", session(days, F.col("at")))
     if benchmark is not None:
         filled = calendar.join(benchmark.select("date", F.col(price if price in benchmark.columns else "price").alias("b")), "date", "left")
         every = Window.orderBy("pos")  # one row a session

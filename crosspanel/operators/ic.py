@@ -9,24 +9,28 @@ from crosspanel.functions.xsec import average_rank, both, correlation, horizons_
 from crosspanel.operators.contracts import fail
 
 
-def information_coefficient(data: DataFrame, horizons: list[int] | None = None, method: str = "spearman", keys: list[str] | None = None) -> DataFrame:
+def information_coefficient(data: DataFrame, horizons: list[int] | None = None, method: str = "spearman", keys: list[str] | None = None, complete: bool = False) -> DataFrame:
     """date[, keys], horizon, ic, n: correlation of the factor with each forward return over the pairs that have both.
 
-    NULL for fewer than three pairs or a constant side. All ranks need one shuffle by date.
+    NULL for fewer than three pairs or a constant side. All ranks need one shuffle by date. `complete` says that no row
+    lacks the factor or a return, as the cleaned sample's don't: the factor is then ranked once for all horizons.
     """
     if method not in ("spearman", "pearson"):
         fail("ic", "bad_method", f"{method!r} is neither spearman nor pearson")
     keys = ["date", *(keys or [])]
     horizons = horizons_of(data, horizons)
-    df, asked = data, []
+    rows, pairs = [], {}
     for h in horizons:
-        x, y = both(F.col("factor"), F.col(f"forward_return_{h}"))
-        df = df.withColumns({f"_x{h}": x, f"_y{h}": y})
-        if method == "spearman":
-            df = average_rank(df, f"_x{h}", keys, f"_rx{h}")
-            df = average_rank(df, f"_y{h}", keys, f"_ry{h}")
-        a, b = (f"_rx{h}", f"_ry{h}") if method == "spearman" else (f"_x{h}", f"_y{h}")
-        asked += [correlation(F.col(a), F.col(b)).alias(f"_ic{h}"), F.count(a).alias(f"_n{h}")]
+        x, y = (F.col("factor"), F.col(f"forward_return_{h}")) if complete else both(F.col("factor"), F.col(f"forward_return_{h}"))
+        pairs[h] = ("_x" if complete else f"_x{h}", f"_y{h}")
+        rows += [x.alias(pairs[h][0])] if not complete or not rows else []
+        rows.append(y.alias(pairs[h][1]))
+    df = data.select(*keys, *rows)
+    if method == "spearman":
+        for name in dict.fromkeys(c for pair in pairs.values() for c in pair):
+            df = average_rank(df, name, keys, f"_r{name}")
+        pairs = {h: (f"_r{a}", f"_r{b}") for h, (a, b) in pairs.items()}
+    asked = [x for h, (a, b) in pairs.items() for x in (correlation(F.col(a), F.col(b)).alias(f"_ic{h}"), F.count(a).alias(f"_n{h}"))]
     wide = df.groupBy(*keys).agg(*asked)
     return stacked(wide, keys, {"ic": {h: f"_ic{h}" for h in horizons}, "n": {h: f"_n{h}" for h in horizons}}, "horizon")
 
@@ -41,9 +45,9 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     return out.select("horizon", "n", "mean", "std", icir.alias("icir"), (icir * F.sqrt("n")).alias("t_naive"), "positive_rate", "abs_mean")
 
 
-def ic_decay(data: DataFrame, horizons: list[int] | None = None, method: str = "spearman") -> DataFrame:
+def ic_decay(data: DataFrame, horizons: list[int] | None = None, method: str = "spearman", complete: bool = False) -> DataFrame:
     """Summary of the IC by horizon."""
-    return ic_summary(information_coefficient(data, horizons, method))
+    return ic_summary(information_coefficient(data, horizons, method, complete=complete))
 
 
 def rolling_ic(ic: DataFrame, window: int = 252, min_periods: int | None = None) -> DataFrame:
@@ -68,10 +72,10 @@ def rank_autocorrelation(data: DataFrame, column: str = "factor", lag: int = 1,
     return ranked.groupBy("date").agg(correlation(F.col("rx"), F.col("ry"), min_n).alias("autocorrelation"), F.count("*").alias("n"))
 
 
-def quantile_turnover(labels: DataFrame, lag: int = 1, method: str = "alphalens") -> DataFrame:
+def quantile_turnover(labels: DataFrame, lag: int = 1, method: str = "entering") -> DataFrame:
     """date, factor_quantile, turnover from labels (date, asset, factor_quantile).
 
-    `alphalens`: the share of a bin's members that were not in it `lag` periods before. `symmetric`: members in one of
+    `entering`: the share of a bin's members that were not in it `lag` periods before. `symmetric`: members in one of
     both, over members in either, halved.
     """
     own = labels.where("factor_quantile is not null").select("date", "asset", "factor_quantile")
@@ -83,10 +87,10 @@ def quantile_turnover(labels: DataFrame, lag: int = 1, method: str = "alphalens"
     met = now.join(before, ["asset", "factor_quantile", "period"], "full_outer").join(F.broadcast(last)).where("period <= p and period >= " + str(lag))
     n = met.groupBy("period", "factor_quantile").agg(F.count("is_in").alias("size"), F.count_if(F.col("is_in").isNotNull() & F.col("was").isNull()).alias("new"),
                                                   F.count("*").alias("either"), F.count_if(F.col("is_in").isNotNull() & F.col("was").isNotNull()).alias("stay"), F.count("was").alias("had"))
-    if method == "alphalens":
+    if method == "entering":
         value = F.when(F.col("had") > 0, F.try_divide(F.col("new").cast("double"), F.col("size")))
     elif method == "symmetric":
         value = F.when((F.col("had") > 0) & (F.col("size") > 0), (F.col("either") - F.col("stay")) / F.col("either") / 2)
     else:
-        fail("turnover", "bad_method", f"{method!r} is neither alphalens nor symmetric")
+        fail("turnover", "bad_method", f"{method!r} is neither entering nor symmetric")
     return n.join(numbers, "period").select("date", "factor_quantile", value.alias("turnover")).where("turnover is not null")

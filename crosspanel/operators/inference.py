@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.xsec import clean_number
@@ -137,17 +137,27 @@ def adjust_column(df: DataFrame, p: str, out: str, method: str = "bhy", n_trials
     every = Window.partitionBy(F.lit(0))
     ordered = every.orderBy(F.col(p).asc_nulls_last())
     n = F.count(p).over(every) if n_trials is None else F.greatest(F.count(p).over(every), F.lit(n_trials))
-    df = df.withColumn("_n", n).withColumn("_k", F.row_number().over(ordered))
+    df = df.withColumns({"_m": F.count(p).over(every), "_n": n, "_k": F.row_number().over(ordered)})
     if method == "bonferroni":
         value = F.col("_n") * F.col(p)
     elif method == "holm":
         df = df.withColumn("_q", (F.col("_n") - F.col("_k") + 1) * F.col(p))
         value = F.max("_q").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     else:
-        c = F.lit(1.0) if method == "bh" else F.expr("aggregate(sequence(1, cast(_n as int)), 0D, (s, i) -> s + 1D / i)")
-        df = df.withColumn("_q", F.col("_n") * c / F.col("_k") * F.col(p))
-        value = F.least(F.min("_q").over(ordered.rowsBetween(0, Window.unboundedFollowing)), F.when(F.col("_n") > F.count(p).over(every), c))
-    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), value))).drop("_n", "_k", "_q")
+        # the least of a rank and all above it: a running minimum from the last rank down
+        c = F.lit(1.0) if method == "bh" else harmonic(F.col("_n"))
+        df = df.withColumn("_q", F.col("_n") / F.col("_k") * F.col(p))
+        least = F.min("_q").over(every.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)) * c
+        value = F.least(least, F.when(F.col("_n") > F.col("_m"), c))
+    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), value))).drop("_n", "_k", "_q", "_m")
+
+
+def harmonic(n: Column) -> Column:
+    """The harmonic number of n: summed up to 100, beyond that by its expansion, which is exact to 16 digits there."""
+    x = n.cast("double")
+    far = F.log(x) + EULER + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    near = F.get(F.array(*(F.lit(dependency_factor(i)) for i in range(101))), n.cast("int"))
+    return F.when(n <= 100, near).otherwise(far)
 
 
 def adjust(p, method: str = "bhy", n_trials: int | None = None) -> np.ndarray:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.operators.calendars import with_pos
+from crosspanel.operators.calendars import days_of, position, session
 from crosspanel.operators.contracts import fail
 
 DROP_REASONS = ("limit_up", "limit_down", "suspended", "new_stock", "not_tradable")
@@ -49,8 +49,8 @@ def forward_returns(prices: DataFrame, calendar: DataFrame, horizons: list[int],
     enter = "adj_close" if model.entry == "close" else "adj_open"
     leave = f"adj_{model.exit_price}"
     lag = 1 if model.entry == "next_open" else 0
-    df = with_pos(prices.select("date", "asset", *dict.fromkeys((enter, leave, "adj_close"))), calendar)
-    buy = sell = reason = None
+    days = days_of(calendar)
+    df = prices.select("date", "asset", *dict.fromkeys((enter, leave, "adj_close")), position(days, F.col("date")).alias("pos"))
     if tradability is not None:
         has = set(tradability.columns)
         if not has & {"can_buy_open", "suspended"}:
@@ -62,61 +62,62 @@ def forward_returns(prices: DataFrame, calendar: DataFrame, horizons: list[int],
             (F.col("reason_buy") if "reason_buy" in has else F.lit(None).cast("string")).alias("_why"),
         )
         df = df.join(flags, ["date", "asset"], "left")
-    w = Window.partitionBy("asset").orderBy("pos")
+    w, asset = Window.partitionBy("asset").orderBy("pos"), Window.partitionBy("asset")
     at = lambda c, n: F.first(c).over(w.rangeBetween(n, n)) if n else F.col(c)
-    days = F.broadcast(calendar.select(F.col("pos").alias("_p"), F.col("date").alias("_d")))
-    df = df.withColumn("entry_px", at(enter, lag)).withColumn("entry_pos", F.col("pos") + lag)
-    df = df.withColumn("overnight_gap", F.try_divide(F.col("entry_px"), F.col("adj_close")) - 1 if lag else F.lit(0.0))
-    asset = Window.partitionBy("asset")
-    df = df.withColumn("_last_pos", F.max(F.when(F.col(leave).isNotNull(), F.col("pos"))).over(asset))
-    df = df.withColumn("_last_px", F.max_by(leave, F.when(F.col(leave).isNotNull(), F.col("pos"))).over(asset))
-    n = calendar.agg(F.max("pos").alias("n")).first().n
+    # all look-ups first, in one projection: they share the partitioning and the order of one window
+    there = F.when(F.col(leave).isNotNull(), F.col("pos"))
+    seen = {"entry_px": at(enter, lag), "_last_pos": F.max(there).over(asset), "_last_px": F.max_by(leave, there).over(asset)}
+    seen |= {f"_raw_{h}": at(leave, lag + h) for h in horizons}
+    if tradability is not None:
+        seen |= {"_can": F.coalesce(at("_buy", lag), F.lit(False)), "_because": at("_why", lag)}
+    if model.exit_policy != "assume":
+        seen |= {f"_can_{h}": F.coalesce(at("_sell", lag + h), F.lit(False)) for h in horizons}
+    if model.exit_policy == "delay":
+        open_ = F.when(F.coalesce(F.col("_sell"), F.lit(False)) & F.col(leave).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(leave).alias("x")))
+        seen |= {f"_later_{h}": F.min(open_).over(w.rangeBetween(lag + h + 1, lag + h + model.max_delay)) for h in horizons}
+    df = df.withColumns(seen)
     if tradability is None:
         buy = F.col("entry_px").isNotNull()
         reason = F.when(buy, "ok").otherwise("no_price")
     else:
-        df = df.withColumn("_can", F.coalesce(at("_buy", lag), F.lit(False))).withColumn("_because", at("_why", lag))
         buy = F.col("_can") & F.col("entry_px").isNotNull()
         told = F.coalesce(F.col("_because"), F.lit("not_tradable")) if "reason_buy" in tradability.columns else F.when(buy, "ok").otherwise("not_tradable")
         reason = F.when(F.col("entry_px").isNull(), "no_price").otherwise(told)
-    df = df.withColumn("entry_reason", reason).withColumn("entry_tradable", F.lit(True) if model.policy == "mark_only" and tradability is not None else buy)
-    out = ["date", "asset", "entry_date", "entry_px", "overnight_gap", "entry_tradable", "entry_reason"]
+    gap = F.try_divide(F.col("entry_px"), F.col("adj_close")) - 1 if lag else F.lit(0.0)
+    df = df.withColumns({
+        "entry_date": session(days, F.col("pos") + lag), "overnight_gap": gap, "entry_reason": reason,
+        "entry_tradable": F.lit(True) if model.policy == "mark_only" and tradability is not None else buy,
+    })
+    first, second, third = {}, {}, {}
     for h in horizons:
         k = lag + h
-        exit_px, exit_pos = at(leave, k), F.when(F.col("pos") + k <= n, F.col("pos") + k)
-        df = df.withColumn("_raw", exit_px).withColumn("_pos", exit_pos)
-        gone = F.coalesce(F.col("_pos") > F.col("_last_pos"), F.lit(False)) & F.col("_raw").isNull()
-        df = df.withColumn(f"delisted_{h}", gone)
-        px = F.col("_raw")
+        raw, pos = F.col(f"_raw_{h}"), F.when(F.col("pos") + k < len(days), F.col("pos") + k)
+        gone = F.coalesce(pos > F.col("_last_pos"), F.lit(False)) & raw.isNull()
+        px, blocked, moved = raw, F.lit(False), F.lit(False)
         if model.delist_policy != "nan":
-            cut = 1.0 if model.delist_policy == "last_price" else 1.0 + model.delist_return
-            px = F.when(F.col(f"delisted_{h}"), F.col("_last_px") * cut).otherwise(px)
-        df = df.withColumn("_px", px).withColumn("_blocked", F.lit(False)).withColumn("_moved", F.lit(False))
+            px = F.when(gone, F.col("_last_px") * (1.0 if model.delist_policy == "last_price" else 1.0 + model.delist_return)).otherwise(px)
         if model.exit_policy != "assume":
-            can = F.coalesce(at("_sell", k), F.lit(False)) & F.col("_px").isNotNull()
-            df = df.withColumn("_blocked", ~can & ~F.col(f"delisted_{h}"))
-            if model.exit_policy == "delay":
-                open_ = F.when(F.coalesce(F.col("_sell"), F.lit(False)) & F.col(leave).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(leave).alias("x")))
-                later = F.min(open_).over(w.rangeBetween(k + 1, k + model.max_delay))
-                df = df.withColumn("_later", later).withColumn("_moved", F.col("_blocked") & F.col("_later").isNotNull())
-                df = df.withColumn("_px", F.when(F.col("_moved"), F.col("_later.x")).otherwise(F.col("_px")))
-                df = df.withColumn("_pos", F.when(F.col("_moved"), F.col("_later.p")).otherwise(F.col("_pos")))
-                df = df.withColumn("_blocked", F.col("_blocked") & ~F.col("_moved")).drop("_later")
-        fwd = F.try_divide(F.col("_px"), F.col("entry_px")) - 1
-        keep = F.col("entry_tradable") & fwd.isNotNull() & ~F.col("_blocked")
-        df = df.withColumns({
+            blocked = ~(F.col(f"_can_{h}") & px.isNotNull()) & ~gone
+        if model.exit_policy == "delay":
+            later = F.col(f"_later_{h}")
+            moved = blocked & later.isNotNull()
+            px, pos = F.when(moved, later["x"]).otherwise(px), F.when(moved, later["p"]).otherwise(pos)
+            blocked = blocked & ~moved
+        first |= {f"delisted_{h}": gone, f"_px_{h}": px, f"_blocked_{h}": blocked, f"exit_delayed_{h}": moved, f"exit_date_{h}": session(days, pos)}
+        fwd = F.try_divide(F.col(f"_px_{h}"), F.col("entry_px")) - 1
+        second |= {f"_fwd_{h}": fwd, f"tradable_{h}": F.col("entry_tradable") & fwd.isNotNull() & ~F.col(f"_blocked_{h}")}
+        keep, fwd = F.col(f"tradable_{h}"), F.col(f"_fwd_{h}")
+        third |= {
             f"forward_return_{h}": F.when(keep, fwd), f"overnight_gap_{h}": F.when(keep, F.col("overnight_gap")),
-            f"total_return_{h}": F.when(keep, (1 + fwd) * (1 + F.col("overnight_gap")) - 1), f"tradable_{h}": keep,
-            f"exit_missing_{h}": F.col("entry_px").isNotNull() & F.col("_raw").isNull(),
-            f"exit_blocked_{h}": F.col("_blocked") & F.col("entry_tradable") & fwd.isNotNull(), f"exit_delayed_{h}": F.col("_moved"),
-            f"delist_dropped_{h}": F.col(f"delisted_{h}") & F.col("_px").isNull(),
-            f"exit_pos_{h}": F.col("_pos"),
-        })
+            f"total_return_{h}": F.when(keep, (1 + fwd) * (1 + F.col("overnight_gap")) - 1),
+            f"exit_missing_{h}": F.col("entry_px").isNotNull() & raw.isNull(),
+            f"exit_blocked_{h}": F.col(f"_blocked_{h}") & F.col("entry_tradable") & fwd.isNotNull(),
+            f"delist_dropped_{h}": F.col(f"delisted_{h}") & F.col(f"_px_{h}").isNull(),
+        }
+    out = ["date", "asset", "entry_date", "entry_px", "overnight_gap", "entry_tradable", "entry_reason"]
+    for h in horizons:
         out += [f"{x}_{h}" for x in ("forward_return", "overnight_gap", "total_return", "exit_date", "tradable", "delisted", "exit_missing", "exit_blocked", "exit_delayed", "delist_dropped")]
-    named = {"entry_date": "entry_pos"} | {f"exit_date_{h}": f"exit_pos_{h}" for h in horizons}
-    for name, pos in named.items():
-        df = df.join(days.withColumnRenamed("_p", pos).withColumnRenamed("_d", name), pos, "left")
-    return df.select(*out)
+    return df.withColumns(first).withColumns(second).withColumns(third).select(*out)
 
 
 def return_ledger(returns: DataFrame, horizons: list[int]) -> DataFrame:

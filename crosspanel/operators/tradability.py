@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.xsec import numpy_round
-from crosspanel.operators.calendars import validate_dates
+from crosspanel.operators.calendars import days_of, position, position_after, validate_dates
 
 # Rules of the exchanges.
 BOARD_RATIO = {"main": 0.10, "star": 0.20, "gem": 0.20, "bse": 0.30}
@@ -72,19 +72,12 @@ def listed_days(df: DataFrame, calendar: DataFrame | None) -> DataFrame:
     if calendar is None:
         known = F.when(F.col("list_date").isNotNull(), days)
     else:
-        first = F.broadcast(calendar.agg(F.min("date").alias("_first"), F.max("pos").alias("_last")))
-        at = F.broadcast(calendar.select(F.col("date").alias("date"), F.col("pos").alias("_pos")))
+        sessions = days_of(calendar)
         # the session a listing falls on, or the next one
-        lists = df.select("list_date").distinct()
-        starts = calendar.select(F.col("date").alias("_d"), F.col("pos").alias("_p"))
-        w = Window.orderBy(F.col("_d")).rowsBetween(0, Window.unboundedFollowing)
-        marks = starts.unionByName(lists.select(F.col("list_date").alias("_d"), F.lit(None).cast("int").alias("_p")))
-        found = marks.where("_d is not null").groupBy("_d").agg(F.min("_p").alias("_p")).withColumn("_start", F.min("_p").over(w))
-        df = df.join(F.broadcast(found.select(F.col("_d").alias("list_date"), "_start")), "list_date", "left").join(at, "date", "left").join(first)
-        inside = F.col("_pos") - F.col("_start") + 1
-        known = F.when(F.col("list_date") >= F.col("_first"), inside).when(F.col("list_date").isNotNull(), days)
-    df = df.withColumn("listed_days", F.coalesce(known, by_row).cast("int")).withColumn("listed_days_known", F.col("list_date").isNotNull())
-    return df.drop("_start", "_pos", "_first", "_last")
+        inside = position(sessions, F.col("date")) - position_after(sessions, F.date_sub("list_date", 1)) + 1
+        known = F.when(F.col("list_date") >= F.lit(sessions[0]), inside) if sessions else F.when(F.lit(False), F.lit(0))
+        known = known.when(F.col("list_date").isNotNull(), days)
+    return df.withColumns({"listed_days": F.coalesce(known, by_row).cast("int"), "listed_days_known": F.col("list_date").isNotNull()})
 
 
 def compute_tradability(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,19 +20,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly prices by supplier, from order lines; sums are decimal, so they don't depend on order."""
+    """Monthly prices by supplier, from order lines; sums are of whole numbers, so they don't depend on order.
+
+    Every branch of a query works on this panel, so it is kept once made, in memory and on disk beyond that; a second
+    query finds it again.
+    """
     line = read(spark, sf_dir, "lineitem")
-    dec = lambda c, t: F.col(c).cast(t)
+    # amounts of two digits as whole cents and percents: sums of longs are exact, and cheaper than those of wide decimals
+    whole = lambda c: F.rint(F.col(c) * 100).cast("long")
     t = line.select(
-        F.trunc(F.col("l_shipdate").cast("date"), "month").alias("date"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("asset"),
-        dec("l_extendedprice", "decimal(12,2)").alias("p"), dec("l_quantity", "decimal(12,2)").alias("q"), dec("l_discount", "decimal(4,2)").alias("dsc"),
-        (F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))).alias("u"),
+        F.trunc(F.col("l_shipdate").cast("date"), "month").alias("date"), "l_suppkey", whole("l_extendedprice").alias("p"),
+        whole("l_quantity").alias("q"), whole("l_discount").alias("dsc"), (F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))).alias("u"),
+    )
+    a = t.groupBy("date", "l_suppkey").agg(
+        F.sum("p").alias("p"), F.sum(F.col("p") * (100 - F.col("dsc"))).alias("net"), F.sum("q").alias("q"), F.max("u").alias("mx"), F.min("u").alias("mn"), F.count("*").alias("n"),
     )
-    a = t.groupBy("date", "asset").agg(
-        (F.sum("p").cast("double") / F.sum("q").cast("double")).alias("c"), (F.sum(F.col("p") * (1 - F.col("dsc"))).cast("double") / F.sum("q").cast("double")).alias("o"),
-        F.max("u").alias("mx"), F.min("u").alias("mn"), F.sum("q").cast("double").alias("volume"), F.count("*").alias("n"),
+    volume = F.col("q").cast("double") / 100
+    c, o = F.col("p").cast("double") / 100 / volume, F.col("net").cast("double") / 10000 / volume
+    raw = a.select(
+        "date", F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("asset"), o.alias("raw_open"), F.greatest(F.col("mx"), o, c).alias("raw_high"),
+        F.least(F.col("mn"), o, c).alias("raw_low"), c.alias("raw_close"), volume.alias("volume"), "n",
     )
-    raw = a.select("date", "asset", F.col("o").alias("raw_open"), F.greatest("mx", "o", "c").alias("raw_high"), F.least("mn", "o", "c").alias("raw_low"), F.col("c").alias("raw_close"), "volume", "n")
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
     return raw.withColumns({"adj_factor": F.lit(1.0)} | {f"adj_{k}": F.col(f"raw_{k}") for k in ("open", "high", "low", "close")})
 
 
@@ -78,7 +88,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xdxr(prices: DataFrame, calendar: DataFrame) -> DataFrame:
     """Ex-rights events made up from the panel: every twelfth month."""
     key = F.col("asset").cast("int")
-    at = prices.select("date", "asset").join(F.broadcast(calendar), "date").where(F.col("pos") % 12 == 6)
+    at = calendars.with_pos(prices.select("date", "asset"), calendar).where(F.col("pos") % 12 == 6)
     return at.select("date", "asset", F.lit(1).alias("category"), (0.1 * (key % 5)).alias("fenhong"), F.lit(0.0).alias("peigu"), F.lit(0.0).alias("peigujia"), (1.0 + key % 3).alias("songzhuangu"))
 
 

@@ -17,12 +17,12 @@ def _q(*names: str) -> str:
 
 @query("ic", sql(RANKED_SQL, f"SELECT date, CAST(horizon AS BIGINT) AS horizon, {_q('ic')}, n FROM ic"))
 def ic_query(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(ic.information_coefficient(P.sample(spark, d)))
+    return tidy(ic.information_coefficient(P.sample(spark, d), complete=True))
 
 
 @query("ic_pearson", sql(DATA_SQL, "SELECT date, CAST(horizon AS BIGINT) AS horizon, round(corr(factor, r), 6) + 0.0 AS ic, count(*) AS n FROM long GROUP BY date, horizon"))
 def ic_pearson(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(ic.information_coefficient(P.sample(spark, d), method="pearson"))
+    return tidy(ic.information_coefficient(P.sample(spark, d), method="pearson", complete=True))
 
 
 _SUMMARY = """SELECT CAST(horizon AS BIGINT) AS horizon, n, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(mean / nullif(std, 0), 6) + 0.0 AS icir, round(mean / nullif(std, 0) * sqrt(n), 6) + 0.0 AS t_naive,
@@ -32,13 +32,13 @@ _SUMMARY = """SELECT CAST(horizon AS BIGINT) AS horizon, n, round(mean, 6) + 0.0
 
 @query("ic_decay", sql(RANKED_SQL, _SUMMARY))
 def ic_decay(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(ic.ic_decay(P.sample(spark, d)))
+    return tidy(ic.ic_decay(P.sample(spark, d), complete=True))
 
 
 @query("rolling_ic", sql(RANKED_SQL, """SELECT date, CAST(horizon AS BIGINT) AS horizon, round(CASE WHEN count(ic) OVER w >= 10 THEN avg(ic) OVER w END, 6) + 0.0 AS rolling_ic FROM ic
   WINDOW w AS (PARTITION BY horizon ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"""))
 def rolling(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(ic.rolling_ic(ic.information_coefficient(P.sample(spark, d)), window=12))
+    return tidy(ic.rolling_ic(ic.information_coefficient(P.sample(spark, d), complete=True), window=12))
 
 
 @query("rank_autocorrelation", sql(DATA_SQL, """, pd AS (SELECT date, row_number() OVER (ORDER BY date) p FROM (SELECT DISTINCT date FROM data)), x AS (SELECT date, p, asset, factor FROM data JOIN pd USING (date)),

@@ -56,7 +56,7 @@ def regress(spark: SparkSession, d: str) -> DataFrame:
 _TWO = DATA_SQL + """,
 mm AS (SELECT date, count(*) n, covar_pop(forward_return_1, factor) ya, covar_pop(forward_return_1, ln_volume) yb, var_pop(factor) aa, var_pop(ln_volume) bb, covar_pop(factor, ln_volume) ab,
   avg(forward_return_1) my, avg(factor) ma, avg(ln_volume) mb FROM data GROUP BY date),
-bt AS (SELECT *, (ya * bb - yb * ab) / nullif(aa * bb - ab * ab, 0) b1, (yb * aa - ya * ab) / nullif(aa * bb - ab * ab, 0) b2 FROM mm WHERE n >= 10)"""
+bt AS (SELECT *, CASE WHEN n >= 10 THEN (ya * bb - yb * ab) / nullif(aa * bb - ab * ab, 0) END b1, CASE WHEN n >= 10 THEN (yb * aa - ya * ab) / nullif(aa * bb - ab * ab, 0) END b2 FROM mm)"""
 
 
 @query("regression_two", sql(_TWO, """SELECT date, regressor, round(coef, 6) + 0.0 AS coef, n FROM (SELECT date, 'const' regressor, my - b1 * ma - b2 * mb coef, n FROM bt UNION ALL SELECT date, 'factor', b1, n FROM bt
@@ -87,7 +87,7 @@ def fama_macbeth(spark: SparkSession, d: str) -> DataFrame:
 
 @query("newey_west", sql(RANKED_SQL + _nw("ic", "horizon", "ic", "k"), f"SELECT CAST(k AS BIGINT) AS horizon, {_NW_COLUMNS}, round(t_naive / t_nw, 6) + 0.0 AS t_inflation FROM nw"))
 def newey_west(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(inference.newey_west_summary(ic.information_coefficient(P.sample(spark, d))))
+    return tidy(inference.newey_west_summary(ic.information_coefficient(P.sample(spark, d), complete=True)))
 
 
 _P = PX_SQL + """,
