@@ -574,28 +574,61 @@ def test_language_fitting_sample_is_bounded(spark):
 # exact search
 
 
+def brute_top(rows, k=5):
+    """(query_id, rank, vec_id, score) for every fiftieth id, by whole numbers."""
+    whole = list(dict.fromkeys((i, tuple(math.floor(256 * v) for v in x)) for i, x in rows if i is not None and x and all(v is not None and math.isfinite(v) for v in x)))
+    out = []
+    for q in whole:
+        if q[0] % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(q[1], x[1], strict=True)), x[0]) for x in whole if x != q and len(x[1]) == len(q[1]))[:k]
+            out += [(q[0], r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    return sorted(out)
+
+
 def test_cover_tree(spark):
     rng = np.random.default_rng(8)
     points = rng.normal(size=(400, 6))
     points[50:120] = points[3]
-    rows = [(i, [float(v) for v in x]) for i, x in enumerate(points)] + [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (None, [1.0] * 6), (403, [0.5] * 3), (450, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"block": F.lit(1), "score": F.lit(2)})
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(cover_tree.top_k(df, lambda v: v % 50 == 0, least_blocks=3, query_rows=4)))
-    whole = np.floor(256 * points).astype(np.int64)
-    want = []
-    for q in range(0, 400, 50):
-        s = whole @ whole[q]
-        order = [i for i in np.lexsort((np.arange(400), -s)) if i != q][:5]
-        want += [(q, k + 1, int(i), int(s[i])) for k, i in enumerate(order)]
-    assert got == sorted(want)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(points)]
+    rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (None, [1.0] * 6), (403, [0.5] * 3), (450, []), (500, [0.25] * 3), (403, [0.5] * 3)]
+    rows += [(50, [2.0] * 6), (7, [3.0] * 6), (7, [3.0] * 6), (8, [1e6, -3e6, 2e6, 0.5, 1e5, 7.0]), (100, [2e6, 1e6, 0.25, -1e6, 3e5, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"block": F.lit(1), "score": F.lit(2), "own": F.lit(3)})
+    for settings in (cover_tree.Settings(), cover_tree.Settings(block_rows=30, query_rows=4, sample_rows=20, pivots=5, leaf=4, fan_out=6), cover_tree.Settings(sample_rows=1)):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(cover_tree.top_k(df, lambda v: v % 50 == 0, settings)))
+        assert got == brute_top(rows)
     assert cover_tree.top_k(df.limit(0), lambda v: v % 50 == 0).count() == 0
+    long = spark.createDataFrame([(0, [3e12, 3e12]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        cover_tree.top_k(long, lambda v: v % 50 == 0).collect()
 
 
-def test_cover_tree_prunes():
+def clusters():
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(40, 3)) * 1000
-    rows = np.floor(np.repeat(centres, 100, 0) + rng.normal(size=(4000, 3)))
-    scores, ids, scored = cover_tree.search(rows[::2], np.arange(0, 4000, 2), rows, np.arange(4000), 5)
+    return np.floor(np.repeat(centres, 100, 0) + rng.normal(size=(4000, 3)))
+
+
+def test_cover_tree_prunes():
+    rows, ids, own = clusters(), np.arange(4000), np.arange(4000)
+    scores, _, have, scored = cover_tree.search(rows[::2], ids[::2], own[::2], np.full(2000, -np.inf), rows, ids, own, cover_tree.Settings())
     exact = rows[::2] @ rows.T
     exact[np.arange(2000), np.arange(0, 4000, 2)] = -np.inf
-    assert np.array_equal(scores, -np.sort(-exact, axis=1)[:, :5]) and scored < 0.5 * 2000 * 4000
+    assert have.all() and np.array_equal(scores, -np.sort(-exact, axis=1)[:, :5]) and scored < 0.5 * 2000 * 4000
+
+
+def test_cover_tree_keeps_its_invariants():
+    rows = clusters()
+    tree = cover_tree.CoverTree(rows, cover_tree.Settings(leaf=8))
+    inner = [i for i, c in enumerate(tree.children) if len(c)]
+    assert len(inner) > 10
+    for i in inner:
+        below = tree.children[i]
+        levels = {tree.level[c] for c in below}
+        assert len(levels) == 1 and (level := levels.pop()) < tree.level[i]
+        assert tree.centres[below[0]] == tree.centres[i]  # nesting
+        away = np.linalg.norm(tree.centre[below][:, None] - tree.centre[below][None], axis=2)
+        assert away[~np.eye(len(below), dtype=bool)].min() > cover_tree.BASE**level  # separation
+        assert [tree.span[below[0]][0], tree.span[below[-1]][1]] == list(tree.span[i])
+    for i, (begin, end) in enumerate(tree.span):
+        away = np.linalg.norm(rows[tree.order[begin:end]] - tree.centre[i], axis=1)
+        assert away.max() <= tree.radius[i] + 1e-9 and (i == 0 or tree.radius[i] <= cover_tree.BASE ** tree.level[i] + 1e-9)  # covering
