@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and runs in one process."""
     found = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"a cluster needs a shared folder: set {SHARED}")
         found = "file://" + tempfile.mkdtemp(prefix="crosspanel-")
         spark.conf.set(SHARED, found)
     return found

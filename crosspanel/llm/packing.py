@@ -5,7 +5,9 @@
 2. Packing depends on lengths alone, so it is worked out on the histogram of piece lengths, which has at most
    `capacity` entries however many documents there are. Bins that hold the same lengths are one pattern with a count:
    best fit, largest first, fills them; then a local search exchanges one piece for one, two for one, or moves a
-   piece between underfull bins wherever that increases squared fill, until bins empty.
+   piece between underfull bins wherever that increases squared fill, until bins empty. It ends where the bins are as
+   few as their tokens allow, where nothing is gained any more, or after a stated effort; every state of it is a packing
+   of all pieces.
 3. Pieces of each length are numbered across the data (per-partition counts, then offsets) and take the places that
    the patterns hold for that length, by binary search in a table as small as the patterns are.
 
@@ -20,6 +22,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,9 +41,11 @@ class Settings:
 
     capacity: int = 2048
     end_id: int = 0
-    #: Rounds without a gain after which the search stops.
+    #: Rounds without a gain after which the search stops, and most rounds.
     patience: int = 3
     rounds: int = 60
+    #: Takers looked at in all, after which the search stops too: what bounds its time on the driver.
+    effort: int = 2_000_000
 
 
 def encoder(ranks_path: str, pattern: str, special: dict[str, int]):
@@ -142,19 +147,18 @@ def improve(bins: Bins, settings: Settings) -> None:
     taken from the emptiest up as givers; each gives pieces to the fullest bins that a move, a one-for-one or a
     two-for-one exchange brings nearer to full. A step applies to as many bins of both patterns as there are.
     """
-    capacity = bins.capacity
-    idle = 0
+    capacity, idle, left = bins.capacity, 0, [settings.effort]
+    total = sum(sum(p) * n for p, n in bins.count.items())
     for _ in range(settings.rounds):
-        total = sum(sum(p) * n for p, n in bins.count.items())
         if sum(bins.count.values()) <= -(-total // capacity):
             return
         changed = False
-        givers = sorted((p for p in bins.count if sum(p) < capacity), key=sum)[: 4 * capacity]
+        givers = sorted((p for p in bins.count if sum(p) < capacity), key=sum)
         # the emptier half first; the rest too once that half has nothing left to give
         for giver in givers if idle else givers[: max(1, len(givers) // 2)]:
             if giver not in bins.count:
                 continue
-            step = _step(bins, giver)
+            step = _step(bins, giver, left)
             if step:
                 changed = True
                 taker, giver_new, taker_new = step
@@ -163,19 +167,31 @@ def improve(bins: Bins, settings: Settings) -> None:
                 bins.add(taker, -n)
                 bins.add(giver_new, n)
                 bins.add(taker_new, n)
+            if left[0] <= 0:
+                return
         idle = 0 if changed else idle + 1
         if idle >= settings.patience:
             return
 
 
-def _step(bins: Bins, giver: tuple[int, ...]) -> tuple | None:
+@lru_cache(maxsize=20_000)
+def _pairs(pattern: tuple[int, ...]) -> set[tuple[int, int]]:
+    """Pairs of a pattern's pieces that differ; at most 63 lengths that differ fit in a pattern of 2048."""
+    own = sorted(Counter(pattern).items())
+    return {(a, b) for i, (a, _) in enumerate(own) for b, _ in own[i + 1 :]} | {(a, a) for a, n in own if n > 1}
+
+
+def _step(bins: Bins, giver: tuple[int, ...], left: list[int]) -> tuple | None:
     """The gain that leaves a taker fullest: (taker, giver's new pattern, taker's new pattern)."""
     fill, capacity = sum(giver), bins.capacity
-    ones = sorted(set(giver), reverse=True)
+    ones, twos = sorted(set(giver), reverse=True), _pairs(giver)
     for room in sorted(r for r in bins.by_room if 0 < r and capacity - r >= fill):
         for taker in list(bins.by_room[room]):
             if taker == giver and bins.count[giver] < 2:
                 continue
+            left[0] -= 1
+            if left[0] < 0:
+                return None
             best = None
             for x in ones:  # move
                 if x <= room and (best is None or x > best[0]):
@@ -186,13 +202,11 @@ def _step(bins: Bins, giver: tuple[int, ...]) -> tuple | None:
                     gain = x - y
                     if 0 < gain <= room and (best is None or gain > best[0]):
                         best = (gain, (x,), (y,))
-            pairs = {(a, b) for i, a in enumerate(taker) for b in taker[i + 1 :]} if len(taker) <= 24 else set()
-            for a, b in pairs:  # two of the taker's for one of the giver's
+            for a, b in _pairs(taker):  # two of the taker's for one of the giver's
                 for x in ones:
                     gain = x - a - b
                     if 0 < gain <= room and (best is None or gain > best[0]):
                         best = (gain, (x,), (a, b))
-            twos = {(a, b) for i, a in enumerate(giver) for b in giver[i + 1 :]} if len(giver) <= 24 else set()
             for a, b in twos:  # two of the giver's for one of the taker's
                 for y in own:
                     gain = a + b - y

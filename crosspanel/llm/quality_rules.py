@@ -22,11 +22,14 @@ SYMBOLS = "#*$%&|<>"
 ENDINGS = ".!?:;,…。！？\"'”’»)]"
 #: Signs between the entries of menus and breadcrumbs.
 SEPARATORS = "|»›•·>→/"
-#: Phrases of notices that belong to a site and not to its text.
+#: Phrases of notices that belong to a site and not to its text, in English, German, French and Spanish.
 NOTICES = (
     "all rights reserved", "copyright ©", "cookie policy", "privacy policy", "terms of use", "terms of service",
     "lorem ipsum", "enable javascript", "licensed under the", "sign in to", "log in to", "click here to",
     "subscribe to our", "share on facebook", "powered by", "skip to content",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookie-richtlinie", "allgemeine geschäftsbedingungen", "zum inhalt springen", "newsletter abonnieren",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "politique de cookies", "conditions d'utilisation", "aller au contenu", "abonnez-vous à",
+    "todos los derechos reservados", "aviso legal", "política de privacidad", "política de cookies", "términos de uso", "saltar al contenido", "suscríbete a",
 )
 
 SCHEMA = (
@@ -44,7 +47,8 @@ class LineRules:
     window: int = 5
     #: Symbols, and marks repeated in a row, for each word of a line.
     max_symbols_per_word: float = 0.25
-    #: A line of at least so many words must end as a sentence does, unless it is the last of its paragraph.
+    #: A line of at least so many words must end as a sentence does, unless it is the last of its paragraph or the
+    #: next line goes on in lower case.
     sentence_words: int = 8
     #: Stand-alone separators among the words of a line.
     max_separator_share: float = 0.2
@@ -56,7 +60,7 @@ class LineRules:
 
 
 _RUN = re.compile(r"[!?.,]{2,}")
-_NOTICE = re.compile("|".join(map(re.escape, NOTICES)), re.IGNORECASE)
+_NOTICE = re.compile("|".join(map(re.escape, NOTICES)))
 
 
 def repeated_words(words: list[bytes], window: int = 5) -> int:
@@ -82,8 +86,8 @@ def duplicate_lines(lines: list[str]) -> int:
 
 
 def line_fails(line: str, rules: LineRules) -> str | None:
-    """The first rule that a line with words fails: symbols, navigation, boilerplate, capitals or punctuation."""
-    n = len(line.split())
+    """The first rule that a line with words fails, taken by itself: symbols, navigation, boilerplate, capitals or punctuation."""
+    n = len(words_of(line))
     marks = sum(map(line.count, SYMBOLS))
     if "!!" in line or "??" in line or "..." in line or ",," in line:
         marks += len(_RUN.findall(line))
@@ -92,9 +96,9 @@ def line_fails(line: str, rules: LineRules) -> str | None:
         return "navigation"
     if marks > rules.max_symbols_per_word * n:
         return "symbols"
-    if _NOTICE.search(line):
-        return "boilerplate"
     lowered = line.lower()
+    if _NOTICE.search(lowered):
+        return "boilerplate"
     if lowered != line:
         capitals = sum(map(str.isupper, line))
         if capitals >= rules.capital_letters and capitals > rules.max_capital_share * sum(map(str.isalpha, line)):
@@ -112,13 +116,15 @@ def judge(text: str | None, rules: LineRules) -> tuple:
     word_chars = len(text) - sum(map(text.count, BLANKS))
     n_repeat = repeated_words(words, rules.window)
     failed = len(words) < rules.min_words or 100 * n_repeat > rules.max_repeat_percent * len(words)
-    passed, bad, last = [], 0, len(lines) - 1
+    passed, bad = [], 0
     for at, line in enumerate(lines):
         if not line.strip(BLANKS):
             continue
         why = line_fails(line, rules)
-        if why == "punctuation" and at == last:
-            why = None  # a text may break off
+        if why == "punctuation":
+            after = lines[at + 1].strip(BLANKS) if at + 1 < len(lines) else ""
+            if not after or after[0].islower():  # a paragraph may break off, and a sentence may go on
+                why = None
         if why:
             bad += 1
         else:

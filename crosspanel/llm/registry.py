@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import compression_quality, cover_tree, html_text, language_crf, minhash_forest, mixing, packing, ppm, quality_rules, token_counts
+from crosspanel.llm import compression_quality, cover_tree, html_text, language_crf, minhash_forest, mixing, oracles, packing, ppm, quality_rules, token_counts
 from crosspanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,4 +83,8 @@ QUERIES: dict[str, Query] = {
     "op10_cover_tree": op10_cover_tree,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.quality_rules_sql(),
+    "op6_minhash_forest": oracles.SIMILAR_DOCUMENTS,
+    "op10_cover_tree": oracles.TOP_K,
+}

@@ -74,6 +74,12 @@ def test_quality_rules_verdict(spark):
     for text, kept in ((good, True), (good.upper(), False), ("Home | About | News | Contact | Help | More\n" "one | two | three | four | five | six", False), (good.replace(" ", "$$$ "), False)):
         assert quality_rules.judge(text, rules)[6] is kept
     assert quality_rules.judge(good + "\nAll rights reserved by the owner.", rules)[-1] == good
+    wrapped = "This is a long sentence that somebody has wrapped by hand\nafter some sixty characters, as mail programs and old\nweb pages used to do. It ends here.\n\nA second paragraph that just breaks off after quite a few words"
+    assert quality_rules.judge(wrapped, rules)[6] and quality_rules.judge(wrapped + "\n", rules)[6] and quality_rules.judge(wrapped + "\n\n", rules)[6]
+    listed = "\n".join(f"Entry number {i} of a list of links without any end mark" for i in "abcdefgh")
+    assert not quality_rules.judge(listed, rules)[6]
+    for notice in ("Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "Copyright © 2020."):
+        assert quality_rules.judge(good + "\n" + notice, rules)[-1] == good
     labelled = documents(spark).join(table(spark, SF, "labels"), "doc_id")
     found = quality_rules.clean_lines(labelled).select("doc_id", "kept", "base_failed").join(table(spark, SF, "labels"), "doc_id").where("not base_failed").toPandas()
     assert (found.kept == (found.quality == 1)).mean() > 0.95
@@ -250,6 +256,22 @@ def test_packing(spark):
     assert packing.pack(odd(spark).limit(0), **registry.packing_vocabulary()).count() == 0
 
 
+def test_ranks_give_the_ids_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(**registry.packing_vocabulary()).encode
+    rng = random.Random(8)
+    texts = [r.text or "" for r in table(spark, "/root/testdata/sf0.1", "documents").select("text").collect()]
+    ranges = ((0, 0x250), (0x370, 0x600), (0x900, 0xE00), (0x2000, 0x2C00), (0x3000, 0xA000), (0xAC00, 0xD7A4), (0xE000, 0x10000), (0x1F000, 0x20000), (0, 0x80))
+    for _ in range(20_000):
+        text = "".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randint(0, 40)))
+        texts.append(text.replace("a", rng.choice(("<|endoftext|>", "  ", "'s", "\r\n", "\u00a0", "123"))))
+    for at in range(0, len(texts), 1000):
+        some = texts[at : at + 1000]
+        assert [x.ids for x in library.encode_batch(some, add_special_tokens=False)] == [encode(x, allowed_special="all") for x in some]
+
+
 def test_swaps_never_lose_a_piece():
     rng = np.random.default_rng(5)
     for n in (1, 40, 900):
@@ -263,6 +285,18 @@ def test_swaps_never_lose_a_piece():
             for x in pattern:
                 held[x] += k
         assert held == lengths and sum(bins.count.values()) <= before
+    # the search gains where lengths fit badly, and ends after its effort
+    lengths = Counter(np.random.default_rng(5).integers(500, 900, 600).tolist())
+    bins, few = packing.best_fit(lengths, 2048), packing.best_fit(lengths, 2048)
+    start = sum(bins.count.values())
+    packing.improve(bins, packing.Settings())
+    packing.improve(few, packing.Settings(effort=50))
+    assert sum(bins.count.values()) < start and sum(few.count.values()) <= start
+    # pairs count in bins of very many pieces too: the giver's 7 goes for two 3s
+    bins = packing.Bins(200)
+    for p in ((1,) * 193 + (3, 3), (7, 90)):
+        bins.add(tuple(sorted(p)), 1)
+    assert packing._step(bins, (7, 90), [10]) is not None
     # best fit leaves three bins here; exchanges reach two
     bins = packing.Bins(10)
     for p in ((6, 3), (4, 4), (3,)):
@@ -632,3 +666,20 @@ def test_cover_tree_keeps_its_invariants():
     for i, (begin, end) in enumerate(tree.span):
         away = np.linalg.norm(rows[tree.order[begin:end]] - tree.centre[i], axis=1)
         assert away.max() <= tree.radius[i] + 1e-9 and (i == 0 or tree.radius[i] <= cover_tree.BASE ** tree.level[i] + 1e-9)  # covering
+
+
+# SQL twins
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, SF)
+    columns = ", ".join(f'"{c}"' for c in sorted(got.columns))
+    cell = lambda v: f"{v:.9f}" if isinstance(v, float) else str(v)
+    want = con.sql(f"SELECT {columns} FROM ({registry.ORACLES[name]})").fetchall()
+    assert sorted(tuple(map(cell, r)) for r in got.select(*sorted(got.columns)).collect()) == sorted(tuple(map(cell, r)) for r in want)
