@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +19,17 @@ from crosspanel.functions.xsec import clean_number
 from crosspanel.operators.contracts import fail
 
 NORMAL = NormalDist()
-EULER = 0.5772156649015329
 METHODS = ("bonferroni", "holm", "bh", "bhy")
 
+# Euler's constant, and where a conclusion turns.
+EULER = 0.5772156649015329
+#: Probability of a Sharpe ratio beyond luck; |t| of a slope that counts as decay; sessions a year.
+DSR_LEVEL, DECAY_T, YEAR = 0.95, 2.0, 252
+#: Least p that counts, periods and independent periods, inflation of the naive t.
+ALPHA, FEW_PERIODS, FEW_INDEPENDENT, INFLATED = 0.05, 20, 10, 1.5
+#: Costs to gross return, dropped to all rows, and parts that agree, that a verdict warns of.
+COSTLY, MOSTLY_DROPPED, UNSTABLE = 0.3, 0.5, 0.5
+
 
 # dependent series ---------------------------------------------------------------------------------------------------
 
@@ -33,11 +42,11 @@ def auto_lags(n: int, horizon: int = 1) -> int:
 
 
 def nw_variance(x, lags: int | None = None, horizon: int = 1) -> float:
-    """Long-run variance with Bartlett weights, all autocovariances over T - 1, never below the plain variance."""
+    """Long-run variance with Bartlett weights, all autocovariances over T - 1, never below the plain variance; NaN below three values."""
     x = np.asarray(x, float)
     x = x[np.isfinite(x)]
     n = len(x)
-    if n < 2:
+    if n < 3:
         return float("nan")
     d = x - x.mean()
     lags = min(auto_lags(n, horizon) if lags is None else lags, max(0, n - 2))
@@ -112,9 +121,29 @@ def dependency_factor(n: int) -> float:
     return sum(1 / i for i in range(1, n + 1))
 
 
-def p_from_t(t: float) -> float:
-    """Two-sided normal p."""
-    return math.erfc(abs(t) / math.sqrt(2)) if math.isfinite(t) else float("nan")
+def p_from_t(t: float, df: float | None = None) -> float:
+    """Two-sided p of a t value: normal, or of Student's distribution with `df` degrees of freedom."""
+    if not math.isfinite(t) or (df is not None and not df > 0):
+        return float("nan")
+    if df is None or math.isinf(df):
+        return math.erfc(abs(t) / math.sqrt(2))
+    return _incomplete_beta(df / 2, 0.5, df / (df + t * t))
+
+
+def _incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function: its continued fraction, worked out from the back."""
+    if x in (0.0, 1.0):
+        return x
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _incomplete_beta(b, a, 1 - x)
+    tail = 1.0
+    for m in range(200, 0, -1):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        tail = 1 + even / (1 + odd / tail)
+    first = -(a + b) * x / (a + 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    return front / (1 + first / tail)
 
 
 def t_threshold(n_trials: int, alpha: float = 0.05) -> float:
@@ -182,6 +211,17 @@ def adjust(p, method: str = "bhy", n_trials: int | None = None) -> np.ndarray:
     return out
 
 
+def adjusted_table(p, labels: list[str] | None = None, t=None, method: str = "bhy", n_trials: int | None = None) -> pd.DataFrame:
+    """label, t if given, p_raw, p_adj and whether either is significant, by p. attrs: method, n_trials and the |t| they ask for."""
+    p, n = np.asarray(p, float), max(n_trials or 0, len(p))
+    fixed = adjust(p, method, n_trials)
+    columns = {"label": labels if labels is not None else [f"h{i}" for i in range(len(p))]} | ({} if t is None else {"t": np.asarray(t, float)})
+    out = pd.DataFrame(columns | {"p_raw": p, "p_adj": fixed, "significant_raw": p < ALPHA, "significant_adj": fixed < ALPHA})
+    out = out.sort_values("p_raw", kind="stable", ignore_index=True)
+    out.attrs = {"method": method, "n_trials": n, "t_threshold": t_threshold(n) if n else float("nan")}
+    return out
+
+
 def bonferroni(p) -> np.ndarray:
     """min(1, n p)."""
     return adjust(p, "bonferroni")
@@ -244,18 +284,23 @@ class DSRResult:
     expected_max: float
     n_trials: int
     n: int
+    skew: float = float("nan")
+    kurt: float = float("nan")
+    #: Variance of the Sharpe ratio over the trials, per period.
+    variance: float = float("nan")
 
     @property
     def significant(self) -> bool:
         """Beyond what luck among the trials explains."""
-        return self.dsr > 0.95
+        return self.dsr > DSR_LEVEL
 
 
 def dsr(returns, n_trials: int, variance: float | None = None, per_year: float = 252.0, benchmark: float = 0.0) -> DSRResult:
     """Deflated Sharpe ratio: the probability against the best of n trials without skill."""
-    sr, n, _, _ = _moments(returns)
-    best = expected_max_sharpe(n_trials, sharpe_variance(sr, n) if variance is None else variance)
-    return DSRResult(sr * math.sqrt(per_year), psr(returns, benchmark), psr(returns, benchmark + best), best * math.sqrt(per_year), n_trials, n)
+    sr, n, skew, kurt = _moments(returns)
+    variance = sharpe_variance(sr, n) if variance is None else variance
+    best = expected_max_sharpe(n_trials, variance)
+    return DSRResult(sr * math.sqrt(per_year), psr(returns, benchmark), psr(returns, benchmark + best), best * math.sqrt(per_year), n_trials, n, skew, kurt, variance)
 
 
 def min_track_record_length(returns, n_trials: int, target: float = 0.95, variance: float | None = None) -> float:
@@ -277,46 +322,66 @@ def subsample_stability(series, n_splits: int = 2, min_obs: int = 5) -> dict:
     if len(x) < n_splits * min_obs:
         return {"same_sign": None, "chunk_means": [], "n": len(x)}
     means = [float(c.mean()) for c in np.array_split(x, n_splits)]
-    return {"same_sign": float(np.mean(np.sign(means) == np.sign(x.mean()))), "chunk_means": means, "n": len(x)}
+    same = float(np.mean(np.sign(means) == np.sign(x.mean()))) if x.mean() else float("nan")
+    return {"same_sign": same, "chunk_means": means, "n": len(x)}
 
 
 def decay_test(series, lags: int | None = None, horizon: int = 1) -> dict:
-    """Slope over time with a standard error that allows for dependence, and the half life of a falling level."""
+    """Slope over time, its t with and without allowance for dependence, and the half life of a falling level.
+
+    `decaying` is None where nothing was tested (fewer than eight periods).
+    """
     x = np.asarray(series, float)
     x = x[np.isfinite(x)]
-    n = len(x)
+    n, nan = len(x), float("nan")
+    out = {"slope": nan, "t_nw": nan, "t_naive": nan, "annual_slope": nan, "decaying": None, "half_life": None, "n": n, "lags": 0, "vif": nan}
     if n < 8:
-        return {"slope": float("nan"), "t": float("nan"), "decaying": None, "half_life": None, "n": n}
-    t = np.arange(n) - (n - 1) / 2
-    sxx = float(t @ t)
-    slope = float(t @ x) / sxx
-    residual = x - x.mean() - slope * t
-    se = math.sqrt(n * nw_variance(t * residual, lags, horizon) / sxx**2)
-    z = slope / se if se > 0 else float("nan")
-    level = x.mean()
-    toward = level != 0 and slope * level < 0
-    return {"slope": slope, "t": z, "decaying": bool(toward and abs(z) > 1.96), "half_life": abs(level / 2 / slope) if toward else None, "n": n}
-
-
-def perturb_series(series, *, mode: str = "subsample", n_draws: int = 200, frac: float = 0.8, seed: int = 0, tol: float = 0.5) -> dict:
-    """Seeded redraws of a series' mean: how often its sign holds, how often it stays within `tol` of it, and its 5-95 % range."""
+        return out
+    time = np.arange(n) - (n - 1) / 2
+    spread = float(time @ time)
+    slope = float(time @ x) / spread
+    left = x - x.mean() - slope * time
+    used = auto_lags(n, horizon) if lags is None else lags
+    robust = math.sqrt(n * nw_variance(time * left, used)) / spread
+    plain = math.sqrt(float(left @ left) / (n - 2) / spread)
+    t_nw, t_naive = (slope / se if se > 0 else nan for se in (robust, plain))
+    falls = slope < 0
+    return out | {
+        "slope": slope, "t_nw": t_nw, "t_naive": t_naive, "annual_slope": YEAR * slope, "decaying": bool(falls and abs(t_nw) > DECAY_T),
+        "half_life": abs(float(x.mean()) / slope) if falls and x.mean() else None, "lags": int(used), "vif": variance_inflation(x, used),
+    }
+
+
+def _redraws(x: np.ndarray, mode: str, n_draws: int, size: int, seed: int) -> np.ndarray:
+    """A row of values for each redraw."""
+    rng = np.random.default_rng(seed)
+    if mode == "bootstrap":
+        return x[rng.integers(len(x), size=(n_draws, size))]
+    return rng.permuted(np.tile(x, (n_draws, 1)), axis=1)[:, :size]
+
+
+def perturb_series(series, *, mode: str = "subsample", n_draws: int = 200, frac: float = 0.8, seed: int = 0, tol: float = 0.5, agg=np.mean) -> dict:
+    """Seeded redraws of a series, each put through `agg`: how often the sign holds, how often that and within `tol` of it, 5-95 % range."""
     x = np.asarray(series, float)
     x = x[np.isfinite(x)]
-    if len(x) < 5:
-        fail("robustness", "too_short", f"{len(x)} periods, 5 needed")
     if mode not in ("subsample", "bootstrap"):
         fail("robustness", "bad_mode", f"{mode!r} is neither subsample nor bootstrap")
-    rng, size, base = np.random.default_rng(seed), max(2, int(round(len(x) * frac))), x.mean()
-    draws = np.array([x[rng.choice(len(x), size, replace=mode == "bootstrap")].mean() for _ in range(n_draws)])
-    near = np.abs(draws - base) <= tol * abs(base)
-    return {"base": float(base), "same_sign": float(np.mean(np.sign(draws) == np.sign(base))), "within_tol": float(near.mean()),
-            "p5": float(np.quantile(draws, 0.05)), "p95": float(np.quantile(draws, 0.95)), "mode": mode, "frac": frac, "n": len(x)}
+    if not 0 < frac <= 1:
+        fail("robustness", "bad_frac", f"{frac} is not in (0, 1]")
+    if len(x) < 5:
+        fail("robustness", "too_short", f"{len(x)} periods, 5 needed")
+    base = float(agg(x))
+    found = np.apply_along_axis(agg, 1, _redraws(x, mode, n_draws, max(2, round(len(x) * frac)), seed)).astype(float)
+    same = (np.sign(found) == np.sign(base)) & (base != 0)
+    near = same & (np.abs(found - base) <= tol * abs(base))
+    low, high = np.quantile(found, [0.05, 0.95])
+    return {"mode": mode, "frac": frac, "n": len(x), "base": base, "mean": float(found.mean()), "p5": float(low), "p95": float(high),
+            "same_sign": float(same.mean()), "within_tol": float(near.mean()), "draws": found}
 
 
 def pfs(series, **settings) -> float:
     """Share of redraws that keep the sign and stay near."""
-    found = perturb_series(series, **settings)
-    return min(found["same_sign"], found["within_tol"])
+    return perturb_series(series, **settings)["within_tol"]
 
 
 def robustness_report(series, *, modes=("subsample", "bootstrap"), n_draws: int = 200, fracs=(0.5, 0.7, 0.9), seed: int = 0, tol: float = 0.5) -> list[dict]:
@@ -385,11 +450,19 @@ class Estimate:
     p_adj: float
     n_trials: int | None = None
     warnings: list[str] = field(default_factory=list)
+    horizon: int = 1
+    lags: int = 0
+    method: str = "none"
 
     @property
     def significant(self) -> bool:
         """After adjustment only."""
-        return self.p_adj < 0.05
+        return self.p_adj < ALPHA
+
+    @property
+    def inflation(self) -> float:
+        """How many times too large the naive t is."""
+        return abs(self.t_naive / self.t_nw) if self.t_nw else float("nan")
 
 
 def estimate_from_series(series, name: str = "RankIC", horizon: int = 1, lags: int | None = None, n_trials: int | None = None, method: str = "bhy", all_p: list[float] | None = None) -> Estimate:
@@ -398,11 +471,10 @@ def estimate_from_series(series, name: str = "RankIC", horizon: int = 1, lags: i
     p = p_from_t(s["t_nw"])
     ps = list(all_p or []) + [p]
     p_adj = float(adjust(ps, method, n_trials)[-1]) if math.isfinite(p) else float("nan")
-    out = Estimate(name, s["mean"], s["t_naive"], s["t_nw"], s["n"], s["n_eff"], p, p_adj, n_trials)
-    inflation = abs(s["t_naive"] / s["t_nw"]) if s["t_nw"] else float("nan")
+    out = Estimate(name, s["mean"], s["t_naive"], s["t_nw"], s["n"], s["n_eff"], p, p_adj, n_trials, horizon=horizon, lags=s["lags"], method=method)
     for bad, text in (
-        (s["n"] < 20, f"only {s['n']} periods"), (s["n_eff"] < 10, f"worth {s['n_eff']:.1f} independent periods"),
-        (inflation >= 1.5, f"the naive t is {inflation:.1f} times too large"), (p < 0.05 <= p_adj, "not significant once the trials are counted"),
+        (s["n"] < FEW_PERIODS, f"only {s['n']} periods"), (s["n_eff"] < FEW_INDEPENDENT, f"worth {s['n_eff']:.1f} independent periods"),
+        (out.inflation >= INFLATED, f"the naive t is {out.inflation:.1f} times too large"), (p < ALPHA <= p_adj, "not significant once the trials are counted"),
         (bool(n_trials) and n_trials > s["n"], "more trials than periods"),
     ):
         if bad:
@@ -410,6 +482,13 @@ def estimate_from_series(series, name: str = "RankIC", horizon: int = 1, lags: i
     return out
 
 
+def estimates_table(estimates: list[Estimate]) -> pd.DataFrame:
+    """A row an estimate: what it is, what it rests on, and whether it holds before and after adjustment."""
+    names = ("name", "horizon", "mean", "t_naive", "t_nw", "inflation", "n", "n_eff", "lags", "p_raw", "p_adj", "n_trials", "method", "significant")
+    rows = [{x: getattr(e, x) for x in names} | {"significant_naive": p_from_t(e.t_naive) < ALPHA, "warnings": "; ".join(e.warnings)} for e in estimates]
+    return pd.DataFrame(rows, columns=[*names, "significant_naive", "warnings"])
+
+
 @dataclass
 class Verdict:
     """What may be concluded, and what speaks against it."""
@@ -418,22 +497,61 @@ class Verdict:
     gross: float | None
     net: float | None
     warnings: list[str]
-
-
-def assess(estimates: list[Estimate], returns=None, turnover=None, cost_bps: float = 15.0, dropped_share: float | None = None, stability: float | None = None, n_trials: int | None = None) -> Verdict:
-    """The first estimate is the main one; gross and net compound the returns, net less the cost of turnover both ways."""
-    warnings = [w for e in estimates[:1] for w in e.warnings]
-    gross = net = None
+    estimates: list[Estimate] = field(default_factory=list)
+    #: Summed cost of all periods.
+    cost: float | None = None
+    n_trials: int | None = None
+    method: str = "none"
+    #: The |t| that the trials ask for.
+    threshold_used: float | None = None
+    #: Rows kept over all rows.
+    tradable_ratio: float | None = None
+    stability: float | None = None
+    #: Tail statistics that go with the verdict, as they were given.
+    crash: object = None
+
+
+def _estimates_of(ic: DataFrame, horizon: int | None, n_trials: int | None, method: str) -> list[Estimate]:
+    """An estimate for each horizon of (date, horizon, ic), adjusted among each other; the horizon asked for comes first."""
+    series: dict[int, list[float]] = {}
+    for r in ic.where(F.col("ic").isNotNull()).orderBy("horizon", "date").select("horizon", "ic").collect():
+        series.setdefault(r.horizon, []).append(r.ic)
+    if not any(math.isfinite(v) for values in series.values() for v in values):
+        fail("verdict", "empty_ic", "there is no period with an IC to judge by")
+    p = {h: p_from_t(nw_tstat(x, horizon=h)["t_nw"]) for h, x in series.items()}
+    others = lambda h: [v for k, v in p.items() if k != h and math.isfinite(v)]
+    return [
+        estimate_from_series(series[h], f"RankIC {h}", h, n_trials=n_trials, method=method, all_p=others(h)) for h in sorted(series, key=lambda h: (h != horizon, h))
+    ]
+
+
+def assess(
+    estimates: list[Estimate] | None = None, returns=None, turnover=None, cost_bps: float = 15.0, dropped_share: float | None = None, stability: float | None = None,
+    n_trials: int | None = None, *, ic: DataFrame | None = None, ledger=None, method: str = "bhy", horizon: int | None = None, crash=None,
+) -> Verdict:
+    """The first estimate is the main one; gross and net compound the returns, net less the cost of turnover both ways.
+
+    Without estimates they come from `ic` (date, horizon, ic). `ledger` is a cleaned sample with its account.
+    """
+    if estimates is None:
+        estimates = _estimates_of(ic, horizon, n_trials, method) if ic is not None else []
+    if ledger is not None and dropped_share is None:
+        n, dropped = ledger.rows.agg(F.count("*"), F.count("drop_reason")).first()
+        dropped_share = dropped / n if n else None
+    out = Verdict(
+        estimates[0] if estimates else None, None, None, [w for e in estimates[:1] for w in e.warnings], list(estimates), n_trials=n_trials,
+        method=method if n_trials else "none", threshold_used=t_threshold(n_trials) if n_trials else None,
+        tradable_ratio=None if dropped_share is None else 1 - dropped_share, stability=stability, crash=crash,
+    )
     if returns is not None:
         r = np.nan_to_num(np.asarray(returns, float))
         cost = np.nan_to_num(np.asarray(turnover, float)) * 2 * cost_bps / 1e4 if turnover is not None else np.zeros(len(r))
-        gross, net = float(np.prod(1 + r) - 1), float(np.prod(1 + r - cost) - 1)
-        if gross > 0 and gross - net > 0.3 * gross:
-            warnings.append("costs take more than 30 % of the gross return")
-    if dropped_share is not None and dropped_share > 0.5:
-        warnings.append("more than half of the rows were dropped")
-    if stability is not None and stability < 0.5:
-        warnings.append("most parts of the sample disagree in sign")
-    if n_trials is None:
-        warnings.append("the number of trials is unknown")
-    return Verdict(estimates[0] if estimates else None, gross, net, warnings)
+        out.gross, out.net, out.cost = float(np.prod(1 + r) - 1), float(np.prod(1 + r - cost) - 1), float(cost.sum())
+    told = (
+        (out.cost is not None and out.cost > 0 and out.cost > COSTLY * abs(out.gross), "costs take more than 30 % of the gross return"),
+        (dropped_share is not None and dropped_share > MOSTLY_DROPPED, "more than half of the rows were dropped"),
+        (stability is not None and stability < UNSTABLE, "most parts of the sample disagree in sign"),
+        (n_trials is None, "the number of trials is unknown"),
+    )
+    out.warnings += [text for bad, text in told if bad and text not in out.warnings]
+    return out

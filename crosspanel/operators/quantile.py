@@ -89,6 +89,21 @@ def double_sort(data: DataFrame, by: str, n_by: int = 5, n: int = 5, method: str
     return out.withColumn("missing", missing).withColumns({"n_periods": F.coalesce("n_periods", F.lit(0)), "n_obs": F.coalesce("n_obs", F.lit(0))}).drop("_all")
 
 
+def double_sort_monotonicity(data: DataFrame, by: str, n_by: int = 5, n: int = 5, method: str = "independent", horizons: list[int] | None = None) -> DataFrame:
+    """by_quantile, horizon, spearman of factor bin and mean of the periods' mean returns; NULL below three bins.
+
+    by_quantile 0 pools all outer bins, as `quantile_stats` does.
+    """
+    horizons = horizons_of(data, horizons)
+    labelled = quantize(data, n, by, method, n_by=n_by).dropna(subset=["by_quantile", "factor_quantile"])
+    returns = labelled.groupBy("date", "by_quantile", "factor_quantile").agg(*(F.avg(f"forward_return_{h}").alias(f"forward_return_{h}") for h in horizons))
+    long = stacked(returns, ["date", "by_quantile", "factor_quantile"], {"r": {h: f"forward_return_{h}" for h in horizons}}, "horizon")
+    both = long.withColumn("by_quantile", F.explode(F.array(F.lit(0), F.col("by_quantile").cast("int"))))
+    means = both.groupBy("by_quantile", "horizon", "factor_quantile").agg(F.avg("r").alias("m")).where("m is not null")
+    ranked = average_rank(means, "m", ["by_quantile", "horizon"], "_r")
+    return ranked.groupBy("by_quantile", "horizon").agg(correlation(F.col("factor_quantile").cast("double"), F.col("_r")).alias("spearman"))
+
+
 def double_sort_frame(cells: DataFrame, horizon: int, n: int) -> DataFrame:
     """by_quantile against factor_quantile, one horizon."""
     return cells.where(F.col("horizon") == horizon).groupBy("by_quantile").pivot("factor_quantile", list(range(1, n + 1))).agg(F.first("mean"))

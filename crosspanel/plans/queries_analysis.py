@@ -106,6 +106,13 @@ b2 AS (SELECT date, bq, greatest(1, len(list_filter(es2, lambda e: factor > e)))
 cl AS (SELECT date, bq, fq, avg(r) r, count(*) c FROM b2 GROUP BY ALL)"""
 
 
+@query("double_sort_monotonicity", sql(_SORT, """, mm AS (SELECT bq, fq, avg(r) m FROM cl GROUP BY bq, fq UNION ALL SELECT 0, fq, avg(r) FROM cl GROUP BY fq),
+  rk AS (SELECT *, rank() OVER (PARTITION BY bq ORDER BY m) + (count(*) OVER (PARTITION BY bq, m) - 1) / 2.0 k FROM mm)
+  SELECT CAST(bq AS BIGINT) AS by_quantile, CAST(1 AS BIGINT) AS horizon, CASE WHEN count(*) >= 3 AND min(k) < max(k) THEN round(corr(fq, k), 6) + 0.0 END AS spearman FROM rk GROUP BY bq"""))
+def double_sort_monotonicity(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(quantile.double_sort_monotonicity(P.sample(spark, d, True), "ln_volume", 3, 3, "conditional", [1]))
+
+
 @query("double_sort", sql(_SORT, """SELECT CAST(bq AS BIGINT) AS by_quantile, CAST(fq AS BIGINT) AS factor_quantile, round(avg(r), 6) + 0.0 AS mean, count(r) AS n_periods, CAST(sum(c) AS BIGINT) AS n_obs FROM cl GROUP BY bq, fq"""))
 def double_sort(spark: SparkSession, d: str) -> DataFrame:
     out = quantile.double_sort(P.sample(spark, d, True), "ln_volume", 3, 3, "conditional", [1])

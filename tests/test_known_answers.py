@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crosspanel.operators import adjust, calendars, clean, contracts, event, group, health, ic, inference, parity, portfolio, preprocess, quantile, regression, returns, tail, tradability
+from crosspanel.operators import (
+    adjust, asof, calendars, clean, contracts, event, group, health, ic, inference, parity, portfolio, preprocess, quantile, regression, returns, tail, tradability,
+)
 from crosspanel.operators.contracts import ContractError
 from crosspanel.operators.ledger import ResearchLedger
 
@@ -239,6 +241,76 @@ def test_stability():
     assert inference.decay_test([1, 2, 3])["decaying"] is None
     assert inference.perturb_series(np.ones(10) + np.arange(10) * 0.01)["same_sign"] == 1.0
     assert len(inference.robustness_report(np.arange(20.0))) == 6
+    assert math.isnan(inference.subsample_stability([1.0, -1.0] * 10)["same_sign"]) and math.isnan(inference.nw_variance([1.0, 2.0]))
+    assert inference.perturb_series(np.arange(1.0, 30), agg=np.median, mode="bootstrap")["base"] == 15.0
+
+
+def test_decay():
+    rng, t = np.random.default_rng(7), np.arange(240)
+    found = inference.decay_test(0.08 - 0.0006 * t + rng.normal(0, 0.02, 240))
+    assert found["decaying"] is True and found["t_nw"] < -10 and 0.5 < found["t_nw"] / found["t_naive"] < 2
+    assert found["annual_slope"] == pytest.approx(252 * found["slope"]) and found["half_life"] > 0
+    assert inference.decay_test(np.random.default_rng(8).normal(0.03, 0.02, 300))["decaying"] is False
+    rising = inference.decay_test(-0.08 + 0.0006 * t)  # a negative level that fades rises, which is no decay
+    assert rising["decaying"] is False and rising["half_life"] is None
+    assert math.isfinite(inference.decay_test(np.arange(10.0))["slope"]) and math.isnan(inference.decay_test(np.arange(5.0))["slope"])
+
+
+def test_p_of_student():
+    assert inference.p_from_t(2.0, 10) == pytest.approx(0.073388, abs=1e-6) and inference.p_from_t(-12.706205, 1) == pytest.approx(0.05, abs=1e-6)
+    assert inference.p_from_t(0.0, 5) == pytest.approx(1.0) and inference.p_from_t(1.5, 1e6) == pytest.approx(inference.p_from_t(1.5), abs=1e-5)
+    assert math.isnan(inference.p_from_t(1.0, 0))
+
+
+def test_tables_of_hypotheses_and_estimates():
+    table = inference.adjusted_table([0.04, 0.001], ["a", "b"], t=[2.1, 3.3], method="bonferroni", n_trials=10)
+    assert list(table.label) == ["b", "a"] and list(table.p_adj) == pytest.approx([0.01, 0.4]) and list(table.significant_adj) == [True, False]
+    assert table.attrs["n_trials"] == 10 and table.attrs["t_threshold"] == pytest.approx(inference.t_threshold(10))
+    one = inference.estimate_from_series(np.random.default_rng(1).normal(0.1, 0.1, 60), "x", 3, n_trials=4)
+    rows = inference.estimates_table([one, one])
+    assert len(rows) == 2 and rows.horizon[0] == 3 and rows.lags[0] >= 2 and inference.estimates_table([]).empty
+
+
+def test_verdict(spark):
+    loser = inference.assess([], returns=[-0.001] * 100, turnover=[0.5] * 100, n_trials=4)
+    assert "costs take more than 30 % of the gross return" in loser.warnings and loser.cost == pytest.approx(0.15)
+    assert loser.threshold_used == pytest.approx(2.498, abs=1e-3) and loser.method == "bhy"
+    rng = np.random.default_rng(2)
+    ic = spark.createDataFrame([(i, h, float(v)) for h in (1, 5) for i, v in enumerate(rng.normal(0.05, 0.1, 60))], "date int, horizon int, ic double")
+    found = inference.assess(ic=ic, horizon=5, n_trials=2, crash={"hit_rate": 0.1})
+    assert found.main.horizon == 5 and len(found.estimates) == 2 and found.crash == {"hit_rate": 0.1}
+    px = prices(spark, [(d, f"{a:06d}", 10.0 + a + i, 10.0 + a + i) for i, d in enumerate(DAYS) for a in range(5)])
+    sample = clean.clean(px.select("date", "asset", F.col("raw_open").alias("factor")), returns.forward_returns(px, cal(spark), [1]))
+    assert inference.assess([], ledger=sample).tradable_ratio == pytest.approx(0.8)
+    with pytest.raises(ValueError, match="empty_ic|no period"):
+        inference.assess(ic=ic.where("ic is null"))
+
+
+def test_intervals_do_not_depend_on_row_order(spark):
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    spans = [("a", day(0), day(10), 1), ("a", day(3), day(5), 2), ("a", day(8), None, 3), ("b", day(2), day(4), 4), ("b", day(6), day(5), 9)]
+    left = [(k, day(n), n) for k in "abc" for n in range(-1, 14)] + [("a", None, 99)]
+    want = set()
+    for k, at, n in left:
+        held = [(s, v) for key, s, e, v in spans if key == k and at is not None and s <= at <= (e or day(9999))]
+        want.add((k, n, max(held)[1] if held else None))
+    s = spark.createDataFrame(spans, "key string, start date, end date, v int")
+    rows = spark.createDataFrame(left, "key string, at date, n int")
+    for parts in (1, 3, 7):
+        got = asof.interval_join(rows.repartition(parts), s, ["key"], "at", "start", "end", ["v"])
+        assert got.columns == ["key", "at", "n", "v"] and {(r.key, r.n, r.v) for r in got.collect()} == want
+
+
+def test_calendar_look_ups(spark):
+    days = [dt.date(2024, 1, 2), dt.date(2024, 1, 5), dt.date(2024, 1, 9)]
+    probe = spark.range(-3, 12).select(F.date_add(F.lit(days[0]), F.col("id").cast("int")).alias("d"))
+    got = probe.select("d", calendars.position(days, F.col("d")).alias("p"), calendars.position_after(days, F.col("d")).alias("a")).collect()
+    for r in got:
+        assert r.p == (days.index(r.d) if r.d in days else None)
+        assert r.a == next((i for i, x in enumerate(days) if x > r.d), None)
+    back = spark.range(-1, 5).select("id", calendars.session(days, F.col("id")).alias("d")).collect()
+    assert [r.d for r in back] == [None, *days, None, None]
+    assert probe.select(calendars.position([], F.col("d")).alias("p")).where("p is not null").count() == 0
 
 
 def test_clean_ledger_balances(spark):
