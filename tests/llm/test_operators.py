@@ -591,8 +591,8 @@ def test_forward_backward_equals_enumeration():
 
 def test_language_fitting_sample_is_bounded(spark):
     row = "a sentence of plain words that goes on and on "
-    docs = spark.range(3000).select(F.lit(5).alias("doc_id"), F.concat(F.lit(row), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
-    docs = docs.unionByName(spark.createDataFrame([(9, "ein Satz aus schlichten Worten " * 5000, "de"), (9, "x" * 50_000, "de"), (None, None, "de"), (3, "t", None)], docs.schema))
+    docs = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit(row), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionByName(spark.createDataFrame([(9, "ein Satz aus schlichten Worten " * 5000, "de"), (9, "x" * 50_000, "de"), (None, None, "de"), (3, "t", None)], "doc_id long, text string, lang string"))
     seen = {}
     fitted = language_crf.fit_model
     try:
