@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.functions.order_statistics import quantiles
 from crosspanel.functions.xsec import quantile_bin
 from crosspanel.operators.calendars import days_of, position, session
 from crosspanel.operators.contracts import KEYS, fail
@@ -69,8 +70,10 @@ def align_event_windows(
 def event_summary(windows: DataFrame, value: str = "car", lags: int | None = None) -> DataFrame:
     """rel_day, n, mean, median, hit_rate, std, t_naive, and t_nw over calendar days, on which events cluster."""
     x = F.col(value)
-    out = windows.groupBy("rel_day").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.avg((x > 0).cast("double")).alias("hit_rate"), F.stddev_samp(x).alias("std"))
-    out = out.withColumn("t_naive", F.try_divide(F.col("mean") * F.sqrt("n"), F.col("std")))
+    out = windows.groupBy("rel_day").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.avg((x > 0).cast("double")).alias("hit_rate"), F.stddev_samp(x).alias("std"))
+    middle = quantiles(windows, value, ["rel_day"], {"median": 0.5})
+    out = out.join(F.broadcast(middle), "rel_day", "left").withColumn("t_naive", F.try_divide(F.col("mean") * F.sqrt("n"), F.col("std")))
+    out = out.select("rel_day", "n", "mean", "median", "hit_rate", "std", "t_naive")
     daily = windows.groupBy("rel_day", F.col("rel_date").alias("date")).agg(F.avg(x).alias("_v"))
     nw = nw_summary(daily, ["rel_day"], "_v", lags=lags).select("rel_day", "t_nw", F.col("n").alias("n_days"))
     return out.join(F.broadcast(nw), "rel_day")

@@ -6,42 +6,75 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.functions.order_statistics import counted_ranks, quantiles
 from crosspanel.functions.xsec import average_rank
 from crosspanel.operators.contracts import KEYS, fail
 
 
-def _sections(by_date: bool) -> list[str]:
-    return ["date"] if by_date else []
-
-
 def winsorize(panel: DataFrame, column: str = "factor", method: str = "mad", n: float = 3.0, limits: tuple[float, float] = (0.01, 0.99), by_date: bool = True) -> DataFrame:
-    """Clip to median +- n * 1.4826 * MAD, to mean +- n standard deviations, or to linear quantiles, section by section."""
-    w = Window.partitionBy(*_sections(by_date))
+    """Clip to median +- n * 1.4826 * MAD, to mean +- n standard deviations, or to linear quantiles, section by section.
+
+    With by_date=False, over the whole table: its bounds are aggregates of one row, looked up by every row.
+    """
+    if method not in ("mad", "sigma", "quantile"):
+        fail("preprocess", "bad_method", f"{method!r} is none of mad, sigma, quantile")
     x = F.col(column)
+    if not by_date:
+        low, high = _pooled_bounds(panel, column, method, n, limits)
+        return panel.withColumn(column, F.when(x.isNotNull() & low.isNotNull(), F.greatest(low, F.least(high, x))).otherwise(x))
+    w = Window.partitionBy("date")
     if method == "mad":
         df = panel.withColumn("_mid", F.percentile(x, F.lit(0.5)).over(w))
         df = df.withColumn("_half", F.percentile(F.abs(x - F.col("_mid")), F.lit(0.5)).over(w) * 1.4826 * n)
     elif method == "sigma":
         df = panel.withColumn("_mid", F.avg(x).over(w)).withColumn("_half", F.stddev_samp(x).over(w) * n)
-    elif method == "quantile":
+    else:
         q = F.percentile(x, F.array(F.lit(limits[0]), F.lit(limits[1]))).over(w)
         df = panel.withColumn("_q", q).withColumn("_mid", (F.col("_q")[0] + F.col("_q")[1]) / 2).withColumn("_half", (F.col("_q")[1] - F.col("_q")[0]) / 2)
-    else:
-        fail("preprocess", "bad_method", f"{method!r} is none of mad, sigma, quantile")
     low, high = (F.col("_q")[0], F.col("_q")[1]) if method == "quantile" else (F.col("_mid") - F.col("_half"), F.col("_mid") + F.col("_half"))
     usable = (F.count(x).over(w) >= 2) & (F.lit(True) if method == "quantile" else F.col("_half") > 0)
     clipped = F.when(x.isNotNull(), F.greatest(low, F.least(high, x)))
     return df.withColumn(column, F.when(usable, clipped).otherwise(x)).select(*panel.columns)
 
 
+def _pooled_bounds(panel: DataFrame, column: str, method: str, n: float, limits: tuple[float, float]) -> tuple[Column, Column]:
+    """Bounds of the whole column as constants, missing where it isn't to be clipped: two values, whatever the table's size."""
+    x = F.col(column)
+    if method == "quantile":
+        found = quantiles(panel, column, [], {"low": limits[0], "high": limits[1]}).first()
+        size = panel.agg(F.count(x)).first()[0]
+        low, high = (found["low"], found["high"]) if size >= 2 else (None, None)
+    else:
+        if method == "mad":
+            mid = quantiles(panel, column, [], {"mid": 0.5}).first()["mid"]
+            off = panel.select(F.abs(x - F.lit(mid).cast("double")).alias("off"))
+            size, half = panel.agg(F.count(x)).first()[0], quantiles(off, "off", [], {"half": 0.5}).first()["half"]
+            half = None if half is None else half * 1.4826 * n
+        else:
+            size, mid, sd = panel.agg(F.count(x), F.avg(x), F.stddev_samp(x)).first()
+            half = None if sd is None else sd * n
+        low, high = (mid - half, mid + half) if size >= 2 and half and half > 0 else (None, None)
+    return F.lit(low).cast("double"), F.lit(high).cast("double")
+
+
 def standardize(panel: DataFrame, column: str = "factor", method: str = "zscore", by_date: bool = True) -> DataFrame:
-    """zscore (a constant section stays), rank ((average rank - 0.5) / n) or demean, section by section."""
-    keys = _sections(by_date)
-    w = Window.partitionBy(*keys)
+    """zscore (a constant section stays), rank ((average rank - 0.5) / n) or demean, section by section or over the whole table."""
+    if method not in ("zscore", "rank", "demean"):
+        fail("preprocess", "bad_method", f"{method!r} is none of zscore, rank, demean")
     x = F.col(column)
+    if not by_date:
+        if method == "rank":
+            places = counted_ranks(panel, column, []).select(F.col(column).alias("_v"), ((F.col("_lo") + F.col("_c") / 2) / F.col("_n")).alias("_p"))
+            return panel.join(places, x == F.col("_v"), "left").withColumn(column, F.col("_p")).select(*panel.columns)
+        mean, sd = panel.agg(F.avg(x), F.stddev_samp(x)).first()
+        if method == "demean":
+            return panel.withColumn(column, x - F.lit(mean).cast("double"))
+        return panel.withColumn(column, (x - mean) / sd) if sd else panel
+    keys = ["date"]
+    w = Window.partitionBy(*keys)
     if method == "zscore":
         sd = F.stddev_samp(x).over(w)
         return panel.withColumn("_sd", sd).withColumn("_m", F.avg(x).over(w)).withColumn(
@@ -50,9 +83,7 @@ def standardize(panel: DataFrame, column: str = "factor", method: str = "zscore"
     if method == "rank":
         ranked = average_rank(panel, column, keys, "_r").withColumn("_n", F.count(x).over(w))
         return ranked.withColumn(column, (F.col("_r") - 0.5) / F.col("_n")).select(*panel.columns)
-    if method == "demean":
-        return panel.withColumn(column, x - F.avg(x).over(w))
-    return fail("preprocess", "bad_method", f"{method!r} is none of zscore, rank, demean")
+    return panel.withColumn(column, x - F.avg(x).over(w))
 
 
 def neutralize(panel: DataFrame, column: str = "factor", exposures: list[str] | None = None, groups: str | None = None, min_obs: int = 10) -> DataFrame:

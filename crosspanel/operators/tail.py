@@ -1,17 +1,20 @@
-"""Tail risk: order statistics by window rank, never interpolated where the definition isn't."""
+"""Tail risk: exact order statistics, never interpolated where the definition isn't.
+
+Pooled tails come from counted ranks, which no group's size holds up; a section (one date's assets) is ranked in a window.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.functions.order_statistics import at_rank, counted_ranks, lowest_mean, quantile_at
 from crosspanel.functions.xsec import horizons_of, stacked, tail_size
 from crosspanel.operators.inference import nw_summary
 
 
 def _ranked(df: DataFrame, keys: list[str], value: str, level: float) -> DataFrame:
     """Non-missing values with _k (tail size of their group), _r (rank from below) and _cut (the k-th smallest)."""
-    keys = keys or [F.lit(0)]
     group = Window.partitionBy(*keys)
     out = df.where(F.col(value).isNotNull()).withColumn("_k", tail_size(F.count(value).over(group), level))
     out = out.withColumn("_r", F.row_number().over(group.orderBy(value)))
@@ -21,25 +24,30 @@ def _ranked(df: DataFrame, keys: list[str], value: str, level: float) -> DataFra
 def tail_risk(df: DataFrame, value: str, keys: list[str] | None = None, level: float = 0.05, mar: float = 0.0) -> DataFrame:
     """keys, n, value_at_risk (the k-th smallest), cvar (mean of the k smallest), downside_deviation, tail_ratio."""
     keys = keys or []
-    x = F.col(value)
-    low = F.when(x < mar, (x - mar) * (x - mar))
-    q = F.percentile(x, F.array(F.lit(level), F.lit(1 - level)))
-    out = _ranked(df, keys, value, level).groupBy(*keys).agg(
-        F.count(x).alias("n"), F.first("_cut").alias("value_at_risk"), F.avg(F.when(F.col("_r") <= F.col("_k"), x)).alias("cvar"),
-        F.when(F.count(low) >= 2, F.sqrt(F.avg(low))).alias("downside_deviation"), q.alias("_q"),
+    x, rows = F.col(value), F.col("_c")
+    k = tail_size(F.col("_n"), level)
+    low = F.when(x < mar, (x - mar) * (x - mar) * rows)
+    losses = F.sum(F.when(x < mar, rows))
+    out = counted_ranks(df, value, keys).groupBy(*keys).agg(
+        F.coalesce(F.sum(rows), F.lit(0)).alias("n"), at_rank(x, k - 1).alias("value_at_risk"), lowest_mean(x, k).alias("cvar"),
+        F.when(losses >= 2, F.sqrt(F.sum(low) / losses)).alias("downside_deviation"),
+        F.abs(F.try_divide(quantile_at(x, 1 - level), quantile_at(x, level))).alias("tail_ratio"),
     )
-    return out.withColumn("tail_ratio", F.abs(F.try_divide(F.col("_q")[1], F.col("_q")[0]))).drop("_q")
+    return out
 
 
 def crash_stats(df: DataFrame, value: str, keys: list[str] | None = None, level: float = 0.05, threshold: float | None = None) -> DataFrame:
     """keys, n, cut, hits, hit_rate, mean_crash, cvar: values at or below an absolute threshold, or the k-th smallest."""
     keys = keys or []
-    x = F.col(value)
-    cut = F.col("_cut") if threshold is None else F.lit(float(threshold))
-    hit = x <= cut
-    return _ranked(df, keys, value, level).groupBy(*keys).agg(
-        F.count(x).alias("n"), F.first(cut).alias("cut"), F.count_if(hit).alias("hits"), F.avg(hit.cast("double")).alias("hit_rate"),
-        F.avg(F.when(hit, x)).alias("mean_crash"), F.avg(F.when(F.col("_r") <= F.col("_k"), x)).alias("cvar"),
+    x, rows = F.col(value), F.col("_c")
+    k = tail_size(F.col("_n"), level)
+    # at or below the k-th smallest: every value of which fewer than k lie below
+    hit = F.col("_lo") < k if threshold is None else x <= F.lit(float(threshold))
+    cut = at_rank(x, k - 1) if threshold is None else F.lit(float(threshold))
+    hits = F.coalesce(F.sum(F.when(hit, rows)), F.lit(0))
+    return counted_ranks(df, value, keys).groupBy(*keys).agg(
+        F.coalesce(F.sum(rows), F.lit(0)).alias("n"), cut.alias("cut"), hits.alias("hits"), F.try_divide(hits, F.sum(rows)).alias("hit_rate"),
+        F.try_divide(F.sum(F.when(hit, x * rows)), hits).alias("mean_crash"), lowest_mean(x, k).alias("cvar"),
     )
 
 

@@ -184,3 +184,9 @@ def redundancy(spark: SparkSession, d: str) -> DataFrame:
     f = _factors(spark, d)
     out = correlation.redundancy_check(f["a"], {"b": f["b"], "c": f["c"]}, threshold=0.3)
     return tidy(out.select("factor", "mean", "n_periods", "redundant"))
+
+
+@query("correlation_matrix", sql(_PAIRS, """, m AS (SELECT fa, fb, CASE WHEN count(rho) >= 20 THEN avg(rho) END r FROM pc GROUP BY fa, fb), s AS (SELECT fa, fb, r FROM m UNION ALL SELECT fb, fa, r FROM m
+  UNION ALL SELECT x, x, 1.0 FROM (VALUES ('a'), ('b'), ('c')) v(x)) SELECT fa AS factor, round(max(r) FILTER (fb = 'a'), 6) + 0.0 AS a, round(max(r) FILTER (fb = 'b'), 6) + 0.0 AS b, round(max(r) FILTER (fb = 'c'), 6) + 0.0 AS c FROM s GROUP BY fa"""))
+def correlation_square(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(correlation.correlation_matrix(correlation.factor_correlation(_factors(spark, d)), ["a", "b", "c"]))

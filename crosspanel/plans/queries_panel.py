@@ -292,3 +292,33 @@ def months_wide(spark: SparkSession, d: str) -> DataFrame:
 def newest(spark: SparkSession, d: str) -> DataFrame:
     orders = P.read(spark, d, "orders").withColumn("version", F.struct("o_orderdate", "o_orderkey"))
     return asof.latest_version(orders, ["o_custkey"], "version").select("o_custkey", "o_orderkey")
+
+
+@query("first_session_after", sql(PX_SQL, "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, (SELECT min(date) FROM cal WHERE cal.date > CAST(o_orderdate AS DATE)) AS available FROM orders"))
+def first_session_after(spark: SparkSession, d: str) -> DataFrame:
+    orders = P.read(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    return tidy(asof.first_session_after(orders, P.calendar(P.prices(spark, d)), "day", "available"))
+
+
+@query("winsorize_pooled", sql(PX_SQL, f""", f AS (SELECT date, asset, ln(volume) v FROM px), md AS (SELECT median(v) m FROM f), h AS (SELECT 1.4826 * 3 * median(abs(v - m)) h FROM f, md)
+  SELECT date, asset, round(greatest(m - h, least(m + h, v)), 6) + 0.0 AS factor FROM f, md, h"""))
+def winsorize_pooled(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(preprocess.winsorize(P.second_factor(P.prices(spark, d)), by_date=False))
+
+
+@query("rank_pooled", sql(PX_SQL, """, f AS (SELECT date, asset, volume v FROM px)
+  SELECT date, asset, round((rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 - 0.5) / count(*) OVER (), 6) + 0.0 AS factor FROM f"""))
+def rank_pooled(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(preprocess.standardize(P.second_factor(P.prices(spark, d)), method="rank", by_date=False))
+
+
+_ORTHOGONAL = DATA_SQL + """,
+mm AS (SELECT date, count(*) n, covar_pop(factor, ln_volume) ya, covar_pop(factor, forward_return_1) yb, var_pop(ln_volume) aa, var_pop(forward_return_1) bb, covar_pop(ln_volume, forward_return_1) ab,
+  avg(factor) my, avg(ln_volume) ma, avg(forward_return_1) mb FROM data GROUP BY date),
+bt AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) b1, (yb * aa - ya * ab) / (aa * bb - ab * ab) b2 FROM mm WHERE n >= 10)"""
+
+
+@query("orthogonalize", sql(_ORTHOGONAL, """SELECT d.date, d.asset, round(factor - my - b1 * (ln_volume - ma) - b2 * (forward_return_1 - mb), 6) + 0.0 AS factor FROM data d LEFT JOIN bt USING (date)"""))
+def orthogonal(spark: SparkSession, d: str) -> DataFrame:
+    data = P.sample(spark, d, True).select("date", "asset", "factor", "ln_volume", "forward_return_1")
+    return tidy(preprocess.orthogonalize(data, "factor", ["ln_volume", "forward_return_1"]).select("date", "asset", "factor"))

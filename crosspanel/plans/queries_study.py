@@ -195,3 +195,67 @@ def report(spark: SparkSession, d: str) -> DataFrame:
     px = px.withColumn("prev_close", F.col("raw_open"))
     found = build_report(P.factor(px), px, P.calendar(px), horizons=tuple(P.HORIZONS), tradability=flags, check_health=False)
     return tidy(found.tables["ic_summary"].select("horizon", "n", "mean"))
+
+
+@query("crash_stats", sql(DATA_SQL, """, tr AS (SELECT forward_return_1 r, row_number() OVER (ORDER BY forward_return_1) rn, greatest(1, ceil(0.05 * count(*) OVER ())) k FROM data),
+  tc AS (SELECT *, max(r) FILTER (rn = k) OVER () cut FROM tr) SELECT count(*) AS n, round(any_value(cut), 6) + 0.0 AS cut, count(*) FILTER (r <= cut) AS hits,
+  round(avg(CASE WHEN r <= cut THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS hit_rate, round(avg(r) FILTER (r <= cut), 6) + 0.0 AS mean_crash, round(avg(r) FILTER (rn <= k), 6) + 0.0 AS cvar FROM tc"""))
+def crash_pooled(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(tail.crash_stats(P.sample(spark, d), "forward_return_1"))
+
+
+@query("crash_significance", sql(_CRASH, ", tz AS (SELECT * FROM ts WHERE t >= 2 AND b >= 2)" + _nw("tz", "horizon", "hs", "k") + " SELECT CAST(k AS BIGINT) AS horizon, round(t_nw, 6) + 0.0 AS t_nw FROM nw"))
+def crash_significance(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(tail.crash_spread(quantile.quantize(P.sample(spark, d))).select("horizon", "t_nw"))
+
+
+@query("event_significance", sql(_EV, ", dy AS (SELECT rel_day, rel_date AS date, avg(car) v FROM ew GROUP BY ALL)" + _nw("dy", "rel_day", "v", "1") + """, st AS (SELECT rel_day, avg(car) * sqrt(count(car)) / nullif(stddev_samp(car), 0) t FROM ew GROUP BY rel_day)
+  SELECT CAST(rel_day AS BIGINT) AS rel_day, round(t, 6) + 0.0 AS t_naive, CASE WHEN rel_day <> 0 THEN round(t_nw, 6) + 0.0 END AS t_nw FROM st JOIN nw ON nw.k = rel_day"""))
+def event_significance(spark: SparkSession, d: str) -> DataFrame:
+    out = event.event_summary(_windows(spark, d).rows)
+    # day 0 is the base of every path: all its values are 0, and their t is undefined
+    return tidy(out.select("rel_day", "t_naive", F.when(F.col("rel_day") != 0, F.col("t_nw")).alias("t_nw")))
+
+
+@query("event_paths", sql(_EV, "SELECT 'surge' AS \"group\", CAST(rel_day AS BIGINT) AS rel_day, round(avg(car), 6) + 0.0 AS mean, count(car) AS n FROM ew GROUP BY rel_day"))
+def event_paths(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(event.event_path_by_group(_windows(spark, d).rows, "event_type"))
+
+
+@query("rank_stability", sql(DATA_SQL, """, z AS (SELECT date, asset, count(*) OVER (PARTITION BY date) n, row_number() OVER (PARTITION BY date ORDER BY factor, asset) - 1 r FROM data),
+  b AS (SELECT z.*, floor(r * 10 / n) bin, dense_rank() OVER (ORDER BY date) p FROM z WHERE n >= 10),
+  s AS (SELECT a.p, avg(CASE WHEN a.bin = c.bin THEN 1.0 ELSE 0.0 END) s FROM b a JOIN b c ON a.asset = c.asset AND a.p = c.p + 1 GROUP BY a.p)
+  SELECT round(least(1, greatest(0, (avg(s) - 0.1) / 0.9)), 6) + 0.0 AS stability FROM s"""))
+def rank_stability(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(spark.createDataFrame([(inference.rank_stability(P.sample(spark, d)),)], "stability double"))
+
+
+_IC1 = RANKED_SQL + ", i1 AS (SELECT date, ic v, row_number() OVER (ORDER BY date) - 1 i, count(*) OVER () m FROM ic WHERE horizon = 1 AND ic IS NOT NULL)"
+
+
+def _ic_one(spark: SparkSession, d: str) -> list:
+    rows = ic.information_coefficient(P.sample(spark, d), [1]).where("ic IS NOT NULL").select("date", "ic")
+    return sorted(map(tuple, rows.collect()))  # one value a period
+
+
+@query("split_is_oos", sql(_IC1, """, sp AS (SELECT date, i, i >= floor(m * 0.7) AS later, (SELECT pos FROM cal WHERE cal.date = i1.date) pos FROM i1), ed AS (SELECT min(pos) edge FROM sp WHERE later)
+  SELECT date, CASE WHEN later THEN 'out_of_sample' WHEN pos + 4 < edge THEN 'in_sample' ELSE 'purged' END AS part FROM sp, ed"""))
+def split(spark: SparkSession, d: str) -> DataFrame:
+    days = [x for x, _ in _ic_one(spark, d)]
+    months = [r.date for r in P.calendar(P.prices(spark, d)).collect()]
+    parts = portfolio.split_is_oos(days, ratio=0.7, calendar=months, purge_horizons=P.HORIZONS)
+    named = {"in_sample": parts.in_sample, "out_of_sample": parts.out_of_sample, "purged": parts.purged}
+    return spark.createDataFrame([(x, part) for part, dates in named.items() for x in dates], "date date, part string")
+
+
+_DECAY = _IC1 + """, ft AS (SELECT regr_slope(v, i) slope, avg(v) mean, avg(i) mi, var_pop(i) * count(*) spread FROM i1),
+  lf AS (SELECT date, i - mi t, v - mean - slope * (i - mi) e, slope, spread, mean FROM i1, ft), wt AS (SELECT date, 1 AS one, t * e v FROM lf)""" + _nw("wt", "one", "v", "1") + """,
+  er AS (SELECT sqrt(sum(e * e) / (count(*) - 2) / any_value(spread)) plain FROM lf)"""
+
+
+@query("decay_test", sql(_DECAY, """ SELECT n, round(slope, 6) + 0.0 AS slope, round(slope / plain, 6) + 0.0 AS t_naive, round(slope * spread / (std * sqrt(n * vif)), 6) + 0.0 AS t_nw,
+  slope < 0 AND abs(slope * spread / (std * sqrt(n * vif))) > 2 AS decaying, CASE WHEN slope < 0 THEN round(abs(ft.mean / slope), 6) + 0.0 END AS half_life FROM ft, nw, er"""))
+def decay(spark: SparkSession, d: str) -> DataFrame:
+    got = inference.decay_test([v for _, v in _ic_one(spark, d)])
+    names = "n slope t_naive t_nw decaying half_life".split()
+    return tidy(spark.createDataFrame([tuple(got[x] for x in names)], "n long, slope double, t_naive double, t_nw double, decaying boolean, half_life double"))
