@@ -3,10 +3,14 @@
 Equal values are counted first, where they lie. A bounded set of a group's own values (those of least hash, so the same in
 every evaluation) cuts it into ranges; ranges are summed and ordered by themselves, and what lies below a value is the sum of
 the ranges below its own plus a running sum within it.
+
+The counted values are read three times, so they are kept once made, in memory and on disk beyond that, and worked out again
+where an executor is lost; what they come from is read once. `spark.catalog.clearCache()` lets go of them.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ def counted_ranks(df: DataFrame, value: str, keys: list[str], ranges: int = RANG
 
     `ranges` bounds the values a group is cut at, not the rows of a range.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")).persist(StorageLevel.MEMORY_AND_DISK)
     one = keys or [F.lit(0)]
     least = Window.partitionBy(*one).orderBy(F.xxhash64(value), value)
     cuts = counted.withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= ranges)

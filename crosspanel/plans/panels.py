@@ -74,7 +74,7 @@ def sample(spark: SparkSession, sf_dir: str, with_groups: bool = False) -> DataF
     data = data.select("date", "asset", "factor", *(f"forward_return_{h}" for h in HORIZONS))
     if with_groups:
         data = data.join(px.select("date", "asset", F.log("volume").alias("ln_volume")), ["date", "asset"])
-        data = data.join(F.broadcast(groups(spark, sf_dir)), "asset", "left").select("date", "asset", "factor", *(f"forward_return_{h}" for h in HORIZONS), "ln_volume", "grp")
+        data = data.join(groups(spark, sf_dir), "asset", "left").select("date", "asset", "factor", *(f"forward_return_{h}" for h in HORIZONS), "ln_volume", "grp")
     return data
 
 

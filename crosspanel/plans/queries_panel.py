@@ -276,10 +276,14 @@ def month_end(spark: SparkSession, d: str) -> DataFrame:
     return asof.month_end_sessions(days)
 
 
-@query("pivot_wide", sql(PX_SQL, f"SELECT date, {', '.join(f'''round(max(raw_close) FILTER (asset = '{i:06d}'), 6) + 0.0 AS \"{i:06d}\"''' for i in range(1, 6))} FROM px WHERE asset <= '000005' GROUP BY date"))
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+@query("pivot_wide", sql(PX_SQL, f"""SELECT date, {', '.join(f"round(max(raw_close) FILTER (r_name = '{r}'), 6) + 0.0 AS \"{r}\"" for r in _REGIONS)} FROM px
+  JOIN (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') asset, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) USING (asset) GROUP BY date"""))
 def wide(spark: SparkSession, d: str) -> DataFrame:
-    assets = [f"{i:06d}" for i in range(1, 6)]
-    return tidy(asof.to_wide(P.prices(spark, d).where(F.col("asset") <= "000005"), "raw_close", assets))
+    by_region = P.prices(spark, d).join(P.groups(spark, d), "asset").groupBy("date", F.col("grp").alias("asset")).agg(F.max("raw_close").alias("raw_close"))
+    return tidy(asof.to_wide(by_region, "raw_close", _REGIONS))
 
 
 @query("pivot_months", sql(PX_SQL, f"SELECT asset, year(date) AS year, {', '.join(f'''round(max(raw_close) FILTER (month(date) = {i}), 6) + 0.0 AS m{i:02d}''' for i in range(1, 13))} FROM px GROUP BY asset, year(date)"))
