@@ -13,7 +13,7 @@ from crosspanel.operators.contracts import fail
 #: Limits of the checks.
 THRESHOLDS = {
     "extreme_move": 0.5, "factor_jump": 2.0, "factor_drop": 1e-8, "suspended_share": 0.5, "low_coverage": 0.5, "low_coverage_dates": 0.05,
-    "gone_sessions": 20, "delisted_share": 0.01, "freeze_run": 20, "stale_days": 400, "buyable_mean": 0.9, "ohlc_tolerance": 1e-6, "covered_share": 0.8,
+    "gone_sessions": 20, "delisted_share": 0.01, "freeze_run": 20, "stale_days": 400, "buyable_mean": 0.9, "ohlc_tolerance": 1e-6, "covered_share": 0.8, "daily_gap": 4,
 }
 ORDER = ("fail", "warn", "info", "pass", "skip")
 
@@ -97,6 +97,23 @@ def survivorship(prices: DataFrame, calendar: DataFrame, gone: int = 20) -> Data
     return last.join(F.broadcast(end)).agg(F.count("*").alias("n_assets"), F.count_if(F.col("pos") < F.col("end") - gone).alias("n_gone"))
 
 
+def session_gaps(panel: DataFrame, calendar: DataFrame, daily: float = 4) -> DataFrame:
+    """n_off, median_gap, n_missing, first_missing: dates off the calendar, and sessions between a daily panel's ends without a row.
+
+    A panel is daily if the median days between its dates are at most `daily`; else, or below three dates, n_missing is NULL.
+    """
+    own = panel.select("date").distinct()
+    gap = F.datediff("date", F.lag("date").over(Window.orderBy("date")))  # one row a session
+    ends = own.withColumn("_gap", gap).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"), F.median("_gap").alias("median_gap"), F.count("*").alias("_n"))
+    met = own.withColumn("_own", F.lit(True)).join(calendar.select("date").distinct().withColumn("_cal", F.lit(True)), "date", "full_outer").join(F.broadcast(ends))
+    missing = F.col("_own").isNull() & F.col("date").between(F.col("_lo"), F.col("_hi"))
+    is_daily = (F.first("_n") >= 3) & (F.first("median_gap") <= daily)
+    return met.agg(
+        F.count_if(F.col("_cal").isNull()).alias("n_off"), F.first("median_gap").alias("median_gap"), F.when(is_daily, F.count_if(missing)).alias("n_missing"),
+        F.when(is_daily, F.min(F.when(missing, F.col("date")))).alias("first_missing"),
+    )
+
+
 def longest_runs(panel: DataFrame, column: str) -> DataFrame:
     """asset, longest: most consecutive rows with one value."""
     w = Window.partitionBy("asset").orderBy("date")
@@ -149,7 +166,8 @@ def check(prices: DataFrame | None = None, factor: DataFrame | None = None, trad
         skip("adjust_factor", "no adj_factor")
     if "volume" in has:
         n = suspension_by_date(prices).where(F.col("share") > th["suspended_share"]).count()
-        add("suspension", n, f"{n} dates with most rows suspended", "warn")
+        whole = prices.agg(F.avg((F.coalesce("volume", F.lit(0)) <= 0).cast("double"))).first()[0] or 0.0
+        add("suspension", n, f"{whole:.2%} of all rows suspended, {n} dates with most rows suspended", "warn")
     else:
         skip("suspension", "no volume")
     if prices is not None and calendar is not None:
@@ -157,8 +175,12 @@ def check(prices: DataFrame | None = None, factor: DataFrame | None = None, trad
         add("coverage", r.low_dates > th["low_coverage_dates"] * r.n_dates, f"{r.low_dates} of {r.n_dates} dates thin")
         r = survivorship(prices, calendar, th["gone_sessions"]).first()
         add("survivorship", r.n_gone < th["delisted_share"] * r.n_assets, f"{r.n_gone} of {r.n_assets} assets end early", "warn")
-        n = prices.select("date").distinct().join(F.broadcast(calendar.select("date")), "date", "left_anti").count()
-        add("calendar", n, f"{n} dates off the calendar")
+        r = session_gaps(prices, calendar, th["daily_gap"]).first()
+        add("calendar", r.n_off, f"{r.n_off} dates off the calendar")
+        if r.n_missing is None:
+            report.findings.append(Finding("sessions", "info", f"not a daily panel (median gap {r.median_gap} days), sessions not checked"))
+        else:
+            add("sessions", r.n_missing, f"{r.n_missing} sessions without a row" + (f", first {r.first_missing}" if r.n_missing else ""), "warn")
     else:
         skip("coverage", "needs prices and calendar")
     if factor is not None:
@@ -172,6 +194,11 @@ def check(prices: DataFrame | None = None, factor: DataFrame | None = None, trad
         r = tradability_rates(tradability).agg(F.avg("can_buy_open").alias("mean"), F.min("can_buy_open").alias("least")).first()
         add("buyable_days", r["least"] == 0, f"least share on a day {r['least']:.3f}")
         add("buyable", r["mean"] < th["buyable_mean"], f"mean share {r['mean']:.3f}", "warn")
+        if "is_new_stock" in tradability.columns:
+            share = tradability.agg(F.avg(F.col("is_new_stock").cast("double"))).first()[0] or 0.0
+            add("new_stock", not share, f"{share:.2%} of all rows kept out as newly listed" if share else "no row is newly listed: the filter has no effect", "warn")
+        else:
+            skip("new_stock", "no is_new_stock")
     else:
         skip("tradability", "no tradability")
     return report

@@ -13,6 +13,9 @@ from crosspanel.operators.inference import t_threshold
 SCHEMA = "goal string, factor string, horizon int, t double, p double, n long, method string, note string, ts string"
 KEY = ["goal", "factor", "horizon"]
 
+#: The method of a row that strikes out what came before it, of its goal or, without one, of all.
+CLEARED = "(cleared)"
+
 
 class ResearchLedger:
     """Entries of hypotheses; a path keeps them, None holds them in memory."""
@@ -21,7 +24,7 @@ class ResearchLedger:
         self.spark, self.path = spark, path
         self.held: list[tuple] = []
 
-    def record(self, *, goal: str, factor: str, horizon: int | None = None, t: float | None = None, p: float | None = None, n: int | None = None, method: str = "bhy", note: str = "") -> None:
+    def record(self, *, goal: str | None, factor: str | None, horizon: int | None = None, t: float | None = None, p: float | None = None, n: int | None = None, method: str = "bhy", note: str = "") -> None:
         """Add one."""
         row = (goal, factor, horizon, t, p, n, method, note, dt.datetime.now(dt.timezone.utc).isoformat())
         if self.path is None:
@@ -35,6 +38,11 @@ class ResearchLedger:
             df = self.spark.createDataFrame(self.held, SCHEMA)
         else:
             df = self.spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(self.path)
+        struck = df.where(F.col("method") == CLEARED)
+        by_goal = struck.where("goal is not null").groupBy("goal").agg(F.max("ts").alias("_own"))
+        whole = struck.where("goal is null").agg(F.max("ts").alias("_all"))  # one row
+        live = df.where(F.col("method") != CLEARED).join(by_goal, "goal", "left").join(F.broadcast(whole))
+        df = live.where(F.col("ts") > F.coalesce(F.greatest("_own", "_all"), F.lit(""))).select(*(f.split()[0] for f in SCHEMA.split(", ")))
         return df if goal is None else df.where(F.col("goal") == goal)
 
     def n_trials(self, goal: str | None = None) -> int:
@@ -56,12 +64,8 @@ class ResearchLedger:
         return claimed >= self.n_trials(goal)
 
     def clear(self, goal: str | None = None) -> None:
-        """Remove all entries, or those of a goal."""
-        if self.path is None:
-            self.held = [r for r in self.held if goal is not None and r[0] != goal]
-            return
-        kept = [tuple(r) for r in self.entries().collect() if goal is not None and r.goal != goal]
-        self.spark.createDataFrame(kept, SCHEMA).coalesce(1).write.mode("overwrite").json(self.path)
+        """Strike out all entries so far, or those of a goal: one more row, so nothing is lost if it fails."""
+        self.record(goal=goal, factor=None, method=CLEARED)
 
     def fingerprint(self) -> str:
         """Twelve hex digits that stand for the set of hypotheses."""

@@ -392,3 +392,27 @@ def test_parity(spark):
     keys = ["date", "asset"]
     assert parity.check_parity({"x": (a, a, keys, "factor")}).ok and not parity.ParityReport(1e-10).ok
     assert not parity.check_parity({"x": (a, a.withColumn("factor", F.col("factor") + 1), keys, "factor")}).ok
+
+
+def test_session_gaps(spark):
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(i)
+    table = lambda days: spark.createDataFrame([(day(i),) for i in days], "date date")
+    ask = lambda own, cal_: tuple(health.session_gaps(table(own), table(cal_)).first())
+    assert ask([1, 2, 2, 5, 6], range(9)) == (0, 1.0, 2, day(3))
+    assert ask([1, 2, 3, 20], range(9)) == (1, 1.0, 5, day(4))
+    assert ask([0, 30, 60], range(61)) == (0, 30.0, None, None)
+    assert ask([1, 2], range(9))[2] is None
+    assert ask([], range(9))[0] == 0
+
+
+def test_cleared_ledger_keeps_other_goals_and_later_entries(spark, tmp_path):
+    for path in (None, f"{tmp_path}/struck"):
+        led = ResearchLedger(spark, path)
+        for goal, name in (("a", "x"), ("b", "y")):
+            led.record(goal=goal, factor=name, horizon=1)
+        led.clear("a")
+        assert (led.n_trials(), led.n_trials("a")) == (1, 0)
+        led.record(goal="a", factor="z", horizon=1)
+        assert led.n_trials("a") == 1
+        led.clear()
+        assert led.n_trials() == 0
