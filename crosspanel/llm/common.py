@@ -40,6 +40,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 27) -> DataFrame:
+    """Rows whose `key`, a hash, may be among those of `wanted`: most others are left behind before anything is shuffled.
+
+    What goes to the executors is a bitmap of 2 ** `bits` bits (16 MB) at most, whatever the tables hold. Where more
+    keys are wanted than it can tell apart it lets more rows through; an exact join must follow in any case.
+    """
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(23)), F.lit(2**bits))
+    bits_of = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    found = rows.select(F.struct("*").alias("row"), F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at")).join(F.broadcast(bits_of), "bucket")
+    own = F.conv(F.hex(F.substring(F.col("bits"), F.call_function("div", F.col("at"), F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return found.where(F.call_function("getbit", own, (F.col("at") % 8).cast("int")) == 1).select("row.*")
+
+
 def remainder(doc_id, modulus: int):
     """crc32 of an id as text, modulo `modulus`: what the held-out splits go by. A null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

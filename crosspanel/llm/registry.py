@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import compression_quality, cover_tree, html_text, language_crf, minhash_forest, mixing, oracles, packing, ppm, quality_rules, token_counts
+from crosspanel.llm import (
+    bayes_dedup, compression_quality, cover_tree, html_text, language_crf, minhash_forest, mixing, oracles, packing, ppm, quality_rules, source_divergence, token_counts, word_runs,
+)
 from crosspanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +72,21 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+def op11_bayes_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates of every document."""
+    return bayes_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, a tenth of which is made periodic first."""
+    return word_runs.run_digests(word_runs.detect_runs(word_runs.with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of every two sources of a language, and the terms that set each apart."""
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ppm_scores": op2_ppm_scores,
@@ -81,10 +98,16 @@ QUERIES: dict[str, Query] = {
     "op8_compression_quality": op8_compression_quality,
     "op9_language_crf": op9_language_crf,
     "op10_cover_tree": op10_cover_tree,
+    "op11_bayes_dedup": op11_bayes_dedup,
+    "op12_word_runs": op12_word_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.quality_rules_sql(),
     "op6_minhash_forest": oracles.SIMILAR_DOCUMENTS,
     "op10_cover_tree": oracles.TOP_K,
+    "op11_bayes_dedup": oracles.NEAR_DUPLICATES,
+    "op12_word_runs": oracles.WORD_RUNS,
+    "op13_source_divergence": oracles.SOURCE_DIVERGENCE,
 }
