@@ -2,26 +2,30 @@
 
 All visible text comes out: paragraphs, headings, lists and tables stand apart by an empty line, other blocks by
 a line break, list entries carry their marker and indent, and the cells of a table line up in columns, rows and
-columns that a cell spans included. A cell is laid out like a page of its own, so paragraphs, lists and tables in
-it keep their form. A table of one column, or with a cell of more than CELL_LINES lines, lays out a page: its cells
+columns that a cell spans included, at every size. A cell is laid out like a page of its own, so paragraphs, lists and
+tables in it keep their form, and long paragraphs go on in further lines of the cell. Cells of a table of one column
 are written one after another.
 
-The scanner reads a page once, from left to right; it, the tree builder and the layout take time in proportion to
-the page, whatever it holds.
+The scanner reads a page once, from left to right. Columns that cells of earlier rows hold are kept as runs and not
+one by one, widths as sums over a tree, so a page takes time in proportion to its size, but for a logarithm, whatever
+it holds; and its text grows by a bounded factor (`Layout.most_padding`).
 
 Defined results. Null or empty HTML: empty text. Text without tags: that text, its blanks collapsed. Broken or
 cut-off markup: rendered as far as it goes; a tag that never closes is text, and after one that only ends inside
 quotes, quotes no longer shield a `>`. Repeated rows: one result a row. Empty table: no rows. Deep nesting is walked
-without recursion; lists deeper than MOST_INDENT are not indented further, tables deeper than MOST_NESTED are
-written as blocks. Other columns of the input are not touched.
+without recursion; lists deeper than `Layout.most_indent` are not indented further, tables deeper than `most_nested`
+are written as blocks. Where cells overlap the earlier one holds the columns. Other columns of the input are not touched.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,9 +63,23 @@ IMPLIED = {
 WALLS = frozenset("table td th caption".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
 
-#: Limits of the layout, not of the text: columns and rows that a cell spans, the widest column that others are aligned
-#: to, lines of a cell beyond which a table is laid out as blocks, and depths of lists and tables.
-MOST_COLUMNS, MOST_ROWS, WIDEST, CELL_LINES, MOST_INDENT, MOST_NESTED = 100, 1000, 120, 12, 20, 12
+#: The most columns and rows that HTML lets a cell span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How text is laid out. None of these loses text."""
+
+    #: Characters beyond which running text in the cells of a table of several columns goes on in a new line.
+    wrap: int = 100
+    #: Depths of lists that are still indented, and of tables within tables that are still laid out as such.
+    most_indent: int = 20
+    most_nested: int = 12
+    #: Blanks that alignment may add to a table, as a multiple of its text and of `wrap` a line; a table that would need
+    #: more has its cells set apart by two blanks, so that a page never grows beyond a multiple of itself.
+    most_padding: int = 8
+
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 #: A tag from behind its name to its end. A quote counts only where a value begins, and only if it is closed.
@@ -228,7 +246,8 @@ def _shown(node: list, visible: bool) -> tuple[bool, bool]:
 class _Page:
     """Lines of text under way: collapses blanks and keeps the largest spacing asked for between blocks."""
 
-    def __init__(self) -> None:
+    def __init__(self, most_indent: int) -> None:
+        self.most_indent = most_indent
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.blank = False
@@ -256,7 +275,7 @@ class _Page:
         if self.gap and self.lines:
             self.lines.extend([""] * (self.gap - 1))
         self.gap = 0
-        lead = "".join(self.indent[:MOST_INDENT])
+        lead = "".join(self.indent[: self.most_indent])
         if self.marker:
             lead = lead[: max(0, len(lead) - len(self.marker))] + self.marker
             self.marker = ""
@@ -298,43 +317,136 @@ def _cells(table: list, visible: bool) -> tuple[list[list[tuple]], list[tuple]]:
     return rows, outside
 
 
-def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Lines of a table from rows of (lines of a cell, columns and rows it spans)."""
+class _Taken:
+    """Columns that cells of earlier rows still hold, as runs that neither touch nor overlap."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.until: list[tuple[int, int, int]] = []  # heap: (row from which a stretch is free again, its start and end)
+
+    def free_at(self, column: int) -> int:
+        """The first column from this one on that is free."""
+        i = bisect_right(self.starts, column) - 1
+        return self.ends[i] if i >= 0 and column < self.ends[i] else column
+
+    def hold(self, start: int, end: int, until: int) -> None:
+        """Take the columns from a free one up to `end`, or to the next that is taken, until a row."""
+        i = bisect_right(self.starts, start)
+        if i < len(self.starts):
+            end = min(end, self.starts[i])
+        heappush(self.until, (until, start, end))
+        if i < len(self.starts) and self.starts[i] == end:
+            end = self.ends[i]
+            del self.starts[i], self.ends[i]
+        if i and self.ends[i - 1] == start:
+            self.ends[i - 1] = end
+        else:
+            self.starts.insert(i, start)
+            self.ends.insert(i, end)
+
+    def begin(self, row: int) -> None:
+        """Let go of what ends before a row."""
+        while self.until and self.until[0][0] <= row:
+            _, start, end = heappop(self.until)
+            i = bisect_right(self.starts, start) - 1
+            first, last = self.starts[i], self.ends[i]
+            del self.starts[i], self.ends[i]
+            for x, y in ((end, last), (first, start)):
+                if x < y:
+                    self.starts.insert(i, x)
+                    self.ends.insert(i, y)
+
+
+class _Widths:
+    """Widths of the columns at which some cell ends, with sums over stretches of them (a Fenwick tree)."""
+
+    def __init__(self, columns: list[int]) -> None:
+        self.columns = columns
+        self.own = [0] * len(columns)
+        self.tree = [0] * (len(columns) + 1)
+
+    def _before(self, i: int) -> int:
+        total = 0
+        while i:
+            total += self.tree[i]
+            i &= i - 1
+        return total
+
+    def room(self, first: int, last: int) -> int:
+        """Characters from column `first` to `last`, each with the two blanks behind it."""
+        return self._before(bisect_right(self.columns, last)) - self._before(bisect_left(self.columns, first))
+
+    def widen(self, column: int, by: int) -> None:
+        """Make a column wider; one that had no width gets its two blanks as well."""
+        i = bisect_left(self.columns, column)
+        more = by if self.own[i] else by + 2
+        self.own[i] += by
+        i += 1
+        while i < len(self.tree):
+            self.tree[i] += more
+            i += i & -i
+
+
+def _aligned(rows: list[list[tuple[list[str], int, int]]], layout: Layout) -> list[str]:
+    """Lines of a table from rows of (lines of a cell, columns and rows it spans), in time about that of its text."""
     placed: list[list[tuple[int, int, list[str]]]] = []
-    taken: dict[int, int] = {}  # columns that a cell of an earlier row still holds, and for how many rows
-    for row in rows:
-        at, held, out = 0, {}, []
+    taken = _Taken()
+    for n, row in enumerate(rows):
+        taken.begin(n)
+        at, out = 0, []
         for lines, across, down in row:
-            while at in taken:
-                at += 1
+            at = taken.free_at(at)
             out.append((at, across, lines))
             if down > 1:
-                held.update((at + i, down) for i in range(across))
+                taken.hold(at, at + across, n + down)
             at += across
         placed.append(out)
-        taken = {c: n - 1 for c, n in (taken | held).items() if n > 1}
-    widths: dict[int, int] = defaultdict(int)
+    widths = _Widths(sorted({at + across - 1 for row in placed for at, across, _ in row}))
     for spanning in (False, True):  # a cell over several columns widens the last of them
         for row in placed:
             for at, across, lines in row:
                 if (across > 1) is spanning:
-                    wide = max((len(x) for x in lines if len(x) <= WIDEST), default=0)
-                    have = sum(widths[i] for i in range(at, at + across)) + 2 * (across - 1)
-                    if wide > have:
-                        widths[at + across - 1] += wide - have
-    start, left = {}, 0
-    for c in sorted(widths):
-        start[c] = left
-        left += widths[c] + 2 if widths[c] else 0
+                    wide, last = max(map(len, lines), default=0), at + across - 1
+                    room = widths.room(at, last)
+                    if wide > room - 2 and wide:
+                        widths.widen(last, max(1, wide - room if not widths.own[bisect_left(widths.columns, last)] else wide - room + 2))
+    begin = {at: widths.room(0, at - 1) for row in placed for at, _, _ in row}
+    text = sum(len(x) for row in placed for _, _, lines in row for x in lines)
+    n_lines, padded = 0, 0
+    for row in placed:
+        for i in range(max((len(lines) for _, _, lines in row), default=0)):
+            n_lines += 1
+            padded += max((begin[at] for at, _, lines in row if i < len(lines) and lines[i]), default=0)
+    apart = padded > layout.most_padding * (text + layout.wrap * n_lines)
     out = []
     for row in placed:
         for i in range(max((len(lines) for _, _, lines in row), default=0)):
             line = ""
             for at, _, lines in row:
                 if i < len(lines) and lines[i]:
-                    line = line + "  " if line and len(line) + 2 > start[at] else line.ljust(start[at])
-                    line += lines[i]
+                    behind = line and (apart or len(line) + 2 > begin[at])
+                    line = (line + "  " if behind else line if apart else line.ljust(begin[at])) + lines[i]
+            out.append(line)
+    return out
+
+
+def _wrapped(lines: list[str], most: int) -> list[str]:
+    """Running text in lines of at most `most` characters; what is aligned already, by several blanks, stays as it is."""
+    out = []
+    for line in lines:
+        if len(line) <= most or "  " in line.lstrip():
             out.append(line)
+            continue
+        lead = line[: len(line) - len(line.lstrip())]
+        own, size = [], 0
+        for word in line.split():
+            if own and size + 1 + len(word) > most:
+                out.append(lead + " ".join(own))
+                own, size = [], 0
+            size += len(word) + bool(own) if own else len(lead) + len(word)
+            own.append(word)
+        out.append(lead + " ".join(own))
     return out
 
 
@@ -373,20 +485,20 @@ def _entry(page: _Page, todo: list, lists: list, attrs: str) -> None:
     todo.append((end, True))
 
 
-def _write_table(page: _Page, todo: list, node: list, visible: bool, depth: int) -> None:
+def _write_table(page: _Page, todo: list, node: list, visible: bool, depth: int, how: Layout) -> None:
     """Lay out a table: what stands outside its rows first, as captions do, then the rows."""
     rows, outside = _cells(node, visible)
     page.apart(2)
     laid = [
-        [(layout(x[2], seen, depth + 1), max(1, min(_number(x[1], "colspan") or 1, MOST_COLUMNS)), max(1, min(_number(x[1], "rowspan") or 1, MOST_ROWS))) for x, seen in row]
+        [(layout(x[2], seen, depth + 1, how), max(1, min(_number(x[1], "colspan") or 1, MOST_COLUMNS)), max(1, min(_number(x[1], "rowspan") or 1, MOST_ROWS))) for x, seen in row]
         for row in rows
     ]
-    in_columns = max(map(len, laid), default=0) > 1 and all(len(lines) <= CELL_LINES for row in laid for lines, _, _ in row)
+    in_columns = max(map(len, laid), default=0) > 1
 
     def write() -> None:
         page.apart(1 if outside else 2)
         if in_columns:
-            page.put_all([x for x in _aligned(laid) if x])
+            page.put_all(_aligned([[(_wrapped(lines, how.wrap), a, d) for lines, a, d in row] for row in laid], how))
         else:
             for row in laid:
                 for lines, _, _ in row:
@@ -398,9 +510,10 @@ def _write_table(page: _Page, todo: list, node: list, visible: bool, depth: int)
     todo.extend(reversed(outside))
 
 
-def layout(nodes: list, visible: bool = True, depth: int = 0) -> list[str]:
+def layout(nodes: list, visible: bool = True, depth: int = 0, how: Layout | None = None) -> list[str]:
     """Lines of the visible text of some nodes."""
-    page = _Page()
+    how = how or Layout()
+    page = _Page(how.most_indent)
     #: What to do next, last first: (a node, a text, or a function to call; whether text is visible).
     todo: list[tuple] = [(x, visible) for x in reversed(nodes)]
     lists: list[list] = []
@@ -424,8 +537,8 @@ def layout(nodes: list, visible: bool = True, depth: int = 0) -> list[str]:
                 page.gap = max(page.gap, 1) + 1 if page.lines else 0
             page.gap = max(page.gap, 1)
             continue
-        if name == "table" and depth < MOST_NESTED:
-            _write_table(page, todo, x, seen, depth)
+        if name == "table" and depth < how.most_nested:
+            _write_table(page, todo, x, seen, depth, how)
             continue
         if name == "pre":
             page.apart(2)
@@ -472,19 +585,19 @@ def layout(nodes: list, visible: bool = True, depth: int = 0) -> list[str]:
     return page.lines
 
 
-def render(source: str | None) -> str:
+def render(source: str | None, how: Layout | None = None) -> str:
     """All visible text of a page."""
-    return "\n".join(layout(build(source or "")[2]))
+    return "\n".join(layout(build(source or "")[2], how=how))
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
+def extract_text(pages: DataFrame, how: Layout | None = None) -> DataFrame:
     """Visible text of each page (page_id, url, html). One pass, no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 some = batch.iloc[at : at + 500]
-                texts = [render(x) for x in some["html"]]
+                texts = [render(x, how) for x in some["html"]]
                 yield pd.DataFrame({
                     "page_id": some["page_id"].astype("Int64").to_numpy(), "url": some["url"].to_numpy(), "text": texts,
                     "n_chars": [len(x) for x in texts], "n_lines": [x.count("\n") + bool(x) for x in texts],

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bayes_dedup, source_divergence, word_runs
+from crosspanel.llm import bayes_dedup, html_text, source_divergence, word_runs
 from crosspanel.llm.common import only_wanted, stage, table
 from tests.llm.test_operators import ODD, odd, rows_of
 
@@ -251,5 +252,86 @@ def test_shares_are_exact(spark):
     assert [r[0] for r in df.select(source_divergence.share(F.col("c"), F.col("t"), F.lit(n))).collect()] == want
 
 
+# tables of pages
+
+
+def grid_lines(rows):
+    """A table by a plain grid: every slot filled one by one, widths by column."""
+    grid, starts = {}, []
+    for r, row in enumerate(rows):
+        c, own = 0, []
+        for text, across, down in row:
+            while (r, c) in grid:
+                c += 1
+            own.append((c, across, text))
+            for i in range(down):
+                for j in range(across):
+                    grid.setdefault((r + i, c + j), text)
+            c += across
+        starts.append(own)
+    widths = defaultdict(int)
+    for spanning in (False, True):
+        for own in starts:
+            for c, across, text in own:
+                if (across > 1) is spanning and text:
+                    have = sum(widths[i] + 2 for i in range(c, c + across) if widths[i]) - 2
+                    if len(text) > have:
+                        last = c + across - 1
+                        widths[last] += max(1, len(text) - have) if widths[last] else max(1, len(text) - have - 2)
+    left = lambda c: sum(widths[i] + 2 for i in range(c) if widths[i])
+    out = []
+    for own in starts:
+        line = ""
+        for c, _, text in own:
+            if text:
+                line = (line + "  " if line and len(line) + 2 > left(c) else line.ljust(left(c))) + text
+        if line:
+            out.append(line)
+    return out
+
+
+def test_tables_equal_a_plain_grid():
+    rng = random.Random(6)
+    for _ in range(400):
+        rows = [[("x" * rng.choice([0, 1, 2, 3, 8]), rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2])) for _ in range(rng.randint(0, 5))] for _ in range(rng.randint(1, 6))]
+        held, clash = set(), False  # without cells that overlap, of which HTML says nothing
+        for r, row in enumerate(rows):
+            c = 0
+            for _, across, down in row:
+                while (r, c) in held:
+                    c += 1
+                own = {(r + i, c + j) for i in range(down) for j in range(across)}
+                clash |= bool(own & held)
+                held |= own
+                c += across
+        if not clash:
+            assert html_text._aligned([[([t] if t else [], a, d) for t, a, d in row] for row in rows], html_text.Layout(most_padding=10**6)) == grid_lines(rows)
+
+
+@pytest.mark.parametrize("make", [
+    lambda k: "<table><tr>" + "<td rowspan=1000 colspan=100>x" * (k // 70) + "<tr><td>y" * (k // 20) + "</table>",
+    lambda k: "<table><tr>" + "".join(f"<td rowspan={2 + i * 7919 % 60000} colspan={1 + i % 1000}>x" for i in range(k // 76)) + "<tr><td>y" * (k // 20) + "</table>",
+    lambda k: "<table>" + "".join(f"<tr><td rowspan={2 + i % 5} colspan={1 + i % 13}>a<td>b<td rowspan=3>c" for i in range(k // 55)) + "</table>",
+    lambda k: "<table><tr>" + ("<td>" + "z" * 80) * (k // 168) + "<tr><td colspan=999><td>q" * (k // 50) + "</table>",
+])
+def test_spanning_cells_take_time_of_the_page(make):
+    html_text.render(make(20_000))
+    page = make(1_000_000)
+    began = time.time()
+    text = html_text.render(page)
+    took = time.time() - began
+    assert 800_000 < len(page) < 1_100_000 and took < 15, took  # some 2 seconds on a machine that does nothing else
+    assert len(text) < 20 * len(page) and len(text.split()) >= page.count("<td") - page.count("colspan=999")
+
+
+def test_long_cells_stay_aligned():
+    page = "<table><tr><td>" + "<br>".join(f"line {i}" for i in range(13)) + "<td>side<tr><td>k<td>v</table>"
+    assert html_text.render(page).split("\n") == ["line 0   side", *(f"line {i}" for i in range(1, 13)), "k        v"]
+    words = " ".join(f"w{i}" for i in range(200))
+    lines = html_text.render(f"<table><tr><td>{words}<td>side<tr><td>k<td>v</table>").split("\n")
+    assert " ".join(x.split("  ")[0] for x in lines[:-1]) == words and all(len(x) <= 106 for x in lines) and lines[-1].index("v") == lines[0].index("side")
+    assert html_text.render("<table><tr><td>" + "n" * 300 + "<td>b<tr><td>c<td>d</table>").split("\n")[1] == "c" + " " * 301 + "d"
+
+
 def test_stage_is_unique(spark):
     assert stage(spark.range(3), "twice").count() == stage(spark.range(3), "twice").count() == 3

@@ -222,7 +222,7 @@ def test_html_takes_linear_time():
     ("<table><tr><td><p>one<p>two<td><ul><li>x<li>y</ul></table>", "one  - x\n     - y\ntwo"), ("<table><tr><td><h1>T</h1><p>one</p><p>two</p></td></tr></table>", "T\n\none\n\ntwo"),
     ("<table><tr><td><table><tr><td>in<td>ner<tr><td>longer<td>z</table><td>right</table>", "in      ner  right\nlonger  z"),
     ("<table><caption>cap</caption><tr><th>a<th>b<tr><td colspan=2>long spanning cell<tr><td>1<td>2</table>after", "cap\na  b\nlong spanning cell\n1  2\n\nafter"),
-    ("<table><tr><td>menu<td>" + "<p>line</p>" * 20 + "</table>", "menu\n" + "\n\n".join(["line"] * 20)),
+    ("<table><tr><td>menu<td>" + "<p>line</p>" * 20 + "</table>", "menu  line" + "\n\n      line" * 19),
     ("<div style='visibility:hidden'>no<span style='visibility: visible'>yes</span></div>", "yes"), ("<p hidden style='display:block'>y</p>", "y"),
     ("<p style='display:none; display:block'>y</p>", "y"), ("<p style='display:none !important; display:block'>n</p>", ""), ("<table><tr style='display:none'><td>n<tr><td>y</table>", "y"),
     ('a <a href="x>y">z</a>', "a z"), ("<svg><p", "<p"), ("x<table", "x<table"), ("<ol start=0><li>a<li value=7>b<li>c</ol>", "0. a\n7. b\n8. c"),
