@@ -15,7 +15,8 @@ set are one class, and classes are what is compared.
    What comes out is each class's number of links and a spanning star for each block, never the pairs.
 3. Components of the verified links give the classes of documents.
 
-Nothing is sampled, capped or dropped. Texts that link to none never leave the first step.
+Nothing is sampled, capped or dropped. Only texts of classes with a tie are shuffled: most others are held back by a
+bitmap of the keys asked for.
 
 Defined results. Null or empty text: no words; all such documents are one set, hence copies of each other. Null
 doc_id: kept; a component's id is its least non-null id. Repeated rows: copies. One id with several texts: each row
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import BLANKS, stage
+from crosspanel.llm.common import BLANKS, only_wanted, sorted_out, stage
 from crosspanel.llm.components import connected_components
 
 
@@ -399,7 +400,7 @@ def _classes(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]
     wanted = stage(wanted.join(sizes, "component").select("*", "text_key.*").drop("text_key", "n_shingles"), "wanted")
     text = F.col("text").cast("string")
     # copies of a text become one where they lie; a merge join at every size: which texts are wanted grows with the input
-    texts = docs.select(*text_keys(text), text.alias("text")).groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    texts = only_wanted(docs.select(*text_keys(text), text.alias("text")), wanted, "t1").groupBy("t1", "t2").agg(F.first("text").alias("text"))
     texts = wanted.hint("merge").join(texts.hint("merge"), ["t1", "t2"]).drop("t1", "t2")
     blocks = F.greatest(F.ceil(F.col("n") / settings.verify_block), F.ceil(F.col("shingles") / settings.verify_shingles))
     groups = in_blocks(texts, ["component"], blocks).repartition("component", "near", "far")
@@ -432,10 +433,16 @@ def distinct_documents(docs: DataFrame, settings: Settings | None = None) -> Dat
     """One row of each class of similar documents, with all its columns: the one with the least id, then by its text's hash.
 
     Every row goes by its own text: rows that share an id but not a text are told apart, rows without an id are
-    compared like others, and of identical rows one stays.
+    compared like others, and of rows with one id and text the one stays whose columns, as JSON text, come first. Rows
+    that no other row is like, told by a bitmap, are kept where they lie; only the others are shuffled.
     """
-    _, named = _classes(docs, settings or Settings())
-    keep = named.select("component", "row.doc_id", "row.t1", "row.t2").distinct().select(F.col("doc_id").alias("id"), "t1", "t2")
+    signed, named = _classes(docs, settings or Settings())
+    named = stage(named.select("set", "component", "row", "n_links"), "named")
+    of_set = F.xxhash64("set").alias("s1")
+    shared = only_wanted(signed.select(of_set, "t1"), named.where("n_links > 0").select(of_set), "s1")
     rows = docs.select(F.struct("*").alias("document"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text").cast("string")))
-    found = rows.hint("merge").join(keep.hint("merge"), rows["doc_id"].eqNullSafe(keep["id"]) & (rows["t1"] == keep["t1"]) & (rows["t2"] == keep["t2"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "t1", "t2"]).select("document.*")
+    open_, alone = sorted_out(rows, shared, "t1")
+    keep = named.select("component", "row.doc_id", "row.t1", "row.t2").distinct().select(F.col("doc_id").alias("id"), F.col("t1").alias("k1"), F.col("t2").alias("k2"))
+    found = open_.hint("merge").join(keep.hint("merge"), open_["doc_id"].eqNullSafe(keep["id"]) & (open_["t1"] == keep["k1"]) & (open_["t2"] == keep["k2"]), "left_semi")
+    one = found.groupBy("doc_id", "t1", "t2").agg(F.min_by("document", F.to_json("document")).alias("document"))
+    return one.select("document.*").unionByName(alone.select("document.*"))
