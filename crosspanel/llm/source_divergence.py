@@ -98,23 +98,23 @@ def shares(counts: np.ndarray, totals: np.ndarray, n_terms: int) -> np.ndarray:
     return out + 1
 
 
-def _tables(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts of kept terms (lang, source, term, count, chunk, slot, total, n_terms), the groups (lang, source, N, V), and
-    the kept terms (lang, term, count, N, V, chunk, slot, chunk_terms)."""
+def _tables(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Counts of kept terms (lang, source, term, count, lang_count, chunk, slot, chunk_terms), and the groups (lang, source,
+    total, n_terms, lang_total)."""
     counts = count_terms(docs, settings).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     counts = stage(counts, "term-counts")
     kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("count").alias("lang_count"), F.sum("docs").alias("docs"))
-    kept = stage(kept.where(F.col("docs") >= settings.least_documents), "kept-terms")
-    sizes = kept.groupBy("lang").agg(F.sum("lang_count").alias("lang_total"), F.count("*").alias("n_terms"))
-    chunk = F.pmod(F.xxhash64("term"), F.ceil(F.col("n_terms") / settings.chunk_terms)).cast("int")
+    kept = stage(kept.where(F.col("docs") >= settings.least_documents).drop("docs"), "kept-terms")
+    # as many chunks for every language as all terms together fill, so that no language's terms meet in one task
+    chunk = F.pmod(F.xxhash64("term"), F.lit(max(1, -(-kept.count() // settings.chunk_terms)))).cast("int")
     within = Window.partitionBy("lang", "chunk")
-    kept = kept.join(sizes, "lang").withColumn("chunk", chunk).withColumn("slot", F.row_number().over(within.orderBy("term")) - 1)
-    kept = stage(kept.withColumn("chunk_terms", F.count("*").over(within)), "vocabulary")
-    found = counts.join(kept.drop("docs"), ["lang", "term"])
-    found = stage(found.select("lang", "source", "term", "count", "lang_count", "lang_total", "n_terms", "chunk", "slot", "chunk_terms"), "kept-counts")
+    slots = kept.withColumn("chunk", chunk).withColumn("slot", F.row_number().over(within.orderBy("term")) - 1)
+    slots = stage(slots.withColumn("chunk_terms", F.count("*").over(within)), "vocabulary")
+    found = stage(counts.drop("docs").join(slots, ["lang", "term"]), "kept-counts")
+    sizes = kept.groupBy("lang").agg(F.sum("lang_count").alias("lang_total"), F.count("*").alias("n_terms"))
     totals = found.groupBy("lang", "source").agg(F.sum("count").alias("total"))
-    groups = counts.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(sizes.select("lang", "n_terms"), "lang", "left")
-    return found, stage(groups.fillna(0, ["total", "n_terms"]), "groups"), sizes
+    groups = counts.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
+    return found, stage(groups.fillna(0, ["total", "n_terms", "lang_total"]), "groups")
 
 
 def _packed(found: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def _tile(heads: list[dict], chunks: Iterator[list[dict]]) -> list[tuple[str, st
 def pair_values(found: DataFrame, groups: DataFrame, settings: Settings) -> DataFrame:
     """(lang, source, item, value) for every two groups of a language, tile by tile."""
     n_blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / settings.block_groups).cast("int").alias("blocks"))
-    own = groups.join(n_blocks, "lang").withColumn("own", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
+    own = groups.drop("lang_total").join(n_blocks, "lang").withColumn("own", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
     nothing = {"chunk": F.lit(-1), "chunk_terms": F.lit(0), "slots": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary")}
     vectors = _packed(found).join(own, ["lang", "source"])
     rows = own.withColumns(nothing).unionByName(vectors).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -211,7 +211,7 @@ def pair_values(found: DataFrame, groups: DataFrame, settings: Settings) -> Data
 
 def term_values(found: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) for every kept term that a group uses more than its language does."""
-    rows = found.join(groups.select("lang", "source", "total"), ["lang", "source"])
+    rows = found.join(groups, ["lang", "source"])
     p, q = share(F.col("count"), F.col("total"), F.col("n_terms")), share(F.col("lang_count"), F.col("lang_total"), F.col("n_terms"))
     return rows.select("lang", "source", F.col("term").alias("item"), (p - q).alias("value")).where("value > 0")
 
@@ -223,7 +223,7 @@ def divergence(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     that most set a source apart from its language, at most `top_terms`.
     """
     settings = settings or Settings()
-    found, groups, _ = _tables(docs, settings)
+    found, groups = _tables(docs, settings)
     by = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     rank = F.row_number().over(by)
     pairs = pair_values(found, groups, settings).withColumn("rank", rank).withColumn("part", F.lit("pair"))
