@@ -33,6 +33,11 @@ def counted_ranks(df: DataFrame, value: str, keys: list[str], ranges: int = RANG
 
     `ranges` bounds the values a group is cut at, not the rows of a range.
     """
+    return ranged_ranks(df, value, keys, ranges).drop("_b")
+
+
+def ranged_ranks(df: DataFrame, value: str, keys: list[str], ranges: int = RANGES) -> DataFrame:
+    """Counted ranks with _b, the number of the range that a value lies in: `ranges` + 1 of them at most, in order."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")).persist(StorageLevel.MEMORY_AND_DISK)
     one = keys or [F.lit(0)]
     least = Window.partitionBy(*one).orderBy(F.xxhash64(value), value)
@@ -45,7 +50,23 @@ def counted_ranks(df: DataFrame, value: str, keys: list[str], ranges: int = RANG
     totals = totals.withColumns({"_below": below, "_n": F.sum("_t").over(group)}).drop("_t")
     inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     out = _same(placed, totals, [*keys, "_b"]).withColumn("_lo", F.col("_below") + F.sum("_c").over(inside) - F.col("_c"))
-    return out.select(*keys, value, "_c", "_lo", "_n")
+    return out.select(*keys, value, "_c", "_lo", "_n", "_b")
+
+
+def running(ranked: DataFrame, value: str, of: dict[str, Column], largest: bool) -> DataFrame:
+    """Add, to the ranged ranks of one group, the largest of each column up to a value, or the least of it from a value on.
+
+    Each range is scanned by itself; what the ranges before it come to is a scan over one row for each range.
+    """
+    pick, order = (F.max, F.asc) if largest else (F.min, F.desc)
+    ranked = ranked.withColumns(of)
+    ends = ranked.groupBy("_b").agg(*(pick(c).alias(f"_end_{c}") for c in of))
+    before = Window.partitionBy(F.lit(0)).orderBy(order("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("_b").alias("_at"), *(pick(f"_end_{c}").over(before).alias(f"_end_{c}") for c in of))
+    inside = Window.partitionBy("_b").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranked.join(F.broadcast(ends), F.col("_b") == F.col("_at"))  # a row for each range, of which there is a bounded number
+    meet = F.greatest if largest else F.least
+    return joined.withColumns({c: meet(pick(c).over(inside), F.col(f"_end_{c}")) for c in of}).drop("_at", *(f"_end_{c}" for c in of))
 
 
 def at_rank(value: Column, rank: Column) -> Column:

@@ -40,6 +40,26 @@ def grouped_summary(ic: DataFrame) -> DataFrame:
     return series_stats(ic, ["group", "horizon"], "ic")
 
 
+def ic_rollup(ic: DataFrame) -> DataFrame:
+    """horizon, group, level and the statistics of the ICs of a group (level 0), of all groups of a horizon (1) and of all (2).
+
+    NULL stands for what is pooled. One aggregation with ROLLUP.
+    """
+    x = F.col("ic")
+    out = ic.rollup("horizon", "group").agg(
+        (F.grouping("horizon") + F.grouping("group")).cast("int").alias("level"), F.count(x).alias("n_cells"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.avg((x > 0).cast("double")).alias("positive_rate"), F.count_if(F.col("reason").isNotNull()).alias("n_skipped"),
+    )
+    return out.withColumn("icir", F.try_divide("mean", "std"))
+
+
+def grouped_frame(ic: DataFrame, value: str = "mean") -> DataFrame:
+    """horizon against group: one statistic over time of each cell. The groups are the ones that are there, a column each."""
+    summary = grouped_summary(ic)
+    names = sorted(r["group"] for r in summary.select("group").distinct().collect())
+    return summary.groupBy("horizon").pivot("group", names).agg(F.first(value))
+
+
 def weighted_ic(ic: DataFrame) -> DataFrame:
     """date, horizon, ic: group ICs weighted by their pairs, over the groups that have one."""
     there = F.col("ic").isNotNull()

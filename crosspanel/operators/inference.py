@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.functions.order_statistics import ranged_ranks, running
 from crosspanel.functions.xsec import clean_number
 from crosspanel.operators.contracts import fail
 
@@ -156,29 +157,42 @@ def t_threshold(n_trials: int, alpha: float = 0.05) -> float:
 hlz_threshold = t_threshold
 
 
-def adjust_column(df: DataFrame, p: str, out: str, method: str = "bhy", n_trials: int | None = None) -> DataFrame:
-    """Add adjusted p-values. More trials than rows count as rows with p = 1, which come last and change only n.
+def adjust_columns(df: DataFrame, p: str, columns: dict[str, str], n_trials: int | None = None) -> DataFrame:
+    """Add a column of adjusted p-values for each method named. More trials than rows count as rows with p = 1, which come
+    last and change only n.
 
-    One row a hypothesis: ranks over all of them are one task's work.
+    Equal p-values have equal results, so it is the distinct values that are ranked, range by range, and the running
+    maximum of the step-down and minimum of the step-up methods are scans over ranges: no task sees all hypotheses.
     """
-    if method not in METHODS:
-        fail("multiplicity", "bad_method", f"{method!r} is none of {METHODS}")
-    every = Window.partitionBy(F.lit(0))
-    ordered = every.orderBy(F.col(p).asc_nulls_last())
-    n = F.count(p).over(every) if n_trials is None else F.greatest(F.count(p).over(every), F.lit(n_trials))
-    df = df.withColumns({"_m": F.count(p).over(every), "_n": n, "_k": F.row_number().over(ordered)})
-    if method == "bonferroni":
-        value = F.col("_n") * F.col(p)
-    elif method == "holm":
-        df = df.withColumn("_q", (F.col("_n") - F.col("_k") + 1) * F.col(p))
-        value = F.max("_q").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        # the least of a rank and all above it: a running minimum from the last rank down
+    for method in columns.values():
+        if method not in METHODS:
+            fail("multiplicity", "bad_method", f"{method!r} is none of {METHODS}")
+    ranked = ranged_ranks(df, p, [])
+    n = F.col("_n") if n_trials is None else F.greatest(F.col("_n"), F.lit(n_trials))
+    ranked = ranked.withColumns({"_m": F.col("_n"), "_n": n})
+    # of equal p-values the first has the greatest step-down value, the last the least step-up value
+    down = {"_down": (F.col("_n") - F.col("_lo")) * F.col(p)}
+    up = {"_up": F.col("_n") / (F.col("_lo") + F.col("_c")) * F.col(p)}
+    if "holm" in columns.values():
+        ranked = running(ranked, p, down, True)
+    if {"bh", "bhy"} & set(columns.values()):
+        ranked = running(ranked, p, up, False)
+
+    def value(method: str) -> Column:
+        if method == "bonferroni":
+            return F.col("_n") * F.col(p)
+        if method == "holm":
+            return F.col("_down")
         c = F.lit(1.0) if method == "bh" else harmonic(F.col("_n"))
-        df = df.withColumn("_q", F.col("_n") / F.col("_k") * F.col(p))
-        least = F.min("_q").over(every.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)) * c
-        value = F.least(least, F.when(F.col("_n") > F.col("_m"), c))
-    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), value))).drop("_n", "_k", "_q", "_m")
+        return F.least(F.col("_up") * c, F.when(F.col("_n") > F.col("_m"), c))
+
+    found = ranked.select(F.col(p).alias("_p"), *(F.least(F.lit(1.0), value(m)).alias(c) for c, m in columns.items()))
+    return df.drop(*columns).join(found, F.col(p) == F.col("_p"), "left").drop("_p")
+
+
+def adjust_column(df: DataFrame, p: str, out: str, method: str = "bhy", n_trials: int | None = None) -> DataFrame:
+    """Add adjusted p-values by one method."""
+    return adjust_columns(df, p, {out: method}, n_trials)
 
 
 def harmonic(n: Column) -> Column:

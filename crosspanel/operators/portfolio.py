@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -67,29 +68,73 @@ def split_is_oos(
 ) -> Split:
     """Chronological split at a share or at a date (which is out of sample).
 
-    Purged are `embargo` periods before the cut, or exactly those whose longest holding reaches the cut's session.
+    Purged are `embargo` periods before the cut, or exactly those whose longest holding reaches the cut's session. Where
+    too few periods are left, the refusal names the ratios, or the dates of a cut, that would do.
     """
     if embargo and purge_horizons:
         fail("split", "two_purges", "embargo and purge_horizons exclude each other")
     if purge_horizons and not calendar:
         fail("split", "no_calendar", "purging by horizon needs the calendar")
-    days = sorted(set(dates))
+    purge = Purge(sorted(set(dates)), embargo, sorted(set(calendar or [])), max(purge_horizons or [0]) if purge_horizons else None, entry_lag)
+    days = purge.days
     if cut is None:
         if not 0 < ratio < 1:
             fail("split", "bad_ratio", f"{ratio} is not between 0 and 1")
         at = int(len(days) * ratio)
-        cut = days[at] if at < len(days) else None
-    before = [d for d in days if cut is None or d < cut]
-    after = [d for d in days if cut is not None and d >= cut]
-    keep = before
-    if purge_horizons:
-        pos = {d: i for i, d in enumerate(sorted(set(calendar)))}
-        edge = min((p for d, p in pos.items() if d >= cut), default=len(pos))
-        keep = [d for d in before if d in pos and pos[d] + entry_lag + max(purge_horizons) < edge]
-    elif embargo:
-        keep = before[: max(0, len(before) - embargo)]
+        where = days[at] if at < len(days) else None
+    else:
+        at, where = bisect_left(days, cut), cut
+    keep = purge.kept(at, where)
+    after = days[at:]
     if len(keep) < min_periods or len(after) < min_periods:
-        spare = len(days) - 2 * min_periods - (len(before) - len(keep))
-        hint = f"a ratio between {min_periods / len(days):.2f} and {1 - min_periods / len(days):.2f} leaves {min_periods} on either side before purging" if days and spare >= 0 else "there are too few periods for any cut"
+        hint = feasible_ratio_hint(purge, min_periods) if cut is None else feasible_cut_hint(purge, cut, min_periods)
         fail("split", "too_few_periods", f"{len(keep)} in sample and {len(after)} out of it, {min_periods} needed: {hint}")
-    return Split(keep, after, [d for d in before if d not in set(keep)])
+    return Split(keep, after, [d for d in days[:at] if d not in set(keep)])
+
+
+@dataclass(frozen=True)
+class Purge:
+    """Periods, and what of those before a cut overlaps it."""
+
+    days: list[dt.date]
+    embargo: int
+    calendar: list[dt.date]
+    longest: int | None
+    entry_lag: int
+
+    def kept(self, at: int, cut: dt.date | None = None) -> list[dt.date]:
+        """The periods before number `at` that stay in sample when the cut is at it, or at a date."""
+        cut = cut or (self.days[at] if at < len(self.days) else None)
+        if self.longest is None:
+            return self.days[: max(0, at - self.embargo)]
+        edge = len(self.calendar) if cut is None else bisect_left(self.calendar, cut)
+        pos = {d: i for i, d in enumerate(self.calendar)}
+        return [d for d in self.days[:at] if d in pos and pos[d] + self.entry_lag + self.longest < edge]
+
+    def feasible(self, least: int) -> tuple[int, int] | None:
+        """The first and last period that a cut may be at so that `least` periods stay on both sides, or None.
+
+        What stays in sample grows with the cut and what is out of it shrinks, so the first is found by bisection.
+        """
+        last = len(self.days) - least
+        first = bisect_left(range(last + 1), least, key=lambda at: len(self.kept(at))) if last >= 0 else last + 1
+        return (first, last) if first <= last else None
+
+
+def feasible_ratio_hint(purge: Purge, min_periods: int) -> str:
+    """The ratios that leave enough periods on both sides after purging."""
+    found, n = purge.feasible(min_periods), len(purge.days)
+    if found is None:
+        return f"there are too few periods ({n}) for any ratio; a longer sample is needed"
+    fits = [r / 100 for r in range(1, 100) if found[0] <= int(n * (r / 100)) <= found[1]]
+    if not fits:  # the range is narrower than a hundredth
+        return f"a ratio of {(found[0] + 0.5) / n:.4f} does, of {n} periods"
+    return f"a ratio from {fits[0]:.2f} to {fits[-1]:.2f} does, of {n} periods"
+
+
+def feasible_cut_hint(purge: Purge, cut: dt.date, min_periods: int) -> str:
+    """The cuts that leave enough periods on both sides after purging."""
+    found = purge.feasible(min_periods)
+    if found is None:
+        return f"there are too few periods ({len(purge.days)}) for any cut; a longer sample is needed"
+    return f"a cut from {purge.days[found[0]]} to {purge.days[found[1]]} does, {cut} does not"

@@ -4,17 +4,52 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crosspanel.functions.normal_equations import finite, fitted
 from crosspanel.functions.order_statistics import counted_ranks, quantiles
 from crosspanel.functions.xsec import average_rank
 from crosspanel.operators.contracts import KEYS, fail
 
 
-def winsorize(panel: DataFrame, column: str = "factor", method: str = "mad", n: float = 3.0, limits: tuple[float, float] = (0.01, 0.99), by_date: bool = True) -> DataFrame:
+class PreprocessLog:
+    """What each step did, counted in the pass that reads its result: rows, values changed, sections left as they were.
+
+    Give it to the steps, run whatever job the panel is for, then ask: the numbers are those of the first job over it.
+    """
+
+    COLUMNS = "step string, n_rows long, n_changed long, n_skipped_sections long"
+
+    def __init__(self) -> None:
+        self.steps: list[tuple[str, Observation]] = []
+
+    def watch(self, df: DataFrame, step: str, before: Column, after: Column, skipped: Column) -> DataFrame:
+        """`skipped` holds in rows of a section that the step leaves out; sections are dates, so a set of them is small."""
+        seen = Observation()
+        self.steps.append((step, seen))
+        metrics = [F.count(F.lit(1)).alias("n_rows"), F.count_if(~before.eqNullSafe(after)).alias("n_changed"), F.size(F.collect_set(F.when(skipped, F.col("date")))).alias("n_skipped")]
+        return df.observe(seen, *metrics)
+
+    def rows(self) -> list[tuple[str, int, int, int]]:
+        """step, n_rows, n_changed, n_skipped_sections, in order; waits for the first job."""
+        return [(step, found["n_rows"], found["n_changed"], found["n_skipped"]) for step, found in ((step, seen.get) for step, seen in self.steps)]
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The same as a table; empty without steps."""
+        return spark.createDataFrame(self.rows(), self.COLUMNS)
+
+
+def _put(panel: DataFrame, column: str, new: str, skipped: str, log: PreprocessLog | None, step: str, columns: list[str]) -> DataFrame:
+    """The panel with `column` taken from `new`, and the step logged."""
+    if log is not None:
+        panel = log.watch(panel, step, F.col(column), F.col(new), F.col(skipped))
+    return panel.select(*(F.col(new).alias(column) if c == column else F.col(c) for c in columns))
+
+
+def winsorize(
+    panel: DataFrame, column: str = "factor", method: str = "mad", n: float = 3.0, limits: tuple[float, float] = (0.01, 0.99), by_date: bool = True, log: PreprocessLog | None = None,
+) -> DataFrame:
     """Clip to median +- n * 1.4826 * MAD, to mean +- n standard deviations, or to linear quantiles, section by section.
 
     With by_date=False, over the whole table: its bounds are aggregates of one row, looked up by every row.
@@ -24,7 +59,8 @@ def winsorize(panel: DataFrame, column: str = "factor", method: str = "mad", n:
     x = F.col(column)
     if not by_date:
         low, high = _pooled_bounds(panel, column, method, n, limits)
-        return panel.withColumn(column, F.when(x.isNotNull() & low.isNotNull(), F.greatest(low, F.least(high, x))).otherwise(x))
+        pooled = panel.withColumns({"_new": F.when(x.isNotNull() & low.isNotNull(), F.greatest(low, F.least(high, x))).otherwise(x), "_skipped": low.isNull()})
+        return _put(pooled, column, "_new", "_skipped", log, "winsorize", panel.columns)
     w = Window.partitionBy("date")
     if method == "mad":
         df = panel.withColumn("_mid", F.percentile(x, F.lit(0.5)).over(w))
@@ -37,7 +73,8 @@ def winsorize(panel: DataFrame, column: str = "factor", method: str = "mad", n:
     low, high = (F.col("_q")[0], F.col("_q")[1]) if method == "quantile" else (F.col("_mid") - F.col("_half"), F.col("_mid") + F.col("_half"))
     usable = (F.count(x).over(w) >= 2) & (F.lit(True) if method == "quantile" else F.col("_half") > 0)
     clipped = F.when(x.isNotNull(), F.greatest(low, F.least(high, x)))
-    return df.withColumn(column, F.when(usable, clipped).otherwise(x)).select(*panel.columns)
+    df = df.withColumn("_usable", F.coalesce(usable, F.lit(False))).withColumns({"_new": F.when(F.col("_usable"), clipped).otherwise(x), "_skipped": ~F.col("_usable")})
+    return _put(df, column, "_new", "_skipped", log, "winsorize", panel.columns)
 
 
 def _pooled_bounds(panel: DataFrame, column: str, method: str, n: float, limits: tuple[float, float]) -> tuple[Column, Column]:
@@ -60,69 +97,56 @@ def _pooled_bounds(panel: DataFrame, column: str, method: str, n: float, limits:
     return F.lit(low).cast("double"), F.lit(high).cast("double")
 
 
-def standardize(panel: DataFrame, column: str = "factor", method: str = "zscore", by_date: bool = True) -> DataFrame:
+def standardize(panel: DataFrame, column: str = "factor", method: str = "zscore", by_date: bool = True, log: PreprocessLog | None = None) -> DataFrame:
     """zscore (a constant section stays), rank ((average rank - 0.5) / n) or demean, section by section or over the whole table."""
     if method not in ("zscore", "rank", "demean"):
         fail("preprocess", "bad_method", f"{method!r} is none of zscore, rank, demean")
     x = F.col(column)
     if not by_date:
         if method == "rank":
-            places = counted_ranks(panel, column, []).select(F.col(column).alias("_v"), ((F.col("_lo") + F.col("_c") / 2) / F.col("_n")).alias("_p"))
-            return panel.join(places, x == F.col("_v"), "left").withColumn(column, F.col("_p")).select(*panel.columns)
-        mean, sd = panel.agg(F.avg(x), F.stddev_samp(x)).first()
-        if method == "demean":
-            return panel.withColumn(column, x - F.lit(mean).cast("double"))
-        return panel.withColumn(column, (x - mean) / sd) if sd else panel
+            places = counted_ranks(panel, column, []).select(F.col(column).alias("_v"), ((F.col("_lo") + F.col("_c") / 2) / F.col("_n")).alias("_new"))
+            df = panel.join(places, x == F.col("_v"), "left").withColumn("_skipped", F.lit(False))
+        else:
+            mean, sd = panel.agg(F.avg(x), F.stddev_samp(x)).first()
+            new = x - F.lit(mean).cast("double") if method == "demean" else (x - mean) / sd if sd else x
+            df = panel.withColumns({"_new": new, "_skipped": F.lit(method == "zscore" and not sd)})
+        return _put(df, column, "_new", "_skipped", log, "standardize", panel.columns)
     keys = ["date"]
     w = Window.partitionBy(*keys)
     if method == "zscore":
-        sd = F.stddev_samp(x).over(w)
-        return panel.withColumn("_sd", sd).withColumn("_m", F.avg(x).over(w)).withColumn(
-            column, F.when(F.col("_sd") > 0, (x - F.col("_m")) / F.col("_sd")).otherwise(x)
-        ).select(*panel.columns)
-    if method == "rank":
-        ranked = average_rank(panel, column, keys, "_r").withColumn("_n", F.count(x).over(w))
-        return ranked.withColumn(column, (F.col("_r") - 0.5) / F.col("_n")).select(*panel.columns)
-    return panel.withColumn(column, x - F.avg(x).over(w))
+        df = panel.withColumn("_sd", F.stddev_samp(x).over(w)).withColumn("_m", F.avg(x).over(w)).withColumn("_skipped", ~F.coalesce(F.col("_sd") > 0, F.lit(False)))
+        df = df.withColumn("_new", F.when(~F.col("_skipped"), (x - F.col("_m")) / F.col("_sd")).otherwise(x))
+    elif method == "rank":
+        df = average_rank(panel, column, keys, "_r").withColumn("_size", F.count(x).over(w)).withColumns({"_new": (F.col("_r") - 0.5) / F.col("_size"), "_skipped": F.col("_size") == 0})
+    else:
+        df = panel.withColumn("_m", F.avg(x).over(w)).withColumns({"_new": x - F.col("_m"), "_skipped": F.col("_m").isNull()})
+    return _put(df, column, "_new", "_skipped", log, "standardize", panel.columns)
 
 
-def neutralize(panel: DataFrame, column: str = "factor", exposures: list[str] | None = None, groups: str | None = None, min_obs: int = 10) -> DataFrame:
+def neutralize(
+    panel: DataFrame, column: str = "factor", exposures: list[str] | None = None, groups: str | None = None, min_obs: int = 10, log: PreprocessLog | None = None,
+) -> DataFrame:
     """Take out group means, or the least-squares fit on exposures, section by section.
 
-    A row without a group, or without some exposure, becomes missing; so does a section with too few rows. One exposure
-    is closed form in windows; several are solved section by section, a section being one date's assets.
+    A row without a group, or without some exposure, becomes missing; so does a section with too few rows. The fit is
+    worked out from each section's cross products and looked up by date, so rows are not shipped for it. An exposure
+    that others explain adds nothing.
     """
     if groups:
         x = F.col(column) - F.avg(column).over(Window.partitionBy("date", groups))
-        panel = panel.withColumn(column, F.when(F.col(groups).isNotNull(), x))
+        within = panel.withColumns({"_new": F.when(F.col(groups).isNotNull(), x), "_skipped": F.lit(False)})
+        panel = _put(within, column, "_new", "_skipped", log, "neutralize_groups", panel.columns)
     if not exposures:
         return panel
-    there = F.col(column).isNotNull()
-    for e in exposures:
-        there = there & F.col(e).isNotNull()
-    need = max(min_obs, len(exposures) + 2)
-    if len(exposures) == 1:
-        w = Window.partitionBy("date")
-        y, x = F.when(there, F.col(column)), F.when(there, F.col(exposures[0]))
-        slope = F.coalesce(F.try_divide(F.covar_pop(y, x).over(w), F.var_pop(x).over(w)), F.lit(0.0))
-        df = panel.withColumns({"_n": F.count(y).over(w), "_b": slope, "_my": F.avg(y).over(w), "_mx": F.avg(x).over(w)})
-        rest = y - F.col("_my") - F.col("_b") * (x - F.col("_mx"))
-        return df.withColumn(column, F.when(F.col("_n") >= need, rest)).select(*panel.columns)
-
-    def solve(section: pd.DataFrame) -> pd.DataFrame:
-        out = section.copy()
-        values = section[[column, *exposures]].to_numpy(float)
-        ok = np.isfinite(values).all(1)
-        rest = np.full(len(section), np.nan)
-        if ok.sum() >= need:
-            design = np.column_stack([np.ones(ok.sum()), values[ok, 1:]])
-            fit = np.linalg.lstsq(design, values[ok, 0], rcond=None)[0]
-            rest[ok] = values[ok, 0] - design @ fit
-        out[column] = rest
-        return out
-
-    solved = panel.groupBy("date").applyInPandas(solve, panel.schema)
-    return solved.withColumn(column, F.when(F.isnan(column), None).otherwise(F.col(column)))
+    fits = fitted(panel, ["date"], column, exposures)
+    fits = fits.select(F.col("date").alias("_date"), F.col("n").alias("_n"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+    enough = F.coalesce(F.col("_n") >= max(min_obs, len(exposures) + 2), F.lit(False))
+    fit, there = F.col("_a"), finite(F.col(column)) & enough
+    for i, e in enumerate(exposures):
+        fit, there = fit + F.get("_b", F.lit(i)) * F.col(e), there & finite(F.col(e))
+    found = panel.join(fits, F.col("date") == F.col("_date"), "left")
+    found = found.withColumns({"_new": F.when(there, F.col(column) - fit), "_skipped": ~enough})
+    return _put(found, column, "_new", "_skipped", log, "neutralize_exposures", panel.columns)
 
 
 def orthogonalize(panel: DataFrame, column: str, others: list[str], min_obs: int = 10) -> DataFrame:
@@ -130,8 +154,11 @@ def orthogonalize(panel: DataFrame, column: str, others: list[str], min_obs: int
     return neutralize(panel, column, others, min_obs=min_obs)
 
 
-def combine(factors: dict[str, DataFrame], weights: dict[str, float] | None = None, standardize_first: bool = True) -> DataFrame:
-    """Weighted sum of factors (date, asset, factor), standardised before and after; one may be missing in a row."""
+def combine(factors: dict[str, DataFrame], weights: dict[str, float] | None = None, standardize_first: bool = True, min_obs: int | None = None) -> DataFrame:
+    """Weighted sum of factors (date, asset, factor), standardised before and after.
+
+    A row needs `min_obs` of them, by default all but one, and is missing below that; what is missing adds nothing.
+    """
     names = list(factors)
     weights = weights or {n: 1.0 for n in names}
     total = sum(weights[n] for n in names)
@@ -144,5 +171,5 @@ def combine(factors: dict[str, DataFrame], weights: dict[str, float] | None = No
     joined = reduce(lambda a, b: a.join(b, KEYS, "full_outer"), parts)
     there = sum(F.col(n).isNotNull().cast("int") for n in names)
     value = sum(F.coalesce(F.col(n), F.lit(0.0)) * (weights[n] / total) for n in names)
-    mixed = joined.withColumn("factor", F.when(there >= max(1, len(names) - 1), value)).select(*KEYS, "factor")
+    mixed = joined.withColumn("factor", F.when(there >= (max(1, len(names) - 1) if min_obs is None else min_obs), value)).select(*KEYS, "factor")
     return standardize(mixed)

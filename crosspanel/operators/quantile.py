@@ -94,14 +94,30 @@ def double_sort_monotonicity(data: DataFrame, by: str, n_by: int = 5, n: int = 5
 
     by_quantile 0 pools all outer bins, as `quantile_stats` does.
     """
+    rolled = monotonicity_rollup(data, by, n_by, n, method, horizons).where("level < 2")
+    return rolled.select(F.when(F.col("level") == 0, F.col("by_quantile")).otherwise(0).cast("int").alias("by_quantile"), "horizon", "spearman")
+
+
+def monotonicity_rollup(data: DataFrame, by: str, n_by: int = 5, n: int = 5, method: str = "independent", horizons: list[int] | None = None) -> DataFrame:
+    """horizon, by_quantile, level, n_bins, n_periods, mean, spearman: monotonicity within each outer bin, over all of them
+    (level 1, by_quantile NULL), and over all horizons as well (level 2, horizon NULL, too).
+
+    One aggregation with grouping sets makes the bins' means of all levels from the cells of the periods, of which there
+    are few; ranks and correlations are of n means each.
+    """
     horizons = horizons_of(data, horizons)
     labelled = quantize(data, n, by, method, n_by=n_by).dropna(subset=["by_quantile", "factor_quantile"])
     returns = labelled.groupBy("date", "by_quantile", "factor_quantile").agg(*(F.avg(f"forward_return_{h}").alias(f"forward_return_{h}") for h in horizons))
-    long = stacked(returns, ["date", "by_quantile", "factor_quantile"], {"r": {h: f"forward_return_{h}" for h in horizons}}, "horizon")
-    both = long.withColumn("by_quantile", F.explode(F.array(F.lit(0), F.col("by_quantile").cast("int"))))
-    means = both.groupBy("by_quantile", "horizon", "factor_quantile").agg(F.avg("r").alias("m")).where("m is not null")
-    ranked = average_rank(means, "m", ["by_quantile", "horizon"], "_r")
-    return ranked.groupBy("by_quantile", "horizon").agg(correlation(F.col("factor_quantile").cast("double"), F.col("_r")).alias("spearman"))
+    long = stacked(returns, ["date", "by_quantile", "factor_quantile"], {"r": {h: f"forward_return_{h}" for h in horizons}}, "horizon").where("r is not null")
+    sets = [[F.col(c) for c in own] for own in (["horizon", "by_quantile", "factor_quantile"], ["horizon", "factor_quantile"], ["factor_quantile"])]
+    means = long.groupingSets(sets, "horizon", "by_quantile", "factor_quantile").agg(
+        (F.grouping("horizon") + F.grouping("by_quantile")).cast("int").alias("level"), F.avg("r").alias("m"), F.count("r").alias("c")
+    )
+    keys = ["level", "horizon", "by_quantile"]
+    ranked = average_rank(means, "m", keys, "_r")
+    return ranked.groupBy(*keys).agg(
+        F.count("m").alias("n_bins"), F.sum("c").alias("n_periods"), F.avg("m").alias("mean"), correlation(F.col("factor_quantile").cast("double"), F.col("_r")).alias("spearman")
+    )
 
 
 def double_sort_frame(cells: DataFrame, horizon: int, n: int) -> DataFrame:

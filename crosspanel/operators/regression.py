@@ -3,46 +3,24 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crosspanel.functions.normal_equations import fitted
 from crosspanel.operators.inference import nw_summary
 
 
 def cross_sectional_regression(panel: DataFrame, y: str, xs: list[str], add_constant: bool = True, min_obs: int = 10, weights: str | None = None) -> DataFrame:
-    """date, regressor, coef, n: least squares section by section, NULL where a section has too few complete rows.
+    """date, regressor, coef, n: least squares section by section, from the sections' cross products.
 
-    One regressor with a constant and no weights is closed form in one aggregation; otherwise each date's section is
-    solved by itself.
+    NULL where a section has too few complete rows, or regressors of which one is a combination of the others.
     """
-    there = F.col(y).isNotNull()
-    for c in [*xs, *([weights] if weights else [])]:
-        there = there & F.col(c).isNotNull()
-    rows = panel.where(there)
     names = [*(["const"] if add_constant else []), *xs]
-    need = max(min_obs, len(names))
-    if len(xs) == 1 and add_constant and not weights:
-        a, b = F.col(y).cast("double"), F.col(xs[0]).cast("double")
-        slope = F.try_divide(F.covar_pop(a, b), F.var_pop(b))
-        out = rows.groupBy("date").agg(F.count("*").alias("n"), slope.alias("_b"), (F.avg(a) - slope * F.avg(b)).alias("_a"))
-        enough = F.col("n") >= need
-        cells = F.array(F.struct(F.lit("const").alias("regressor"), F.when(enough, F.col("_a")).alias("coef")), F.struct(F.lit(xs[0]).alias("regressor"), F.when(enough, F.col("_b")).alias("coef")))
-        return out.select("date", "n", F.explode(cells).alias("c")).select("date", "c.regressor", "c.coef", "n")
-
-    def solve(section: pd.DataFrame) -> pd.DataFrame:
-        x = section[xs].to_numpy(float)
-        if add_constant:
-            x = np.column_stack([np.ones(len(x)), x])
-        t, coef = section[y].to_numpy(float), np.full(len(names), np.nan)
-        if len(t) >= need:
-            root = np.sqrt(section[weights].to_numpy(float)) if weights else np.ones(len(t))
-            coef = np.linalg.lstsq(x * root[:, None], t * root, rcond=None)[0]
-        return pd.DataFrame({"date": section["date"].iloc[0], "regressor": names, "coef": coef, "n": len(t)})
-
-    keep = ["date", y, *xs, *([weights] if weights else [])]
-    solved = rows.select(*dict.fromkeys(keep)).groupBy("date").applyInPandas(solve, "date date, regressor string, coef double, n long")
-    return solved.withColumn("coef", F.when(~F.isnan("coef"), F.col("coef")))
+    found = fitted(panel, ["date"], y, xs, add_constant, weights)
+    usable = (F.col("n") >= max(min_obs, len(names))) & ~F.col("singular")
+    values = [*([F.col("a")] if add_constant else []), *(F.get("b", F.lit(i)) for i in range(len(xs)))]
+    cells = F.array(*(F.struct(F.lit(name).alias("regressor"), F.when(usable, v).alias("coef")) for name, v in zip(names, values, strict=True)))
+    return found.select("date", "n", F.explode(cells).alias("c")).select("date", "c.regressor", "c.coef", "n")
 
 
 def fama_macbeth(panel: DataFrame, y: str, xs: list[str], add_constant: bool = True, min_obs: int = 10, lags: int | None = None, horizon: int = 1, weights: str | None = None) -> DataFrame:

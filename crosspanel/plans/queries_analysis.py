@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.operators import correlation, group, ic, quantile
+from crosspanel.operators import correlation, group, ic, quantile, redraws
 from crosspanel.plans import panels as P
 from crosspanel.plans.panels import DATA_SQL, PX_SQL, QUANT_SQL, RANKED_SQL, sql, tidy
 from crosspanel.plans.registry import query
@@ -106,6 +106,10 @@ b2 AS (SELECT date, bq, greatest(1, len(list_filter(es2, lambda e: factor > e)))
 cl AS (SELECT date, bq, fq, avg(r) r, count(*) c FROM b2 GROUP BY ALL)"""
 
 
+_SORT2 = _SORT.replace("forward_return_1 r FROM e2", "forward_return_1 r, forward_return_3 r3 FROM e2") + """,
+cl2 AS (SELECT date, bq, fq, h, avg(CASE h WHEN 1 THEN r ELSE r3 END) r FROM b2, (VALUES (1), (3)) v(h) GROUP BY date, bq, fq, h)"""
+
+
 @query("double_sort_monotonicity", sql(_SORT, """, mm AS (SELECT bq, fq, avg(r) m FROM cl GROUP BY bq, fq UNION ALL SELECT 0, fq, avg(r) FROM cl GROUP BY fq),
   rk AS (SELECT *, rank() OVER (PARTITION BY bq ORDER BY m) + (count(*) OVER (PARTITION BY bq, m) - 1) / 2.0 k FROM mm)
   SELECT CAST(bq AS BIGINT) AS by_quantile, CAST(1 AS BIGINT) AS horizon, CASE WHEN count(*) >= 3 AND min(k) < max(k) THEN round(corr(fq, k), 6) + 0.0 END AS spearman FROM rk GROUP BY bq"""))
@@ -113,6 +117,14 @@ def double_sort_monotonicity(spark: SparkSession, d: str) -> DataFrame:
     return tidy(quantile.double_sort_monotonicity(P.sample(spark, d, True), "ln_volume", 3, 3, "conditional", [1]))
 
 
+@query("monotonicity_rollup", sql(_SORT2, """, mm AS (SELECT grouping(h) + grouping(bq) lv, h, bq, fq, avg(r) m, count(r) c FROM cl2 WHERE r IS NOT NULL GROUP BY GROUPING SETS ((h, bq, fq), (h, fq), (fq))),
+  rk AS (SELECT *, rank() OVER (PARTITION BY lv, h, bq ORDER BY m) + (count(*) OVER (PARTITION BY lv, h, bq, m) - 1) / 2.0 k FROM mm)
+  SELECT CAST(lv AS BIGINT) AS level, CAST(h AS BIGINT) AS horizon, CAST(bq AS BIGINT) AS by_quantile, count(*) AS n_bins, CAST(sum(c) AS BIGINT) AS n_periods, round(avg(m), 6) + 0.0 AS mean,
+  CASE WHEN count(*) >= 3 AND min(k) < max(k) THEN round(corr(fq, k), 6) + 0.0 END AS spearman FROM rk GROUP BY lv, h, bq"""))
+def monotonicity_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(quantile.monotonicity_rollup(P.sample(spark, d, True), "ln_volume", 3, 3, "conditional"))
+
+
 @query("double_sort", sql(_SORT, """SELECT CAST(bq AS BIGINT) AS by_quantile, CAST(fq AS BIGINT) AS factor_quantile, round(avg(r), 6) + 0.0 AS mean, count(r) AS n_periods, CAST(sum(c) AS BIGINT) AS n_obs FROM cl GROUP BY bq, fq"""))
 def double_sort(spark: SparkSession, d: str) -> DataFrame:
     out = quantile.double_sort(P.sample(spark, d, True), "ln_volume", 3, 3, "conditional", [1])
@@ -190,3 +202,21 @@ def redundancy(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT x, x, 1.0 FROM (VALUES ('a'), ('b'), ('c')) v(x)) SELECT fa AS factor, round(max(r) FILTER (fb = 'a'), 6) + 0.0 AS a, round(max(r) FILTER (fb = 'b'), 6) + 0.0 AS b, round(max(r) FILTER (fb = 'c'), 6) + 0.0 AS c FROM s GROUP BY fa"""))
 def correlation_square(spark: SparkSession, d: str) -> DataFrame:
     return tidy(correlation.correlation_matrix(correlation.factor_correlation(_factors(spark, d)), ["a", "b", "c"]))
+
+
+@query("ic_rollup", sql(_GROUPED, """SELECT CAST(grouping(horizon) + grouping(grp) AS BIGINT) AS level, CAST(horizon AS BIGINT) AS horizon, grp AS "group", count(ic) AS n_cells, round(avg(ic), 6) + 0.0 AS mean, round(stddev_samp(ic), 6) + 0.0 AS std,
+  round(avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END), 6) + 0.0 AS positive_rate, count(*) - count(ic) AS n_skipped, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) + 0.0 AS icir FROM gi GROUP BY ROLLUP (horizon, grp)"""))
+def ic_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(group.ic_rollup(group.grouped_ic(P.sample(spark, d, True), "grp")))
+
+
+_WEIGHT = " + ".join(f"CAST(u >= {c!r} AS INT)" for c in redraws.POISSON)
+
+
+@query("redraws", sql(RANKED_SQL, f""", u AS (SELECT horizon, ic, k, CAST('0x' || substr(md5('0|' || k || '|' || date), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) u FROM ic, range(50) t(k) WHERE ic IS NOT NULL),
+  v AS (SELECT horizon, k, sum(ic * w) / sum(w) v FROM (SELECT *, {_WEIGHT} w FROM u) WHERE w > 0 GROUP BY horizon, k), b AS (SELECT horizon, count(ic) n, avg(ic) base FROM ic WHERE ic IS NOT NULL GROUP BY horizon)
+  SELECT CAST(horizon AS BIGINT) AS horizon, n, round(base, 6) + 0.0 AS base, round(avg(v), 6) + 0.0 AS mean, round(quantile_cont(v, 0.05), 6) + 0.0 AS p5, round(quantile_cont(v, 0.95), 6) + 0.0 AS p95,
+  round(avg(CAST(sign(v) = sign(base) AND base <> 0 AS INT)), 6) + 0.0 AS same_sign, round(avg(CAST(sign(v) = sign(base) AND base <> 0 AND abs(v - base) <= 0.5 * abs(base) AS INT)), 6) + 0.0 AS within_tol FROM v JOIN b USING (horizon) GROUP BY horizon, n, base"""))
+def redraws_query(spark: SparkSession, d: str) -> DataFrame:
+    """The mean IC over fifty redraws of the periods."""
+    return tidy(redraws.perturb_panel(ic.information_coefficient(P.sample(spark, d), complete=True), "ic", ["date"], ["horizon"], n_draws=50))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.operators import asof, calendars, clean, health, preprocess, returns, tradability
+from crosspanel.operators import asof, calendars, clean, contracts, health, preprocess, returns, tradability
 from crosspanel.operators.adjust import compute_adj_factor, fill_prev_close
 from crosspanel.plans import panels as P
 from crosspanel.plans.panels import DATA_SQL, PX_SQL, sql, tidy
@@ -214,6 +214,24 @@ def combined(spark: SparkSession, d: str) -> DataFrame:
     return tidy(preprocess.combine({"a": P.factor(px), "b": P.second_factor(px)}, {"a": 3.0, "b": 1.0}))
 
 
+@query("contract_rules", sql(PX_SQL, """, own AS (SELECT date, asset, n, volume FROM px UNION ALL SELECT date, asset, n, volume FROM px WHERE n >= 3),
+  r AS (SELECT 'not_finite' AS rule, 'prev_close' AS "column", count(*) FILTER (n = 1) AS n FROM own UNION ALL SELECT 'not_positive', 'raw_low', count(*) FILTER (volume <= 20) FROM own UNION ALL SELECT 'not_positive', 'adj_low', count(*) FILTER (volume <= 20) FROM own
+  UNION ALL SELECT 'adjust_incomplete', 'high', count(*) FILTER (n = 2) FROM own UNION ALL SELECT 'duplicate_key', 'date, asset', count(*) FROM (SELECT 1 FROM own GROUP BY date, asset HAVING count(*) > 1))
+  SELECT 'prices' AS panel, * FROM r WHERE n > 0 UNION ALL SELECT 'factor', 'lookahead', 'available_at', count(*) FROM px WHERE volume > 30 UNION ALL SELECT 'factor', 'not_in_prices', 'date, asset', count(*) FROM px WHERE n = 4"""))
+def contract_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule that a damaged panel breaks, and how often."""
+    px = P.prices(spark, d)
+    low = F.when(F.col("volume") <= 20, -F.col("raw_low")).otherwise(F.col("raw_low"))
+    damaged = px.withColumns({"prev_close": F.when(F.col("n") == 1, F.lit(float("inf"))).otherwise(F.col("raw_close")), "raw_low": low, "adj_low": low, "adj_high": F.when(F.col("n") != 2, F.col("raw_high"))})
+    damaged = damaged.unionByName(damaged.where("n >= 3"))
+    late = F.when(F.col("volume") > 30, F.date_add("date", 1)).otherwise(F.col("date"))
+    elsewhere = F.when(F.col("n") == 4, F.concat(F.lit("x"), F.col("asset"))).otherwise(F.col("asset"))
+    own = px.select("date", elsewhere.alias("asset"), (F.col("raw_open") / F.col("raw_close")).alias("value"), late.alias("available_at"))
+    between = contracts.cross_rules({"factor": own, "prices": damaged}, P.calendar(px), least_coverage=0.0)
+    found = contracts.rule_counts(damaged, contracts.PRICES, "prices").unionByName(contracts.rule_counts(own, contracts.FACTOR, "factor")).unionByName(between)
+    return found.where("n > 0").select("panel", "rule", "column", "n")
+
+
 @query("health_ohlc", sql(PX_SQL, """SELECT rule, n FROM (SELECT 'high_below_low' AS rule, count(*) FILTER (raw_high * 1.000001 < raw_low) n FROM px UNION ALL SELECT 'high_below_body', count(*) FILTER (raw_high * 1.000001 < greatest(raw_open, raw_close)) FROM px
   UNION ALL SELECT 'low_above_body', count(*) FILTER (raw_low > least(raw_open, raw_close) * 1.000001) FROM px UNION ALL SELECT 'not_positive', count(*) FILTER (least(raw_open, raw_high, raw_low, raw_close) <= 0) FROM px)"""))
 def ohlc(spark: SparkSession, d: str) -> DataFrame:
@@ -270,6 +288,28 @@ def interval_query(spark: SparkSession, d: str) -> DataFrame:
     return asof.interval_join(orders, spans, ["k"], "day", "s", "e", ["part"]).select("o_orderkey", "part")
 
 
+@query("interval_open", """WITH spans AS (SELECT p_size % 3 AS k, DATE '1992-01-01' + CAST(p_partkey * 7 % 2400 AS INT) AS s, CASE WHEN p_partkey % 3 > 0 THEN DATE '1992-01-01' + CAST(p_partkey * 7 % 2400 + p_partkey % 700 AS INT) END AS e, p_partkey FROM part),
+  o AS (SELECT o_orderkey, o_custkey % 4 AS k, CAST(o_orderdate AS DATE) AS day FROM orders),
+  m AS (SELECT k, day, arg_max(p_partkey, (s, p_partkey)) AS p FROM (SELECT DISTINCT k, day FROM o) d JOIN spans USING (k) WHERE day >= s AND day <= coalesce(e, DATE '9999-12-30') GROUP BY 1, 2)
+  SELECT o_orderkey, m.p AS part FROM o LEFT JOIN m USING (k, day)""")
+def interval_open_query(spark: SparkSession, d: str) -> DataFrame:
+    """Few keys, many spans that overlap, a third of them open."""
+    key = F.col("p_partkey")
+    start = F.date_add(F.lit("1992-01-01").cast("date"), (key * 7 % 2400).cast("int"))
+    spans = P.read(spark, d, "part").select((F.col("p_size") % 3).cast("long").alias("k"), start.alias("s"), F.when(key % 3 > 0, F.date_add(start, (key % 700).cast("int"))).alias("e"), key.alias("part"))
+    orders = P.read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("k"), F.col("o_orderdate").cast("date").alias("day"))
+    return asof.interval_join(orders, spans, ["k"], "day", "s", "e", ["part"]).select("o_orderkey", "part")
+
+
+@query("asof_one_key", """SELECT l_orderkey, l_linenumber, best AS best_order, o.day AS ordered FROM (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day FROM lineitem) l
+  ASOF LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS day, max(o_orderkey) AS best FROM orders WHERE o_orderkey % 5 = 1 GROUP BY 1) o ON l.day >= o.day""")
+def asof_one_key(spark: SparkSession, d: str) -> DataFrame:
+    """All order lines under one key."""
+    lines = P.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("day"), F.lit(1).alias("k"))
+    orders = P.read(spark, d, "orders").where(F.col("o_orderkey") % 5 == 1).select(F.lit(1).alias("k"), F.col("o_orderdate").cast("date").alias("ordered"), F.col("o_orderkey").alias("best_order"))
+    return asof.asof_backward(lines, orders, ["k"], "day", "ordered", ["best_order"]).select("l_orderkey", "l_linenumber", "best_order", F.col("ordered_matched").alias("ordered"))
+
+
 @query("month_end", """WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem) SELECT CAST(date_trunc('month', date) AS DATE) AS month, max(date) AS date FROM d GROUP BY 1""")
 def month_end(spark: SparkSession, d: str) -> DataFrame:
     days = P.read(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date")).distinct()
@@ -334,3 +374,17 @@ bt AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) b1, (yb * aa - ya * a
 def orthogonal(spark: SparkSession, d: str) -> DataFrame:
     data = P.sample(spark, d, True).select("date", "asset", "factor", "ln_volume", "forward_return_1")
     return tidy(preprocess.orthogonalize(data, "factor", ["ln_volume", "forward_return_1"]).select("date", "asset", "factor"))
+
+
+@query("preprocess_log", sql(DATA_SQL, """, la AS (SELECT *, median(factor) OVER (PARTITION BY date) mid FROM data), lb AS (SELECT *, 1.4826 * 1.5 * median(abs(factor - mid)) OVER (PARTITION BY date) half, count(factor) OVER (PARTITION BY date) c FROM la),
+  lw AS (SELECT *, CASE WHEN c >= 2 AND half > 0 THEN greatest(mid - half, least(mid + half, factor)) ELSE factor END v FROM lb), lz AS (SELECT *, stddev_samp(v) OVER (PARTITION BY date) sd, avg(v) OVER (PARTITION BY date) m FROM lw),
+  ln3 AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY date) >= 12 THEN 0 END v3 FROM lz)
+  SELECT 'winsorize' AS step, count(*) AS n_rows, count(*) FILTER (v <> factor) AS n_changed, count(DISTINCT CASE WHEN NOT (c >= 2 AND half > 0) THEN date END) AS n_skipped_sections FROM lw
+  UNION ALL SELECT 'standardize', count(*), count(*) FILTER (sd > 0 AND (v - m) / sd <> v), count(DISTINCT CASE WHEN NOT coalesce(sd > 0, false) THEN date END) FROM lz
+  UNION ALL SELECT 'neutralize_exposures', count(*), count(*), count(DISTINCT CASE WHEN v3 IS NULL THEN date END) FROM ln3"""))
+def preprocess_log(spark: SparkSession, d: str) -> DataFrame:
+    """What three steps did, counted in the pass that makes their result; that pass runs when the query is built."""
+    log, data = preprocess.PreprocessLog(), P.sample(spark, d, True)
+    data = preprocess.standardize(preprocess.winsorize(data, n=1.5, log=log), log=log)
+    preprocess.neutralize(data, exposures=["ln_volume"], min_obs=12, log=log).write.format("noop").mode("overwrite").save()
+    return log.frame(spark)

@@ -104,9 +104,7 @@ def multiplicity(spark: SparkSession, d: str) -> DataFrame:
     move = F.col("raw_close") / F.lag("raw_close").over(Window.partitionBy("asset").orderBy("date")) - 1
     t = px.withColumn("m", move).groupBy("asset").agg((F.avg("m") / (F.stddev_samp("m") / F.sqrt(F.count("m")))).alias("t"))
     out = t.select("asset", (1 / (1 + F.col("t") * F.col("t"))).alias("p"))
-    for method in inference.METHODS:
-        out = inference.adjust_column(out, "p", method, method)
-    return tidy(out)
+    return tidy(inference.adjust_columns(out, "p", {m: m for m in inference.METHODS}))
 
 
 _EV = PX_SQL + """,

@@ -159,12 +159,15 @@ register("dataframe", DataFrameAdapter)
 register("df", DataFrameAdapter)
 
 
-def load_prices(source, start=None, end=None, adjust_source: str = "computed", validate: bool = True, **settings) -> DataFrame:
-    """Prices with previous close, adjustment factor (computed from ex-rights events, or stored) and adjusted prices."""
+def load_prices(source, start=None, end=None, adjust_source: str = "computed", validate: bool = True, xdxr: DataFrame | None = None, **settings) -> DataFrame:
+    """Prices with previous close, adjustment factor (computed from ex-rights events, or stored) and adjusted prices.
+
+    Events at hand, `xdxr`, come before the source's own.
+    """
     adapter = resolve(source, **settings)
     raw = fill_prev_close(adapter.prices())
     if adjust_source == "computed":
-        raw = raw.drop("adj_factor").join(compute_adj_factor(raw, adapter.xdxr()), contracts.KEYS)
+        raw = raw.drop("adj_factor").join(compute_adj_factor(raw, adapter.xdxr() if xdxr is None else keyed(xdxr)), contracts.KEYS)
     elif adjust_source != "stored":
         fail("loader", "bad_adjust_source", f"{adjust_source!r} is neither computed nor stored")
     elif "adj_factor" not in raw.columns:
