@@ -8,9 +8,11 @@
    and one bounded group of queries.
 3. A task builds a cover tree of its rows and one of its queries. A node at level i covers its rows within BASE ** i of
    its centre (covering); the centres of its children lie further apart than their level's distance (separation), and
-   the first of them is its own (nesting). A node whose rows would need over `fan_out` children at the next level stays
-   a leaf. Pairs of nodes are compared together: the product of two centres with both measured radii bounds every score
-   below the pair, and the pair is dropped once that bound is under the worst kth score of the query node.
+   the first of them is its own (nesting). A node whose rows would need over `fan_out` children at the next level is
+   split by farthest-first centres, and the level is the one that their covering distance gives: no leaf
+   has over `leaf` rows unless they are copies. Pairs of nodes are compared together: the product of two centres with
+   both measured radii bounds every score below the pair, and the pair is dropped once that bound is under the worst kth
+   score of the query node. Products of leaves are taken in tiles of bounded size.
 
 Results are exact, whatever the sample: it only decides what is dropped early. Copies of one vector fill a leaf of
 radius 0.
@@ -43,6 +45,10 @@ BASE = 1.3
 IN_DOUBLES, IN_LONGS = 2.0**52, 2.0**62
 
 
+#: Rows and queries of a product.
+TILE = 1024
+
+
 @dataclass(frozen=True)
 class Settings:
     """Results a query, scaling of components, and sizes of blocks, groups and the sample."""
@@ -53,7 +59,7 @@ class Settings:
     query_rows: int = 8_192
     sample_rows: int = 2_048
     pivots: int = 24
-    leaf: int = 64
+    leaf: int = 128
     fan_out: int = 64
 
 
@@ -75,13 +81,13 @@ class CoverTree:
 
     def __init__(self, rows: np.ndarray, settings: Settings) -> None:
         self.order = np.arange(len(rows))
-        self.level: list[int] = []
+        self.level: list[float] = []
         self.radius: list[float] = []
         self.span: list[tuple[int, int]] = []
         self.children: list[np.ndarray] = []
         centres: list[int] = []
 
-        def node(centre: int, level: int, radius: float, begin: int, end: int) -> int:
+        def node(centre: int, level: float, radius: float, begin: int, end: int) -> int:
             centres.append(centre)
             self.level.append(level)
             self.radius.append(radius)
@@ -101,7 +107,10 @@ class CoverTree:
             first = int(np.flatnonzero(own == centres[at])[0])
             chosen, belongs, near = farthest_first(rows[own], first, settings.fan_out + 1, BASE**level)
             if len(chosen) > settings.fan_out:
-                continue
+                # centres are no nearer to each other than they leave any row, so that distance is a level between
+                parts = max(2, min(settings.fan_out, -(-2 * len(own) // settings.leaf)))
+                chosen, belongs, near = farthest_first(rows[own], first, parts)
+                level = math.log(float(near.max())) / math.log(BASE) - 1e-12
             by = np.argsort(belongs, kind="stable")
             self.order[begin:end] = own[by]
             below, start = [], begin
@@ -145,27 +154,14 @@ def search(
         top = np.atleast_1d(mine.centre[a] @ theirs.centre[b].T) + mine.length[a] * theirs.reach[b] + theirs.length[b] * mine.reach[a] + mine.reach[a] * theirs.reach[b]
         return top + 1e-9 * np.abs(top) + 1e-6
 
-    todo = [(float(bounds(0, 0)[0]), 0, 0)]
-    while todo:
-        top, a, b = todo.pop()
-        begin, end = mine.span[a]
-        if top < worst[begin:end].min():
-            continue
-        below_a, below_b = mine.children[a], theirs.children[b]
-        if len(below_a) or len(below_b):
-            split_b = len(below_b) and (not len(below_a) or theirs.reach[b] >= mine.reach[a])
-            tops = bounds(a, below_b) if split_b else bounds(below_a, b)
-            # the most promising pair comes off first
-            todo += [(float(tops[i]), a, int(below_b[i])) if split_b else (float(tops[i]), int(below_a[i]), b) for i in np.argsort(tops)]
-            continue
-        left, right = theirs.span[b]
+    def tile(begin: int, end: int, left: int, right: int) -> int:
+        """Score some queries against some rows and keep each query's best; how many pairs that were."""
         found = q[begin:end] @ x[left:right].T
-        scored += found.size
         good = found >= worst[begin:end, None]
         good &= (q_ids[begin:end, None] != x_ids[None, left:right]) | (q_own[begin:end, None] != x_own[None, left:right])
         i, j = np.nonzero(good)
         if not len(i):
-            continue
+            return found.size
         touched = np.unique(i)
         old, slot = np.nonzero(have[begin + touched])
         who = np.concatenate([i, touched[old]])
@@ -179,6 +175,25 @@ def search(
         scores[at], ids[at], have[at] = s[keep], v[keep], True
         full = begin + touched[have[begin + touched, k - 1]]
         worst[full] = np.maximum(worst[full], scores[full, k - 1])
+        return found.size
+
+    todo = [(float(bounds(0, 0)[0]), 0, 0)]
+    while todo:
+        top, a, b = todo.pop()
+        begin, end = mine.span[a]
+        if top < worst[begin:end].min():
+            continue
+        below_a, below_b = mine.children[a], theirs.children[b]
+        if len(below_a) or len(below_b):
+            split_b = len(below_b) and (not len(below_a) or theirs.reach[b] >= mine.reach[a])
+            tops = bounds(a, below_b) if split_b else bounds(below_a, b)
+            # the most promising pair comes off first
+            todo += [(float(tops[i]), a, int(below_b[i])) if split_b else (float(tops[i]), int(below_a[i]), b) for i in np.argsort(tops)]
+            continue
+        left, right = theirs.span[b]
+        for low in range(begin, end, TILE):
+            for side in range(left, right, TILE):
+                scored += tile(low, min(low + TILE, end), side, min(side + TILE, right))
     back = np.empty(n, int)
     back[order] = np.arange(n)
     return scores[back], ids[back], have[back], scored
@@ -248,8 +263,6 @@ def top_k(vectors: DataFrame, is_query, settings: Settings | None = None) -> Dat
         small = df.sparkSession.createDataFrame([(s, p, [n]) for (s, p), n in parts.items()] or [(0, 0, [1])], "size int, pivot int, parts array<int>")
         return df.join(F.broadcast(small), ["size", "pivot"])
 
-    dealt = with_parts(rows).select("vec_id", "own", "size", "values", "pivot", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-
     def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The floor of each query, and the pivots where a score may reach it."""
         for batch in batches:
@@ -278,10 +291,18 @@ def top_k(vectors: DataFrame, is_query, settings: Settings | None = None) -> Dat
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(met, pa.int32()), pa.array(floors, pa.float64())], ["vec_id", "own", "size", "values", "pivot", "floor"])
 
     pairs = asked.select("vec_id", "own", "size", "values").mapInArrow(meets, "vec_id long, own long, size int, values binary, pivot int, floor double")
-    pairs = with_parts(pairs).select(
-        "vec_id", "own", "size", "values", "floor", "pivot", F.explode(F.sequence(F.lit(0), F.get("parts", F.lit(0)) - 1)).alias("block"),
-        F.pmod(F.xxhash64("vec_id", "own"), F.lit(groups)).cast("int").alias("group"),
-    )
+    pairs = pairs.withColumn("group", F.pmod(F.xxhash64("vec_id", "own"), F.lit(groups)).cast("int"))
+    reached = F.lit(0)
+    if groups > 1:
+        # the rows of a pivot go to the groups of which some query reaches it: a row for each of those
+        pairs = stage(pairs, "reached")
+        by_pivot = pairs.groupBy("size", "pivot").agg(F.collect_set("group").alias("groups"))
+        own = with_parts(rows).join(F.broadcast(by_pivot), ["size", "pivot"])  # a row for each length and pivot
+        reached = F.explode("groups")
+    else:
+        own = with_parts(rows)
+    dealt = own.select("vec_id", "own", "size", "values", "pivot", block.alias("block"), reached.alias("group"))
+    pairs = with_parts(pairs).select("vec_id", "own", "size", "values", "floor", "pivot", F.explode(F.sequence(F.lit(0), F.get("parts", F.lit(0)) - 1)).alias("block"), "group")
 
     def once(table: pa.Table) -> dict:
         """A block's rows, those that repeat an id and a vector once."""

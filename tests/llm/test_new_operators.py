@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bayes_dedup, html_text, source_divergence, word_runs
+from crosspanel.llm import bayes_dedup, cover_tree, html_text, source_divergence, word_runs
 from crosspanel.llm.common import only_wanted, stage, table
 from tests.llm.test_operators import ODD, odd, rows_of
 
@@ -333,5 +334,54 @@ def test_long_cells_stay_aligned():
     assert html_text.render("<table><tr><td>" + "n" * 300 + "<td>b<tr><td>c<td>d</table>").split("\n")[1] == "c" + " " * 301 + "d"
 
 
+# cover trees on vectors that nothing tells apart
+
+
+@pytest.mark.parametrize("n, d", [(2000, 64), (600, 200)])
+def test_no_leaf_is_large_and_invariants_hold_in_many_dimensions(n, d):
+    rng = np.random.default_rng(n)
+    rows = rng.normal(size=(n, d))
+    rows = np.floor(256 * rows / np.linalg.norm(rows, axis=1)[:, None])
+    rows[100:500] = rows[7]
+    settings = cover_tree.Settings(leaf=32)
+    tree = cover_tree.CoverTree(rows, settings)
+    assert sorted(tree.order.tolist()) == list(range(n))
+    for i, ((begin, end), below) in enumerate(zip(tree.span, tree.children, strict=True)):
+        away = np.linalg.norm(rows[tree.order[begin:end]] - tree.centre[i], axis=1)
+        assert away.max() <= tree.radius[i] + 1e-9 and (i == 0 or tree.radius[i] <= cover_tree.BASE ** tree.level[i] + 1e-6)
+        if not len(below):
+            assert end - begin <= settings.leaf or tree.radius[i] == 0
+            continue
+        level = {tree.level[c] for c in below}.pop()
+        apart = np.linalg.norm(tree.centre[below][:, None] - tree.centre[below][None], axis=2)[~np.eye(len(below), dtype=bool)]
+        assert level < tree.level[i] and tree.centres[below[0]] == tree.centres[i] and apart.min() > cover_tree.BASE**level
+
+
+def test_search_holds_little_memory():
+    rng = np.random.default_rng(0)
+    rows, ids = np.floor(256 * rng.normal(size=(4096, 64)) / 8), np.arange(4096)
+    tracemalloc.start()
+    scores, _, have, _ = cover_tree.search(rows, ids, ids, np.full(4096, -np.inf), rows, ids, ids, cover_tree.Settings())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    exact = rows @ rows.T
+    np.fill_diagonal(exact, -np.inf)
+    assert have.all() and np.array_equal(scores, -np.sort(-exact, axis=1)[:, :5]) and peak < 60e6
+
+
+def test_rows_go_only_to_groups_that_reach_their_pivot(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 4)) * 50
+    points = [(i, (centres[i % 6] + rng.normal(size=4)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    x = np.floor(256 * np.array([p[1] for p in points]))
+    scores = (x @ x.T).astype(np.int64)
+    settings = cover_tree.Settings(block_rows=100, query_rows=7, sample_rows=60, pivots=6, leaf=16)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in cover_tree.top_k(df, lambda v: v % 9 == 0, settings).collect()}
+    for q in range(0, 900, 9):
+        best = sorted((-int(s), i) for i, s in enumerate(scores[q]) if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+
+
 def test_stage_is_unique(spark):
     assert stage(spark.range(3), "twice").count() == stage(spark.range(3), "twice").count() == 3
