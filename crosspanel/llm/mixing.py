@@ -1,9 +1,15 @@
 """Mixing sources to target weights: token weights raked to several marginals, then documents sampled by them.
 
 Tokens are summed by cell (source, language, topic). Iterative proportional fitting scales the cells to the target
-share of each value of each dimension in turn, until all hold together; no cell may get more tokens than it has, so
-what a cell cannot supply goes to others. A document's probability is its cell's weight over its cell's tokens, and a
-hash of its id decides: the same documents every time, on any number of machines.
+share of each value of each dimension in turn, until all hold together. No cell may get more tokens than it has: what a
+value as a whole cannot supply goes to the other values of its dimension by their shares, and within a value, where
+cells are exhausted, the free ones are scaled to its goal. So as many tokens are drawn as are asked for, unless all
+that may be drawn are fewer. A document's probability is its cell's weight over its cell's tokens, and a hash of its id
+decides: the same documents every time, on any number of machines.
+
+Goals that no weights meet together, such as those of a source that is in one language only, leave a miss: the last
+dimension's goals hold, and `marginals` tells every value's goal and what it gets. With `most_miss` a larger one is
+refused with an error.
 
 Every value of every dimension is raked for itself, however many there are. Up to `driver_cells` cells are raked on the
 driver and broadcast to the documents; more stay a table, which is scaled by joins with its marginals, written once a
@@ -22,6 +28,7 @@ import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,6 +58,8 @@ class Settings:
     seed: int = 17
     cycles: int = 500
     tolerance: float = 1e-9
+    #: The largest miss of a value's goal, as a share of all tokens drawn, that is not refused; None: any is taken.
+    most_miss: float | None = None
 
 
 def text_topic(text: str | None, n_topics: int) -> tuple[int, str]:
@@ -76,28 +85,50 @@ def measured(text: Column, settings: Settings) -> Column:
     return measure(text)
 
 
+def capped_goals(share: np.ndarray, have: np.ndarray, total: float) -> np.ndarray:
+    """`total` dealt by shares, no value over what it has: what one lacks goes to the others. Less if all have less."""
+    share = share / share.sum() if share.sum() else np.full(len(share), 1 / max(len(share), 1))
+    full = (share > 0) & (have <= 0)
+    while True:
+        free = (share > 0) & ~full
+        scale = max(total - have[full].sum(), 0.0) / share[free].sum() if free.any() else 0.0
+        over = free & (share * scale >= have)
+        if not over.any():
+            return np.where(full, have, share * scale)
+        full |= over
+
+
 def rake(cells: pd.DataFrame, shares: dict[str, dict[str, float]], total: float, cycles: int = 500, tolerance: float = 1e-9) -> np.ndarray:
     """Tokens to draw from each cell: marginals as near the shares as the cells' tokens allow, `total` in all."""
     have = cells["tokens"].to_numpy(float)
-    total = min(total, have.sum())
-    weight = have * (total / have.sum() if have.sum() else 0.0)
-    codes, goals = [], []
+    parts = []
     for name, target in shares.items():
         code, values = pd.factorize(cells[name])
-        goal = np.array([target.get(v, 0.0) for v in values], float)
-        codes.append(code)
-        goals.append(goal / goal.sum() * total if goal.sum() else np.full(len(values), total / max(len(values), 1)))
+        parts.append((code, np.array([target.get(v, 0.0) for v in values], float), np.bincount(code, have, len(values))))
+    total = min([total, have.sum(), *(h[s > 0].sum() if s.sum() else h.sum() for _, s, h in parts)])
+    goals = [(code, capped_goals(share, held, total)) for code, share, held in parts]
+    weight = have * (total / have.sum() if have.sum() else 0.0)
     for _ in range(cycles):
         before = weight.copy()
-        for code, goal in zip(codes, goals, strict=True):
-            now = np.bincount(code, weight, len(goal))
-            weight = weight * np.divide(goal, now, out=np.zeros(len(goal)), where=now > 0)[code]
-            weight = np.minimum(weight, have)
+        for code, goal in goals:
+            weight = _scaled(weight, have, code, goal)
         if weight.sum() <= 0 or np.abs(weight - before).max() <= tolerance * max(total, 1.0):
             break
     return weight
 
 
+def _scaled(weight: np.ndarray, have: np.ndarray, code: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Weights with each value's sum at its goal: all scaled down, or those that are not exhausted scaled up, at most to what they have."""
+    n = len(goal)
+    full = weight >= have
+    now, held = np.bincount(code, weight, n), np.bincount(code, np.where(full, weight, 0.0), n)
+    down = goal <= now
+    rest = np.where(down, now, now - held)
+    factor = np.divide(np.where(down, goal, goal - held), rest, out=np.zeros(n), where=rest > 0)
+    factor, down = factor[code], down[code]
+    return np.minimum(np.where(full & ~down, weight, weight * factor), have)
+
+
 def _shares(marginal: pd.DataFrame, target: dict[str, float] | float) -> dict[str, float]:
     if isinstance(target, dict):
         known = {str(k): float(v) for k, v in target.items()}
@@ -142,43 +173,96 @@ def place(settings: Settings) -> Column:
     return F.pmod(key, F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def _goals(cells: DataFrame, name: str, target: dict[str, float] | float, total: float) -> tuple[DataFrame, int]:
-    """(value, goal) of each value of a dimension, and how many there are; the same goals as `_shares` and `rake` give."""
+def _marginal(cells: DataFrame, name: str, target: dict[str, float] | float) -> DataFrame:
+    """(value, have, share) of each value of a dimension; the same shares as `_shares` gives, but for their sum."""
     marginal = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("have"))
     if isinstance(target, dict):
         known = cells.sparkSession.createDataFrame(list({str(k): float(v) for k, v in target.items()}.items()), f"`{name}` string, share double")
-        marginal = marginal.join(known, name, "left").select(name, F.coalesce("share", F.lit(0.0)).alias("share"))
+        marginal = marginal.join(known, name, "left").select(name, "have", F.coalesce("share", F.lit(0.0)).alias("share"))
     else:
-        marginal = marginal.select(name, F.when(F.col("have") > 0, F.pow(F.greatest("have", F.lit(1.0)), F.lit(float(target)))).otherwise(0.0).alias("share"))
+        marginal = marginal.select(name, "have", F.when(F.col("have") > 0, F.pow(F.greatest("have", F.lit(1.0)), F.lit(float(target)))).otherwise(0.0).alias("share"))
     marginal = stage(marginal, "marginal")
-    whole, n = marginal.agg(F.sum("share"), F.count("*")).first()
-    return marginal.select(name, (F.col("share") / whole * total if whole else F.lit(total / max(n, 1))).alias("goal")), n
+    if not (marginal.agg(F.sum("share")).first()[0] or 0.0):
+        marginal = marginal.withColumn("share", F.lit(1.0))
+    return marginal
+
+
+def _goals(marginal: DataFrame, name: str, total: float) -> tuple[DataFrame, int]:
+    """(value, goal) of each value of a dimension by `capped_goals`, and how many there are.
+
+    A value is full once the scale of the shares reaches what it has for each of them; the scale only grows, so it is
+    all that one round needs to know of those before.
+    """
+    share, have = F.col("share"), F.col("have")
+    scale, n_full = 0.0, -1
+    while True:
+        full = (share > 0) & (have <= share * scale)
+        n, count, held, rest = marginal.agg(F.count("*"), F.count_if(full), F.sum(F.when(full, have)), F.sum(F.when((share > 0) & ~full, share))).first()
+        if count == n_full:
+            break
+        n_full, scale = count, (max(total - (held or 0.0), 0.0) / rest if rest else scale)
+    return marginal.select(name, F.when(full, have).otherwise(share * scale).alias("goal")), n
 
 
 def rake_table(cells: DataFrame, settings: Settings, total: float, all_tokens: float) -> DataFrame:
     """`rake` over a table of cells (the dimensions, tokens), which gets a column weight."""
     spark = cells.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/raked-{uuid.uuid4().hex}"
-    total = min(total, all_tokens)
-    goals = {name: _goals(cells, name, target, total) for name, target in settings.targets.items()}
+    marginals = {name: _marginal(cells, name, target) for name, target in settings.targets.items()}
+    total = min([total, all_tokens, *(m.where("share > 0").agg(F.sum("have")).first()[0] or 0.0 for m in marginals.values())])
+    goals = {name: _goals(m, name, total) for name, m in marginals.items()}
     kept = cells.select(*settings.targets, F.col("tokens").cast("double").alias("tokens"))
     now = kept.withColumn("weight", F.col("tokens") * (total / all_tokens if all_tokens else 0.0))
+    full = F.col("weight") >= F.col("tokens")
     for cycle in range(settings.cycles):
         step = now.withColumn("before", F.col("weight"))
         for name, (goal, n) in goals.items():
-            factor = step.groupBy(name).agg(F.sum("weight").alias("sum")).join(goal, name)
-            factor = factor.select(name, F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("factor"))
+            sums = step.groupBy(name).agg(F.sum("weight").alias("sum"), F.sum(F.when(full, F.col("weight")).otherwise(0.0)).alias("held")).join(goal, name)
+            down = F.col("goal") <= F.col("sum")
+            rest, need = F.when(down, F.col("sum")).otherwise(F.col("sum") - F.col("held")), F.when(down, F.col("goal")).otherwise(F.col("goal") - F.col("held"))
+            factor = sums.select(name, down.alias("down"), F.when(rest > 0, need / rest).otherwise(0.0).alias("factor"))
             step = step.join(F.broadcast(factor) if n <= SMALL else factor.hint("merge"), name)
-            step = step.withColumn("weight", F.least(F.col("weight") * F.col("factor"), F.col("tokens"))).drop("factor")
+            moved = F.when(full & ~F.col("down"), F.col("weight")).otherwise(F.col("weight") * F.col("factor"))
+            step = step.withColumn("weight", F.least(moved, F.col("tokens"))).drop("factor", "down")
         step.write.mode("overwrite").parquet(f"{path}-{cycle % 2}")
         now = spark.read.schema(step.schema).parquet(f"{path}-{cycle % 2}")
         moved, left = now.agg(F.max(F.abs(F.col("weight") - F.col("before"))), F.sum("weight")).first()
         now = now.drop("before")
-        if left <= 0 or moved <= settings.tolerance * max(total, 1.0):
+        if (left or 0.0) <= 0 or moved <= settings.tolerance * max(total, 1.0):
             break
     return now
 
 
+def marginals(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """dimension, value, tokens, goal, weight and miss of every value: the share of the draw it is to have, that it gets, and the difference.
+
+    The goal is the target's share of what is drawn, before anything is known of what the values can supply.
+    """
+    settings = settings or Settings()
+    rows = stage(dimensions(docs, settings), "dimensions")
+    return _misses(with_cells(rows, settings, draw_plan(rows, settings)), settings)
+
+
+def with_cells(rows: DataFrame, settings: Settings, plan: dict) -> DataFrame:
+    """(the dimensions, tokens, drawn) of each cell."""
+    cells = rows.groupBy(*settings.targets).agg(F.sum("n_tokens").alias("n_tokens"))
+    found = with_plan(cells, plan)
+    return found.select(*settings.targets, F.col("n_tokens").cast("double").alias("tokens"), (F.col("n_tokens") * F.col("probability")).alias("drawn"))
+
+
+def _misses(cells: DataFrame, settings: Settings) -> DataFrame:
+    out = []
+    for name, target in settings.targets.items():
+        wanted = _marginal(cells, name, target)
+        whole = wanted.agg(F.sum("share").alias("whole"))
+        got = cells.groupBy(name).agg(F.sum("tokens").cast("long").alias("tokens"), F.sum("drawn").alias("drawn"))
+        every = cells.agg(F.sum("drawn").alias("all_drawn"))
+        rows = got.join(wanted, name).join(F.broadcast(whole)).join(F.broadcast(every))  # one row each
+        goal, weight = F.try_divide("share", "whole"), F.coalesce(F.try_divide("drawn", "all_drawn"), F.lit(0.0))
+        out.append(rows.select(F.lit(name).alias("dimension"), F.col(name).alias("value"), "tokens", goal.alias("goal"), weight.alias("weight"), (weight - goal).alias("miss")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def draw_plan(rows: DataFrame, settings: Settings) -> dict:
     """Each cell's weight and probability, from (dimensions, n_tokens): a pandas table, or a Spark table of many cells."""
     dims = list(settings.targets)
@@ -186,11 +270,11 @@ def draw_plan(rows: DataFrame, settings: Settings) -> dict:
     n, total = cells.agg(F.count("*"), F.sum("tokens").cast("double")).first()
     total = total or 0.0
     if n > settings.driver_cells:
-        raked = rake_table(cells, settings, settings.keep_share * total, total)
+        raked = stage(rake_table(cells, settings, settings.keep_share * total, total), "raked")
         drawn = raked.agg(F.sum("weight")).first()[0]
         probability = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(settings.keep_share)
         raked = raked.select(*dims, (probability * (total / drawn if drawn else 0.0)).alias("weight"), probability.alias("probability"))
-        return {"dims": dims, "cells": raked}
+        return _checked({"dims": dims, "cells": raked}, cells, settings)
     table = cells.orderBy(*dims).toPandas()
     shares = {}
     for name in dims:
@@ -200,7 +284,17 @@ def draw_plan(rows: DataFrame, settings: Settings) -> dict:
     weight = rake(table, shares, settings.keep_share * total, settings.cycles, settings.tolerance) if len(table) else have
     table["probability"] = np.divide(weight, have, out=np.full(len(have), settings.keep_share), where=have > 0)
     table["weight"] = table["probability"] * (total / weight.sum() if weight.sum() else 0.0)
-    return {"dims": dims, "cells": table}
+    return _checked({"dims": dims, "cells": table}, cells, settings)
+
+
+def _checked(plan: dict, cells: DataFrame, settings: Settings) -> dict:
+    """The plan, unless some goal is missed by more than `most_miss`."""
+    if settings.most_miss is not None:
+        rows = _misses(with_cells(cells.withColumnRenamed("tokens", "n_tokens"), settings, plan), settings)
+        worst = rows.agg(F.max_by(F.struct("dimension", "value", "goal", "weight", "miss"), F.abs("miss")).alias("w")).first().w
+        if worst is not None and abs(worst.miss) > settings.most_miss:
+            raise ValueError(f"{worst.dimension} {worst.value!r} gets {worst.weight:.4f} of the tokens and not {worst.goal:.4f}")
+    return plan
 
 
 def with_plan(rows: DataFrame, plan: dict) -> DataFrame:

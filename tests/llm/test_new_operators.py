@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bayes_dedup, cover_tree, html_text, source_divergence, word_runs
+from crosspanel.llm import bayes_dedup, cover_tree, html_text, mixing, source_divergence, word_runs
 from crosspanel.llm.common import only_wanted, stage, table
 from tests.llm.test_operators import ODD, odd, rows_of
 
@@ -334,6 +334,52 @@ def test_long_cells_stay_aligned():
     assert html_text.render("<table><tr><td>" + "n" * 300 + "<td>b<tr><td>c<td>d</table>").split("\n")[1] == "c" + " " * 301 + "d"
 
 
+# mixing: what cells cannot supply, and what goals cannot be met
+
+
+def cells_of(spark, rows):
+    """Documents of one word a token: (source, lang, tokens) each."""
+    texts = [(i, " ".join(["word"] * n), a, b, "t") for i, (a, b, n) in enumerate(rows)]
+    return spark.createDataFrame(texts, "doc_id long, text string, source string, lang string, topic string")
+
+
+@pytest.mark.parametrize("driver_cells", [100_000, 0])
+def test_mixing_fills_the_total_where_a_value_is_exhausted(spark, driver_cells):
+    docs = cells_of(spark, [("a", "u", 100), ("b", "u", 900)])
+    even = mixing.Settings(targets={"source": {"a": 0.5, "b": 0.5}, "lang": 1.0}, keep_share=0.4, driver_cells=driver_cells)
+    got = {r.source: r.n_tokens * r.probability for r in mixing.mix(docs, even).collect()}
+    assert got == pytest.approx({"a": 100, "b": 300})
+    found = {(r.dimension, r.value): r for r in mixing.marginals(docs, even).collect()}
+    assert found["source", "a"].goal == 0.5 and found["source", "a"].weight == pytest.approx(0.25) and found["source", "b"].miss == pytest.approx(0.25)
+    assert found["lang", "u"].miss == pytest.approx(0) and found["source", "b"].tokens == 900
+    # within a value: the cell (a, u) is exhausted, so (a, v) has to give more
+    docs = cells_of(spark, [("a", "u", 20), ("a", "v", 480), ("b", "u", 480), ("b", "v", 20)])
+    got = mixing.mix(docs, mixing.Settings(targets={"source": {"a": 0.5, "b": 0.5}, "lang": {"u": 0.52, "v": 0.48}}, keep_share=0.6, driver_cells=driver_cells, tolerance=1e-5)).toPandas()
+    drawn = got.n_tokens * got.probability
+    assert drawn.sum() == pytest.approx(600) and drawn.groupby(got.source).sum().tolist() == pytest.approx([300, 300], abs=1e-3) and drawn.groupby(got.lang).sum().tolist() == pytest.approx([312, 288], abs=1e-3)
+
+
+@pytest.mark.parametrize("driver_cells", [100_000, 0])
+def test_mixing_tells_what_it_misses(spark, driver_cells):
+    docs = cells_of(spark, [("a", "u", 500), ("b", "v", 500)])
+    torn = {"source": {"a": 0.5, "b": 0.5}, "lang": {"u": 0.1, "v": 0.9}}
+    settings = mixing.Settings(targets=torn, keep_share=0.4, cycles=4, driver_cells=driver_cells)
+    found = {(r.dimension, r.value): (r.goal, r.miss) for r in mixing.marginals(docs, settings).collect()}
+    assert found["lang", "u"] == pytest.approx((0.1, 0.0)) and found["source", "a"] == pytest.approx((0.5, -0.4))
+    with pytest.raises(ValueError, match="source"):
+        mixing.mix(docs, mixing.Settings(targets=torn, keep_share=0.4, cycles=4, driver_cells=driver_cells, most_miss=0.01))
+    fair = mixing.Settings(targets={"source": {"a": 0.3, "b": 0.7}, "lang": {"u": 0.3, "v": 0.7}}, keep_share=0.4, driver_cells=driver_cells, most_miss=1e-6)
+    assert mixing.mix(docs, fair).count() == 2
+    assert mixing.marginals(docs.limit(0), settings).count() == 0
+
+
+def test_goals_are_filled_by_shares():
+    goals = mixing.capped_goals(np.array([1.0, 1.0, 2.0, 0.0]), np.array([10.0, 100.0, 1000.0, 50.0]), 400.0)
+    assert goals.tolist() == pytest.approx([10, 100, 290, 0])
+    assert mixing.capped_goals(np.array([1.0, 1.0]), np.array([10.0, 20.0]), 100.0).tolist() == [10, 20]
+    assert mixing.capped_goals(np.array([0.0, 0.0]), np.array([10.0, 20.0]), 8.0).tolist() == [4, 4]
+
+
 # cover trees on vectors that nothing tells apart
 
 
