@@ -13,7 +13,8 @@ EVENT_FIELDS = ("fenhong", "peigu", "peigujia", "songzhuangu")
 def compute_adj_factor(prices: DataFrame, xdxr: DataFrame | None, method: str = "hfq", close: str = "raw_close") -> DataFrame:
     """date, asset, adj_factor for every price row.
 
-    Events of category 1 between an asset's first and last session count, the last of several on a day; a day with an
+    Events of category 1 between an asset's first and last session count. Of several on a day one counts whole: the last
+    by the column `seq` where there is one, then the one with the greatest fields in the order of EVENT_FIELDS. A day with an
     event and no session carries the close before it. `hfq` keeps the first session at 1, `qfq` the last.
     """
     if method not in ("hfq", "qfq"):
@@ -21,8 +22,9 @@ def compute_adj_factor(prices: DataFrame, xdxr: DataFrame | None, method: str =
     px = prices.select("date", "asset", F.col(close).cast("double").alias("close"), F.lit(True).alias("real"))
     if xdxr is None:
         return px.select("date", "asset", F.lit(1.0).alias("adj_factor"))
-    own = xdxr.where(F.col("category") == 1).select("date", "asset", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in EVENT_FIELDS))
-    own = own.groupBy("date", "asset").agg(*(F.last(c).alias(c) for c in EVENT_FIELDS))
+    event = F.struct(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in EVENT_FIELDS))
+    order = F.struct(F.col("seq"), event) if "seq" in xdxr.columns else event
+    own = xdxr.where(F.col("category") == 1).groupBy("date", "asset").agg(F.max_by(event, order).alias("event_of_day")).select("date", "asset", "event_of_day.*")
     span = px.groupBy("asset").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     own = own.join(span, "asset").where(F.col("date").between(F.col("lo"), F.col("hi"))).drop("lo", "hi").withColumn("event", F.lit(1))
     w = Window.partitionBy("asset").orderBy("date")

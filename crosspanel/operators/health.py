@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.operators.calendars import with_pos
@@ -25,6 +26,8 @@ class Finding:
     check: str
     severity: str
     detail: str
+    #: The rows behind it, if any; they are only read when they are shown.
+    rows: DataFrame | None = None
 
 
 @dataclass
@@ -39,17 +42,34 @@ class HealthReport:
         """No failure, and at least one check that ran."""
         return any(f.severity != "skip" for f in self.findings) and not any(f.severity == "fail" for f in self.findings)
 
-    def to_markdown(self) -> str:
-        """The findings, worst first."""
-        lines = [f"# Health of {self.name}", ""]
-        return "\n".join(lines + [f"- **{f.severity}** {f.check}: {f.detail}" for f in sorted(self.findings, key=lambda f: ORDER.index(f.severity))])
+    def to_markdown(self, max_detail: int = 10) -> str:
+        """How many findings of each kind, the findings, worst first, and up to `max_detail` of the rows behind each."""
+        ranked = sorted(self.findings, key=lambda f: ORDER.index(f.severity))
+        counts = ", ".join(f"{n} {s}" for s in ORDER if (n := sum(f.severity == s for f in ranked)))
+        lines = [f"# Health of {self.name}", "", f"{'Passed' if self.ok else 'Not passed'}: {counts or 'nothing checked'}.", ""]
+        lines += [f"- **{f.severity}** {f.check}: {f.detail}" for f in ranked]
+        for f in ranked:
+            found = f.rows.limit(max_detail + 1).collect() if f.rows is not None and max_detail and f.severity in ("fail", "warn") else []
+            if found:
+                lines += ["", f"### {f.check}", "", "| " + " | ".join(f.rows.columns) + " |", "|" + "---|" * len(f.rows.columns)]
+                lines += ["| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in found[:max_detail]]
+                lines += ["", f"The first {max_detail}; there are more."] if len(found) > max_detail else []
+        return "\n".join(lines)
+
+
+def _ohlc_rules(tolerance: float) -> dict[str, Column]:
+    o, h, l, c = (F.col(f"raw_{k}") for k in ("open", "high", "low", "close"))
+    slack = 1 + tolerance
+    return {"high_below_low": h * slack < l, "high_below_body": h * slack < F.greatest(o, c), "low_above_body": l > F.least(o, c) * slack, "not_positive": F.least(o, h, l, c) <= 0}
+
+
+def _ohlc_broken(tolerance: float) -> Column:
+    return reduce(lambda a, b: a | b, (F.coalesce(r, F.lit(False)) for r in _ohlc_rules(tolerance).values()))
 
 
 def ohlc_violations(prices: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """rule, n, first: rows whose high, low, open and close contradict each other."""
-    o, h, l, c = (F.col(f"raw_{k}") for k in ("open", "high", "low", "close"))
-    slack = 1 + tolerance
-    rules = {"high_below_low": h * slack < l, "high_below_body": h * slack < F.greatest(o, c), "low_above_body": l > F.least(o, c) * slack, "not_positive": F.least(o, h, l, c) <= 0}
+    rules = _ohlc_rules(tolerance)
     key = F.concat_ws(" ", F.col("date").cast("string"), "asset")
     cells = [F.struct(F.lit(r).alias("rule"), F.col(f"_n{i}").alias("n"), F.col(f"_k{i}").alias("first")) for i, r in enumerate(rules)]
     asked = [a for i, t in enumerate(rules.values()) for a in (F.count_if(t).alias(f"_n{i}"), F.min(F.when(t, key)).alias(f"_k{i}"))]
@@ -143,19 +163,21 @@ def check(prices: DataFrame | None = None, factor: DataFrame | None = None, trad
     if set(th) - set(THRESHOLDS):
         fail("health", "unknown_threshold", str(sorted(set(th) - set(THRESHOLDS))))
     report = HealthReport(name=name)
-    add = lambda check, bad, detail, severity="fail": report.findings.append(Finding(check, severity if bad else "pass", detail))
+    add = lambda check, bad, detail, severity="fail", rows=None: report.findings.append(Finding(check, severity if bad else "pass", detail, rows if bad else None))
     skip = lambda check, why: report.findings.append(Finding(check, "skip", why))
     has = set(prices.columns) if prices is not None else set()
     if {"raw_open", "raw_high", "raw_low", "raw_close"} <= has:
         found = [r for r in ohlc_violations(prices, th["ohlc_tolerance"]).collect() if r.n]
-        add("ohlc", found, "; ".join(f"{r.rule}: {r.n}, first {r['first']}" for r in found) or "consistent")
+        rows = prices.where(_ohlc_broken(th["ohlc_tolerance"])).select("date", "asset", "raw_open", "raw_high", "raw_low", "raw_close").orderBy("date", "asset")
+        add("ohlc", found, "; ".join(f"{r.rule}: {r.n}, first {r['first']}" for r in found) or "consistent", rows=rows)
     else:
         skip("ohlc", "no OHLC prices")
     if {"raw_close", "adj_close"} <= has:
-        kinds = {r.kind: r["count"] for r in extreme_moves(prices, th["extreme_move"]).groupBy("kind").count().collect()}
+        moves = extreme_moves(prices, th["extreme_move"])
+        kinds = {r.kind: r["count"] for r in moves.groupBy("kind").count().collect()}
         n = sum(kinds.values())
         good = not kinds.get("missing") and kinds.get("covered", 0) > th["covered_share"] * n
-        add("extreme_moves", n and not good, f"{n} beyond {th['extreme_move']:.0%}: {kinds}", "warn")
+        add("extreme_moves", n and not good, f"{n} beyond {th['extreme_move']:.0%}: {kinds}", "warn", moves.orderBy(F.desc(F.abs("move")), "date", "asset"))
     else:
         skip("extreme_moves", "no adjusted prices")
     if "adj_factor" in has:
@@ -165,18 +187,21 @@ def check(prices: DataFrame | None = None, factor: DataFrame | None = None, trad
     else:
         skip("adjust_factor", "no adj_factor")
     if "volume" in has:
-        n = suspension_by_date(prices).where(F.col("share") > th["suspended_share"]).count()
+        halted = suspension_by_date(prices).where(F.col("share") > th["suspended_share"])
+        n = halted.count()
         whole = prices.agg(F.avg((F.coalesce("volume", F.lit(0)) <= 0).cast("double"))).first()[0] or 0.0
-        add("suspension", n, f"{whole:.2%} of all rows suspended, {n} dates with most rows suspended", "warn")
+        add("suspension", n, f"{whole:.2%} of all rows suspended, {n} dates with most rows suspended", "warn", halted.orderBy("date"))
     else:
         skip("suspension", "no volume")
     if prices is not None and calendar is not None:
         r = coverage(prices, th["low_coverage"]).first()
-        add("coverage", r.low_dates > th["low_coverage_dates"] * r.n_dates, f"{r.low_dates} of {r.n_dates} dates thin")
+        thin = coverage_by_date(prices).where(F.col("n") < th["low_coverage"] * F.lit(r["median"])).orderBy("date")
+        add("coverage", r.low_dates > th["low_coverage_dates"] * r.n_dates, f"{r.low_dates} of {r.n_dates} dates thin", rows=thin)
         r = survivorship(prices, calendar, th["gone_sessions"]).first()
         add("survivorship", r.n_gone < th["delisted_share"] * r.n_assets, f"{r.n_gone} of {r.n_assets} assets end early", "warn")
         r = session_gaps(prices, calendar, th["daily_gap"]).first()
-        add("calendar", r.n_off, f"{r.n_off} dates off the calendar")
+        off = prices.select("date").distinct().join(calendar.select("date"), "date", "left_anti").orderBy("date")
+        add("calendar", r.n_off, f"{r.n_off} dates off the calendar", rows=off)
         if r.n_missing is None:
             report.findings.append(Finding("sessions", "info", f"not a daily panel (median gap {r.median_gap} days), sessions not checked"))
         else:
@@ -186,7 +211,8 @@ def check(prices: DataFrame | None = None, factor: DataFrame | None = None, trad
     if factor is not None:
         r = factor_health(factor, th["freeze_run"]).first()
         add("factor_constant", r.constant_dates, f"{r.constant_dates} constant sections")
-        add("factor_frozen", r.frozen_assets, f"{r.frozen_assets} assets frozen", "warn")
+        frozen = longest_runs(factor, "value").where(F.col("longest") >= th["freeze_run"]).orderBy(F.desc("longest"), "asset")
+        add("factor_frozen", r.frozen_assets, f"{r.frozen_assets} assets frozen", "warn", frozen)
         add("factor_stale", (r.median_stale_days or 0) > th["stale_days"], f"median age {r.median_stale_days} days", "warn")
     else:
         skip("factor", "no factor")

@@ -72,13 +72,15 @@ def rank_autocorrelation(data: DataFrame, column: str = "factor", lag: int = 1,
     return ranked.groupBy("date").agg(correlation(F.col("rx"), F.col("ry"), min_n).alias("autocorrelation"), F.count("*").alias("n"))
 
 
-def quantile_turnover(labels: DataFrame, lag: int = 1, method: str = "entering") -> DataFrame:
-    """date, factor_quantile, turnover from labels (date, asset, factor_quantile).
+def quantile_turnover(labels: DataFrame, lag: int = 1, method: str = "entering", n_quantiles: int | None = None) -> DataFrame:
+    """date, factor_quantile, turnover from labels (date, asset, factor_quantile), of the bins 1 .. n_quantiles if that is given.
 
     `entering`: the share of a bin's members that were not in it `lag` periods before. `symmetric`: members in one of
     both, over members in either, halved.
     """
     own = labels.where("factor_quantile is not null").select("date", "asset", "factor_quantile")
+    if n_quantiles is not None:
+        own = own.where(F.col("factor_quantile").between(1, n_quantiles))
     numbers = F.broadcast(periods(labels))
     own = own.join(numbers, "date")
     before = own.select("asset", "factor_quantile", (F.col("period") + lag).alias("period"), F.lit(1).alias("was"))

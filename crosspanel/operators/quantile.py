@@ -29,9 +29,18 @@ def _labelled(data: DataFrame, n: int, by: str | None, method: str) -> tuple[Dat
     return df.dropna(subset=keys[1:]), keys
 
 
-def quantile_returns(data: DataFrame, n: int = 5, by: str | None = None, method: str = "independent", horizons: list[int] | None = None) -> DataFrame:
-    """date[, by_quantile], factor_quantile, count and the mean of each forward return."""
-    df, keys = _labelled(data, n, by, method)
+def quantile_returns(
+    data: DataFrame, n: int = 5, by: str | None = None, method: str = "independent", horizons: list[int] | None = None, quantile_labels: DataFrame | None = None,
+) -> DataFrame:
+    """date[, by_quantile], factor_quantile, count and the mean of each forward return.
+
+    Labels at hand, `quantile_labels` (date, asset, factor_quantile[, by_quantile]), come before those worked out here.
+    """
+    if quantile_labels is not None:
+        keys = ["date", *(["by_quantile"] if by else []), "factor_quantile"]
+        df = data.drop("factor_quantile", "by_quantile").join(quantile_labels.select("asset", *keys), ["date", "asset"]).dropna(subset=keys[1:])
+    else:
+        df, keys = _labelled(data, n, by, method)
     means = [F.avg(f"forward_return_{h}").alias(f"forward_return_{h}") for h in horizons_of(data, horizons)]
     return df.groupBy(*keys).agg(*means, F.count("*").alias("count"))
 

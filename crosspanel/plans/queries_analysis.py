@@ -25,12 +25,12 @@ def ic_pearson(spark: SparkSession, d: str) -> DataFrame:
     return tidy(ic.information_coefficient(P.sample(spark, d), method="pearson", complete=True))
 
 
-_SUMMARY = """SELECT CAST(horizon AS BIGINT) AS horizon, n, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(mean / nullif(std, 0), 6) + 0.0 AS icir, round(mean / nullif(std, 0) * sqrt(n), 6) + 0.0 AS t_naive,
+IC_SUMMARY_SQL = """SELECT CAST(horizon AS BIGINT) AS horizon, n, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(mean / nullif(std, 0), 6) + 0.0 AS icir, round(mean / nullif(std, 0) * sqrt(n), 6) + 0.0 AS t_naive,
   round(positive_rate, 6) + 0.0 AS positive_rate, round(abs_mean, 6) + 0.0 AS abs_mean FROM (SELECT horizon, count(ic) n, avg(ic) mean, stddev_samp(ic) std, avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END) positive_rate,
   avg(abs(ic)) abs_mean FROM ic GROUP BY horizon)"""
 
 
-@query("ic_decay", sql(RANKED_SQL, _SUMMARY))
+@query("ic_decay", sql(RANKED_SQL, IC_SUMMARY_SQL))
 def ic_decay(spark: SparkSession, d: str) -> DataFrame:
     return tidy(ic.ic_decay(P.sample(spark, d), complete=True))
 

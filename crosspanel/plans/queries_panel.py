@@ -316,11 +316,11 @@ def month_end(spark: SparkSession, d: str) -> DataFrame:
     return asof.month_end_sessions(days)
 
 
-@query("health_sessions", """WITH own AS (SELECT DISTINCT CAST(l_shipdate AS DATE) date FROM lineitem WHERE l_returnflag = 'A'), cal AS (SELECT DISTINCT CAST(o_orderdate AS DATE) date FROM orders),
+@query("health_sessions", """WITH own AS (SELECT DISTINCT CAST(l_shipdate AS DATE) date FROM lineitem), cal AS (SELECT DISTINCT CAST(o_orderdate AS DATE) date FROM orders),
   e AS (SELECT min(date) lo, max(date) hi, median(g) median_gap FROM (SELECT date, date - lag(date) OVER (ORDER BY date) g FROM own)), m AS (SELECT cal.date FROM cal, e WHERE cal.date BETWEEN lo AND hi AND cal.date NOT IN (SELECT date FROM own))
   SELECT (SELECT count(*) FROM own WHERE date NOT IN (SELECT date FROM cal)) AS n_off, CAST(median_gap AS DOUBLE) AS median_gap, (SELECT count(*) FROM m) AS n_missing, (SELECT min(date) FROM m) AS first_missing FROM e""")
 def health_sessions(spark: SparkSession, d: str) -> DataFrame:
-    shipped = P.read(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_shipdate").cast("date").alias("date"))
+    shipped = P.read(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"))
     return tidy(health.session_gaps(shipped, P.read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date"))))
 
 
