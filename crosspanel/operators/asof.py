@@ -57,9 +57,10 @@ def blocks_of_span(start: Column, end: Column) -> Column:
     return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), two)))
 
 
-def blocks_around(day: Column) -> Column:
-    """The aligned blocks of all sizes that hold a day."""
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: F.struct(level.alias("level"), F.floor((day - FIRST_DAY) / F.pow(F.lit(2.0), level)).alias("block")))
+def blocks_around(day: Column, longest: Column | None = None) -> Column:
+    """The aligned blocks that hold a day, of all sizes or of those that a span of at most `longest` days can have."""
+    last = F.lit(LEVELS) if longest is None else F.floor(F.log2(longest.cast("double"))).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda level: F.struct(level.alias("level"), F.floor((day - FIRST_DAY) / F.pow(F.lit(2.0), level)).alias("block")))
 
 
 def interval_join(left: DataFrame, spans: DataFrame, by: list[str], on: str, start: str, end: str, values: list[str]) -> DataFrame:
@@ -77,7 +78,8 @@ def interval_join(left: DataFrame, spans: DataFrame, by: list[str], on: str, sta
     blocks = s.select(*by, F.explode(blocks_of_span(F.unix_date("_from"), F.unix_date("_to"))).alias("_b"), F.struct("_from", "_v").alias("_span"))
     latest = blocks.groupBy(*by, "_b").agg(F.max("_span").alias("_span"))
     changes = s.select(*by, F.explode(F.array(F.col("_from"), F.date_add("_to", 1))).alias("_at")).distinct()
-    around = changes.withColumn("_b", F.explode(blocks_around(F.unix_date("_at"))))
+    longest = s.agg((F.max(F.datediff("_to", "_from")) + 1).alias("_longest"))  # one row
+    around = changes.join(F.broadcast(longest)).withColumn("_b", F.explode(blocks_around(F.unix_date("_at"), F.col("_longest")))).drop("_longest")
     # a change without a span, too, is a step: to nothing
     held = around.join(latest, [*by, "_b"], "left").groupBy(*by, "_at").agg(F.max("_span").alias("_best"))
     steps = held.select(*by, "_at", *(F.col(f"_best._v.{v}").alias(v) for v in values))

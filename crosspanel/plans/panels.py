@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where the session names none and runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder: set spark.checkpoint.dir")
+        found = "file://" + tempfile.mkdtemp(prefix="crosspanel-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly prices by supplier, from order lines; sums are of whole numbers, so they don't depend on order.
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.operators import asof, calendars, clean, contracts, health, preprocess, returns, tradability
 from crosspanel.operators.adjust import compute_adj_factor, fill_prev_close
 from crosspanel.plans import panels as P
-from crosspanel.plans.panels import DATA_SQL, PX_SQL, sql, tidy
+from crosspanel.plans.panels import DATA_SQL, PX_SQL, scratch_dir, sql, tidy
 from crosspanel.plans.registry import query
+from crosspanel.sources import monthly
 from crosspanel.streaming.bars import daily_bars
 
 Q6 = lambda *names: ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
@@ -376,6 +379,15 @@ def orthogonal(spark: SparkSession, d: str) -> DataFrame:
     return tidy(preprocess.orthogonalize(data, "factor", ["ln_volume", "forward_return_1"]).select("date", "asset", "factor"))
 
 
+@query("monthly_source", sql(PX_SQL, "SELECT date, asset, round(raw_close, 6) + 0.0 AS raw_close, n FROM px WHERE date >= DATE '1993-03-01' AND date < DATE '1996-02-01'"))
+def monthly_source(spark: SparkSession, d: str) -> DataFrame:
+    """The panel written to month folders and read again between two dates: other months are not opened."""
+    monthly.register(spark)
+    path = f"{scratch_dir(spark)}/panel-{uuid.uuid4().hex}"
+    P.prices(spark, d).select("date", "asset", "raw_close", "n").write.format(monthly.NAME).mode("append").save(path)
+    return tidy(spark.read.format(monthly.NAME).load(path).where("date >= DATE '1993-03-01' AND date < DATE '1996-02-01'"))
+
+
 @query("preprocess_log", sql(DATA_SQL, """, la AS (SELECT *, median(factor) OVER (PARTITION BY date) mid FROM data), lb AS (SELECT *, 1.4826 * 1.5 * median(abs(factor - mid)) OVER (PARTITION BY date) half, count(factor) OVER (PARTITION BY date) c FROM la),
   lw AS (SELECT *, CASE WHEN c >= 2 AND half > 0 THEN greatest(mid - half, least(mid + half, factor)) ELSE factor END v FROM lb), lz AS (SELECT *, stddev_samp(v) OVER (PARTITION BY date) sd, avg(v) OVER (PARTITION BY date) m FROM lw),
   ln3 AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY date) >= 12 THEN 0 END v3 FROM lz)
