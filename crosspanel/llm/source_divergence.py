@@ -41,10 +41,10 @@ class Settings:
 
     least_documents: int = 30
     top_terms: int = 50
-    chunk_terms: int = 4096
+    chunk_terms: int = 8192
     block_groups: int = 64
     #: Entries that a task holds before it passes its counts on.
-    held: int = 300_000
+    held: int = 500_000
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -56,11 +56,12 @@ def count_terms(docs: DataFrame, settings: Settings) -> DataFrame:
     """(lang, source, term, count, docs), each possibly in several rows; a row with a null term for every group there is."""
     schema = "lang string, source string, term string, count long, docs long"
 
-    def rows(counts: dict, held: dict) -> pa.RecordBatch:
-        flat = [(*group, term.decode("utf-8", "surrogatepass"), n, held[group][term]) for group, own in counts.items() for term, n in own.items()]
-        flat += [(*group, None, 0, 0) for group in counts]
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], k) for i, k in enumerate(kinds)], ["lang", "source", "term", "count", "docs"])
+    def rows(counts: dict, held: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), own in counts.items():
+            terms, n = list(own), len(own) + 1  # the last row stands for the group itself
+            docs = list(map(held[lang, source].__getitem__, terms))
+            columns = [pa.array([*terms, None], pa.binary()).cast(pa.string()), pa.array([*own.values(), 0], pa.int64()), pa.array([*docs, 0], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(pa.repeat(pa.scalar(x, pa.string()), n) for x in (lang, source)), *columns], ["lang", "source", "term", "count", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = defaultdict(Counter), defaultdict(Counter), 0
@@ -72,9 +73,9 @@ def count_terms(docs: DataFrame, settings: Settings) -> DataFrame:
                 held[group].update(set(words))
                 size += 1 + len(counts[group]) - before
                 if size >= settings.held:
-                    yield rows(counts, held)
+                    yield from rows(counts, held)
                     counts, held, size = defaultdict(Counter), defaultdict(Counter), 0
-        yield rows(counts, held)
+        yield from rows(counts, held)
 
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
     return docs.select(*text).mapInArrow(run, schema)
@@ -145,12 +146,13 @@ def _tile(heads: list[dict], chunks: Iterator[list[dict]]) -> list[tuple[str, st
     none = [shares(np.zeros(len(t), np.int64), t, n_terms) for t in totals] if n_terms else None
     for vectors in chunks:
         width = vectors[0]["chunk_terms"]
-        dense = [np.zeros((len(side), width), np.int64) for side in sides]
+        dense = [np.zeros((len(side), width), np.int64) for side in (sides[:1] if sides[0] is sides[1] else sides)]
         for v in vectors:
             slots, counts = unpack_ints(v["slots"]), unpack_ints(v["counts"])
-            for s in (0, 1) if sides[0] is sides[1] else (v["side"],):
-                dense[s][place[s][v["source"]], slots] = counts
-        p, q = (shares(d, t, n_terms) for d, t in zip(dense, totals, strict=True))
+            s = 0 if sides[0] is sides[1] else v["side"]
+            dense[s][place[s][v["source"]], slots] = counts
+        p = shares(dense[0], totals[0], n_terms)
+        q = p if sides[0] is sides[1] else shares(dense[1], totals[1], n_terms)
         for i, row in enumerate(p):
             matrix[i] += np.abs(q - row).sum(1)
         seen += width
