@@ -229,7 +229,7 @@ def _verified_parts(docs: DataFrame, classes: DataFrame, ties: DataFrame, settin
     sizes = stage(sizes.select("tied", "n", F.least(F.col("n"), blocks).alias("blocks")), "tied-sizes")
     found = stage(found.drop("n_shingles").join(sizes, "tied"), "tied")
     text = F.col("text").cast("string")
-    texts = only_wanted(docs.select(*text_keys(text), text.alias("text")), found, "t1")
+    texts = only_wanted(docs.select(*text_keys(text), text.alias("text")), found, "t1", found.count())
     texts = texts.groupBy("t1", "t2").agg(F.first("text").alias("text"))
     rows = found.hint("merge").join(texts.hint("merge"), ["t1", "t2"]).drop("t1", "t2")
     percent = settings.percent

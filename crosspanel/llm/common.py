@@ -40,12 +40,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sorted_out(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 27) -> tuple[DataFrame, DataFrame]:
+def sorted_out(rows: DataFrame, wanted: DataFrame, key: str, n_wanted: int, most_bits: int = 27) -> tuple[DataFrame, DataFrame]:
     """Rows whose `key`, a hash, may be among those of `wanted`, and rows whose key surely is not; nothing is shuffled.
 
-    What goes to the executors is a bitmap of 2 ** `bits` bits (16 MB) at most, whatever the tables hold. Where more
-    keys are wanted than it can tell apart more rows are among the first; an exact join must follow for them.
+    What goes to the executors is a bitmap of 32 to 64 bits for each of `n_wanted` keys, and of 2 ** `most_bits` bits
+    (16 MB) at most, whatever the tables hold. Where more keys are wanted than it can tell apart more rows are among the
+    first; an exact join must follow for them.
     """
+    bits = min(most_bits, max(15, (32 * n_wanted).bit_length()))
     place = F.pmod(F.xxhash64(F.col(key), F.lit(23)), F.lit(2**bits))
     bits_of = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     found = rows.select(F.struct("*").alias("row"), F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at")).join(F.broadcast(bits_of), "bucket", "left")
@@ -54,9 +56,9 @@ def sorted_out(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 27) ->
     return found.where(there).select("row.*"), found.where(~there).select("row.*")
 
 
-def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 27) -> DataFrame:
+def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, n_wanted: int, most_bits: int = 27) -> DataFrame:
     """Rows whose `key` may be among those of `wanted`: most others are left behind before anything is shuffled."""
-    return sorted_out(rows, wanted, key, bits)[0]
+    return sorted_out(rows, wanted, key, n_wanted, most_bits)[0]
 
 
 def remainder(doc_id, modulus: int):

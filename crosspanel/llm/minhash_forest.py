@@ -400,7 +400,7 @@ def _classes(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]
     wanted = stage(wanted.join(sizes, "component").select("*", "text_key.*").drop("text_key", "n_shingles"), "wanted")
     text = F.col("text").cast("string")
     # copies of a text become one where they lie; a merge join at every size: which texts are wanted grows with the input
-    texts = only_wanted(docs.select(*text_keys(text), text.alias("text")), wanted, "t1").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    texts = only_wanted(docs.select(*text_keys(text), text.alias("text")), wanted, "t1", wanted.count()).groupBy("t1", "t2").agg(F.first("text").alias("text"))
     texts = wanted.hint("merge").join(texts.hint("merge"), ["t1", "t2"]).drop("t1", "t2")
     blocks = F.greatest(F.ceil(F.col("n") / settings.verify_block), F.ceil(F.col("shingles") / settings.verify_shingles))
     groups = in_blocks(texts, ["component"], blocks).repartition("component", "near", "far")
@@ -437,11 +437,12 @@ def distinct_documents(docs: DataFrame, settings: Settings | None = None) -> Dat
     that no other row is like, told by a bitmap, are kept where they lie; only the others are shuffled.
     """
     signed, named = _classes(docs, settings or Settings())
-    named = stage(named.select("set", "component", "row", "n_links"), "named")
-    of_set = F.xxhash64("set").alias("s1")
-    shared = only_wanted(signed.select(of_set, "t1"), named.where("n_links > 0").select(of_set), "s1")
+    named = stage(named.select("set", "component", "row", "n_links", "copies"), "named")
+    of_set, alike = F.xxhash64("set").alias("s1"), named.where("n_links > 0")
+    n_sets, n_rows = alike.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    shared = only_wanted(signed.select(of_set, "t1"), alike.select(of_set), "s1", n_sets)
     rows = docs.select(F.struct("*").alias("document"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text").cast("string")))
-    open_, alone = sorted_out(rows, shared, "t1")
+    open_, alone = sorted_out(rows, shared, "t1", n_rows)
     keep = named.select("component", "row.doc_id", "row.t1", "row.t2").distinct().select(F.col("doc_id").alias("id"), F.col("t1").alias("k1"), F.col("t2").alias("k2"))
     found = open_.hint("merge").join(keep.hint("merge"), open_["doc_id"].eqNullSafe(keep["id"]) & (open_["t1"] == keep["k1"]) & (open_["t2"] == keep["k2"]), "left_semi")
     one = found.groupBy("doc_id", "t1", "t2").agg(F.min_by("document", F.to_json("document")).alias("document"))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosspanel.llm import bayes_dedup, cover_tree, html_text, mixing, source_divergence, word_runs
-from crosspanel.llm.common import only_wanted, stage, table
+from crosspanel.llm.common import only_wanted, sorted_out, stage, table
 from tests.llm.test_operators import ODD, odd, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -118,11 +118,13 @@ def test_large_groups_are_not_compared_pair_by_pair():
 def test_only_wanted_keeps_all_wanted(spark):
     rows = spark.range(20_000).select("id", F.xxhash64("id").alias("key"), F.lit(1).alias("bits"), F.lit(2).alias("bucket"))
     wanted = rows.where("id % 100 = 0").select("key")
-    for bits in (27, 15):
-        kept = only_wanted(rows, wanted, "key", bits)
+    for n_wanted, most_bits, others in ((200, 27, 400), (1_000_000, 27, 10), (1_000_000, 15, 400)):
+        kept = only_wanted(rows, wanted, "key", n_wanted, most_bits)
         assert kept.columns == rows.columns and kept.join(wanted, "key").count() == 200
-        assert kept.count() <= (210 if bits == 27 else 500)
-    assert only_wanted(rows, wanted.limit(0), "key").count() == 0
+        assert kept.count() <= 200 + others
+    few = sorted_out(rows, wanted, "key", 1, 15)
+    assert few[0].count() + few[1].count() == 20_000 and few[1].join(wanted, "key").count() == 0
+    assert only_wanted(rows, wanted.limit(0), "key", 0).count() == 0
 
 
 # runs
