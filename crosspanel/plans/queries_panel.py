@@ -13,6 +13,7 @@ from crosspanel.plans import panels as P
 from crosspanel.plans.panels import DATA_SQL, PX_SQL, scratch_dir, sql, tidy
 from crosspanel.plans.registry import query
 from crosspanel.sources import monthly
+from crosspanel.streaming import runs as streams
 from crosspanel.streaming.bars import daily_bars
 
 Q6 = lambda *names: ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
@@ -400,3 +401,19 @@ def preprocess_log(spark: SparkSession, d: str) -> DataFrame:
     data = preprocess.standardize(preprocess.winsorize(data, n=1.5, log=log), log=log)
     preprocess.neutralize(data, exposures=["ln_volume"], min_obs=12, log=log).write.format("noop").mode("overwrite").save()
     return log.frame(spark)
+
+
+@query("activity_sessions", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS asset, CAST(ts AS TIMESTAMP) AS ts, value, CASE WHEN CAST(ts AS TIMESTAMP) - lag(CAST(ts AS TIMESTAMP)) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY asset ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+  SELECT asset, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 12 HOUR) AS end_us, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM s GROUP BY asset, session""")
+def activity_sessions(spark: SparkSession, d: str) -> DataFrame:
+    events = P.read(spark, d, "events").select(F.col("user_id").cast("string").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    found = streams.activity_sessions(events, "asset", "ts", "value", "12 hours")
+    return tidy(found.select("asset", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n", "total"))
+
+
+@query("suspension_runs", sql(PX_SQL, """, v AS (SELECT date, asset, volume <= 50 AS idle FROM px), r AS (SELECT *, sum(CASE WHEN idle THEN 0 ELSE 1 END) OVER (PARTITION BY asset ORDER BY date) AS run, max(CASE WHEN NOT idle THEN date END) OVER (PARTITION BY asset) AS last FROM v)
+  SELECT asset, min(date) AS start, max(date) AS "end", count(*) AS n, 'ended' AS kind FROM r WHERE idle GROUP BY asset, run, last HAVING max(date) < last"""))
+def suspension_runs(spark: SparkSession, d: str) -> DataFrame:
+    px = P.prices(spark, d).select("date", "asset", F.greatest(F.col("volume") - 50, F.lit(0.0)).alias("volume"))
+    return streams.suspension_runs(px)
