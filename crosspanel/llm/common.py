@@ -50,6 +50,7 @@ def sorted_out(rows: DataFrame, wanted: DataFrame, key: str, n_wanted: int, most
     bits = min(most_bits, max(15, (32 * n_wanted).bit_length()))
     place = F.pmod(F.xxhash64(F.col(key), F.lit(23)), F.lit(2**bits))
     bits_of = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    bits_of = stage(bits_of, "bits")  # both results look it up
     found = rows.select(F.struct("*").alias("row"), F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at")).join(F.broadcast(bits_of), "bucket", "left")
     own = F.conv(F.hex(F.substring(F.col("bits"), F.call_function("div", F.col("at"), F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     there = F.coalesce(F.call_function("getbit", own, (F.col("at") % 8).cast("int")) == 1, F.lit(False))
