@@ -77,6 +77,8 @@ _FACTOR = _RNG.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 _SHIFT = _RNG.integers(1, 2**63, 4096, dtype=np.uint64)
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[ord(x) for x in BLANKS]] = True
+#: Words hashed at a time: a character takes some sixty bytes meanwhile.
+_WORDS = 1 << 15
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -101,12 +103,14 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
     if not len(starts):
         return [empty] * len(texts)
     with np.errstate(over="ignore"):
-        inside = np.flatnonzero(~blank)
-        size = ends - starts
-        place = inside - np.repeat(starts, size)
-        own = _BYTE[data[inside]] * _PLACE[place & 4095] + place.astype(np.uint64)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        word = _mix(np.add.reduceat(_mix(own), begin) + size.astype(np.uint64))
+        word = np.empty(len(starts), np.uint64)
+        for at in range(0, len(starts), _WORDS):
+            here, size = starts[at : at + _WORDS], ends[at : at + _WORDS] - starts[at : at + _WORDS]
+            inside = here[0] + np.flatnonzero(~blank[here[0] : here[-1] + size[-1]])
+            place = inside - np.repeat(here, size)
+            own = _BYTE[data[inside]] * _PLACE[place & 4095] + place.astype(np.uint64)
+            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+            word[at : at + _WORDS] = _mix(np.add.reduceat(_mix(own), begin) + size.astype(np.uint64))
         n = len(word)
         gram = np.zeros(max(n - words + 1, 0), np.uint64)
         for i in range(words):
@@ -297,22 +301,21 @@ def in_blocks(rows: DataFrame, key: list[str], blocks: Column) -> DataFrame:
 def shared_shingles(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets."""
     n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     by = np.argsort(flat, kind="stable")
-    owner = owner[by]
-    edge = np.flatnonzero(np.diff(flat[by], prepend=~flat[by[:1]]) != 0) if len(flat) else np.zeros(0, int)
+    flat = flat[by]
+    edge = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, int)
     count = np.diff(np.append(edge, len(flat)))
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])[by]
+    del flat, by
     out = np.zeros((n, n), np.float32)
-    few = 12
+    cells, few = out.reshape(-1), 12
     for c in np.unique(count[(count > 1) & (count <= few)]):  # shingles of few sets, pair by pair
         at = edge[count == c]
-        own = owner[at[:, None] + np.arange(c)]
         for i in range(c):
+            first = owner[at + i].astype(np.int64) * n
             for j in range(i + 1, c):
-                out += np.bincount(own[:, i] * n + own[:, j], minlength=n * n).reshape(n, n) if len(own) > n else 0
-                if len(own) <= n:
-                    np.add.at(out, (own[:, i], own[:, j]), 1)
+                np.add.at(cells, first + owner[at + j], np.float32(1))
     many = np.flatnonzero(count > few)
     out += out.T
     for at in range(0, len(many), 2048):  # the rest as products of membership tables
@@ -329,22 +332,20 @@ def verify(groups: DataFrame, settings: Settings) -> DataFrame:
     """Exact links among the texts of each group: (set, links, peer), links counted in documents, peer a tie to another set."""
     schema = "set binary, links long, peer binary"
 
-    def check(rows: list[dict]) -> list[tuple]:
-        sets = shingle_sets([r["text"] for r in rows], settings.words)
-        keep = [i for i, s in enumerate(sets) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == rows[i]["set"]]
-        ids = list(dict.fromkeys(rows[i]["set"] for i in keep))  # one text for each set
-        one = {rows[i]["set"]: i for i in reversed(keep)}
-        chosen = [one[x] for x in ids]
-        sets = [sets[i] for i in chosen]
+    def check(held: dict[bytes, tuple[np.ndarray, int, int]], across: bool) -> list[tuple]:
+        ids, sets = list(held), [s for s, _, _ in held.values()]
+        copies, side = (np.array([x[k] for x in held.values()]) for k in (1, 2))
         size = np.array([len(s) for s in sets], float)
         both = shared_shingles(sets)
-        linked = both >= settings.similarity * (size[:, None] + size[None, :] - both) - 1e-6
+        linked, links = np.zeros(both.shape, bool), np.zeros(len(ids), np.int64)
+        for at in range(0, len(ids), 128):  # some rows at a time: tables of doubles are large
+            own = slice(at, at + 128)
+            linked[own] = both[own] >= settings.similarity * (size[own, None] + size[None, :] - both[own]) - 1e-6
+            if across:
+                linked[own] &= side[own, None] != side[None, :]
         np.fill_diagonal(linked, False)
-        side = np.array([rows[i]["side"] for i in chosen])
-        if rows[0]["near"] != rows[0]["far"]:
-            linked &= side[:, None] != side[None, :]
-        copies = np.array([rows[i]["copies"] for i in chosen])
-        links = linked @ copies
+        for at in range(0, len(ids), 128):
+            links[at : at + 128] = linked[at : at + 128] @ copies
         out, left = [], np.arange(len(ids))
         peer: dict[int, int] = {}
         while len(left):
@@ -361,17 +362,21 @@ def verify(groups: DataFrame, settings: Settings) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        held, key = {}, None  # sets take the place of their texts at once: of each, its shingles, copies and side
         for batch in batches:
             found = []
-            for row in batch.to_pylist():
-                k = (row["component"], row["near"], row["far"])
-                if k != key:
-                    found += check(held) if len(held) > 1 else []
-                    held, key = [], k
-                held.append(row)
+            keys = list(zip(*(batch.column(x).to_pylist() for x in ("component", "near", "far")), strict=True))
+            rows = list(zip(*(batch.column(x).to_pylist() for x in ("set", "copies", "side")), strict=True))
+            for at, texts in _batches(batch.column("text")):
+                for i, s in enumerate(shingle_sets(texts, settings.words), at):
+                    if keys[i] != key:
+                        found += check(held, key[1] != key[2]) if len(held) > 1 else []
+                        held, key = {}, keys[i]
+                    name, copies, side = rows[i]
+                    if name not in held and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == name:  # one text for each set
+                        held[name] = s, copies, side
             yield _links(found)
-        yield _links(check(held) if len(held) > 1 else [])
+        yield _links(check(held, key[1] != key[2]) if len(held) > 1 else [])
 
     return groups.sortWithinPartitions("component", "near", "far").mapInArrow(run, schema)
 

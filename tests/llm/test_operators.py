@@ -1,16 +1,19 @@
 """The operators against brute force, exact round trips and held-out accuracy, with the odd inputs that tables hold."""
 
+import hashlib
 import html.parser
 import itertools
 import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,6 +382,64 @@ def test_shared_shingles_and_prefix():
     assert 1 - (1 - 0.8**k) ** s.trees >= s.recall > 1 - (1 - 0.8 ** (k + 1)) ** s.trees
 
 
+class Groups:
+    """Stands for a table of groups, whose batches come as they are."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def sortWithinPartitions(self, *keys):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return [row for batch in run(iter(self.batches)) for row in batch.to_pylist()]
+
+
+def peak_of(work):
+    """What `work` returns, and the MB that Python and numpy held meanwhile, at most."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("near, far", [(0, 0), (0, 1)])
+def test_verification_of_a_full_block_takes_little_memory(near, far):
+    settings, rng, n = minhash_forest.Settings(), random.Random(5), 1024
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
+    base = [[rng.choice(words) for _ in range(500)] for _ in range(2)]
+    texts = []
+    for i in range(n):  # copies of two texts, of which every third has too many changes for a link
+        text = list(base[i % 7 > 2])
+        for _ in range(60 if i % 3 == 0 else 2):
+            text[rng.randrange(500)] = rng.choice(words)
+        texts.append(" ".join(text))
+    sets = [minhash_forest.shingle_sets([t])[0] for t in texts]
+    names, copies = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [1 + i % 5 for i in range(n)]
+    columns = {"component": [b"c"] * n, "set": names, "copies": copies, "text": texts, "near": [near] * n, "far": [far] * n, "side": [i % 2 for i in range(n)]}
+    again = pa.table({k: v[:100] for k, v in columns.items()})  # rows that repeat a set count once
+    groups = Groups([b for part in (pa.table(columns), again) for b in part.to_batches(max_chunksize=700)])
+    found, most = peak_of(lambda: minhash_forest.verify(groups, settings))
+    size = np.array([len(s) for s in sets])
+    both = minhash_forest.shared_shingles(sets)
+    linked = (both >= 0.8 * (size[:, None] + size[None] - both) - 1e-6) & ~np.eye(n, dtype=bool)
+    if near != far:
+        linked &= (np.arange(n) % 2)[:, None] != (np.arange(n) % 2)
+    want = {name: k for name, k in zip(names, (linked @ np.array(copies)).tolist(), strict=True) if k}
+    assert len(found) == len(want) > 600 and {r["set"]: r["links"] for r in found} == want
+    assert most < 100, most
+
+
+def test_sets_of_a_long_text_take_memory_of_its_words():
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    got, most = peak_of(lambda: minhash_forest.shingle_sets([" ".join(words), "a b", None])[0])
+    small = [minhash_forest.shingle_sets([" ".join(words[i : i + 5])])[0] for i in (0, 32_766, 32_767, 32_768, 299_995)]
+    assert len(got) > 299_000 and all(np.isin(x, got).all() for x in small)
+    assert most < 60, most
+
+
 def test_forest_shortens_prefixes_until_the_recall():
     settings = minhash_forest.Settings()
     rng = np.random.default_rng(13)
