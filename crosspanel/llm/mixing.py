@@ -41,6 +41,8 @@ NONE = "(none)"
 
 #: Marginals of so many values at most are broadcast to the cells.
 SMALL = 10_000
+#: A move, as a share of a cell, that is no more than what sums of doubles differ by.
+_NOISE = 1e-12
 #: Parts that the documents of a cell are dealt to where cells are merged with documents.
 SALTS = 16
 
@@ -57,6 +59,7 @@ class Settings:
     n_topics: int = 8
     seed: int = 17
     cycles: int = 500
+    #: What a cell may still have to move when raking ends, as a share of its tokens drawn (of one token, where it has less).
     tolerance: float = 1e-9
     #: The largest miss of a value's goal, as a share of all tokens drawn, that is not refused; None: any is taken.
     most_miss: float | None = None
@@ -98,6 +101,14 @@ def capped_goals(share: np.ndarray, have: np.ndarray, total: float) -> np.ndarra
         full |= over
 
 
+def settled(moved: float, last: float | None, tolerance: float) -> bool:
+    """Whether cells are within the tolerance of where raking leads: by the largest moves of this cycle and the last, as shares.
+
+    A small move alone says little where each is nearly as large as the one before; what is left is a geometric sum.
+    """
+    return moved <= _NOISE or (last is not None and moved < last and moved * moved <= tolerance * (last - moved))
+
+
 def rake(cells: pd.DataFrame, shares: dict[str, dict[str, float]], total: float, cycles: int = 500, tolerance: float = 1e-9) -> np.ndarray:
     """Tokens to draw from each cell: marginals as near the shares as the cells' tokens allow, `total` in all."""
     have = cells["tokens"].to_numpy(float)
@@ -108,12 +119,17 @@ def rake(cells: pd.DataFrame, shares: dict[str, dict[str, float]], total: float,
     total = min([total, have.sum(), *(h[s > 0].sum() if s.sum() else h.sum() for _, s, h in parts)])
     goals = [(code, capped_goals(share, held, total)) for code, share, held in parts]
     weight = have * (total / have.sum() if have.sum() else 0.0)
+    last = None
     for _ in range(cycles):
         before = weight.copy()
         for code, goal in goals:
             weight = _scaled(weight, have, code, goal)
-        if weight.sum() <= 0 or np.abs(weight - before).max() <= tolerance * max(total, 1.0):
+        if weight.sum() <= 0:
+            break
+        moved = float((np.abs(weight - before) / np.maximum(before, 1.0)).max())
+        if settled(moved, last, tolerance):
             break
+        last = moved
     return weight
 
 
@@ -213,7 +229,7 @@ def rake_table(cells: DataFrame, settings: Settings, total: float, all_tokens: f
     goals = {name: _goals(m, name, total) for name, m in marginals.items()}
     kept = cells.select(*settings.targets, F.col("tokens").cast("double").alias("tokens"))
     now = kept.withColumn("weight", F.col("tokens") * (total / all_tokens if all_tokens else 0.0))
-    full = F.col("weight") >= F.col("tokens")
+    full, last = F.col("weight") >= F.col("tokens"), None
     for cycle in range(settings.cycles):
         step = now.withColumn("before", F.col("weight"))
         for name, (goal, n) in goals.items():
@@ -226,10 +242,11 @@ def rake_table(cells: DataFrame, settings: Settings, total: float, all_tokens: f
             step = step.withColumn("weight", F.least(moved, F.col("tokens"))).drop("factor", "down")
         step.write.mode("overwrite").parquet(f"{path}-{cycle % 2}")
         now = spark.read.schema(step.schema).parquet(f"{path}-{cycle % 2}")
-        moved, left = now.agg(F.max(F.abs(F.col("weight") - F.col("before"))), F.sum("weight")).first()
+        moved, left = now.agg(F.max(F.abs(F.col("weight") - F.col("before")) / F.greatest("before", F.lit(1.0))), F.sum("weight")).first()
         now = now.drop("before")
-        if (left or 0.0) <= 0 or moved <= settings.tolerance * max(total, 1.0):
+        if (left or 0.0) <= 0 or settled(moved, last, settings.tolerance):
             break
+        last = moved
     return now
 
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,6 +362,16 @@ def test_mixing_fills_the_total_where_a_value_is_exhausted(spark, driver_cells):
     assert drawn.sum() == pytest.approx(600) and drawn.groupby(got.source).sum().tolist() == pytest.approx([300, 300], abs=1e-3) and drawn.groupby(got.lang).sum().tolist() == pytest.approx([312, 288], abs=1e-3)
 
 
+@pytest.mark.parametrize("times, rare", [(1.0, 20.0), (1e6, 20.0), (1e6, 0.4)])
+def test_raking_ends_near_its_limit_however_slowly_it_gets_there(times, rare):
+    cells = pd.DataFrame({"source": list("aabb"), "lang": list("uvuv"), "tokens": times * np.array([rare, 480.0, 480.0, rare])})
+    shares, total = {"source": {"a": 0.5, "b": 0.5}, "lang": {"u": 0.501, "v": 0.499}}, 0.6 * cells.tokens.sum()
+    limit = mixing.rake(cells, shares, total, 20_000, 0.0)
+    for tolerance in (1e-3, 1e-5, 1e-7):
+        got = mixing.rake(cells, shares, total, 20_000, tolerance)
+        assert (np.abs(got - limit) <= 2 * tolerance * np.maximum(limit, 1.0)).all(), (tolerance, got, limit)
+
+
 @pytest.mark.parametrize("driver_cells", [100_000, 0])
 def test_mixing_tells_what_it_misses(spark, driver_cells):
     docs = cells_of(spark, [("a", "u", 500), ("b", "v", 500)])
